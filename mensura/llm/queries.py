@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mensura.llm.common import read_table
 from mensura.llm.exact_dedup import exact_duplicates
+from mensura.llm.importance import fit_importance, importance_sample
+from mensura.llm.packing import pack
+from mensura.llm.simhash import near_duplicates
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +29,27 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_importance(documents, read_table(spark, sf_dir, "labels"))
+    return importance_sample(documents, model).select("doc_id", "log_weight", "sample_key", "selected")
+
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_importance_resampling": op4_importance_resampling,
+        "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
 
 
