@@ -23,7 +23,7 @@ from mensura.llm.common import body, cut
 
 FIRST_WIDTH = 64
 WIDENING = 64
-MAX_WIDTH = 1 << 20
+MAX_WIDTH = 1 << 26
 
 
 def exact_duplicates(

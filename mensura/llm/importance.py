@@ -64,7 +64,7 @@ def _grams(data: np.ndarray, bounds: np.ndarray) -> tuple[tuple[np.ndarray, np.n
         code = wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24
         inside = np.ones(len(data), bool)
         for back in (1, 2, 3):
-            inside[np.maximum(rows - back, 0)] = False
+            inside[rows[rows >= back] - back] = False
         inside = inside[: len(code)]
         # a row of fewer than four bytes ends before its own first run does
         chars = ((code * np.uint32(2654435761)) >> 16)[inside].astype(np.int64), np.concatenate(([0], np.cumsum(inside)))[np.minimum(bounds, len(code))]

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.common import read_table
+from mensura.llm import chat, html_text, licenses, pieces, warc
+from mensura.llm.common import checkpoint_root, read_table
 from mensura.llm.exact_dedup import exact_duplicates
+from mensura.llm.fingerprints import containment, encoded, fingerprint_with_edits, resemblance
 from mensura.llm.importance import fit_importance, importance_sample
 from mensura.llm.packing import pack
 from mensura.llm.simhash import near_duplicates
 
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+CHAT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
@@ -29,6 +35,22 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprint_with_edits(read_table(spark, sf_dir, "documents"))
+    own, edited, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        encoded(own).alias("fingerprint"),
+        encoded(edited).alias("edited_fingerprint"),
+        resemblance(own, edited).alias("near_edited"),
+        resemblance(own, after).alias("near_next"),
+        containment(own, edited).alias("in_edited"),
+        containment(own, after).alias("in_next"),
+    )
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +61,68 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sample(documents, model).select("doc_id", "log_weight", "sample_key", "selected")
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_root(spark)}/warc-{uuid4().hex}"
+    warc.write_archives(read_table(spark, sf_dir, "pages"), folder)
+    return warc.resolved_records(warc.read_archives(spark, folder))
+
+
+OP5_SQL = """
+WITH digests AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), parts AS (
+  SELECT page_id, payload,
+         list_transform([1, 11, 21, 31], g -> ('0x' || substr(hex, g, 10))::BIGINT) AS groups
+  FROM digests
+)
+SELECT page_id,
+       strlen(payload) AS payload_bytes,
+       list_aggregate(
+         list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((groups[1 + i // 8] >> (35 - 5 * (i % 8))) & 31) + 1)::BIGINT, 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = min(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = min(page_id) OVER same THEN NULL ELSE min(page_id) OVER same END AS refers_to,
+       true AS intact
+FROM parts
+WINDOW same AS (PARTITION BY payload)
+"""
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(read_table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
+    decode = pieces.decoder(SENTENCEPIECE_MODEL)
+    return encoded.withColumn("text", decode("ids", "chunk")).select(
+        "doc_id",
+        "chunk",
+        "n_chunks",
+        "score",
+        F.size("ids").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.length("text").alias("decoded_chars"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.read_back(chat.format_conversations(rows.unionByName(planted), CHAT_TOKENIZER), CHAT_TOKENIZER)
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_duplicates(read_table(spark, sf_dir, "documents"))
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,13 +131,20 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_scaled_sketch": op2_scaled_sketch,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_importance_resampling": op4_importance_resampling,
+        "op5_warc_revisits": op5_warc_revisits,
+        "op6_license_scan": op6_license_scan,
+        "op7_sentencepiece": op7_sentencepiece,
+        "op8_chat_format": op8_chat_format,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_html_text": op10_html_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
+        "op5_warc_revisits": OP5_SQL,
     }
