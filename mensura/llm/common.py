@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mensura.functions.lineage import checkpoint_root, cut
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """Return the shared folder for cut lineages and written tables.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as in
-    local tests, a temporary folder of this machine takes its place.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    current = context.getCheckpointDir()
-    if not current:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        current = context.getCheckpointDir()
-    return named or current
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from what was written."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["body", "checkpoint_root", "cut", "read_table", "shuffle_width"]
 
 
 def body(column: str | Column) -> Column:

@@ -11,8 +11,9 @@ the mean log-ratio of each kind, times the number of n-grams up to ``evidence``;
 alone decides nothing.  Log-ratios are kept in fixed point, so that the weight of a text
 is the same in every pass, whatever batch it comes in.
 
-The raw model counts all documents.  The target model and the cut between accepted and
-rejected weights are fitted on at most ``max_labels`` labelled rows, those of least hash.
+The raw model counts all documents.  At most ``max_labels`` labelled rows are used, those
+of least hash: one half for the target model, the other for the cut between accepted and
+rejected weights, which so is judged by texts that the model hasn't seen.
 ``k`` is the number of documents over the cut.  The ``k`` largest perturbed weights are
 found by radix selection: counts of successive digits, never a sort or a gathered corpus.
 """
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from mensura.llm.common import body, cut
 
 BUCKETS = 1 << 16
+PAIR_BUCKETS = 1 << 12
 EVIDENCE = 64
 MAX_LABELS = 20_000
 COST_OF_LOST_GOOD = 10
@@ -37,8 +39,9 @@ SEED = 17
 _UNIT = 1 << 16  # fixed point of log-ratios
 _PIECE = 1 << 20  # bytes looked at together; no n-gram spans two pieces of a longer text
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.concatenate(([1], np.full(_PIECE, _BASE, np.uint64))), dtype=np.uint64)
-_UNPOWERS = np.cumprod(np.concatenate(([1], np.full(_PIECE, pow(int(_BASE), -1, 1 << 64), np.uint64))), dtype=np.uint64)
+_ONE = np.ones(1, np.uint64)
+_POWERS = np.cumprod(np.concatenate((_ONE, np.full(_PIECE, _BASE, np.uint64))), dtype=np.uint64)
+_UNPOWERS = np.cumprod(np.concatenate((_ONE, np.full(_PIECE, pow(int(_BASE), -1, 1 << 64), np.uint64))), dtype=np.uint64)
 
 
 def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -81,7 +84,7 @@ def _grams(data: np.ndarray, bounds: np.ndarray) -> tuple[tuple[np.ndarray, np.n
     of = np.searchsorted(bounds, start, "right")
     pair = np.flatnonzero(of[1:] == of[:-1]) if len(word) > 1 else np.empty(0, np.int64)
     a, b = word[pair], word[pair + 1] if len(pair) else word[:0]
-    mixed = ((a * _BASE ^ b) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(48)
+    mixed = ((a * _BASE ^ b) * np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(PAIR_BUCKETS)
     pairs = np.where(a == b, 0, np.maximum(mixed, 1)).astype(np.int64), np.searchsorted(start[pair], bounds)
     return chars, pairs
 
@@ -144,7 +147,7 @@ def fit_importance(
         .where("_good = _other")
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(max_labels)
-        .select("_id", "_good")
+        .select("_id", "_good", (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)) == 0).alias("_fit"))
     )
     known = F.broadcast(cut(known))  # at most max_labels rows
     docs = df.select(F.col(id_col).alias("_id"), body(text_col).alias("text")).join(known, "_id", "left")
@@ -160,7 +163,7 @@ def fit_importance(
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], ["bucket", "n"])
 
     table = (
-        docs.select("text", "_good")
+        docs.select("text", (F.col("_good") & F.col("_fit")).alias("_target"))
         .mapInArrow(counted, "bucket long, n long")
         .groupBy("bucket")
         .agg(F.sum("n").alias("n"))
@@ -173,10 +176,10 @@ def fit_importance(
         return ImportanceModel(np.zeros((2, BUCKETS), np.int64), -np.inf, evidence)
 
     def logs(counts: np.ndarray) -> np.ndarray:
-        return np.log(counts + 1) - np.log(counts.sum(axis=1, keepdims=True) + BUCKETS)
+        return np.log(counts + 1) - np.log(counts.sum(axis=1, keepdims=True) + [[BUCKETS], [PAIR_BUCKETS]])
 
     model = ImportanceModel(np.round((logs(target) - logs(raw)) * _UNIT).astype(np.int64), -np.inf, evidence)
-    seen = docs.where("_good is not null").select("_good", model.log_weight("text").alias("w")).toArrow()  # max_labels rows
+    seen = docs.where("_good is not null and not _fit").select("_good", model.log_weight("text").alias("w")).toArrow()  # max_labels rows
     return ImportanceModel(model.ratios, _best_cut(seen["w"].to_numpy(), seen["_good"].to_numpy().astype(bool)), evidence)
 
 

@@ -31,6 +31,7 @@ from mensura.llm.common import body, cut
 CHUNK_CHARS = 1 << 14
 BLOCK_CHUNKS = 64
 FALLBACK_COST = 10.0  # below the least score of a piece, for a character spelt in bytes
+BARRED = -1e8  # scores below bar a piece, as runs of spaces in some files, wherever others do
 _SPACE = "▁"
 _LITERAL = "\udc81"  # stands for U+2581 of the text itself, which goes in bytes; no text holds a lone surrogate
 _WORDS = re.compile(f"{_SPACE}+[^{_SPACE}\n\t]*|[^{_SPACE}\n\t]+|[\n\t]")
@@ -72,7 +73,7 @@ class Segmenter:
         self.pieces, self.byte_ids = vocabulary.pieces, vocabulary.byte_ids
         self.longest = max(map(len, self.pieces), default=1)
         self.begun = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
-        self.spelt = min((s for _, s in self.pieces.values()), default=0.0) - FALLBACK_COST
+        self.spelt = min((s for _, s in self.pieces.values() if s > BARRED), default=0.0) - FALLBACK_COST
         self.words: dict[str, tuple[float, list[int]]] = {}
 
     def arcs(self, s: str, at: int, end: int):

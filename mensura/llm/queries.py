@@ -72,13 +72,13 @@ WITH digests AS (
   SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
 ), parts AS (
   SELECT page_id, payload,
-         list_transform([1, 11, 21, 31], g -> ('0x' || substr(hex, g, 10))::BIGINT) AS groups
+         list_transform([1, 11, 21, 31], lambda g: ('0x' || substr(hex, g, 10))::BIGINT) AS groups
   FROM digests
 )
 SELECT page_id,
        strlen(payload) AS payload_bytes,
        list_aggregate(
-         list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            (((groups[1 + i // 8] >> (35 - 5 * (i % 8))) & 31) + 1)::BIGINT, 1)),
          'string_agg', '') AS payload_digest,
        CASE WHEN page_id = min(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
