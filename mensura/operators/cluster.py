@@ -35,6 +35,10 @@ def kmeans_labels(df: DataFrame, k: int, seed: int = 42, out: str = "cluster") -
 
 
 def within_cost(df: DataFrame, k: int, seed: int = 42) -> float:
+    """Squared distance of all rows to the centres of their clusters."""
+    if k == 1:
+        flat = df.select(F.posexplode(vector_to_array("features")).alias("i", "v"))
+        return flat.groupBy("i").agg((F.var_pop("v") * F.count("v")).alias("s")).agg(F.sum("s")).first()[0]
     return KMeans(k=k, seed=seed, featuresCol="features").fit(df).summary.trainingCost
 
 
@@ -169,7 +173,7 @@ def ward_labels(df: DataFrame, k: int, limit: int = WARD_LIMIT, seed: int = 42,
         return pd.DataFrame({"_cell": rows["_cell"], "cluster": found})
 
     # at most ``limit`` rows meet
-    clusters = cells.groupBy(F.lit(1)).applyInPandas(merged, f"_cell {cells.schema['_cell'].dataType.simpleString()}, cluster int")
+    clusters = cells.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(merged, f"_cell {cells.schema['_cell'].dataType.simpleString()}, cluster int")
     return members.join(clusters, "_cell").select(key, "cluster")
 
 

@@ -82,7 +82,7 @@ def hull_corners(points: DataFrame, by: str, parts: int = 64) -> DataFrame:
     """Hull corners of each group: hulls of hashed parts first, then the hull of their corners."""
     schema = f"{by} long, x double, y double"
 
-    def corners(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def corners(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found = hull(rows[["x", "y"]].to_numpy(float))
         return pd.DataFrame({by: key[0], "x": found[:, 0], "y": found[:, 1]})
 
@@ -94,7 +94,7 @@ def hull_corners(points: DataFrame, by: str, parts: int = 64) -> DataFrame:
 def hull_measures(points: DataFrame, by: str) -> DataFrame:
     """Area, perimeter and largest diameter of each group's convex hull."""
 
-    def measured(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def measured(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         p = hull(rows[["x", "y"]].to_numpy(float))
         q = np.roll(p, -1, axis=0)
         area = abs(float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum())) / 2

@@ -109,12 +109,12 @@ def new_per_frame(spark, d):
 
 
 @query(
-    f"""WITH {X.TRACKS} SELECT c.c_custkey AS cell, round(coalesce(quantile_cont(value, 0.75), 0), 6) AS q75, round(coalesce(avg(value), 0), 6) AS mean, round(coalesce(stddev_pop(value), 0), 6) AS std, count(value) AS n
+    f"""WITH {X.TRACKS} SELECT c.c_custkey AS cell, round(coalesce(quantile_cont(value, 0.75), 0), 9) AS q75, round(coalesce(avg(value), 0), 9) AS mean, round(coalesce(stddev_pop(value), 0), 9) AS std, count(value) AS n
     FROM customer c LEFT JOIN tracks t ON t.cell = c.c_custkey GROUP BY 1"""
 )
 def list_summary(spark, d):
     people = S.table(spark, d, "customer").select(F.col("c_custkey").alias("cell"))
-    return rounded(A.list_summary(people.join(X.tracks(spark, d).select("cell", "value"), "cell", "left"), ["cell"], "value"))
+    return rounded(A.list_summary(people.join(X.tracks(spark, d).select("cell", "value"), "cell", "left"), ["cell"], "value"), 9)
 
 
 @query(

@@ -54,10 +54,10 @@ def path_dictionary(spark, d):
 
 @query(
     """WITH parts AS (
-      SELECT 0 AS at, o_custkey AS k, max(o_totalprice) AS price, nullif(min(o_orderpriority), '1-URGENT') AS priority FROM orders WHERE o_orderstatus = 'F' GROUP BY k
+      SELECT 0 AS pos, o_custkey AS k, max(o_totalprice) AS price, nullif(min(o_orderpriority), '1-URGENT') AS priority FROM orders WHERE o_orderstatus = 'F' GROUP BY k
       UNION ALL SELECT 1, o_custkey, max(o_totalprice), min(o_orderpriority) FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey
       UNION ALL SELECT 2, o_custkey, max(o_totalprice), min(o_orderpriority) FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey)
-    SELECT k, arg_min(price, at) FILTER (WHERE price IS NOT NULL) AS price, arg_min(priority, at) FILTER (WHERE priority IS NOT NULL) AS priority FROM parts GROUP BY k"""
+    SELECT k, arg_min(price, pos) FILTER (WHERE price IS NOT NULL) AS price, arg_min(priority, pos) FILTER (WHERE priority IS NOT NULL) AS priority FROM parts GROUP BY k"""
 )
 def first_non_null_merge(spark, d):
     orders = S.table(spark, d, "orders")
@@ -92,17 +92,17 @@ def top_k_per_group(spark, d):
 
 @query(
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
-    round(l_quantity / (l_quantity + l_discount + l_tax), 6) AS quantity_share, round((l_quantity + l_discount + l_tax) / 3, 6) AS mean_measure,
-    round(l_extendedprice / nullif(l_quantity, 0), 6) AS unit_price, round(4 * pi() * l_extendedprice / (l_quantity * l_quantity), 6) AS circularity,
-    round(l_extendedprice * 0.481 * 0.481, 6) AS area_um, round(sqrt((l_quantity - l_discount) * (l_quantity - l_discount) + (l_tax - 1) * (l_tax - 1)), 6) AS distance FROM lineitem"""
+    round(l_quantity / (l_quantity + l_discount + l_tax), 9) AS quantity_share, round((l_quantity + l_discount + l_tax) / 3, 9) AS mean_measure,
+    round(l_extendedprice / nullif(l_quantity, 0), 9) AS unit_price, round(4 * pi() * l_extendedprice / (l_quantity * l_quantity), 9) AS circularity,
+    round(l_extendedprice * 0.481 * 0.481, 9) AS area_um, round(sqrt((l_quantity - l_discount) * (l_quantity - l_discount) + (l_tax - 1) * (l_tax - 1)), 9) AS distance FROM lineitem"""
 )
 def derived_measures(spark, d):
     q, c, t, p = (F.col(f"l_{n}") for n in ("quantity", "discount", "tax", "extendedprice"))
-    return rounded(
+    return (
         S.table(spark, d, "lineitem").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-            C.share_of_row(["l_quantity", "l_discount", "l_tax"])["l_quantity"].alias("quantity_share"), C.row_mean(["l_quantity", "l_discount", "l_tax"]).alias("mean_measure"),
-            C.ratio(p, q).alias("unit_price"), C.circularity(p, q).alias("circularity"), (p * 0.481 * 0.481).alias("area_um"), C.distance(q, t, c, F.lit(1.0)).alias("distance"),
+            F.round(C.share_of_row(["l_quantity", "l_discount", "l_tax"])["l_quantity"], 9).alias("quantity_share"), F.round(C.row_mean(["l_quantity", "l_discount", "l_tax"]), 9).alias("mean_measure"),
+            F.round(C.ratio(p, q), 9).alias("unit_price"), F.round(C.circularity(p, q), 9).alias("circularity"), F.round(p * 0.481 * 0.481, 9).alias("area_um"), F.round(C.distance(q, t, c, F.lit(1.0)), 9).alias("distance"),
         )
     )
 

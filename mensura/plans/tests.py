@@ -80,9 +80,9 @@ def effect_size_matrix(spark, d):
     return rounded(reshape.wide_form(deltas, ["subtype"], "feature", ["discount", "quantity", "tax"], "delta"))
 
 
-_FLAGSHIP = f"""WITH {X.OBJECTS}, p AS (SELECT cell, condition, count(*) FILTER (WHERE subtype = 'A') / count(*) AS a, count(*) FILTER (WHERE subtype = 'N') / count(*) AS n,
+_FLAGSHIP = f"""WITH {X.OBJECTS}, sh AS (SELECT cell, condition, count(*) FILTER (WHERE subtype = 'A') / count(*) AS a, count(*) FILTER (WHERE subtype = 'N') / count(*) AS n,
     count(*) FILTER (WHERE subtype = 'R') / count(*) AS r FROM objects GROUP BY ALL),
-    l AS (SELECT cell, condition, ln(greatest(a, 1e-9)) AS a, ln(greatest(n, 1e-9)) AS n, ln(greatest(r, 1e-9)) AS r FROM p),
+    l AS (SELECT cell, condition, ln(greatest(a, 1e-9)) AS a, ln(greatest(n, 1e-9)) AS n, ln(greatest(r, 1e-9)) AS r FROM sh),
     src AS (SELECT 'A' AS subtype, condition, round(a - (a + n + r) / 3, 9) AS value FROM l UNION ALL SELECT 'N', condition, round(n - (a + n + r) / 3, 9) FROM l
     UNION ALL SELECT 'R', condition, round(r - (a + n + r) / 3, 9) FROM l)""" + _MW.format(by="subtype", src="src")
 
@@ -301,7 +301,7 @@ def merge_components(spark, d):
 
 @query(
     """WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
-    p AS (SELECT a.id, a.label, b.label AS other, sum(list_sum(list_transform(list_zip(a.v, b.v), z -> pow(z[1] - z[2], 2)))) AS s, count(*) AS n FROM e a JOIN e b ON true GROUP BY ALL),
+    p AS (SELECT a.id, a.label, b.label AS other, sum(list_sum(list_transform(list_zip(a.v, b.v), lambda z: pow(z[1] - z[2], 2)))) AS s, count(*) AS n FROM e a JOIN e b ON true GROUP BY ALL),
     ab AS (SELECT id, label, max(CASE WHEN label = other THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN label <> other THEN s / n END) AS b, max(CASE WHEN label = other THEN n END) AS n FROM p GROUP BY ALL)
     SELECT id, label AS given, round(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM ab"""
 )
