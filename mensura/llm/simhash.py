@@ -7,11 +7,11 @@ reaches the guaranteed number of shared positional bytes meets in at least one l
 is taken up only in the list of its first shared positions, so that its tally and its
 distance are worked out once.
 
-A list of up to ``short_list`` fingerprints is joined with itself.  In a longer one, which
-a crowd of near copies makes, each fingerprint is posted under every value at half the
-radius from it: two fingerprints within the radius share such a midpoint, and any two that
-share one are within the radius, so an edge from each to the least of its midpoint links
-the same components with rows in proportion to the list.
+A list of up to ``short_list`` fingerprints is joined with itself.  The fingerprints of
+longer ones, which a crowd of near copies makes, are instead posted under every value up
+to half the radius from them: two fingerprints within the radius share such a midpoint, and
+any two that share one are within the radius, so an edge from each to the least of its
+midpoint links the same components with rows in proportion to the crowd.
 """
 
 from __future__ import annotations
@@ -55,15 +55,15 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS, seed: int = SEED)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and the 64-bit ``fp`` of every row's whole text; a null text is empty."""
+    """``doc_id``, ``text_hash`` and the 64-bit ``fp`` of every row's whole text; a null text is empty."""
 
     def of_batches(batches):
         for batch in batches:
-            values = [fingerprint(str(t)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["doc_id", "fp"])
+            values = [fingerprint(str(t)) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("text"))
-    return docs.mapInArrow(of_batches, "doc_id long, fp long")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body(text_col)).alias("text_hash"), body(text_col).alias("text"))
+    return docs.mapInArrow(of_batches, "doc_id long, text_hash long, fp long")
 
 
 def _same_bytes(x: Column, y: Column) -> Column:
@@ -90,48 +90,44 @@ def links(nodes: DataFrame, radius: int = RADIUS, short_list: int = SHORT_LIST)
     index = spread.select("fp", F.posexplode(F.array(*map(F.lit, masks))).alias("list", "mask")).select(
         F.col("list").cast("short").alias("list"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
     )
-    lists = cut(
-        index.groupBy("list", "key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
-        .where("n > 1")
-    )
+    lists = cut(index.groupBy("list", "key").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1"))
+    # merged at every size: with growing data the lists outgrow a broadcast
+    posts = cut(index.join(lists.hint("merge"), ["list", "key"]))
 
     def near(pairs: DataFrame) -> DataFrame:
         tally = F.element_at(F.array(*map(F.lit, first)), _same_bytes(F.col("a"), F.col("b")) + 1)
         apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
         return pairs.where((tally == F.col("list")) & (apart <= radius)).select("a", "b")
 
-    twos = near(lists.where("n = 2").select("list", F.col("low").alias("a"), F.col("high").alias("b")))
-
-    short = cut(index.join(lists.where(f"n between 3 and {short_list}").select("list", "key"), ["list", "key"]))
-    some = near(
+    short = posts.where(f"n <= {short_list}").drop("n")
+    found = near(
         short.withColumnRenamed("fp", "a")
         .join(short.withColumnRenamed("fp", "b"), ["list", "key"])
         .where("a < b")
     )
 
-    long = lists.where(f"n > {short_list}").select("list", "key")
-    found = twos.unionByName(some)
-    if long.isEmpty():
+    crowd = cut(posts.where(f"n > {short_list}").select("fp").distinct())
+    if crowd.isEmpty():
         return found
-    steps = [
-        [
-            _signed(sum(1 << b for b in flips))
-            for size in range(radius // 2 + 1)
-            for flips in combinations([8 * p + b for p in range(8) if p not in c for b in range(8)], size)
-        ]
-        for c in chosen
-    ]
-    balls = spark.createDataFrame(list(enumerate(steps)), "list short, steps array<long>")  # one row for each choice
-    posted = (
-        cut(index.join(long, ["list", "key"]))
-        .join(F.broadcast(balls), "list")
-        .select("list", "fp", F.explode("steps").alias("step"))
-        .select("list", F.col("fp").bitwiseXOR(F.col("step")).alias("mid"), "fp")
+    steps = [_signed(sum(1 << b for b in flips)) for size in range(radius // 2 + 1) for flips in combinations(range(64), size)]
+    posted = crowd.repartition(shuffle_width(spark), "fp").select("fp", F.explode(F.array(*map(F.lit, steps))).alias("step"))
+    posted = posted.select("fp", F.col("fp").bitwiseXOR(F.col("step")).alias("mid"))
+    stars = cut(posted.groupBy("mid").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a")).where("n > 1").select("mid", "a"))
+    spokes = posted.join(stars.hint("merge"), "mid").where("a <> fp").select("a", F.col("fp").alias("b"))
+    return found.unionByName(spokes.distinct())
+
+
+def _classed(df: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """``doc_id``, ``text_hash`` and ``fp`` of every row, and in ``least`` id and hash of the least row of its class."""
+    prints = cut(fingerprints(df, id_col, text_col))
+    nodes = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")))
+    labels = connected_components(links(nodes, radius))
+    linked = nodes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select(
+        "fp", "least", F.coalesce("label", "fp").alias("label")
     )
-    stars = cut(posted.groupBy("list", "mid").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a")).where("n > 1"))
-    crowd = posted.join(stars.select("list", "mid", "a"), ["list", "mid"]).where("a <> fp").select("a", F.col("fp").alias("b"))
-    return found.unionByName(crowd.distinct())
+    named = linked.groupBy("label").agg(F.min("least").alias("least"))
+    classes = cut(linked.drop("least").join(named, "label").select("fp", "least"))
+    return prints.join(classes, "fp")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -144,37 +140,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     like any other.  Rows with null ids are classed and never name a class unless all ids
     of it are null.  Repeated rows come back as often as they are there.
     """
-    prints = cut(fingerprints(df, id_col, text_col))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    labels = connected_components(links(nodes, radius))
-    linked = nodes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select(
-        "fp", "least_id", F.coalesce("label", "fp").alias("label")
-    )
-    named = linked.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    classes = cut(linked.join(named, "label").select("fp", "component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return _classed(df, id_col, text_col, radius).select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """Rows of ``df`` with one document, that of the smallest id, of each near-duplicate class.
 
-    All columns stay.  Rows with a null id stay only if no row of their class has an id;
-    of rows that repeat the id that stays, one is kept.
+    All columns stay.  A row with a null id stays only if no row of its class has an id; of
+    rows that repeat id and text one stays.
     """
-    classed = near_duplicates(df, id_col, text_col, radius)
-    gone = cut(
-        classed.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"))
-    )
-    repeats = cut(
-        classed.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1")
-    )
-    rest = df.join(gone, df[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    classed = _classed(df, id_col, text_col, radius)
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    found = cut(classed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("_stays")))
+    gone = found.where("not _stays").distinct()
+    repeats = cut(found.where("_stays").groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+
+    def among(rows: DataFrame, kind: str, some: DataFrame) -> DataFrame:
+        return rows.join(some, rows[id_col].eqNullSafe(some["_id"]) & (F.xxhash64(body(rows[text_col])) == some["_hash"]), kind)
+
+    rest = among(df, "left_anti", gone)
     if repeats.isEmpty():
         return rest
-    again = rest[id_col].eqNullSafe(repeats["_id"])
-    return rest.join(repeats, again, "left_anti").unionByName(
-        rest.join(repeats, again, "left_semi").dropDuplicates([id_col])
-    )
+    once = among(rest, "left_semi", repeats).withColumn("_hash", F.xxhash64(body(text_col))).dropDuplicates([id_col, "_hash"])
+    return among(rest, "left_anti", repeats).unionByName(once.drop("_hash"))
