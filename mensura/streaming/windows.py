@@ -7,27 +7,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def marked(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with a watermark, which takes times of a zone, not wall clocks."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def tumbling(events: DataFrame, time: str, every: str, keys: list[str], value: str, late: str | None = None) -> DataFrame:
     """Number and sum of values in windows that follow each other; ``late`` sets the watermark of a stream."""
     return sliding(events, time, every, every, keys, value, late)
 
 
 def sliding(events: DataFrame, time: str, length: str, every: str, keys: list[str], value: str, late: str | None = None) -> DataFrame:
-    source = events.withWatermark(time, late) if late else events
+    source = marked(events, time, late) if late else events
     counted = source.groupBy(F.window(time, length, every), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     return counted.select(F.col("window.start").alias("window_start"), *keys, "n", "total")
 
 
 def sessions(events: DataFrame, time: str, gap: str, keys: list[str], value: str, late: str | None = None) -> DataFrame:
     """Number and sum of values in sessions that end after a gap."""
-    source = events.withWatermark(time, late) if late else events
+    source = marked(events, time, late) if late else events
     counted = source.groupBy(F.session_window(time, gap), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     return counted.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), *keys, "n", "total")
 
 
 def once_each(events: DataFrame, time: str, keys: list[str], late: str) -> DataFrame:
     """Events of a stream without repeats of a key that come within the watermark."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return marked(events, time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def running_spans(events: DataFrame, key: str, frame: str) -> DataFrame:
