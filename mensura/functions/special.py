@@ -102,6 +102,32 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(math.exp(p) for p in every if p <= seen + 1e-7))
 
 
+def normal_cdf(x: float) -> float:
+    return math.erfc(-x / math.sqrt(2)) / 2
+
+
+def studentised_range_tail(q: float, k: int, df: float) -> float:
+    """Tail of the range of ``k`` normal values over an independent deviation of ``df`` degrees."""
+    if q <= 0:
+        return 1.0
+
+    def range_cdf(w: float, steps: int = 200) -> float:
+        total, width = 0.0, 16.0 / steps
+        for i in range(steps):
+            z = -8 + (i + 0.5) * width
+            total += math.exp(-z * z / 2) * (normal_cdf(z) - normal_cdf(z - w)) ** (k - 1)
+        return min(1.0, k * total * width / math.sqrt(2 * math.pi))
+
+    # the deviation's distribution, about one, in its logarithm
+    spread, total, weight, steps = 8 / math.sqrt(2 * df), 0.0, 0.0, 64
+    for i in range(steps):
+        s = math.exp(-spread + (i + 0.5) * 2 * spread / steps)
+        density = math.exp(df * math.log(s) - df * s * s / 2 + df / 2)
+        total += density * range_cdf(q * s)
+        weight += density
+    return max(0.0, 1 - total / weight)
+
+
 def _elementwise(function):
     """A pandas function over result rows; null where an argument is."""
 
@@ -135,3 +161,8 @@ def normal_p(z: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return _elementwise(lambda *t: fisher_two_sided(*map(int, t)))(a, b, c, d)
+
+
+@F.pandas_udf(DoubleType())
+def range_p(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
+    return _elementwise(lambda q, k, df: studentised_range_tail(q, int(k), df))(q, k, df)

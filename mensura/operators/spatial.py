@@ -102,3 +102,57 @@ def hull_measures(points: DataFrame, by: str) -> DataFrame:
         return pd.DataFrame({by: [key[0]], "area": [area], "perimeter": [float(np.sqrt(((p - q) ** 2).sum(axis=1)).sum())], "diameter": [across]})
 
     return hull_corners(points, by).groupBy(by).applyInPandas(measured, f"{by} long, area double, perimeter double, diameter double")
+
+
+def enclosing_circle(points: np.ndarray) -> tuple[float, float, float]:
+    """Centre and radius of the least circle around points, from pairs and triples of hull corners."""
+    corners = hull(points)
+    if len(corners) == 1:
+        return float(corners[0, 0]), float(corners[0, 1]), 0.0
+
+    def of_two(p, q):
+        return (p[0] + q[0]) / 2, (p[1] + q[1]) / 2, float(np.hypot(*(p - q))) / 2
+
+    def of_three(p, q, r):
+        d = 2 * ((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
+        if not d:
+            return None
+        b, c = ((q - p) ** 2).sum(), ((r - p) ** 2).sum()
+        x, y = ((r[1] - p[1]) * b - (q[1] - p[1]) * c) / d, ((q[0] - p[0]) * c - (r[0] - p[0]) * b) / d
+        return x + p[0], y + p[1], float(np.hypot(x, y))
+
+    def outside(circle, p):
+        return np.hypot(p[0] - circle[0], p[1] - circle[1]) > circle[2] * (1 + 1e-12) + 1e-15
+
+    # a point outside the circle so far is on the edge of the next
+    circle = of_two(corners[0], corners[1])
+    for i in range(len(corners)):
+        if not outside(circle, corners[i]):
+            continue
+        circle = (*corners[i], 0.0)
+        for j in range(i):
+            if not outside(circle, corners[j]):
+                continue
+            circle = of_two(corners[i], corners[j])
+            for k in range(j):
+                if outside(circle, corners[k]):
+                    circle = of_three(corners[i], corners[j], corners[k]) or circle
+    return tuple(map(float, circle))
+
+
+def enclosing_circles(points: DataFrame, by: str) -> DataFrame:
+    """Least circle around each group's points."""
+
+    def circled(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, r = enclosing_circle(rows[["x", "y"]].to_numpy(float))
+        return pd.DataFrame({by: [key[0]], "cx": [x], "cy": [y], "radius": [r]})
+
+    return hull_corners(points, by).groupBy(by).applyInPandas(circled, f"{by} long, cx double, cy double, radius double")
+
+
+def orientation(offsets: DataFrame, by: str) -> DataFrame:
+    """Angle of each group's ellipse against the line from the origin to its centre, folded to a right angle, in degrees."""
+    ellipse = deviational_ellipse(offsets, by)
+    centre = offsets.groupBy(by).agg(F.atan2(F.avg("y"), F.avg("x")).alias("_to"))
+    turn = F.pmod(F.degrees(F.col("theta") - F.col("_to")), F.lit(180.0))
+    return ellipse.join(centre, by).select(by, F.when(turn > 90, 180 - turn).otherwise(turn).alias("angle"))

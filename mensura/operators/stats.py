@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from math import exp
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -284,3 +285,78 @@ def bootstrap_quantile(df: DataFrame, key: str, group: str, value: str, q: float
 def feature_table(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
     """Long form with missing values left out."""
     return long_form(df, ids, columns).where("value is not null")
+
+
+def tukey(long: DataFrame, group: str, by: list[str]) -> DataFrame:
+    """Tukey-Kramer range statistic and probability of every pair of groups, within ``by``."""
+    stats = moments(long, [*by, group]).where("n > 0")
+    pooled = stats.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("k"), (F.sum("n") - F.count(F.lit(1))).alias("df"), (F.sum(F.coalesce(F.col("var"), F.lit(0.0)) * (F.col("n") - 1)) / (F.sum("n") - F.count(F.lit(1)))).alias("ms")
+    )
+    one = stats.select(*by, F.col(group).alias("group1"), F.col("n").alias("n1"), F.col("mean").alias("m1"))
+    two = stats.select(*by, F.col(group).alias("group2"), F.col("n").alias("n2"), F.col("mean").alias("m2"))
+    pairs = one.join(two, by).where("group1 < group2").join(pooled, by)
+    q = ratio(F.abs(F.col("m1") - F.col("m2")), F.sqrt(F.col("ms") / 2 * (1 / F.col("n1") + 1 / F.col("n2"))))
+    return pairs.select(*by, "group1", "group2", "k", "df", q.alias("q")).withColumn("p", special.range_p("q", "k", "df"))
+
+
+def two_way_anova(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
+    """Two-way analysis of variance of type II: F of each factor and of their interaction.
+
+    Rows are summed by cell in Spark; the models are fitted to the cells, as many as the
+    factors have levels.
+    """
+    cells = df.dropna(subset=[a, b, value]).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var"))
+    rows = cells.orderBy(a, b).collect()
+    n, mean = np.array([r.n for r in rows], float), np.array([r.mean for r in rows])
+    within = float(sum(r.n * r.var for r in rows))
+    levels = [sorted({r[c] for r in rows}) for c in (a, b)]
+    dummies = [np.array([[float(r[c] == v) for v in lv[1:]] for r in rows]).reshape(len(rows), -1) for c, lv in zip((a, b), levels)]
+
+    def left(*parts: np.ndarray) -> tuple[float, int]:
+        """Sum of squares that a model leaves, and its parameters."""
+        x = np.hstack([np.ones((len(rows), 1)), *parts]) * np.sqrt(n)[:, None]
+        y = mean * np.sqrt(n)
+        fit, _, rank, _ = np.linalg.lstsq(x, y, rcond=None)
+        return within + float(((y - x @ fit) ** 2).sum()), int(rank)
+
+    both, only_a, only_b = left(*dummies), left(dummies[0]), left(dummies[1])
+    free = int(n.sum()) - len(rows)
+    out = []
+    for name, (rss, rank), (less, fewer) in ((a, both, only_b), (b, both, only_a), (f"{a}:{b}", (within, len(rows)), both)):
+        df1 = rank - fewer
+        f = (less - rss) / df1 / (within / free) if df1 and free and within else None
+        out.append((name, float(less - rss), df1, free, f))
+    found = df.sparkSession.createDataFrame(out, "factor string, squares double, df1 int, df2 int, f double")
+    return found.withColumn("p", special.f_p("f", "df1", "df2"))
+
+
+def line_and_condition(df: DataFrame, line: str, condition: str, value: str, how: str = "holm") -> DataFrame:
+    """Welch tests between conditions within each line and between lines within each condition, adjusted together."""
+    within = welch(df.select(line, condition, F.col(value).alias("value")), condition, [line]).withColumn("family", F.lit("within_line")).withColumnRenamed(line, "at")
+    between = welch(df.select(line, condition, F.col(value).alias("value")), line, [condition]).withColumn("family", F.lit("between_lines")).withColumnRenamed(condition, "at")
+    return adjusted(within.withColumn("at", F.col("at").cast("string")).unionByName(between.withColumn("at", F.col("at").cast("string"))), how=how)
+
+
+def binned_density(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
+    """Rows in each cell of a grid over the range of two columns."""
+    ends = df.agg(*[f(c).alias(f"{n}{c}") for c in (x, y) for n, f in (("lo_", F.min), ("hi_", F.max))])
+
+    def place(c: str) -> Column:
+        share = ratio(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}"))
+        return F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
+
+    return df.join(F.broadcast(ends)).groupBy(place(x).alias("bin_x"), place(y).alias("bin_y")).agg(F.count(F.lit(1)).alias("n"))  # one row
+
+
+def kernel_density(points: DataFrame, width: float, key: str = "id", reach: float = 4.0) -> DataFrame:
+    """Gaussian density at every point, from the points within so many widths."""
+    from mensura.operators.joins import within_radius
+
+    n = points.agg(F.count(F.lit(1)).alias("_n"))
+    pairs = within_radius(points, width * reach, key)
+    weight = F.exp(-F.col("distance") * F.col("distance") / (2 * width * width))
+    both = pairs.select(F.col("a").alias(key), weight.alias("w")).unionByName(pairs.select(F.col("b").alias(key), weight.alias("w")))
+    sums = both.groupBy(key).agg(F.sum("w").alias("w"))
+    scale = F.col("_n") * 2 * F.pi() * width * width
+    return points.select(key).join(sums, key, "left").join(F.broadcast(n)).select(key, ((F.coalesce("w", F.lit(0.0)) + 1) / scale).alias("density"))  # one row

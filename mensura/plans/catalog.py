@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mensura.plans import summaries, tables, tests
+from mensura.plans import more, summaries, tables, tests
 
-QUERIES = tables.QUERIES | summaries.QUERIES | tests.QUERIES
-SQL = tables.SQL | summaries.SQL | tests.SQL
+QUERIES = tables.QUERIES | summaries.QUERIES | tests.QUERIES | more.QUERIES
+SQL = tables.SQL | summaries.SQL | tests.SQL | more.SQL

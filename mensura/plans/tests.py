@@ -339,7 +339,7 @@ def rf_transfer(spark, d):
 
 @query()
 def gap_statistic(spark, d):
-    return rounded(cluster.gap_statistic(X.embedded(spark, d), 4, 3), 4)
+    return rounded(cluster.gap_statistic(X.embedded(spark, d), 3, 2), 4)
 
 
 @query()
@@ -417,6 +417,20 @@ def neighbour_steps(spark, d):
     return voxels.neighbour_steps(voxels.labelled(X.mask(spark, d), 64), 4)
 
 
+_BACK = (
+    X.MASK
+    + f""", d AS (SELECT DISTINCT image, y + dy AS y, x + dx AS x FROM mask, {_NEAR} WHERE y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 63),
+    back AS (SELECT image, y, x FROM (SELECT DISTINCT image FROM mask), (SELECT unnest(range(64)) AS y), (SELECT unnest(range(64)) AS x) EXCEPT SELECT image, y, x FROM d),
+    walk(image, y, x) AS (SELECT image, y, x FROM back WHERE y IN (0, 63) OR x IN (0, 63)
+      UNION SELECT b.image, b.y, b.x FROM walk w, (SELECT unnest([0, 0, 1, -1]) AS dy, unnest([1, -1, 0, 0]) AS dx) s, back b WHERE b.image = w.image AND b.y = w.y + dy AND b.x = w.x + dx)"""
+)
+
+
+@query(f"WITH RECURSIVE {_BACK} SELECT image, y, x FROM d UNION (SELECT image, y, x FROM back EXCEPT SELECT image, y, x FROM walk)")
+def filled_mask(spark, d):
+    return voxels.filled(voxels.dilated(X.mask(spark, d), 64, 64), 64, 64)
+
+
 @query()
 def mask_holes(spark, d):
     return voxels.holes(voxels.dilated(X.mask(spark, d), 64, 64), 64, 64)

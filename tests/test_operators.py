@@ -26,6 +26,34 @@ def test_beta_reflects_and_gamma_recurs(a, b, x):
     assert special.upper_gamma(a + 1, y) == pytest.approx(special.upper_gamma(a, y) + step, abs=1e-10)
 
 
+def test_studentised_range():
+    assert special.studentised_range_tail(3.877, 3, 10) == pytest.approx(0.05, abs=1e-3)
+    assert special.studentised_range_tail(2.2281388519 * math.sqrt(2), 2, 10) == pytest.approx(0.05, abs=1e-3)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(-9, 9), st.integers(-9, 9)), min_size=1, max_size=12))
+def test_enclosing_circle(points):
+    p = np.array(points, float)
+    x, y, r = spatial.enclosing_circle(p)
+    assert all(math.dist((x, y), q) <= r + 1e-7 for q in points)
+    # no smaller circle: one through two or three points that covers all
+    best = 0.0 if len(set(points)) == 1 else min(
+        c[2] for c in _circles(sorted(set(points))) if all(math.dist(c[:2], q) <= c[2] + 1e-7 for q in points)
+    )
+    assert r == pytest.approx(best, abs=1e-6)
+
+
+def _circles(points):
+    for a, b in itertools.combinations(points, 2):
+        yield (a[0] + b[0]) / 2, (a[1] + b[1]) / 2, math.dist(a, b) / 2
+    for a, b, c in itertools.combinations(points, 3):
+        m = 2 * np.array([[b[0] - a[0], b[1] - a[1]], [c[0] - a[0], c[1] - a[1]]], float)
+        if abs(np.linalg.det(m)) > 1e-9:
+            x, y = np.linalg.solve(m, [b[0] ** 2 + b[1] ** 2 - a[0] ** 2 - a[1] ** 2, c[0] ** 2 + c[1] ** 2 - a[0] ** 2 - a[1] ** 2])
+            yield x, y, math.dist((x, y), a)
+
+
 def test_known_tails():
     assert special.chi2_tail(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-10)
     assert special.chi2_tail(2 * 3.0, 2) == pytest.approx(math.exp(-3.0), abs=1e-12)
@@ -209,6 +237,19 @@ def test_ward_against_plain_merging():
         assert {frozenset(np.flatnonzero(found == k)) for k in set(found)} == {frozenset(g) for g in groups}
 
 
+def test_two_way_anova_of_a_balanced_table(spark):
+    rng = np.random.default_rng(0)
+    rows = [(f"a{i}", f"b{j}", float(i + 2 * j + rng.normal())) for i in range(3) for j in range(2) for _ in range(5)]
+    got = {r.factor: r for r in stats.two_way_anova(spark.createDataFrame(rows, "a string, b string, v double"), "a", "b", "v").collect()}
+    v = np.array([r[2] for r in rows]).reshape(3, 2, 5)
+    cells, grand = v.mean(axis=2), v.mean()
+    squares = {"a": 10 * ((v.mean(axis=(1, 2)) - grand) ** 2).sum(), "b": 15 * ((v.mean(axis=(0, 2)) - grand) ** 2).sum()}
+    squares["a:b"] = 5 * ((cells - grand) ** 2).sum() - squares["a"] - squares["b"]
+    error = ((v - cells[:, :, None]) ** 2).sum() / 24
+    for factor, df in (("a", 2), ("b", 1), ("a:b", 2)):
+        assert got[factor].squares == pytest.approx(squares[factor]) and got[factor].f == pytest.approx(squares[factor] / df / error)
+
+
 def test_hull_and_feret(spark):
     points = [(1, x, y) for x in range(5) for y in range(4)]
     r = spatial.hull_measures(spark.createDataFrame([(c, float(x), float(y)) for c, x, y in points], "cell long, x double, y double"), "cell").first()
