@@ -93,6 +93,40 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def _op6_sql() -> str:
+    """Phrases and all pairs of text and template blocks, by plain counting."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    blocks = ", ".join(
+        f"({number}, '{label}', [{', '.join(repr(w.decode()) for w in words)}])" for number, (label, words) in enumerate(licenses.template_blocks())
+    )
+    phrases = ", ".join(f"('{label}', [{', '.join(repr(w) for w in phrase.split())}])" for label, phrase in licenses.BASE_PHRASES)
+    return rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), phrases(label, phrase) AS (VALUES {phrases}),
+places AS (
+  SELECT row, label, unnest(range(len(words) - len(phrase) + 1)) AS place, words, phrase FROM texts, phrases
+), base AS (
+  SELECT row, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS labels
+  FROM places WHERE words[place + 1:place + len(phrase)] = phrase GROUP BY row
+), blocks AS (
+  SELECT row, words[32 * b + 1:32 * b + 64] AS block FROM (SELECT row, words, unnest(range((len(words) + 31) // 32)) AS b FROM texts)
+), templates(number, label, wanted) AS (VALUES {blocks}),
+matched AS (
+  SELECT row, list(DISTINCT label) AS labels, max(overlap / len(wanted)) AS score
+  FROM (SELECT row, label, wanted, len(list_intersect(block, wanted)) AS overlap FROM blocks, templates)
+  WHERE overlap >= ceil(0.8 * len(wanted) - 1e-9) GROUP BY row
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, matched.labels))), ','), '') AS labels,
+       coalesce(score, 0) AS score
+FROM texts LEFT JOIN base USING (row) LEFT JOIN matched USING (row)
+"""
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(read_table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
     decode = pieces.decoder(SENTENCEPIECE_MODEL)
@@ -116,13 +150,44 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
-    return chat.read_back(chat.format_conversations(rows.unionByName(planted), CHAT_TOKENIZER), CHAT_TOKENIZER)
+    return chat.read_back(chat.format_conversations(rows.unionByName(planted), CHAT_TOKENIZER), CHAT_TOKENIZER).drop("n_tokens")
+
+
+OP8_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), said AS (
+  SELECT *, length(regexp_replace(replace(role, '\', '\\'), '([<\[])(\||/?s>|/?INST\])', '\1#\2', 'g'))
+          + length(regexp_replace(replace(text, '\', '\\'), '([<\[])(\||/?s>|/?INST\])', '\1#\2', 'g')) AS chars
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars + length('<|turn|><|text|><|end|>')) AS BIGINT) AS formatted_chars
+FROM said GROUP BY conv_id
+"""
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(read_table(spark, sf_dir, "pages"))
 
 
+# The pages' articles hold headings and paragraphs only, and these character references.
+OP10_SQL = r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(?:p|h1)>') AS parts FROM pages
+), blocks AS (
+  SELECT page_id, url, list_filter(list_transform(parts, lambda p: trim(regexp_replace(
+    replace(replace(replace(replace(regexp_replace(p, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda p: p <> '') AS blocks
+  FROM articles
+)
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10))) AS n_chars FROM blocks
+"""
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_duplicates(read_table(spark, sf_dir, "documents"))
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -147,4 +212,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
         "op5_warc_revisits": OP5_SQL,
+        "op6_license_scan": _op6_sql(),
+        "op8_chat_format": OP8_SQL,
+        "op10_html_text": OP10_SQL,
     }

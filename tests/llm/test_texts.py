@@ -300,7 +300,7 @@ def test_licenses(spark):
     assert got[2].n_base == 0 and got[2].labels == "mit" and 0.8 <= got[2].score <= 1
     assert (got[3].n_base, got[3].first_word, got[3].last_word, got[3].base_labels) == (3, 2, 11, "apache-2,cc-by-nc")
     assert (got[4].labels, got[4].score, got[4].first_word) == ("", 0.0, None)
-    assert got[5].n_base == 1 and got[5].n_words == 7
+    assert got[5].n_base == 0 and got[5].n_words == 7 and got[5].labels == "mit"
     assert (got[6].n_words, got[6].n_base, got[6].labels) == (0, 0, "")
     assert got[7].labels == "gpl-3"
     assert got[8].n_base == 0
