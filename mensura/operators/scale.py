@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mensura.functions.columns import bounded, ratio
 from mensura.functions.lineage import cut
+from mensura.operators.running import running_sum
 
 
 def fit_scaler(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -56,7 +57,8 @@ def to_byte(df: DataFrame, value: str, out: str, how: str = "percentile", low: f
 def distribution(df: DataFrame, value: str) -> DataFrame:
     """Distinct values with the share of rows up to each."""
     counts = cut(df.groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
-    return counts.select("v", (F.sum("n").over(Window.orderBy("v")) / F.sum("n").over(Window.partitionBy())).alias("cdf"))
+    whole = counts.agg(F.sum("n").alias("_all"))
+    return running_sum(counts, [], "v", "n", "_below").join(F.broadcast(whole)).select("v", (F.col("_below") / F.col("_all")).alias("cdf"))  # one row
 
 
 def matched_to(df: DataFrame, value: str, reference: DataFrame, reference_value: str, out: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mensura.functions import special
 from mensura.functions.columns import ratio
 from mensura.operators.reshape import long_form
+from mensura.operators.running import running_sum
 
 
 def value_ranks(long: DataFrame, by: list[str], value: str = "value") -> DataFrame:
@@ -23,8 +24,7 @@ def value_ranks(long: DataFrame, by: list[str], value: str = "value") -> DataFra
     Values are counted before they are ordered, so that an order is over distinct values.
     """
     counts = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    below = F.sum("ties").over(Window.partitionBy(*by).orderBy(value))
-    return counts.withColumn("rank", below - (F.col("ties") - 1) / 2)
+    return running_sum(counts, by, value, "ties", "_below").withColumn("rank", F.col("_below") - (F.col("ties") - 1) / 2).drop("_below")
 
 
 def rank_sums(long: DataFrame, by: list[str], group: str, value: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -90,10 +90,9 @@ def cliffs_delta_pairs(long: DataFrame, group: str, feature: str = "feature") ->
     values = sided.groupBy(*by, "value").agg(
         F.sum(F.when(F.col(group) == F.col("group1"), F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col(group) == F.col("group2"), F.col("n")).otherwise(0)).alias("n2")
     )
-    below = F.sum("n2").over(Window.partitionBy(*by).orderBy("value"))
     # values of the second group below each value, less those above
-    won = F.col("n1") * (2 * below - F.col("n2"))
-    scored = values.withColumn("won", won)
+    won = F.col("n1") * (2 * F.col("_below") - F.col("n2"))
+    scored = running_sum(values, by, "value", "n2", "_below").withColumn("won", won)
     return scored.groupBy(*by).agg((F.sum("won") / (F.sum("n1") * F.sum("n2")) - 1).alias("delta"))
 
 
@@ -255,9 +254,8 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 def dispersion(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Population skewness, variation, median absolute deviation and Gini index by group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    below = F.sum("_n").over(Window.partitionBy(*by).orderBy("_v"))
     # equal values share the mean of their places
-    gini = counts.withColumn("_place", below - (F.col("_n") - 1) / 2).groupBy(*by).agg(
+    gini = running_sum(counts, by, "_v", "_n", "_below").withColumn("_place", F.col("_below") - (F.col("_n") - 1) / 2).groupBy(*by).agg(
         ratio(2 * F.sum(F.col("_place") * F.col("_n") * F.col("_v")), F.sum("_n") * F.sum(F.col("_n") * F.col("_v"))).alias("_g"), F.sum("_n").alias("_all")
     )
     basics = df.groupBy(*by).agg(F.skewness(value).alias("skew"), ratio(F.stddev_pop(value), F.avg(value)).alias("cv"), F.percentile(value, F.lit(0.5)).alias("_med"))

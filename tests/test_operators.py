@@ -288,3 +288,14 @@ def test_stream_equals_batch(spark, tmp_path):
     last = spans.groupBy("user_id").agg(F.max("n").alias("n"), F.min("first_frame").alias("a"), F.max("last_frame").alias("b"))
     want = frames.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("a"), F.max("day").alias("b"))
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_running_sum(spark, by):
+    from mensura.operators.running import running_sum
+
+    rng = random.Random(4)
+    rows = [(g if by else "x", float(v), rng.randrange(5)) for g, n in (("a", 300), ("b", 3), ("c", 1)) for v in rng.sample(range(1000 * "abc".index(g), 1000 * "abc".index(g) + 1000), n)]
+    got = {(r.g, r.v): r.s for r in running_sum(spark.createDataFrame(rows, "g string, v double, n long"), by, "v", "n", "s", 8).collect()}
+    for g, v, _ in rows:
+        assert got[(g, v)] == sum(n for h, w, n in rows if h == g and w <= v)
