@@ -17,6 +17,7 @@ turn bounds, where encoding is independent, so that none is ever held whole.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -62,6 +63,7 @@ def loss_mask(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
 
 def load_tokenizer(path: str):
     """A byte-level tokenizer of the ``tokenizers`` library with the template's marks."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer, processors
 
     tokenizer = Tokenizer.from_file(path)

@@ -9,7 +9,7 @@ every chunk follows, and each chunk is then segmented on its own.
 
 A space starts a piece unless another stands before it, for no piece of the model has a
 space after another character; so a matrix is an outer sum wherever a chunk has such a
-place, and words are segmented one by one and remembered.
+place.
 
 The scores are read from the model file.  A model of kind BPE stores merge ranks as
 scores; the segmentation here is the best by those scores, not the greedy merge order, so
@@ -18,6 +18,7 @@ its ids may differ from that library's for such a file, while decoding is exact.
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass
 
@@ -34,8 +35,8 @@ FALLBACK_COST = 10.0  # below the least score of a piece, for a character spelt
 BARRED = -1e8  # scores below bar a piece, as runs of spaces in some files, wherever others do
 _SPACE = "▁"
 _LITERAL = "\udc81"  # stands for U+2581 of the text itself, which goes in bytes; no text holds a lone surrogate
-_WORDS = re.compile(f"{_SPACE}+[^{_SPACE}\n\t]*|[^{_SPACE}\n\t]+|[\n\t]")
-_REMEMBERED = 200_000
+_ROWS_AT_ONCE = 128
+_CHARS_AT_ONCE = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -70,11 +71,48 @@ class Segmenter:
     """Best segmentation of prepared text by the scores of a vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.pieces, self.byte_ids = vocabulary.pieces, vocabulary.byte_ids
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, models
+
+        self.pieces = vocabulary.pieces
         self.longest = max(map(len, self.pieces), default=1)
         self.begun = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.spelt = min((s for _, s in self.pieces.values() if s > BARRED), default=0.0) - FALLBACK_COST
-        self.words: dict[str, tuple[float, list[int]]] = {}
+        # runs of characters that are pieces need no bytes: their best sum is found out of Python
+        single = "".join(re.escape(p) for p in self.pieces if len(p) == 1)
+        self.runs = re.compile(f"[{single}]+|[^{single}]", re.DOTALL).findall
+        self.single = {p for p in self.pieces if len(p) == 1}
+        self.best = Tokenizer(models.Unigram([(p, score) for p, (_, score) in self.pieces.items()], None, False)).encode_batch_fast
+        # by place: pieces, then first bytes of characters that are spelt, then their other bytes
+        self.ids = np.array([i for i, _ in self.pieces.values()] + 2 * vocabulary.byte_ids, np.int32)
+        self.scores = np.array([score for _, score in self.pieces.values()] + [self.spelt] * 256 + [0.0] * 256)
+
+    def segment(self, texts: list[str]) -> list[tuple[float, np.ndarray]]:
+        """Score and ids of each text; its ends are cuts."""
+        found, group, held = [], [], 0
+        for t in texts:  # few characters at once: the encoder holds many bytes for each piece
+            if group and held + len(t) > _CHARS_AT_ONCE:
+                found += self._segment(group)
+                group, held = [], 0
+            group.append(t)
+            held += len(t)
+        return found + self._segment(group)
+
+    def _segment(self, texts: list[str]) -> list[tuple[float, np.ndarray]]:
+        split = [self.runs(t) for t in texts]
+        made = iter(self.best([r for runs in split for r in runs if r[0] in self.single], add_special_tokens=False))
+        found, first = [], len(self.pieces)
+        for runs in split:
+            places: list[int] = []
+            for run in runs:
+                if run[0] in self.single:
+                    places += next(made).ids
+                else:
+                    spelt = (_SPACE if run == _LITERAL else run).encode("utf-8", "surrogatepass")
+                    places += [first + spelt[0], *(first + 256 + b for b in spelt[1:])]
+            at = np.array(places, np.int64)
+            found.append((float(self.scores[at].sum()), self.ids[at]))
+        return found
 
     def arcs(self, s: str, at: int, end: int):
         """Ends and scores of the pieces that start at a place, and end by ``end``."""
@@ -98,37 +136,12 @@ class Segmenter:
                         best[to - at], back[to - at] = best[p - at] + score, p
         return best, back
 
-    def word(self, s: str) -> tuple[float, list[int]]:
-        """Score and ids of a run of text that starts and ends between pieces."""
-        if found := self.words.get(s):
-            return found
-        best, back = self.forward(s, 0, len(s), len(s))
-        ids, end = [], len(s)
-        while end:
-            part = s[back[end] : end]
-            if part in self.pieces:
-                ids.append(self.pieces[part][0])
-            else:
-                spelt = _SPACE if part == _LITERAL else part
-                ids += [self.byte_ids[b] for b in reversed(spelt.encode("utf-8", "surrogatepass"))]
-            end = back[end]
-        found = best[-1], ids[::-1]
-        if len(s) <= 64:
-            if len(self.words) >= _REMEMBERED:
-                self.words.clear()
-            self.words[s] = found
-        return found
-
-    def encode(self, s: str) -> tuple[float, list[int]]:
-        score, ids = 0.0, []
-        for word in _WORDS.findall(s):
-            part, more = self.word(word)
-            score += part
-            ids += more
-        return score, ids
-
     def transfer(self, s: str, start: int, stop: int) -> np.ndarray:
-        """Matrix of the chunk of ``s`` from ``start`` to ``stop``; states go to the longest piece's length."""
+        """Matrix of the chunk of ``s`` from ``start`` to ``stop``; states go to the longest piece's length.
+
+        Between the first and the last place where any segmentation has a cut, all paths
+        gain the same: that sum is left out, as it moves no maximum.
+        """
         width, end = self.longest, min(stop + self.longest - 1, len(s))
         matrix = np.full((width, width), -np.inf)
         resets = [m.start() + 1 for m in re.finditer(f"[^{_SPACE}](?={_SPACE})", s[start + width - 1 : stop])]
@@ -145,7 +158,7 @@ class Segmenter:
         tail = np.full(width, -np.inf)
         reached = self.forward(s, last, stop, end)[0][stop - last :]
         tail[: len(reached)] = reached
-        return head[:, None] + self.encode(s[first:last])[0] + tail[None, :]
+        return head[:, None] + tail[None, :]
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -178,6 +191,13 @@ def _matrices(table: pa.Table, order: str, name: str) -> tuple[list[int], list[n
     return sorted(found), [np.array(found[o], float).reshape(side, side) for o in sorted(found)]
 
 
+def _slices(batches):
+    """Batches of few rows, so that ids are Python numbers for a few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS_AT_ONCE):
+            yield batch.slice(at, _ROWS_AT_ONCE)
+
+
 def encode(
     df: DataFrame,
     model_path: str,
@@ -201,8 +221,8 @@ def encode(
 
     def whole(batches):
         segmenter = Segmenter(shared.value)
-        for batch in batches:
-            made = [segmenter.encode(prepared(str(t))) for t in batch.column(1)]
+        for batch in _slices(batches):
+            made = segmenter.segment([prepared(str(t)) for t in batch.column(1)])
             size = len(made)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([0] * size, pa.int32()), pa.array([1] * size, pa.int32()), pa.array([s for s, _ in made], pa.float64()), pa.array([i for _, i in made], pa.list_(pa.int32()))],
@@ -287,8 +307,8 @@ def encode(
 
     def segmented(batches):
         segmenter = Segmenter(shared.value)
-        for batch in batches:
-            made = [segmenter.encode(p.as_py().decode("utf-8", "surrogatepass")) for p in batch.column(3)]
+        for batch in _slices(batches):
+            made = segmenter.segment([p.as_py().decode("utf-8", "surrogatepass") for p in batch.column(3)])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array([s for s, _ in made], pa.float64()), pa.array([i for _, i in made], pa.list_(pa.int32()))],
                 ["doc_id", "chunk", "n_chunks", "score", "ids"],
@@ -309,10 +329,20 @@ def decoder(model_path: str):
     vocabulary = load_vocabulary(model_path)
     spelt = {i: p.replace(_SPACE, " ").encode() for p, (i, _) in vocabulary.pieces.items()}
     spelt |= {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
+    parts = [spelt.get(i, b"") for i in range(max(spelt) + 1)]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.array([len(p) for p in parts], np.int64)
+    starts = np.cumsum(sizes) - sizes
+
+    def decoded(ids: np.ndarray, first: bool) -> bytes:
+        """Bytes of the pieces, one after the other, without the space before a text."""
+        lengths = sizes[ids]
+        at = np.repeat(starts[ids] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        return data[at][int(first) :].tobytes()
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array, chunk: pa.Array) -> pa.Array:
-        texts = [b"".join(map(spelt.__getitem__, i)) for i in ids.to_pylist()]
-        return pa.array([(t[1:] if c == 0 else t).decode() for t, c in zip(texts, chunk.to_pylist())], pa.string())
+        texts = [decoded(i.values.to_numpy(), c == 0).decode() for i, c in zip(ids, chunk.to_pylist())]
+        return pa.array(texts, pa.string())
 
     return decode

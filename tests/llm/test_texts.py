@@ -324,6 +324,14 @@ def test_license_join_finds_every_pair(spark):
         assert got[k] == ",".join(sorted(want))
 
 
+def test_segment_is_the_best_sum():
+    segmenter = pieces.Segmenter(pieces.load_vocabulary(MODEL))
+    rng = random.Random(12)
+    texts = [pieces.prepared("".join(rng.choice("abcde fgh,.\n▁é漢") for _ in range(rng.randrange(60)))) for _ in range(80)]
+    for text, (score, ids) in zip(texts, segmenter.segment(texts)):
+        assert score == brute_score(segmenter, text) and len(ids)
+
+
 def brute_score(segmenter, s):
     best, _ = segmenter.forward(s, 0, len(s), len(s))
     return best[-1]
