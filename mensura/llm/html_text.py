@@ -4,13 +4,13 @@ Pages of a host are aligned by simple tree matching.  A page's DOM is first redu
 outline, in which siblings of one kind count once.  The host's most frequent outline is
 its exemplar; every outline of the host is matched with it, and what stands at each of its
 nodes is combined over the pages: a node with one text everywhere is template, one whose
-text varies is a slot.  The wrapper names the node that holds the content: the article or
-main element if there is one, else the smallest node that holds most of the slots' text
+text varies is a slot.  The wrapper names the nodes that hold the content: the outermost
+article and main elements if there are any, else the smallest node that holds all slots
 outside menus, headers and the like.
 
-A page's text is what stands under the nodes matched with that node, without the parts
-that are never content.  A page in which nothing matches names its own node by the same
-rule.
+A page's text is what stands under the nodes matched with those, without the parts that
+are never content and, where no article or main is named, without template parts that no
+slot stands beside.  A page in which nothing matches names its own nodes by the same rule.
 
 Only outlines, counts and digests are combined by host, in sums, minima and maxima that
 Spark merges before the shuffle; an outline's alignment is worked out once a task.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from mensura.llm.common import body, cut
 
 BROADCAST_BYTES = 8 << 20
-CONTENT_SHARE = 0.6
+NEVER_MARK = "-"  # in the kind of an element that is never content
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -98,7 +98,8 @@ def _element(tag: str, attributes: str) -> Node:
             skip |= name.lower() == "hidden" or (name.lower() == "aria-hidden" and words == ["true"])
     among = COMMENTS if tag in CONTENT else BOILERPLATE
     boilerplate = not among.isdisjoint(marks) and tag not in ("html", "body")
-    return Node(tag, ".".join([tag, *sorted(set(marks))]), skip or boilerplate)
+    skip |= boilerplate
+    return Node(tag, ".".join([tag, *[NEVER_MARK] * skip, *sorted(set(marks))]), skip)
 
 
 def parse(page: str) -> Node:
@@ -142,8 +143,8 @@ def parse(page: str) -> Node:
     return root
 
 
-def text_blocks(nodes: list[Node]) -> list[str]:
-    """Texts of the blocks under nodes, in order, without what is never content."""
+def text_blocks(nodes: list[Node], omitted: frozenset[int] = frozenset()) -> list[str]:
+    """Texts of the blocks under nodes, in order, without what is never content and nodes whose ``id()`` is omitted."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -160,7 +161,7 @@ def text_blocks(nodes: list[Node]) -> list[str]:
             close()
         elif isinstance(item, str):
             line.append(item)
-        elif not item.skip:
+        elif not item.skip and id(item) not in omitted:
             if item.tag == "br":
                 line.append(" ")
                 continue
@@ -259,32 +260,101 @@ def slots(root: Node) -> list[tuple[str, int, int]]:
     return [(p, crc32(t.encode("utf-8", "surrogatepass")), len(t)) for p, t in merged.items() if t]
 
 
-def content_path(exemplar: Outline, varying: dict[str, int]) -> str:
-    """Path of the node that holds the content, given the length of varying text by path; empty if there is none."""
-    every = paths(exemplar)
-    tags = {p: p.rsplit("/", 1)[1].partition(".") for p in every}
-    for name in ("article", "main"):
-        named = [p for p in every if tags[p][0] == name or (name == "main" and "main" in tags[p][2].split("."))]
-        if named:
-            return min(named, key=lambda p: p.count("/"))
-    total = sum(varying.values())
-    if not total:
-        return ""
-    inside = {p: sum(n for q, n in varying.items() if q == p or q.startswith(f"{p}/")) for p in every}
-    return max((p for p in every if inside[p] >= CONTENT_SHARE * total and tags[p][0] not in PARTS), key=lambda p: (p.count("/"), inside[p]), default="")
+def _tag(path: str) -> str:
+    return path.rsplit("/", 1)[1].partition(".")[0]
 
 
-def page_text(page: str, exemplar: str | None, path: str | None) -> str:
-    """Main text of a page by the wrapper of its host, or by itself where that doesn't match."""
+def _within(path: str, above: str) -> bool:
+    return path == above or path.startswith(f"{above}/")
+
+
+def _skipped(path: str) -> bool:
+    return any(kind.split(".")[1:2] == [NEVER_MARK] for kind in path.split("/"))
+
+
+def _lifted(path: str) -> str:
+    """Path of the next element about a node, or of itself, that may be all the content."""
+    while _tag(path) in PARTS:
+        path = path.rsplit("/", 1)[0]
+    return path
+
+
+def _outermost(found: list[str]) -> list[str]:
+    return [p for p in found if not any(p != q and _within(p, q) for q in found)]
+
+
+def named_paths(tree: Outline) -> list[str]:
+    """Paths of the outermost article and main elements that aren't in a part that is never content."""
+
+    def named(path: str) -> bool:
+        return _tag(path) in CONTENT or "main" in path.rsplit("/", 1)[1].split(".")[1:]
+
+    return _outermost([p for p in paths(tree) if named(p) and not _skipped(p)])
+
+
+def content_paths(exemplar: Outline, varying: dict[str, int], template: frozenset[str] = frozenset()) -> tuple[list[str], list[str]]:
+    """Paths of the nodes that hold the content, and of those below that are template.
+
+    Given are the length of varying text by path, and the paths whose text is the same on
+    most pages.  A template node goes only as a whole element (no heading or paragraph) in
+    which nothing varies, and outside the elements that hold varying text themselves.
+    """
+    if named := named_paths(exemplar):
+        return named, []
+    full = [p for p, n in varying.items() if n and not _skipped(p)]
+    if not full:
+        return [], []
+    steps = [p.split("/") for p in full]
+    shared = next((i for i, kinds in enumerate(zip(*steps)) if len(set(kinds)) > 1), min(map(len, steps)))
+    above = _lifted("/".join(steps[0][:shared]))
+    holders = set(map(_lifted, full))
+    fixed = [
+        p
+        for p in paths(exemplar)
+        if _within(p, above)
+        and _tag(p) not in PARTS
+        and any(_within(q, p) for q in template)
+        and not any(_within(q, p) for q in varying if q not in template)
+        and not any(_within(p, h) for h in holders)
+    ]
+    return [above], _outermost(fixed)
+
+
+def _nodes_at(root: Node, found: list[str]) -> list[Node]:
+    """Nodes at any of some paths, in the order of the page."""
+    if len(found) < 2:
+        return at_path(root, found[0]) if found else []
+    wanted, nodes, todo = {id(n) for p in found for n in at_path(root, p)}, [], [root]
+    while todo:
+        node = todo.pop()
+        if id(node) in wanted:
+            nodes.append(node)
+        else:
+            todo.extend(reversed(node.blocks()))
+    return nodes
+
+
+def page_text(page: str, exemplar: str | None, path: str | None, template: str | None = None) -> str:
+    """Main text of a page by the wrapper of its host, or by itself where that doesn't match.
+
+    ``path`` and ``template`` are paths in the exemplar, divided by spaces.
+    """
     root = parse(page)
-    nodes: list[Node] = []
     own = outline([root])
-    if exemplar and path:
-        nodes = [n for p, q in alignment(encoded(own), exemplar).items() if q == path and p.rsplit("/", 1)[1].partition(".")[0] == path.rsplit("/", 1)[1].partition(".")[0] for n in at_path(root, p)]
-    if not text_blocks(nodes):
-        path = content_path(own, {p: n for p, _, n in slots(root)})
-        nodes = at_path(root, path) if path else []
-    return "\n".join(text_blocks(nodes))
+    found, omitted = named_paths(own), frozenset()
+    wanted = (path or "").split()
+    # articles and main elements tell of themselves, also those that the exemplar lacks
+    if exemplar and wanted and not (found and any(_tag(q) in CONTENT or "main" in q.rsplit("/", 1)[1].split(".") for q in wanted)):
+        pairs, fixed = alignment(encoded(own), exemplar), set((template or "").split())
+        matched = _outermost([p for p, q in pairs.items() if q in wanted and _tag(p) == _tag(q) and not _skipped(p)])
+        if matched:
+            found = matched
+            omitted = frozenset(id(n) for p, q in pairs.items() if q in fixed for n in at_path(root, p))
+    blocks = text_blocks(_nodes_at(root, found), omitted)
+    if not blocks:
+        found, _ = content_paths(own, {p: n for p, _, n in slots(root)})
+        blocks = text_blocks(_nodes_at(root, found))
+    return "\n".join(blocks)
 
 
 def host_of(url: Column) -> Column:
@@ -293,7 +363,7 @@ def host_of(url: Column) -> Column:
 
 
 def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Exemplar outline and content path of every host: ``host``, ``exemplar``, ``path``."""
+    """Exemplar outline of every host and in it the paths of content and template: ``host``, ``exemplar``, ``path``, ``template``."""
     source = pages.select(host_of(F.col(url_col)).alias("host"), body(html_col).alias("html"))
 
     def outlined(batches):
@@ -316,7 +386,8 @@ def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "htm
         .agg(F.count(F.lit(1)).alias("n"), F.min("s.digest").alias("least"), F.max("s.digest").alias("most"), F.sum("s.length").alias("length"))
     )
     outlines = seen.groupBy("host", "outline").agg(F.max("n").alias("n"))
-    exemplars = outlines.groupBy("host").agg(F.max(F.struct("n", "outline")).alias("best")).select("host", F.col("best.outline").alias("exemplar"))
+    exemplars = outlines.groupBy("host").agg(F.max(F.struct("n", "outline")).alias("best"), F.sum("n").alias("pages"))
+    exemplars = exemplars.select("host", F.col("best.outline").alias("exemplar"), "pages")
 
     @F.udf("string")
     def place(path, page, exemplar):
@@ -325,20 +396,23 @@ def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     aligned = (
         seen.join(exemplars, "host")
         .withColumn("place", place("path", "outline", "exemplar"))
-        .groupBy("host", "exemplar", "place")
+        .groupBy("host", "exemplar", "pages", "place")
         .agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("length").alias("length"))
     )
     # a text seen once may vary: only what several pages share is template
     varies = F.when((F.col("least") != F.col("most")) | (F.col("n") == 1), F.col("length")).otherwise(0)
+    # what a few copies of a page share is no template of the host
+    fixed = (varies == 0) & (2 * F.col("n") >= F.col("pages"))
     by_host = aligned.groupBy("host", "exemplar").agg(
-        F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", varies.alias("length")))).alias("nodes")  # a row for each exemplar node
+        F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", varies.alias("length"), fixed.alias("fixed")))).alias("nodes")  # a row for each exemplar node
     )
 
-    @F.udf("string")
+    @F.udf("path string, template string")
     def chosen(exemplar, nodes):
-        return content_path(decoded(exemplar), {n["place"]: n["length"] for n in nodes})
+        found = content_paths(decoded(exemplar), {n["place"]: n["length"] for n in nodes}, frozenset(n["place"] for n in nodes if n["fixed"]))
+        return tuple(" ".join(p) for p in found)
 
-    return by_host.select("host", "exemplar", chosen("exemplar", "nodes").alias("path"))
+    return by_host.select("host", "exemplar", chosen("exemplar", "nodes").alias("found")).select("host", "exemplar", "found.path", "found.template")
 
 
 def extract_text(
@@ -354,7 +428,7 @@ def extract_text(
     host beyond that.
     """
     wrappers = cut(induce_wrappers(pages, url_col, html_col))
-    size = wrappers.agg(F.sum(F.length("host") + F.length("exemplar") + F.length("path"))).first()[0] or 0
+    size = wrappers.agg(F.sum(F.length("host") + F.length("exemplar") + F.length("path") + F.length("template"))).first()[0] or 0
 
     source = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body(html_col).alias("html"), host_of(F.col(url_col)).alias("host")
@@ -363,9 +437,9 @@ def extract_text(
 
     def extracted(batches):
         for batch in batches:
-            texts = [page_text(str(h), e.as_py(), p.as_py()) for h, e, p in zip(*batch.columns[2:])]
+            texts = [page_text(str(h), *(w.as_py() for w in wrapper)) for h, *wrapper in zip(*batch.columns[2:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-    return joined.select("page_id", "url", "html", "exemplar", "path").mapInArrow(extracted, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "exemplar", "path", "template").mapInArrow(extracted, "page_id long, url string, text string, n_chars long")

@@ -128,3 +128,32 @@ def test_deep_and_broken_pages():
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     assert html_text.page_text(f"<article>{deep}<p>y</article>", None, None) == "x\ny"
     assert html_text.page_text("<article><p title='a>b'>one</b></i><p>two<script>", None, None) == "one\ntwo"
+
+
+def texts_of_host(spark, pages):
+    rows = [(k, f"http://h.example/{k}", html, "x", 0) for k, html in enumerate(pages)]
+    return [r.text for r in sorted(html_text.extract_text(spark.createDataFrame(rows, PAGES)).collect(), key=lambda r: r.page_id)]
+
+
+def test_content_in_sibling_containers(spark):
+    top = '<div class="top">My site</div>'
+    pages = [f'<body>{top}<div class="wide"><div class="intro"><p>Intro {k} {"a" * 30}</p></div><h2>More</h2><div class="text"><p>Text {k} {"b" * 70}</p></div></div></body>' for k in range(5)]
+    assert texts_of_host(spark, pages) == [f'Intro {k} {"a" * 30}\nMore\nText {k} {"b" * 70}' for k in range(5)]
+    # without a common container the template beside them goes
+    pages = [f'<body>{top}<div class="intro"><p>Intro {k}</p></div><div class="text"><p>Text {k} long</p></div></body>' for k in range(5)]
+    assert texts_of_host(spark, pages) == [f"Intro {k}\nText {k} long" for k in range(5)]
+
+
+def test_every_article_outside_skipped_parts():
+    def text(page):
+        return html_text.page_text(page, None, None)
+
+    assert text('<article class="a">one</article><article class="b">two</article><article class="a">three</article>') == "one\ntwo\nthree"
+    assert text("<main><h1>Title</h1><article>text</article></main>") == "Title\ntext"
+    assert text("<main>text</main><aside><article>teaser</article></aside>") == "text"
+    assert text("<div><p>text</p></div><nav><article>teaser</article></nav>") == "text"
+
+
+def test_articles_that_the_exemplar_lacks(spark):
+    pages = [f'<article class="a">one {k}</article>' for k in range(4)] + ['<article class="a">one</article><article class="b">two</article>']
+    assert texts_of_host(spark, pages)[4] == "one\ntwo"
