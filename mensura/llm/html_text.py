@@ -12,6 +12,9 @@ A page's text is what stands under the nodes matched with those, without the par
 are never content and, where no article or main is named, without template parts that no
 slot stands beside.  A page in which nothing matches names its own nodes by the same rule.
 
+Some marks (a class ``related``, a header) tell of menus and the like only perhaps.  Such
+elements name no content; within it they go if their text is the same over the host.
+
 Only outlines, counts and digests are combined by host, in sums, minima and maxima that
 Spark merges before the shuffle; an outline's alignment is worked out once a task.
 """
@@ -31,6 +34,7 @@ from mensura.llm.common import body, cut
 
 BROADCAST_BYTES = 8 << 20
 NEVER_MARK = "-"  # in the kind of an element that is never content
+PERHAPS_MARK = "!"  # in that of one that is none outside the content and, within, by its host's alignment
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,17 +43,25 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 NEVER = frozenset(
-    "head script style noscript template iframe object svg canvas nav header footer aside form button select option textarea input menu dialog title".split()
+    "head script style noscript template iframe object svg canvas nav footer aside form button select option textarea input menu dialog title".split()
 )
 CONTENT = frozenset(("article", "main"))
-COMMENTS = frozenset(("comment", "comments"))
+PERHAPS = frozenset(("header",))
+COMMENTS = frozenset("comment comments comment-list comments-area comments-section".split())
+TEXT_SECTIONS = frozenset(("article", "main", "section"))  # of the marks only those of comments hold
+UNMARKED = frozenset("html body h1 h2 h3 h4 h5 h6".split())
 PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre blockquote figcaption caption summary".split())  # never all the content
 MAX_DEPTH = 256  # deeper elements become siblings, as in browsers
-# Words in class, id and role that mark what is not content.
-BOILERPLATE = frozenset(
-    "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer form header "
-    "legal masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related search share sharing sidebar signup skip social "
-    "sponsor sponsored subscribe toolbar widget".split()
+# Whole words of class and role that mark what is not content; as an id they do so perhaps.
+BOILERPLATE = COMMENTS | frozenset(
+    "ad ads adv advert advertisement breadcrumb breadcrumbs disqus footer masthead nav navbar navigation newsletter pagination sidebar sponsored "
+    "ad-banner ad-container ad-slot ad-unit cookie-banner cookie-consent cookie-notice main-menu main-nav nav-menu newsletter-signup related-articles "
+    "related-posts search-form share-buttons site-footer site-header site-nav skip-link skip-links social-links social-share".split()
+)
+# Words of class and role that may mark it, or name what a text is about.
+AMBIGUOUS = frozenset(
+    "advertising banner consent cookie cookies copyright form header legal menu modal notice notices popup promo related search share sharing signup "
+    "skip social sponsor subscribe toolbar widget".split()
 )
 CLOSED_BY = {
     "p": frozenset(
@@ -90,16 +102,20 @@ class Node:
 
 def _element(tag: str, attributes: str) -> Node:
     """An element whose kind has its class, id and role words in order, less digits."""
-    skip, marks = tag in NEVER, []
+    skip, perhaps, marks = tag in NEVER, tag in PERHAPS, []
     if attributes:
         for name, value in _ATTRIBUTE.findall(attributes):
-            words = _NAME.findall(value.lower())
+            name, value = name.lower(), value.lower().strip("\"'")
+            words, whole = _NAME.findall(value), value.replace("_", "-").split()
             marks += words
-            skip |= name.lower() == "hidden" or (name.lower() == "aria-hidden" and words == ["true"])
-    among = COMMENTS if tag in CONTENT else BOILERPLATE
-    boilerplate = not among.isdisjoint(marks) and tag not in ("html", "body")
-    skip |= boilerplate
-    return Node(tag, ".".join([tag, *[NEVER_MARK] * skip, *sorted(set(marks))]), skip)
+            skip |= name == "hidden" or (name == "aria-hidden" and words == ["true"])
+            if tag in UNMARKED or name not in ("class", "role", "id"):
+                continue
+            never = not (COMMENTS if tag in TEXT_SECTIONS else BOILERPLATE).isdisjoint(whole)
+            skip |= never and name != "id"
+            perhaps |= tag not in TEXT_SECTIONS and (never or (name != "id" and not AMBIGUOUS.isdisjoint(whole)))
+    mark = [NEVER_MARK] if skip else [PERHAPS_MARK] * perhaps
+    return Node(tag, ".".join([tag, *mark, *sorted(set(marks))]), skip)
 
 
 def parse(page: str) -> Node:
@@ -268,8 +284,12 @@ def _within(path: str, above: str) -> bool:
     return path == above or path.startswith(f"{above}/")
 
 
+def _marked(path: str, mark: str) -> bool:
+    return any(kind.split(".")[1:2] == [mark] for kind in path.split("/"))
+
+
 def _skipped(path: str) -> bool:
-    return any(kind.split(".")[1:2] == [NEVER_MARK] for kind in path.split("/"))
+    return _marked(path, NEVER_MARK)
 
 
 def _lifted(path: str) -> str:
@@ -289,7 +309,8 @@ def named_paths(tree: Outline) -> list[str]:
     def named(path: str) -> bool:
         return _tag(path) in CONTENT or "main" in path.rsplit("/", 1)[1].split(".")[1:]
 
-    return _outermost([p for p in paths(tree) if named(p) and not _skipped(p)])
+    found = [p for p in paths(tree) if named(p) and not _skipped(p)]
+    return _outermost([p for p in found if not _marked(p.rsplit("/", 1)[0], PERHAPS_MARK)] or found)
 
 
 def content_paths(exemplar: Outline, varying: dict[str, int], template: frozenset[str] = frozenset()) -> tuple[list[str], list[str]]:
@@ -297,27 +318,34 @@ def content_paths(exemplar: Outline, varying: dict[str, int], template: frozense
 
     Given are the length of varying text by path, and the paths whose text is the same on
     most pages.  A template node goes only as a whole element (no heading or paragraph) in
-    which nothing varies, and outside the elements that hold varying text themselves.
+    which nothing varies, and outside the elements that hold varying text themselves;
+    within those, and within articles and main elements, only if it is marked as perhaps
+    no content.
     """
-    if named := named_paths(exemplar):
-        return named, []
     full = [p for p, n in varying.items() if n and not _skipped(p)]
+    found, holders = named_paths(exemplar), None
     if not full:
-        return [], []
-    steps = [p.split("/") for p in full]
-    shared = next((i for i, kinds in enumerate(zip(*steps)) if len(set(kinds)) > 1), min(map(len, steps)))
-    above = _lifted("/".join(steps[0][:shared]))
-    holders = set(map(_lifted, full))
-    fixed = [
-        p
-        for p in paths(exemplar)
-        if _within(p, above)
-        and _tag(p) not in PARTS
-        and any(_within(q, p) for q in template)
-        and not any(_within(q, p) for q in varying if q not in template)
-        and not any(_within(p, h) for h in holders)
-    ]
-    return [above], _outermost(fixed)
+        return found, []
+    if not found:
+        full = [p for p in full if not _marked(p, PERHAPS_MARK)] or full
+        steps = [p.split("/") for p in full]
+        shared = next((i for i, kinds in enumerate(zip(*steps)) if len(set(kinds)) > 1), min(map(len, steps)))
+        found = [_lifted("/".join(steps[0][:shared]))]
+        holders = set(map(_lifted, full))
+
+    def fixed(path: str) -> bool:
+        perhaps = path.rsplit("/", 1)[1].split(".")[1:2] == [PERHAPS_MARK]
+        beside = holders is not None and _tag(path) not in PARTS and not any(_within(path, h) for h in holders)
+        return (perhaps or beside) and any(_within(q, path) for q in template) and not any(_within(q, path) for q in varying if q not in template)
+
+    return found, _outermost([p for p in paths(exemplar) if any(p != above and _within(p, above) for above in found) and fixed(p)])
+
+
+def _beside(found: list[str], own: Outline) -> list[str]:
+    """Where a page's body itself is the content, paths of its elements that perhaps are none."""
+    if not any(_tag(p) in ("#root", "html", "body") for p in found):
+        return []
+    return [p for p in paths(own) if p.rsplit("/", 1)[1].split(".")[1:2] == [PERHAPS_MARK] and not any(k.partition(".")[0] in TEXT_SECTIONS for k in p.split("/"))]
 
 
 def _nodes_at(root: Node, found: list[str]) -> list[Node]:
@@ -341,19 +369,26 @@ def page_text(page: str, exemplar: str | None, path: str | None, template: str |
     """
     root = parse(page)
     own = outline([root])
-    found, omitted = named_paths(own), frozenset()
-    wanted = (path or "").split()
+    found, wanted, fixed = named_paths(own), (path or "").split(), set((template or "").split())
     # articles and main elements tell of themselves, also those that the exemplar lacks
-    if exemplar and wanted and not (found and any(_tag(q) in CONTENT or "main" in q.rsplit("/", 1)[1].split(".") for q in wanted)):
-        pairs, fixed = alignment(encoded(own), exemplar), set((template or "").split())
-        matched = _outermost([p for p, q in pairs.items() if q in wanted and _tag(p) == _tag(q) and not _skipped(p)])
-        if matched:
-            found = matched
-            omitted = frozenset(id(n) for p, q in pairs.items() if q in fixed for n in at_path(root, p))
-    blocks = text_blocks(_nodes_at(root, found), omitted)
+    named = found and any(_tag(q) in CONTENT or "main" in q.rsplit("/", 1)[1].split(".") for q in wanted)
+    gone: list[str] = []
+    if exemplar and wanted and (fixed or not named):
+        pairs = alignment(encoded(own), exemplar)
+        if not named:
+            found = _outermost([p for p, q in pairs.items() if q in wanted and _tag(p) == _tag(q) and not _skipped(p)]) or found
+        if fixed:
+            alone = [p for p in paths(own) if p not in pairs]  # of which the host's template doesn't tell
+            gone = [p for p, q in pairs.items() if q in fixed and not any(_within(x, p) for x in alone)]
+
+    def blocks_of(found: list[str], gone: list[str]) -> list[str]:
+        nodes = _nodes_at(root, found)
+        omitted = frozenset(id(n) for p in [*gone, *_beside(found, own)] for n in at_path(root, p))
+        return text_blocks(nodes, omitted) or (text_blocks(nodes) if omitted else [])
+
+    blocks = blocks_of(found, gone)
     if not blocks:
-        found, _ = content_paths(own, {p: n for p, _, n in slots(root)})
-        blocks = text_blocks(_nodes_at(root, found))
+        blocks = blocks_of(content_paths(own, {p: n for p, _, n in slots(root)})[0], [])
     return "\n".join(blocks)
 
 

@@ -157,3 +157,21 @@ def test_every_article_outside_skipped_parts():
 def test_articles_that_the_exemplar_lacks(spark):
     pages = [f'<article class="a">one {k}</article>' for k in range(4)] + ['<article class="a">one</article><article class="b">two</article>']
     assert texts_of_host(spark, pages)[4] == "one\ntwo"
+
+
+def test_words_of_headings_and_sections_are_no_marks():
+    page = """<article><header><h1>Title</h1></header><section id="legal-framework"><h2 id="search-methods" class="search">Methods</h2><p>one</section>
+<div class="related-work">two</div><div class="section-header">three</div><div id="form">four</div><div class="legal">five</div>
+<div class="ad">buy</div><div class="comments">reader</div><section class="comments">more</section></article>"""
+    assert html_text.page_text(page, None, None) == "Title\nMethods\none\ntwo\nthree\nfour\nfive"
+    # outside articles the same words tell
+    assert html_text.page_text('<header>Site</header><p>text</p><div class="related">links</div>', None, None) == "text"
+
+
+def test_perhaps_marked_parts_by_alignment(spark):
+    pages = [f'<article><header>My site</header><div class="banner">Read us</div><div class="legal">Case {k}</div><p>text {k}</p></article>' for k in range(4)]
+    pages.append('<article><header>My site<p>Own words</p></header><p>text 4</p></article>')
+    assert texts_of_host(spark, pages) == [f"Case {k}\ntext {k}" for k in range(4)] + ["My site\nOwn words\ntext 4"]
+    # copies of one page tell nothing
+    page = '<article><div class="legal">Case</div><p>text</p></article>'
+    assert texts_of_host(spark, [page] * 3) == ["Case\ntext"] * 3
