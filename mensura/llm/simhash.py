@@ -149,7 +149,11 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     All columns stay.  A row with a null id stays only if no row of its class has an id; of
     rows that repeat id and text one stays.
     """
-    classed = _classed(df, id_col, text_col, radius)
+    return keep_least(df, _classed(df, id_col, text_col, radius), id_col, text_col)
+
+
+def keep_least(df: DataFrame, classed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``df`` that are the least of their class, once each, given ``doc_id``, ``text_hash`` and ``least`` of every row."""
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
     found = cut(classed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("_stays")))
     gone = found.where("not _stays").distinct()

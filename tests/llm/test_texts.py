@@ -384,3 +384,36 @@ def test_max_plus_is_associative():
     rng = np.random.default_rng(0)
     a, b, c = rng.integers(-9, 9, (3, 4, 4)).astype(float)
     assert (pieces.max_plus(pieces.max_plus(a, b), c) == pieces.max_plus(a, pieces.max_plus(b, c))).all()
+
+
+@pytest.mark.parametrize("short_list", [2, 16])
+def test_pipeline_drops_copies_of_eight_tenths(spark, short_list):
+    import corpus_pipeline
+    from mensura.llm import resembling
+
+    rng = random.Random(7)
+    rows = []
+    for k in range(20):
+        words = [str(rng.randrange(10**6)) for _ in range(300)]
+        rows.append((1000 * k, " ".join(words)))
+        for c in range(1, 6):
+            edited = list(words)
+            for place in rng.sample(range(300), 3 * c):
+                edited[place] = "X"
+            rows.append((1000 * k + c, " ".join(edited)))
+    rows += [(90001, None), (90002, ""), (90003, "few words"), (None, "Few  words")]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            label = [label[i] if x == label[j] else x for x in label]
+    want = {min(rows[i][0] for i in range(len(rows)) if label[i] == x and rows[i][0] is not None) for x in set(label)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in resembling.drop_near_copies(frame, short_list=short_list).collect()) == sorted(want)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == sorted(want)
+    assert resembling.drop_near_copies(frame.limit(0)).count() == 0
