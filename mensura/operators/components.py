@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mensura.functions.lineage import cut
-from mensura.operators.joins import within_radius
+from mensura.operators.joins import joined_unskewed, within_radius
 
+LAST_EDGES = 1 << 18  # what is left of a contracted graph is finished in one task
 
-def connected_components(edges: DataFrame) -> DataFrame:
+
+def connected_components(edges: DataFrame, last_edges: int = LAST_EDGES) -> DataFrame:
     """Label the nodes of the undirected edges ``(a, b)``.
 
     Each round every node moves to the neighbour (or itself) of least priority, a hash of
     the node that changes by round, and the edges are rewritten between the nodes moved to.
-    A constant share of nodes goes in each expected round whatever the graph's diameter.
-    Minima are combined before the shuffle and joins with a hub's edges may be split, so a
-    node of many edges is no bottleneck.
+    A constant share of nodes goes in each expected round whatever the graph's diameter;
+    the last ``last_edges`` edges are finished in one task.  Minima are combined before the
+    shuffle, and hubs, of edges as of labels, don't meet in one task.
 
     Returns ``node``, ``label`` for the nodes with an edge to another node; ``label`` is a
     node of the component, the same for all of it.
     """
     links = cut(_tidy(edges.select("a", "b")))
     moves: list[DataFrame] = []
-    while not links.isEmpty():
+    while links.count() > last_edges:
         seed = F.lit(len(moves))
 
         def rank(name: str):
@@ -33,23 +37,51 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moves.append(
             cut(
                 both.groupBy("a")
-                .agg(F.min(rank("b")).alias("near"))
-                .select(F.col("a").alias("node"), F.least(F.col("near"), rank("a")).getField("node").alias("label"))
+                .agg(F.min(rank("b")).alias("near"), F.count(F.lit(1)).alias("n"))
+                .select(F.col("a").alias("node"), F.least(F.col("near"), rank("a")).getField("node").alias("label"), "n")
             )
         )
-        left = moves[-1].select(F.col("node").alias("a"), F.col("label").alias("to_a"))
-        right = moves[-1].select(F.col("node").alias("b"), F.col("label").alias("to_b"))
-        links = cut(_tidy(links.join(left, "a").join(right, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))))
-
-    if not moves:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    labels = moves[0]
-    for later in moves[1:]:
-        step = later.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        labels = labels.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        left = moves[-1].select(F.col("node").alias("a"), F.col("label").alias("to_a"), "n")
+        right = moves[-1].select(F.col("node").alias("b"), F.col("label").alias("to_b"), "n")
+        half = cut(joined_unskewed(links, left, "a").select("to_a", "b"))
+        links = cut(_tidy(joined_unskewed(half, right, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))))
+
+    labels = cut(_finished(links))
+    for move in reversed(moves):
+        named = move.select("node", "label")
+        to = cut(named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(labels.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left"))
+        labels = cut(joined_unskewed(named, to, "label").select("node", F.coalesce("to", "label").alias("label")))
     return labels
 
 
+def _finished(links: DataFrame) -> DataFrame:
+    """Labels of a bounded number of edges."""
+    kind = links.schema["a"].dataType.simpleString()
+
+    def labelled(batches):
+        sides = [pa.concat_arrays([batch.column(0), batch.column(1)]) for batch in batches]
+        if not sides:
+            return
+        ends = pa.concat_arrays([s[: len(s) // 2] for s in sides] + [s[len(s) // 2 :] for s in sides])
+        if pa.types.is_nested(ends.type):
+            places: dict[str, int] = {}
+            codes = np.array([places.setdefault(str(e), len(places)) for e in ends])
+        else:
+            codes = ends.dictionary_encode().indices.to_numpy()
+        x, y = codes[: len(codes) // 2], codes[len(codes) // 2 :]
+        least = np.arange(codes.max(initial=-1) + 1)
+        while (least[x] != least[y]).any():
+            both = np.minimum(least[x], least[y])
+            for side in (least[x], least[y]):
+                np.minimum.at(least, side, both)
+            while (least != least[least]).any():
+                least = least[least]
+        nodes, first = np.unique(codes, return_index=True)
+        yield pa.RecordBatch.from_arrays([ends.take(pa.array(first)), ends.take(pa.array(first[least[nodes]]))], ["node", "label"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(labelled, f"node {kind}, label {kind}")
+
+
 def _tidy(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -57,7 +89,8 @@ def _tidy(edges: DataFrame) -> DataFrame:
 def least_member(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     """Every node with the least node of its component; a node without edges is its own."""
     labels = connected_components(edges)
-    named = labels.join(labels.groupBy("label").agg(F.min("node").alias("root")), "label").select(F.col("node").alias(key), "root")
+    roots = cut(labels.groupBy("label").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")))
+    named = joined_unskewed(labels, roots, "label").select(F.col("node").alias(key), "root")
     return nodes.select(key).join(named, key, "left").select(key, F.coalesce("root", key).alias("root"))
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from mensura.functions.lineage import cut
 from mensura.operators.schema import prefixed
 
+HOT_ROWS = 4096
+HOT_SHARE = 1 << 16
+
 
 def last_wins(dim: DataFrame, key: str, order: list[str]) -> DataFrame:
     """A dimension with the last row, in a stated order, of each key."""
@@ -41,6 +44,23 @@ def updated(df: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return df.join(held, key, "left").select(*out)
 
 
+def joined_unskewed(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once and in ``n`` how many rows have it.
+
+    Keys of more than ``HOT_ROWS`` rows and a ``HOT_SHARE``-th of all are so few, fewer than
+    ``HOT_SHARE``, that their part of the table is broadcast and their rows stay where they
+    are; all others are shuffled.  Both sides are read more than once: hand in what was cut.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot, cold = table.where(F.col("n") > limit).drop("n"), table.where(F.col("n") <= limit).drop("n")
+    if hot.isEmpty():
+        return rows.join(cold, key, how)
+    hot = F.broadcast(cut(hot))  # fewer than HOT_SHARE rows
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key, how))
+
+
 def overlapping(a: DataFrame, b: DataFrame, cell: int, on: list[str] = []) -> DataFrame:  # noqa: B006
     """Pairs of half-open intervals ``start, stop`` that overlap.
 

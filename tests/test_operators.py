@@ -299,3 +299,31 @@ def test_running_sum(spark, by):
     got = {(r.g, r.v): r.s for r in running_sum(spark.createDataFrame(rows, "g string, v double, n long"), by, "v", "n", "s", 8).collect()}
     for g, v, _ in rows:
         assert got[(g, v)] == sum(n for h, w, n in rows if h == g and w <= v)
+
+
+def test_components_by_rounds_and_at_once(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(joins, "HOT_ROWS", 3)
+    monkeypatch.setattr(joins, "HOT_SHARE", 8)
+    draw = random.Random(5)
+    pairs = [(0, k) for k in range(1, 60)] + [(100 + k, 101 + k) for k in range(40)] + [(draw.randrange(200, 400), draw.randrange(200, 400)) for _ in range(120)]
+    root = {n: n for pair in pairs for n in pair}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    for limit in (0, 20, 1 << 18):
+        labels = components.connected_components(edges, limit).collect()
+        least = {}
+        for r in labels:
+            least[r.label] = min(r.node, least.get(r.label, r.node))
+        assert {r.node: least[r.label] for r in labels} == {n: top(n) for n in root if sum(n in p and p[0] != p[1] for p in pairs)}
+    assert {r.id: r.root for r in components.least_member(nodes, edges).collect()} == {n: top(n) for n in root}
+    assert components.connected_components(edges.limit(0)).count() == 0
