@@ -43,14 +43,14 @@ def connected_components(edges: DataFrame, last_edges: int = LAST_EDGES) -> Data
         )
         left = moves[-1].select(F.col("node").alias("a"), F.col("label").alias("to_a"), "n")
         right = moves[-1].select(F.col("node").alias("b"), F.col("label").alias("to_b"), "n")
-        half = cut(joined_unskewed(links, left, "a").select("to_a", "b"))
-        links = cut(_tidy(joined_unskewed(half, right, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))))
+        half = cut(joined_unskewed(links, left, ["a"]).select("to_a", "b"))
+        links = cut(_tidy(joined_unskewed(half, right, ["b"]).select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))))
 
     labels = cut(_finished(links))
     for move in reversed(moves):
         named = move.select("node", "label")
         to = cut(named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(labels.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left"))
-        labels = cut(joined_unskewed(named, to, "label").select("node", F.coalesce("to", "label").alias("label")))
+        labels = cut(joined_unskewed(named, to, ["label"]).select("node", F.coalesce("to", "label").alias("label")))
     return labels
 
 
@@ -90,7 +90,7 @@ def least_member(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFra
     """Every node with the least node of its component; a node without edges is its own."""
     labels = connected_components(edges)
     roots = cut(labels.groupBy("label").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")))
-    named = joined_unskewed(labels, roots, "label").select(F.col("node").alias(key), "root")
+    named = joined_unskewed(labels, roots, ["label"]).select(F.col("node").alias(key), "root")
     return nodes.select(key).join(named, key, "left").select(key, F.coalesce("root", key).alias("root"))
 
 
