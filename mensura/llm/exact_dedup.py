@@ -9,7 +9,7 @@ bytes, so equality needs no digest.
 
 Only groups of two and more survive a level, so the bytes of unlike texts are compared no
 further than where they part.  A level is one map-side combined count and one join on the
-same keys, whose hot groups Spark may split among tasks.
+same keys; rows of hot groups stay where they are and have theirs broadcast.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mensura.llm.common import body, cut
+from mensura.llm.components import joined_unskewed
 
 FIRST_WIDTH = 64
 WIDENING = 64
@@ -39,111 +40,70 @@ def exact_duplicates(
     Returns one row per row of ``df``: ``doc_id``, ``keep_id`` (largest id among the equal
     texts), ``group_size``, ``kept`` and ``text_sha256``.
 
-    A null text counts as empty.  Ids may be null: null is smaller than any id.  Where
-    rows repeat both id and text, exactly one of them is kept.  An empty table gives an
-    empty result.  Other columns are ignored, whatever their names.
+    A null text counts as empty; a text of any length is compared to its end.  Ids may be
+    null: null is smaller than any id.  Where rows repeat both id and text, exactly one of
+    them is kept.  An empty table gives an empty result.  Other columns are ignored,
+    whatever their names.
     """
-    docs = df.select(
-        F.col(id_col).alias("doc_id"),
-        F.sha2(body(text_col), 256).alias("text_sha256"),
-        body(text_col).cast("binary").alias("rest"),
-    )
-    keyed = docs.select(
-        "doc_id",
-        "text_sha256",
-        F.octet_length("rest").alias("size"),
-        F.substring("rest", 1, first_width).alias("digit"),
-        F.expr(f"substring(rest, {first_width + 1})").alias("rest"),
-    )
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.sha2(body(text_col), 256).alias("carried"))
+    settled = _settled(docs, False, first_width, widening, max_width)
+    return settled.select("doc_id", "keep_id", "group_size", "kept", F.col("carried").alias("text_sha256"))
+
+
+def _settled(docs: DataFrame, with_text: bool, first_width: int, widening: int, max_width: int) -> DataFrame:
+    """``doc_id`` and ``carried`` of every row, its ``text`` if wanted, and what the split tells of it."""
+    data = body("text").cast("binary")
+    keyed = docs.withColumns({"size": F.octet_length(data), "digit": F.substring(data, 1, first_width)})
     groups = cut(
         keyed.groupBy("size", "digit")
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("size", "digit", F.monotonically_increasing_id().alias("grp"))
-    )
-    single = (
-        keyed.select("doc_id", "text_sha256", "size", "digit")
-        .join(groups, ["size", "digit"], "left_anti")
-        .select(
-            "doc_id",
-            F.col("doc_id").alias("keep_id"),
-            F.lit(1).cast("long").alias("group_size"),
-            F.lit(True).alias("kept"),
-            "text_sha256",
-        )
+        .select("size", "digit", "n", F.monotonically_increasing_id().alias("grp"))
     )
-    open_rows = cut(
-        keyed.join(groups, ["size", "digit"]).select(
-            "doc_id", "text_sha256", "rest", "grp", F.monotonically_increasing_id().alias("row")
-        )
+    result = ["doc_id", "carried", *["text"] * with_text]
+    single = joined_unskewed(keyed.select(*result, "size", "digit"), groups, ["size", "digit"], "left_anti").select(
+        *result, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )
+    open_rows = cut(joined_unskewed(keyed, groups, ["size", "digit"]).select("doc_id", "carried", "text", "size", "grp", F.monotonically_increasing_id().alias("row")))
 
-    settled, width = [single], first_width
+    settled, start, width = [single], first_width, first_width
     while not open_rows.isEmpty():
         width = min(width * widening, max_width)
-        level = open_rows.select(
-            "doc_id",
-            "row",
-            "text_sha256",
-            "grp",
-            F.substring("rest", 1, width).alias("digit"),
-            F.expr(f"substring(rest, {width + 1})").alias("rest"),
-        )
+        level = open_rows.withColumn("digit", F.substring(data, start + 1, width))
         groups = cut(
             level.groupBy("grp", "digit")
             .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "row")).alias("keep"))
             .where("n > 1")
             .select("grp", "digit", "n", "keep", F.monotonically_increasing_id().alias("sub"))
         )
-        done = F.col("n").isNull() | (F.octet_length("rest") == 0)
+        start += width
+        done = F.col("n").isNull() | (F.col("size") <= start)
+        text = F.col("text") if with_text else F.when(~done, F.col("text"))
         split = cut(
-            level.join(groups, ["grp", "digit"], "left").select(
-                "doc_id",
-                "row",
-                "text_sha256",
-                "n",
-                "keep",
-                done.alias("done"),
-                F.when(~done, F.col("rest")).alias("rest"),
-                F.col("sub").alias("grp"),
+            joined_unskewed(level, groups, ["grp", "digit"], "left").select(
+                "doc_id", "carried", text.alias("text"), "size", "row", "n", "keep", done.alias("done"), F.col("sub").alias("grp")
             )
         )
         settled.append(
             split.where("done").select(
-                "doc_id",
+                *result,
                 F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
                 F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
                 (F.col("n").isNull() | (F.col("keep.row") == F.col("row"))).alias("kept"),
-                "text_sha256",
             )
         )
-        open_rows = split.where("not done").select("doc_id", "row", "text_sha256", "rest", "grp")
+        open_rows = split.where("not done").select("doc_id", "carried", "text", "size", "grp", "row")
     return reduce(DataFrame.unionByName, settled)
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``df`` with one row for each distinct text, that with the largest id.
 
-    All columns stay.  Rows that repeat both id and text are reduced to one.
+    All columns stay, whatever their names, and go with the text through the split, so
+    that no digest and no further join is needed.  Of rows that repeat both id and text
+    one stays; null and empty texts are equal.  An empty table gives an empty result.
     """
-    lost = cut(
-        exact_duplicates(df, id_col, text_col)
-        .where("not kept")
-        .select(
-            F.col("doc_id").alias("_id"),
-            F.col("text_sha256").alias("_sha"),
-            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_repeats"),
-        )
-        .distinct()
-    )
-
-    def among(kind: str, rows: DataFrame) -> DataFrame:
-        same = df[id_col].eqNullSafe(rows["_id"]) & (F.sha2(body(df[text_col]), 256) == rows["_sha"])
-        return df.join(rows, same, kind)
-
-    repeats = lost.where("_repeats")
-    rest = among("left_anti", lost)
-    if repeats.isEmpty():
-        return rest
-    once = among("left_semi", repeats).withColumn("_sha", F.sha2(body(text_col), 256)).dropDuplicates([id_col, "_sha"])
-    return rest.unionByName(once.drop("_sha"))
+    others = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col])
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), others.alias("carried"))
+    kept = _settled(docs, True, FIRST_WIDTH, WIDENING, MAX_WIDTH).where("kept")
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"carried.`{c}`") for c in df.columns])

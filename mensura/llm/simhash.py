@@ -16,6 +16,7 @@ midpoint links the same components with rows in proportion to the crowd.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mensura.llm.common import body, cut, shuffle_width
-from mensura.llm.components import connected_components
+from mensura.llm.components import connected_components, joined_unskewed
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -35,23 +36,33 @@ _UPPER_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256
 _SHINGLES_AT_ONCE = 1 << 15
 
 
-def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """SimHash of one whole text as a signed 64-bit integer; zero if it has no words."""
+def shingle_hashes(text: str, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of one whole text, repeats included, some at a time; nothing if it has no words."""
     words = text.encode("utf-8", "surrogatepass").translate(_UPPER_TO_LOWER).split()
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = ends[shingle_words - 1 :] if len(words) >= shingle_words else ends[-1:]
-    first, digest = starts[: len(last)].tolist(), xxhash.xxh64_intdigest
-    last, ones = last.tolist(), np.zeros(64, np.int64)
+    first, last, digest = starts[: len(last)].tolist(), last.tolist(), xxhash.xxh64_intdigest
     for at in range(0, len(last), _SHINGLES_AT_ONCE):
         part = slice(at, at + _SHINGLES_AT_ONCE)
-        hashes = np.array([digest(line[a:b], seed) for a, b in zip(first[part], last[part])], np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(last)).view(np.int64)[0])
+        yield np.array([digest(line[a:b], seed) for a, b in zip(first[part], last[part])], np.uint64)
+
+
+def majority_bits(hashes: Iterable[np.ndarray]) -> int:
+    """SimHash of shingle hashes as a signed 64-bit integer: the bits set in over half of them."""
+    ones, count = np.zeros(64, np.int64), 0
+    for part in hashes:
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        count += len(part)
+    return int(np.packbits(2 * ones > count).view(np.int64)[0])
+
+
+def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """SimHash of one whole text as a signed 64-bit integer; zero if it has no words."""
+    return majority_bits(shingle_hashes(text, shingle_words, seed))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,13 +132,17 @@ def _classed(df: DataFrame, id_col: str, text_col: str, radius: int) -> DataFram
     """``doc_id``, ``text_hash`` and ``fp`` of every row, and in ``least`` id and hash of the least row of its class."""
     prints = cut(fingerprints(df, id_col, text_col))
     nodes = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")))
-    labels = connected_components(links(nodes, radius))
-    linked = nodes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select(
-        "fp", "least", F.coalesce("label", "fp").alias("label")
-    )
-    named = linked.groupBy("label").agg(F.min("least").alias("least"))
-    classes = cut(linked.drop("least").join(named, "label").select("fp", "least"))
-    return prints.join(classes, "fp")
+    return prints.join(classes_of(nodes, links(nodes, radius), "fp"), "fp")
+
+
+def classes_of(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """Nodes ``key`` with the least of the column ``least`` over what the edges ``(a, b)`` reach."""
+    labels = cut(connected_components(edges).select(F.col("node").alias(key), "label"))
+    linked = cut(nodes.join(labels, key).select(key, "label", "least"))
+    named = cut(linked.groupBy("label").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("n")))
+    classed = joined_unskewed(linked.select(key, "label"), named, ["label"]).select(key, "least")
+    alone = nodes.join(labels, key, "left_anti").select(key, "least")
+    return cut(classed.unionByName(alone))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -136,7 +151,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Returns ``doc_id``, ``fp`` (signed 64 bits) and ``component_id``, the smallest id that
     can be reached over fingerprints at most ``radius`` (an even number below 8) bits apart.
 
-    A null text counts as empty; texts without words have fingerprint zero and are linked
+    Texts of any length are read whole.  A null text counts as empty, an empty table gives
+    an empty result, other columns are ignored; texts without words have fingerprint zero and are linked
     like any other.  Rows with null ids are classed and never name a class unless all ids
     of it are null.  Repeated rows come back as often as they are there.
     """
@@ -146,24 +162,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """Rows of ``df`` with one document, that of the smallest id, of each near-duplicate class.
 
-    All columns stay.  A row with a null id stays only if no row of its class has an id; of
-    rows that repeat id and text one stays.
+    All columns stay, whatever their names.  A row with a null id stays only if no row of
+    its class has an id; of rows that repeat id and text one stays.  Null texts are empty,
+    and an empty table gives an empty result.
     """
     return keep_least(df, _classed(df, id_col, text_col, radius), id_col, text_col)
 
 
 def keep_least(df: DataFrame, classed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of ``df`` that are the least of their class, once each, given ``doc_id``, ``text_hash`` and ``least`` of every row."""
+    held = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body(text_col)).alias("text_hash"))
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
-    found = cut(classed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("_stays")))
-    gone = found.where("not _stays").distinct()
-    repeats = cut(found.where("_stays").groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    found = cut(classed.select("doc_id", "text_hash", stays.alias("stays")))
+    gone = found.where("not stays").select("doc_id", "text_hash").distinct()
+    repeats = cut(found.where("stays").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_hash"))
 
     def among(rows: DataFrame, kind: str, some: DataFrame) -> DataFrame:
-        return rows.join(some, rows[id_col].eqNullSafe(some["_id"]) & (F.xxhash64(body(rows[text_col])) == some["_hash"]), kind)
+        return rows.join(some, rows["doc_id"].eqNullSafe(some["doc_id"]) & (rows["text_hash"] == some["text_hash"]), kind)
 
-    rest = among(df, "left_anti", gone)
-    if repeats.isEmpty():
-        return rest
-    once = among(rest, "left_semi", repeats).withColumn("_hash", F.xxhash64(body(text_col))).dropDuplicates([id_col, "_hash"])
-    return among(rest, "left_anti", repeats).unionByName(once.drop("_hash"))
+    rest = among(held, "left_anti", gone)
+    if not repeats.isEmpty():
+        once = among(rest, "left_semi", repeats).dropDuplicates(["doc_id", "text_hash"])
+        rest = among(rest, "left_anti", repeats).unionByName(once)
+    return rest.select("row.*")

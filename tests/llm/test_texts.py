@@ -417,3 +417,26 @@ def test_pipeline_drops_copies_of_eight_tenths(spark, short_list):
     assert sorted(r.doc_id for r in resembling.drop_near_copies(frame, short_list=short_list).collect()) == sorted(want)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == sorted(want)
     assert resembling.drop_near_copies(frame.limit(0)).count() == 0
+
+
+def clashing(spark):
+    """Documents whose other columns have names that operators use inside."""
+    names = "row at text_hash _sha _hash _id _n grp n digit size carried doc kept least label hash fp".split()
+    texts = [(1, "one two three four five six seven eight"), (2, "one two three four five six seven eight"), (2, "one two three four five six seven eight"), (3, None), (3, ""), (None, "nine ten")]
+    return spark.createDataFrame([(i, t, *[f"{n}{k}" for n in names]) for k, (i, t) in enumerate(texts)], ", ".join(["doc_id long", "text string", *[f"{n} string" for n in names]]))
+
+
+def test_stages_keep_clashing_columns(spark):
+    from mensura.llm import resembling
+
+    docs = clashing(spark)
+    exact = exact_dedup.drop_exact_duplicates(docs)
+    assert exact.columns == docs.columns
+    got = sorted(((r.doc_id, r.text or "", r["_sha"][:4]) for r in exact.collect()), key=str)
+    assert [(i, t) for i, t, _ in got] == [(2, "one two three four five six seven eight"), (3, ""), (None, "nine ten")]
+    for drop in (simhash.drop_near_duplicates, resembling.drop_near_copies):
+        left = drop(docs)
+        assert left.columns == docs.columns
+        assert sorted(((r.doc_id, r.text or "") for r in left.collect()), key=str) == [(1, "one two three four five six seven eight"), (3, ""), (None, "nine ten")]
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    assert importance.drop_low_quality(docs, labels).columns == docs.columns
