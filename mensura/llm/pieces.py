@@ -1,26 +1,35 @@
 """SentencePiece encoding and decoding as a max-plus parallel scan.
 
-The best segmentation of a text is the one whose pieces have the largest sum of the
-model's scores.  A giant text is cut into chunks.  A chunk's transfer matrix holds, for
-each entry and exit state, the best score between them; a state is how many characters
-after the cut the first piece starts.  Matrices are combined by the associative max-plus
-product, first within blocks of chunks, then over the blocks of a text; the entry state of
-every chunk follows, and each chunk is then segmented on its own.
-
-A space starts a piece unless another stands before it, for no piece of the model has a
-space after another character; so a matrix is an outer sum wherever a chunk has such a
-place.
-
-The scores are read from the model file.  A model of kind BPE stores merge ranks as
-scores; the segmentation here is the best by those scores, not the greedy merge order, so
-its ids may differ from that library's for such a file, while decoding is exact.
+The best segmentation of a text is the one whose pieces have the largest sum of scores; of
+equal sums the one whose last piece is longest, then the last but one, and so on, as the
+library has it.  Texts are cut into chunks, and each chunk is a row of its own:
+
+* A chunk's transfer matrix holds, for each entry and exit state, the best score between
+  them; a state is how many characters after the cut the first piece starts.  Matrices are
+  combined by the associative max-plus product, within blocks of chunks, then over the
+  blocks, into the best scores at every cut.
+* From these each chunk tells, for each exit state, the entry state that the rule of ties
+  takes.  Such maps are composed from the last chunk to the first.
+* Every chunk then knows its first and last place and is segmented on its own.
+
+Scores are integers, so that sums are exact and no cut moves a piece.  A space starts a
+piece unless another stands before it, for no piece has a space after another character:
+words are independent, a matrix is an outer sum wherever a chunk has such a place, and the
+pieces of a word are worked out once and kept.
+
+A model of kind unigram has its scores in the file.  One of kind BPE has merge ranks
+instead, of which no sum means anything; its pieces get the scores of Zipf's law, minus the
+logarithm of the rank, and their segmentation is that of a unigram model with these scores,
+not that of greedy merging.  Decoding is the same for both.
 """
 
 from __future__ import annotations
 
-import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -31,90 +40,91 @@ from mensura.llm.common import body, cut
 
 CHUNK_CHARS = 1 << 14
 BLOCK_CHUNKS = 64
-FALLBACK_COST = 10.0  # below the least score of a piece, for a character spelt in bytes
-BARRED = -1e8  # scores below bar a piece, as runs of spaces in some files, wherever others do
+SCORE_UNIT = 32  # scores are whole multiples of its inverse
+FALLBACK_COST = 10  # below the least score of a piece, for a character spelt in bytes
+BARRED = -1e8  # pieces of scores below, as runs of spaces in some files, are not used; single characters get the least score
+KEPT_WORDS = 1 << 16
 _SPACE = "▁"
 _LITERAL = "\udc81"  # stands for U+2581 of the text itself, which goes in bytes; no text holds a lone surrogate
-_ROWS_AT_ONCE = 128
-_CHARS_AT_ONCE = 1 << 17
+_NONE = -(1 << 60)  # no path; sums of a few stay in 64 bits
+_LONGEST_WORD = 64  # longer ones are not kept
+_ROWS_AT_ONCE = 256
+_WORDS = re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces that segment text, with ids and scores, and the ids of the 256 bytes."""
+    """Pieces that segment text, with ids and scores in units, and the ids of the 256 bytes."""
 
-    pieces: dict[str, tuple[int, float]]
+    pieces: dict[str, tuple[int, int]]
     byte_ids: list[int]
 
 
+def zipf_score(rank: int) -> float:
+    return -log(rank + 2)
+
+
 def load_vocabulary(path: str) -> Vocabulary:
+    """Vocabulary of a model file; scores of successive whole numbers are taken for merge ranks."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
-    pieces, byte_ids = {}, [0] * 256
+    found, barred, byte_ids = {}, {}, [0] * 256
     for i in range(model.get_piece_size()):
         if model.is_byte(i):
             byte_ids[int(model.id_to_piece(i)[3:5], 16)] = i
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-            pieces[model.id_to_piece(i)] = (i, model.get_score(i))
-    if any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in pieces):
+            (found if model.get_score(i) > BARRED else barred)[model.id_to_piece(i)] = (i, model.get_score(i))
+    if any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in found):
         raise ValueError("a piece has a space after another character")
-    return Vocabulary(pieces, byte_ids)
+    if all(s <= 0 and s == int(s) for _, s in found.values()):
+        found = {p: (i, zipf_score(int(-s))) for p, (i, s) in found.items()}
+    least = min((s for _, s in found.values()), default=0.0)
+    found |= {p: (i, least) for p, (i, _) in barred.items() if len(p) == 1}
+    return Vocabulary({p: (i, round(s * SCORE_UNIT)) for p, (i, s) in found.items()}, byte_ids)
 
 
 def prepared(text: str) -> str:
-    """The text with a space before it and its spaces written as U+2581."""
-    return _SPACE + text.replace(_SPACE, _LITERAL).replace(" ", _SPACE)
+    """The text with a space before it, unless it is empty, and its spaces written as U+2581."""
+    return text and _SPACE + text.replace(_SPACE, _LITERAL).replace(" ", _SPACE)
 
 
 class Segmenter:
     """Best segmentation of prepared text by the scores of a vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer, models
-
         self.pieces = vocabulary.pieces
+        self.byte_ids = vocabulary.byte_ids
         self.longest = max(map(len, self.pieces), default=1)
         self.begun = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
-        self.spelt = min((s for _, s in self.pieces.values() if s > BARRED), default=0.0) - FALLBACK_COST
-        # runs of characters that are pieces need no bytes: their best sum is found out of Python
-        single = "".join(re.escape(p) for p in self.pieces if len(p) == 1)
-        self.runs = re.compile(f"[{single}]+|[^{single}]", re.DOTALL).findall
-        self.single = {p for p in self.pieces if len(p) == 1}
-        self.best = Tokenizer(models.Unigram([(p, score) for p, (_, score) in self.pieces.items()], None, False)).encode_batch_fast
-        # by place: pieces, then first bytes of characters that are spelt, then their other bytes
-        self.ids = np.array([i for i, _ in self.pieces.values()] + 2 * vocabulary.byte_ids, np.int32)
-        self.scores = np.array([score for _, score in self.pieces.values()] + [self.spelt] * 256 + [0.0] * 256)
-
-    def segment(self, texts: list[str]) -> list[tuple[float, np.ndarray]]:
-        """Score and ids of each text; its ends are cuts."""
-        found, group, held = [], [], 0
-        for t in texts:  # few characters at once: the encoder holds many bytes for each piece
-            if group and held + len(t) > _CHARS_AT_ONCE:
-                found += self._segment(group)
-                group, held = [], 0
-            group.append(t)
-            held += len(t)
-        return found + self._segment(group)
-
-    def _segment(self, texts: list[str]) -> list[tuple[float, np.ndarray]]:
-        split = [self.runs(t) for t in texts]
-        made = iter(self.best([r for runs in split for r in runs if r[0] in self.single], add_special_tokens=False))
-        found, first = [], len(self.pieces)
-        for runs in split:
-            places: list[int] = []
-            for run in runs:
-                if run[0] in self.single:
-                    places += next(made).ids
-                else:
-                    spelt = (_SPACE if run == _LITERAL else run).encode("utf-8", "surrogatepass")
-                    places += [first + spelt[0], *(first + 256 + b for b in spelt[1:])]
-            at = np.array(places, np.int64)
-            found.append((float(self.scores[at].sum()), self.ids[at]))
-        return found
-
-    def arcs(self, s: str, at: int, end: int):
+        self.spelt = min((s for _, s in self.pieces.values()), default=0) - FALLBACK_COST * SCORE_UNIT
+        self.of_word = lru_cache(KEPT_WORDS)(self._segmented)
+
+    def segment(self, text: str) -> tuple[int, np.ndarray]:
+        """Score and ids of a text whose ends are cuts."""
+        total, ids = 0, []
+        for word in _WORDS.findall(text):
+            score, some = self.of_word(word) if len(word) <= _LONGEST_WORD else self._segmented(word)
+            total += score
+            ids += some
+        return total, np.array(ids, np.int32)
+
+    def _segmented(self, word: str) -> tuple[int, tuple[int, ...]]:
+        best, back = self.forward(word, [0], len(word), len(word))
+        ids: list[int] = []
+        to = len(word)
+        while to:
+            at = back[to]
+            piece = self.pieces.get(word[at:to])
+            if piece:
+                ids.append(piece[0])
+            else:
+                spelt = (_SPACE if word[at:to] == _LITERAL else word[at:to]).encode("utf-8", "surrogatepass")
+                ids += [self.byte_ids[b] for b in reversed(spelt)]
+            to = at
+        return best[-1], tuple(reversed(ids))
+
+    def arcs(self, s: str, at: int, end: int) -> Iterator[tuple[int, int]]:
         """Ends and scores of the pieces that start at a place, and end by ``end``."""
         if s[at] not in self.pieces:
             yield at + 1, self.spelt
@@ -125,77 +135,87 @@ class Segmenter:
             if part in self.pieces:
                 yield to, self.pieces[part][1]
 
-    def forward(self, s: str, at: int, last: int, end: int) -> tuple[list[float], list[int]]:
-        """Best scores from ``at`` to each place up to ``end`` by pieces that start before ``last``, and where the last piece starts."""
-        best, back = [-np.inf] * (end - at + 1), [-1] * (end - at + 1)
-        best[0] = 0.0
-        for p in range(at, min(last, end)):
-            if best[p - at] > -np.inf:
-                for to, score in self.arcs(s, p, end):
-                    if best[p - at] + score > best[to - at]:
-                        best[to - at], back[to - at] = best[p - at] + score, p
+    def forward(self, s: str, first: list[int], last: int, end: int) -> tuple[list[int], list[int]]:
+        """Best scores at the places up to ``end`` by pieces that start before ``last``, and where the last piece starts.
+
+        ``first`` are the scores at the first places, which a piece from before leads to;
+        where it is as good as any that starts here, it is taken, being the longest, and
+        the piece starts at -1.
+        """
+        best, back = [*first, *[_NONE] * (end + 1 - len(first))], [-1] * (end + 1)
+        for at in range(min(last, end)):
+            here = best[at]
+            if here > _NONE // 2:
+                for to, score in self.arcs(s, at, end):
+                    if here + score > best[to]:
+                        best[to], back[to] = here + score, at
         return best, back
 
-    def transfer(self, s: str, start: int, stop: int) -> np.ndarray:
-        """Matrix of the chunk of ``s`` from ``start`` to ``stop``; states go to the longest piece's length.
+    def _resets(self, s: str, size: int) -> list[int]:
+        """Places of a chunk, past all entry states, where any segmentation has a cut."""
+        return [m.start() + 1 for m in re.finditer(f"[^{_SPACE}](?={_SPACE})", s[self.longest - 1 : size])]
+
+    def transfer(self, s: str, size: int) -> np.ndarray:
+        """Matrix of a chunk of ``size`` characters, of which ``s`` shows those of the next chunk too that a piece may reach.
 
         Between the first and the last place where any segmentation has a cut, all paths
         gain the same: that sum is left out, as it moves no maximum.
         """
-        width, end = self.longest, min(stop + self.longest - 1, len(s))
-        matrix = np.full((width, width), -np.inf)
-        resets = [m.start() + 1 for m in re.finditer(f"[^{_SPACE}](?={_SPACE})", s[start + width - 1 : stop])]
+        width = self.longest
+        matrix = np.full((width, width), _NONE, np.int64)
+        resets = self._resets(s, size)
         if not resets:
-            for i in range(min(width, stop - start + 1)):
-                best, _ = self.forward(s, start + i, stop, end)
-                reached = best[stop - start - i :]
-                matrix[i, : len(reached)] = reached
+            for i in range(min(width, size + 1)):
+                reached = self.forward(s, [_NONE] * i + [0], size, len(s))[0][size:]
+                matrix[i, : len(reached)] = reached[:width]
             return matrix
-        first, last = start + width - 1 + resets[0], start + width - 1 + resets[-1]
-        head = np.full(width, -np.inf)
-        for i in range(width):
-            head[i] = self.forward(s, start + i, first, first)[0][-1]
-        tail = np.full(width, -np.inf)
-        reached = self.forward(s, last, stop, end)[0][stop - last :]
-        tail[: len(reached)] = reached
-        return head[:, None] + tail[None, :]
+        first, last = (width - 1 + r for r in (resets[0], resets[-1]))
+        head = np.array([self.forward(s[:first], [_NONE] * i + [0], first, first)[0][-1] for i in range(width)])
+        reached = self.forward(s[last:], [0], size - last, len(s) - last)[0][size - last :]
+        tail = np.array(reached[:width] + [_NONE] * (width - len(reached)))
+        return np.maximum(head[:, None] + tail[None, :], _NONE)
+
+    def entries(self, s: str, size: int, first: np.ndarray) -> list[int]:
+        """For each exit state of a chunk, the entry state of the best path, given the best scores at its entry states."""
+        resets = self._resets(s, size)
+        end = self.longest - 1 + resets[0] if resets else len(s)
+        _, back = self.forward(s[:end], first.tolist(), min(size, end), end)
+
+        def entry(at: int) -> int:
+            while back[at] >= 0:
+                at = back[at]
+            return at
+
+        if resets:
+            return [entry(end)] * self.longest
+        return [entry(size + k) if size + k <= end else 0 for k in range(self.longest)]
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Product of matrices, or of a vector and a matrix, in which sums are maxima and products sums."""
-    return (a[..., :, None] + b).max(axis=-2)
+    return np.maximum((a[..., :, None] + b).max(axis=-2), _NONE)
 
 
-def chunk_bounds(length: int, chunk_chars: int = CHUNK_CHARS) -> list[tuple[int, int]]:
-    """Chunks of a prepared text; the last has up to twice the characters."""
-    count = max(1, length // chunk_chars)
-    return [(c * chunk_chars, length if c == count - 1 else (c + 1) * chunk_chars) for c in range(count)]
+def _slices(batches) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS_AT_ONCE):
+            yield batch.slice(at, _ROWS_AT_ONCE)
 
 
-def entries(first: np.ndarray, exit_state: int, matrices: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
-    """Forward vectors and entry states of successive matrices between a first vector and a last exit state."""
-    vectors = [first]
-    for m in matrices[:-1]:
-        vectors.append(max_plus(vectors[-1], m))
-    states = []
-    for vector, m in zip(reversed(vectors), reversed(matrices)):
-        exit_state = int(np.argmax(vector + m[:, exit_state]))
-        states.append(exit_state)
-    return vectors, states[::-1]
+def _ordered(table: pa.Table, order: str, name: str) -> tuple[list[int], np.ndarray]:
+    table = table.sort_by(order)
+    return table[order].to_pylist(), np.array(table[name].to_pylist(), np.int64)
 
 
-def _matrices(table: pa.Table, order: str, name: str) -> tuple[list[int], list[np.ndarray]]:
-    """Matrices in order; rows of repeated documents are alike and count once."""
-    found = {o: m for o, m in zip(table[order].to_pylist(), table[name].to_pylist())}
-    side = round(len(next(iter(found.values()))) ** 0.5)
-    return sorted(found), [np.array(found[o], float).reshape(side, side) for o in sorted(found)]
+_ready: list[tuple[Vocabulary, Segmenter]] = []
 
 
-def _slices(batches):
-    """Batches of few rows, so that ids are Python numbers for a few texts at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, _ROWS_AT_ONCE):
-            yield batch.slice(at, _ROWS_AT_ONCE)
+def _segmenter(vocabulary: Vocabulary) -> Segmenter:
+    """The segmenter of a worker process, which keeps its words from task to task."""
+    if not _ready or _ready[0][0] is not vocabulary:
+        _ready[:] = [(vocabulary, Segmenter(vocabulary))]
+    return _ready[0][1]
 
 
 def encode(
@@ -208,124 +228,136 @@ def encode(
 ) -> DataFrame:
     """Encode every row's whole text.
 
-    Returns a row for each chunk of each row of ``df``: ``doc_id``, ``chunk``,
-    ``n_chunks``, ``score`` and ``ids``; the ids of a document are those of its chunks in
-    order.  Most texts are one chunk.  A null text counts as empty and has the one piece of
-    the space put before every text.  Rows of equal ids and repeated rows come back each.
+    Returns a row for each row of ``df``: ``doc_id``, ``n_chunks``, ``score`` and ``ids``,
+    which are the same for any ``chunk_chars``.  A null text counts as empty, and an
+    empty text has no pieces.  Rows of equal or null ids and repeated
+    rows come back each, an empty table gives an empty result, and other columns are
+    ignored.  ``model_path`` is read by the driver.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(load_vocabulary(model_path))  # bounded by the model
+    width = max(map(len, shared.value.pieces), default=1)
+    chunk_chars = max(chunk_chars, width)
+
+    def coded(batch: pa.RecordBatch, keys: int, texts: list[str]) -> pa.RecordBatch:
+        """The first columns of a batch with score and ids of its texts."""
+        made = _segmenter(shared.value)
+        found = [made.segment(t) for t in texts]
+        sizes = np.cumsum([0, *(len(i) for _, i in found)])
+        ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([i for _, i in found]), pa.int32()))
+        return pa.RecordBatch.from_arrays([*batch.columns[:keys], pa.array([s / SCORE_UNIT for s, _ in found], pa.float64()), ids], [*batch.schema.names[:keys], "score", "ids"])
+
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("text"))
     giant = F.length("text") + 1 >= 2 * chunk_chars
-    result = "doc_id long, chunk int, n_chunks int, score double, ids array<int>"
 
     def whole(batches):
-        segmenter = Segmenter(shared.value)
         for batch in _slices(batches):
-            made = segmenter.segment([prepared(str(t)) for t in batch.column(1)])
-            size = len(made)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([0] * size, pa.int32()), pa.array([1] * size, pa.int32()), pa.array([s for s, _ in made], pa.float64()), pa.array([i for _, i in made], pa.list_(pa.int32()))],
-                ["doc_id", "chunk", "n_chunks", "score", "ids"],
-            )
-
-    small = docs.where(~giant).mapInArrow(whole, result)
-
-    giants = docs.where(giant).withColumn("hash", F.xxhash64("text"))
-    copies = cut(giants.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).cast("int").alias("copies")))
-    if copies.isEmpty():
+            yield coded(batch, 1, [prepared(str(t)) for t in batch.column(1)])
+
+    small = docs.where(~giant).mapInArrow(whole, "doc_id long, score double, ids array<int>").select("doc_id", F.lit(1).alias("n_chunks"), "score", "ids")
+
+    # the space before the text belongs to the first chunk, so a chunk starts a character earlier in the text
+    count = F.greatest(F.floor((F.length("text") + 1) / chunk_chars), F.lit(1)).cast("int")
+    giants = docs.where(giant).select("doc_id", "text", count.alias("n_chunks"), F.monotonically_increasing_id().alias("row"))
+    chunks = giants.select("doc_id", "row", "n_chunks", "text", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"))
+    last = F.col("chunk") == F.col("n_chunks") - 1
+    start = F.col("chunk") * chunk_chars - 1
+    size = F.when(last, F.length("text") - start).otherwise(chunk_chars)
+    shown = F.when(F.col("chunk") == 0, size + width - 2).otherwise(size + width - 1)
+    chunks = cut(
+        chunks.select(
+            "doc_id", "row", "n_chunks", "chunk", F.floor(F.col("chunk") / block_chunks).cast("int").alias("block"), size.cast("int").alias("size"),
+            F.col("text").substr(F.greatest(start, F.lit(0)) + 1, shown.cast("int")).alias("part"),
+        ).repartition("row", "chunk")
+    )
+    if chunks.isEmpty():
         return small
 
+    def prepared_part(chunk: int, part: str) -> str:
+        return prepared(part) if chunk == 0 else prepared(part)[1:]
+
     def matrices_of(batches):
-        segmenter = Segmenter(shared.value)
+        made = _segmenter(shared.value)
         for batch in batches:
-            for doc_id, text, code in zip(*batch.columns):
-                s = prepared(str(text))
-                rows = [(c, segmenter.transfer(s, a, b).reshape(-1)) for c, (a, b) in enumerate(chunk_bounds(len(s), chunk_chars))]
-                size = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id.as_py()] * size, pa.int64()), pa.array([code.as_py()] * size, pa.int64()), pa.array([c for c, _ in rows], pa.int32()), pa.array([m.tolist() for _, m in rows], pa.list_(pa.float64()))],
-                    ["doc_id", "hash", "chunk", "matrix"],
-                )
-
-    matrices = cut(
-        giants.mapInArrow(matrices_of, "doc_id long, hash long, chunk int, matrix array<double>").withColumn("block", F.floor(F.col("chunk") / block_chunks).cast("int"))
-    )
+            for k in range(batch.num_rows):
+                row, block, chunk, size, part = (c[k].as_py() for c in batch.columns)
+                flat = made.transfer(prepared_part(chunk, part), size).reshape(-1)
+                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([block], pa.int32()), pa.array([chunk], pa.int32()), pa.array([flat], pa.list_(pa.int64()))], ["row", "block", "chunk", "matrix"])
+
+    matrices = cut(chunks.select("row", "block", "chunk", "size", "part").mapInArrow(matrices_of, "row long, block int, chunk int, matrix array<long>"))
 
     def product(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, each = _matrices(table, "chunk", "matrix")
+        _, each = _ordered(table, "chunk", "matrix")
+        each = each.reshape(-1, width, width)
         total = each[0]
         for m in each[1:]:
             total = max_plus(total, m)
-        return pa.table([[key[0].as_py()], [key[1].as_py()], [key[2].as_py()], [total.reshape(-1).tolist()]], schema=_schema("matrix"))
-
-    def block_states(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        blocks, each = _matrices(table, "block", "matrix")
-        start = np.full(len(each[0]), -np.inf)
-        start[0] = 0.0
-        vectors, states = entries(start, 0, each)
-        size = len(blocks)
-        return pa.table([[key[0].as_py()] * size, [key[1].as_py()] * size, blocks, [v.tolist() for v in vectors], [*states[1:], 0]], schema=_schema("vector").append(pa.field("exit", pa.int32())))
-
-    def chunk_states(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        chunks, each = _matrices(table, "chunk", "matrix")
-        _, states = entries(np.array(table["vector"][0].as_py(), float), table["exit"][0].as_py(), each)
-        size = len(chunks)
-        return pa.table([[key[0].as_py()] * size, [key[1].as_py()] * size, chunks, states], schema=pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("chunk", pa.int32()), ("entry", pa.int32())]))
-
-    def _schema(name: str) -> pa.Schema:
-        return pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("block", pa.int32()), (name, pa.list_(pa.float64()))])
-
-    blocks = (
-        matrices.groupBy("doc_id", "hash", "block")
-        .applyInArrow(product, "doc_id long, hash long, block int, matrix array<double>")
-        .groupBy("doc_id", "hash")
-        .applyInArrow(block_states, "doc_id long, hash long, block int, vector array<double>, exit int")
-    )
-    same = [matrices[c].eqNullSafe(blocks[c]) for c in ("doc_id", "hash", "block")]
-    cuts = (
-        matrices.join(blocks, same)
-        .select(matrices["doc_id"], matrices["hash"], matrices["block"], "chunk", "matrix", "vector", "exit")
-        .groupBy("doc_id", "hash", "block")
-        .applyInArrow(chunk_states, "doc_id long, hash long, chunk int, entry int")
-        .groupBy("doc_id", "hash")
-        .agg(F.sort_array(F.collect_list(F.struct("chunk", "entry"))).alias("cuts"))  # two numbers a chunk
-    )
-    cuts = cut(cuts.join(copies, [cuts[c].eqNullSafe(copies[c]) for c in ("doc_id", "hash")]).select(cuts["doc_id"], cuts["hash"], F.col("cuts.entry").alias("entries"), "copies"))
+        return pa.table([[key[0].as_py()], [key[1].as_py()], [total.reshape(-1)]], schema=_schema("block", "matrix"))
 
-    def parts(batches):
+    def vectors(key: int, order: str, table: pa.Table, first: np.ndarray) -> pa.Table:
+        """Best scores at the first cut of each matrix of a row."""
+        numbers, each = _ordered(table, order, "matrix")
+        found = [first]
+        for m in each.reshape(-1, width, width)[:-1]:
+            found.append(max_plus(found[-1], m))
+        return pa.table([[key] * len(numbers), numbers, found], schema=_schema(order, "vector"))
+
+    def block_vectors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return vectors(key[0].as_py(), "block", table, np.array([0] + [_NONE] * (width - 1), np.int64))
+
+    def chunk_vectors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return vectors(key[0].as_py(), "chunk", table, np.array(table["vector"][0].as_py(), np.int64))
+
+    def _schema(order: str, name: str) -> pa.Schema:
+        return pa.schema([("row", pa.int64()), (order, pa.int32()), (name, pa.list_(pa.int64()))])
+
+    blocks = matrices.groupBy("row", "block").applyInArrow(product, "row long, block int, matrix array<long>")
+    starts = blocks.groupBy("row").applyInArrow(block_vectors, "row long, block int, vector array<long>")  # a block's matrix for a million characters
+    at_cuts = matrices.join(starts, ["row", "block"]).groupBy("row", "block").applyInArrow(chunk_vectors, "row long, chunk int, vector array<long>")
+
+    def maps_of(batches):
+        made = _segmenter(shared.value)
         for batch in batches:
-            for doc_id, text, states in zip(*batch.columns):
-                s, states = prepared(str(text)), [*states.as_py(), 0]
-                bounds = chunk_bounds(len(s), chunk_chars)
-                texts = [s[a + states[c] : b + states[c + 1]] for c, (a, b) in enumerate(bounds)]
-                size = len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id.as_py()] * size, pa.int64()), pa.array(range(size), pa.int32()), pa.array([size] * size, pa.int32()), pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.binary())],
-                    ["doc_id", "chunk", "n_chunks", "part"],
-                )
-
-    def segmented(batches):
-        segmenter = Segmenter(shared.value)
+            for k in range(batch.num_rows):
+                row, chunk, size, part, first = (c[k].as_py() for c in batch.columns)
+                entry = made.entries(prepared_part(chunk, part), size, np.array(first, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([chunk], pa.int32()), pa.array([entry], pa.list_(pa.int32()))], ["row", "chunk", "entries"])
+
+    maps = chunks.join(at_cuts, ["row", "chunk"]).select("row", "chunk", "size", "part", "vector").mapInArrow(maps_of, "row long, chunk int, entries array<int>")
+
+    def composed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Entry and exit state of each chunk of a row, from a few numbers a chunk."""
+        numbers, each = _ordered(table, "chunk", "entries")
+        state, found = 0, []
+        for entry in each[::-1]:
+            found.append((int(entry[state]), state))
+            state = int(entry[state])
+        found.reverse()
+        return pa.table(
+            [[key[0].as_py()] * len(numbers), numbers, [a for a, _ in found], [b for _, b in found]],
+            schema=pa.schema([("row", pa.int64()), ("chunk", pa.int32()), ("entry", pa.int32()), ("exit", pa.int32())]),
+        )
+
+    states = maps.groupBy("row").applyInArrow(composed, "row long, chunk int, entry int, exit int")
+
+    def parts(batches):
         for batch in _slices(batches):
-            made = segmenter.segment([p.as_py().decode("utf-8", "surrogatepass") for p in batch.column(3)])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([s for s, _ in made], pa.float64()), pa.array([i for _, i in made], pa.list_(pa.int32()))],
-                ["doc_id", "chunk", "n_chunks", "score", "ids"],
-            )
+            columns = [c.to_pylist() for c in batch.columns[3:]]
+            yield coded(batch, 4, [prepared_part(chunk, part)[entry : size + to] for chunk, size, part, entry, to in zip(*columns)])
 
     large = (
-        giants.join(cuts, [giants[c].eqNullSafe(cuts[c]) for c in ("doc_id", "hash")])
-        .select(giants["doc_id"], "text", "entries")
-        .mapInArrow(parts, "doc_id long, chunk int, n_chunks int, part binary")
-        .repartition("doc_id", "chunk")
-        .mapInArrow(segmented, result)
+        chunks.join(states, ["row", "chunk"])
+        .select("doc_id", "row", "n_chunks", "chunk", "size", "part", "entry", "exit")
+        .mapInArrow(parts, "doc_id long, row long, n_chunks int, chunk int, score double, ids array<int>")
+        .groupBy("row")  # the chunks of one text
+        .agg(F.first("doc_id").alias("doc_id"), F.first("n_chunks").alias("n_chunks"), F.sum("score").alias("score"), F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
+        .select("doc_id", "n_chunks", "score", F.flatten("parts.ids").alias("ids"))
     )
     return small.unionByName(large)
 
 
 def decoder(model_path: str):
-    """An Arrow function of a chunk's ids and number that gives its text back."""
+    """An Arrow function of a text's ids that gives the text back."""
     vocabulary = load_vocabulary(model_path)
     spelt = {i: p.replace(_SPACE, " ").encode() for p, (i, _) in vocabulary.pieces.items()}
     spelt |= {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
@@ -334,15 +366,14 @@ def decoder(model_path: str):
     sizes = np.array([len(p) for p in parts], np.int64)
     starts = np.cumsum(sizes) - sizes
 
-    def decoded(ids: np.ndarray, first: bool) -> bytes:
+    def decoded(ids: np.ndarray) -> bytes:
         """Bytes of the pieces, one after the other, without the space before a text."""
         lengths = sizes[ids]
         at = np.repeat(starts[ids] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        return data[at][int(first) :].tobytes()
+        return data[at][1:].tobytes()
 
     @F.arrow_udf("string")
-    def decode(ids: pa.Array, chunk: pa.Array) -> pa.Array:
-        texts = [decoded(i.values.to_numpy(), c == 0).decode() for i, c in zip(ids, chunk.to_pylist())]
-        return pa.array(texts, pa.string())
+    def decode(ids: pa.Array) -> pa.Array:
+        return pa.array([decoded(i.values.to_numpy()).decode() for i in ids], pa.string())
 
     return decode

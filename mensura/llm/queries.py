@@ -129,10 +129,8 @@ FROM texts LEFT JOIN base USING (row) LEFT JOIN matched USING (row)
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(read_table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
-    decode = pieces.decoder(SENTENCEPIECE_MODEL)
-    return encoded.withColumn("text", decode("ids", "chunk")).select(
+    return encoded.withColumn("text", pieces.decoder(SENTENCEPIECE_MODEL)("ids")).select(
         "doc_id",
-        "chunk",
         "n_chunks",
         "score",
         F.size("ids").alias("n_pieces"),

@@ -8,8 +8,8 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from mensura.llm import importance, packing, queries
-from tests.llm.test_texts import brute_classes, brute_fingerprint, brute_sketch
+from mensura.llm import importance, packing, pieces, queries
+from tests.llm.test_texts import brute_classes, brute_fingerprint, brute_sketch, library  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -62,14 +62,13 @@ def test_op6(spark, documents):
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
 
 
-def test_op7_round_trip(spark, documents):
-    got = [r for r in queries.op7_sentencepiece(spark, FOLDER).collect()]
-    whole = {r.doc_id: r.decoded_sha256 for r in got if r.n_chunks == 1}
+def test_op7(spark, documents, library):
+    got = {r.doc_id: r for r in queries.op7_sentencepiece(spark, FOLDER).collect()}
+    ids = {r.doc_id: r.ids for r in pieces.encode(spark.read.parquet(f"{FOLDER}/documents.parquet"), queries.SENTENCEPIECE_MODEL).collect()}
+    assert set(got) == {i for i, _ in documents}
     for i, text in documents:
-        if i in whole:
-            assert whole[i] == hashlib.sha256(text.encode()).hexdigest()
-        else:
-            assert sum(r.decoded_chars for r in got if r.doc_id == i) == len(text)
+        assert (got[i].decoded_sha256, got[i].decoded_chars) == (hashlib.sha256(text.encode()).hexdigest(), len(text))
+        assert ids[i] == library.encode(text) and got[i].n_pieces == len(ids[i])
 
 
 def test_op8(spark):
