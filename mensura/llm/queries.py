@@ -12,7 +12,7 @@ from mensura.llm import chat, html_text, licenses, pieces, warc
 from mensura.llm.common import checkpoint_root, read_table
 from mensura.llm.exact_dedup import exact_duplicates
 from mensura.llm.fingerprints import containment, encoded, fingerprint_with_edits, resemblance
-from mensura.llm.importance import fit_importance, importance_sample
+from mensura.llm.importance import fit_importance, importance_scores
 from mensura.llm.packing import pack
 from mensura.llm.simhash import near_duplicates
 
@@ -58,7 +58,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_importance(documents, read_table(spark, sf_dir, "labels"))
-    return importance_sample(documents, model).select("doc_id", "log_weight", "sample_key", "selected")
+    return importance_scores(documents, model)
 
 
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 import hashlib
 import html
+import math
 import re
+import struct
 
 import duckdb
+import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mensura.llm import importance, packing, pieces, queries
-from tests.llm.test_texts import brute_classes, brute_fingerprint, brute_sketch, library  # noqa: F401
+from tests.llm.test_texts import brute_buckets, brute_classes, brute_fingerprint, brute_sketch, library  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -103,12 +108,85 @@ def test_op10_articles(spark):
         assert got[i] == "\n".join(b for b in blocks if b)
 
 
-def test_op3_and_op4_cover_every_document(spark, documents):
+def spark_hash(seed, *values):
+    """Spark's xxhash64 of longs, ints (as ``i``) and strings, signed."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_op4(spark, documents):
+    labels = {}
+    for i, quality in rows("labels", "doc_id, quality", "doc_id"):
+        labels.setdefault(i, set()).add(quality > 0)
+    known = {i: q.pop() for i, q in labels.items() if len(q) == 1}
+    fit = {i for i in known if spark_hash(42, struct.pack("<q", i), struct.pack("<i", 1)) % 2 == 0}
+    grams = {i: brute_buckets(t) for i, t in documents}
+    counts = np.zeros((2, 2, importance.BUCKETS))  # of all and of the target, by kind
+    for i, kinds in grams.items():
+        for kind, buckets in enumerate(kinds):
+            np.add.at(counts[0, kind], buckets, 1)
+            if i in fit and known[i]:
+                np.add.at(counts[1, kind], buckets, 1)
+    share = counts[1].sum(axis=1) / counts[0].sum(axis=1)
+    ratios = np.round((np.log(counts[1] + 16) - np.log(counts[0] * share[:, None] + 16)) * 65536).astype(int)
+    weights = {i: sum(int(ratios[kind][buckets].sum()) for kind, buckets in enumerate(kinds) if buckets) / 65536 for i, kinds in grams.items()}
+    judged = [(weights[i], good) for i, good in known.items() if i not in fit and i in weights]
+    edges = sorted({w for w, _ in judged})
+    edges = [edges[0] - 1, *[(a + b) / 2 for a, b in zip(edges, edges[1:])], edges[-1] + 1]
+    cost = [sum(importance.COST_OF_LOST_GOOD if good else 0 for w, good in judged if w < e) + sum(not good for w, good in judged if w >= e) for e in edges]
+    wanted = sum(w >= edges[cost.index(min(cost))] for w in weights.values())
+    keys = {}
+    for i, t in documents:
+        u = ((spark_hash(42, struct.pack("<q", i), t.encode(), struct.pack("<i", importance.SEED)) % (1 << 64) >> 11) + 0.5) / (1 << 53)
+        keys[i] = math.floor((weights[i] - math.log(-math.log(u))) * (1 << 32))
+    taken = set(sorted(keys, key=keys.get, reverse=True)[:wanted])
+    got = {r.doc_id: r for r in queries.op4_importance_resampling(spark, FOLDER).collect()}
+    assert set(got) == set(keys)
+    for i, r in got.items():
+        assert r.log_weight == weights[i] and abs(r.sample_key - keys[i]) < 1 << 16
+    assert {i for i, r in got.items() if r.selected} == taken
+
+
+def test_op4_accuracy(spark):
+    """All labelled rows, of which half are used for the ratios and half for the cut."""
+    folder = "/root/testdata/sf0.1"
+    documents, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    scores = importance.importance_scores(documents, importance.fit_importance(documents, labels))
+    judged = scores.join(labels, "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum((~F.col("selected")).cast("int")).alias("out"))
+    got = {r.quality: (r.n, r.out) for r in judged.collect()}
+    assert got[1][1] <= 0.001 * got[1][0] and got[0][1] >= 0.98 * got[0][0]
+
+
+def test_op3_covers_every_document(spark, documents):
     packed = queries.op3_best_fit_packing(spark, FOLDER).collect()
     assert {r.doc_id for r in packed} == {i for i, _ in documents}
     assert sum(r.piece_tokens for r in packed) == sum(len(re.findall(r"\S+", t)) + 1 for _, t in documents)
-    scored = queries.op4_importance_resampling(spark, FOLDER).collect()
-    assert len(scored) == len(documents) and 0 < sum(r.selected for r in scored) < len(scored)
+
+
+def resembling_classes(texts, least=0.8):
+    """Least id of the class of each of the (id, text), from all pairs of five-word shingle sets."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(lower))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted(sets, key=lambda i: len(sets[i]))
+    for k, a in enumerate(order):
+        for b in order[k + 1 :]:
+            if len(sets[a]) < least * len(sets[b]):
+                break
+            both = len(sets[a] & sets[b])
+            if both >= least * (len(sets[a]) + len(sets[b]) - both):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    return {i: top(i) for i in sets}
 
 
 def test_pipeline(spark, documents):
@@ -119,14 +197,11 @@ def test_pipeline(spark, documents):
     kept = {}
     for i, t in good.items():
         kept[t] = max(i, kept.get(t, i))
-    prints = {i: brute_fingerprint(t) for t, i in kept.items()}
-    classes = brute_classes(set(prints.values()), 4)
-    least = {}
-    for i, p in prints.items():
-        least[classes[p]] = min(i, least.get(classes[p], i))
+    # the stage's contract: five-word shingles and a resemblance of 0.8 and more
+    left = set(resembling_classes([(i, t) for t, i in kept.items()]).values())
     packed = corpus_pipeline.run(spark, FOLDER).collect()
-    assert {r.doc_id for r in packed} == set(least.values())
-    want = {i: len(re.findall(r"\S+", t)) + 1 for t, i in kept.items() if i in set(least.values())}
+    assert {r.doc_id for r in packed} == left
+    want = {i: len(re.findall(r"\S+", t)) + 1 for t, i in kept.items() if i in left}
     seen = {}
     for r in packed:
         seen[r.doc_id] = seen.get(r.doc_id, 0) + r.piece_tokens

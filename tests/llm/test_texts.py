@@ -255,19 +255,32 @@ def test_importance_sampling(spark):
     assert importance.drop_low_quality(docs.limit(0), labels).count() == 0
 
 
-def test_weights_do_not_depend_on_the_batch(monkeypatch):
+def brute_buckets(text):
+    """Buckets of the runs of four bytes and of the word pairs of a text, one by one."""
+    data, base, mod = text.encode(), 0x9E3779B97F4A7C15, 1 << 64
+    runs = [(int.from_bytes(data[i : i + 4], "little") * 2654435761 % (1 << 32)) >> 16 for i in range(len(data) - 3)]
+    hashes = [sum(c * pow(base, k, mod) for k, c in enumerate(w)) % mod for w in re.split(rb"[\x00-\x20]+", data) if w]
+    pairs = [0 if x == y else max((x * base % mod ^ y) * 0xC2B2AE3D27D4EB4F % mod % 4096, 1) for x, y in zip(hashes, hashes[1:])]
+    return runs, pairs
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 1000, 1 << 20])
+def test_weights_lose_no_gram_in_long_texts(piece):
     import numpy as np
     import pyarrow as pa
 
     rng = random.Random(6)
-    texts = ["", "a", "abc", " ", "x  y", "é é é"] + [words(rng, rng.randrange(200)) for _ in range(50)]
-    ratios = np.random.default_rng(1).integers(-9999, 9999, (2, importance.BUCKETS))
-    whole = importance._weigh(pa.array(texts), ratios, 64)
-    single = np.concatenate([importance._weigh(pa.array([t]), ratios, 64) for t in texts])
-    sliced = importance._weigh(pa.array(["zz", *texts]).slice(1), ratios, 64)
-    assert (whole == single).all() and (whole == sliced).all()
-    grams = importance._grams(np.frombuffer(b"ab cd ab ab", np.uint8), np.array([0, 11]))
-    assert len(grams[0][0]) == 8 and len(grams[1][0]) == 3 and grams[1][0][2] == 0 and (grams[1][0][:2] > 0).all()
+    texts = [words(rng, rng.randrange(0, 300)) for _ in range(30)] + ["", "x", "ab", "x" * 500, " ", "  a  b ", "é" * 77, words(rng, 40) + "y" * 200 + " " + words(rng, 5)]
+    ratios = np.random.default_rng(1).integers(-(1 << 20), 1 << 20, (2, importance.BUCKETS))
+    want = [sum(int(ratios[kind][b]) for kind, buckets in enumerate(brute_buckets(t)) for b in buckets) / (1 << 16) for t in texts]
+    assert importance._weigh(pa.array(texts), ratios, piece).tolist() == want
+    assert importance._weigh(pa.array(["zz", *texts]).slice(1), ratios, piece).tolist() == want
+    counts, brute = np.zeros((2, importance.BUCKETS), np.int64), np.zeros((2, importance.BUCKETS), np.int64)
+    importance._count(pa.array(texts), counts, piece)
+    for t in texts:
+        for kind, buckets in enumerate(brute_buckets(t)):
+            np.add.at(brute[kind], buckets, 1)
+    assert (counts == brute).all()
 
 
 def test_kth_largest(spark):
