@@ -20,7 +20,7 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(i, u, h, "x", 0) for i, u, h in pages]
     frame = spark.createDataFrame(rows, PAGES).repartition(3)
     folder = str(tmp_path / "archives")
-    warc.write_archives(frame, folder, records_per_file=2)
+    warc.write_archives(frame, folder, file_bytes=500)
     read = warc.read_archives(spark, folder)
     assert sorted(r.payload.decode() for r in read.collect() if r.record_type == "response") == sorted({h or "" for _, _, h in pages})
     got = warc.resolved_records(read).collect()
@@ -38,10 +38,65 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_warc_least_bytes_and_empty_table(spark, tmp_path):
     frame = spark.createDataFrame([(1, "u", "ab", "", 0), (2, "u", "ab", "", 0), (3, "u", "abc", "", 0), (4, "u", "abc", "", 0)], PAGES)
-    kinds = {r.page_id: r.record_type for r in warc.resolve_revisits(frame, least_bytes=3).collect()}
-    assert kinds == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+    responses, revisits = warc.resolve_revisits(frame, least_bytes=3)
+    assert sorted(r.page_id for r in responses.collect()) == [1, 2, 3]
+    assert [(r.page_id, r.refers_to) for r in revisits.collect()] == [(4, 3)]
     warc.write_archives(frame.limit(0), str(tmp_path / "none"))
-    assert warc.resolve_revisits(frame.limit(0)).count() == 0
+    assert warc.resolved_records(warc.read_archives(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_warc_files(spark, tmp_path):
+    """A gzip member a record, warcinfo first, dates in UTC, files of bounded size."""
+    import datetime
+    import zlib
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        frame = spark.createDataFrame([(k, f"http://h/{k}", "text é " * 50 * (k % 7 + 1), "", 0) for k in range(60)], PAGES).repartition(2)
+        warc.write_archives(frame, str(tmp_path / "a"), file_bytes=2000)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    seen, files = [], sorted((tmp_path / "a").glob("part-*"))
+    assert len(files) > 2
+    for file in files:
+        data, members = file.read_bytes(), []
+        assert len(data) < 4000
+        while data:
+            member = zlib.decompressobj(31)
+            members.append(member.decompress(data))
+            assert member.eof
+            data = member.unused_data
+        members = [m for m in members if m]
+        assert b"WARC-Type: warcinfo" in members[0]
+        for m in members[1:]:
+            head, _, rest = m.partition(b"\r\n\r\n")
+            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+            assert len(rest) == int(fields["Content-Length"]) + 4 and rest.endswith(b"\r\n\r\n")
+            when = datetime.datetime.strptime(fields["WARC-Date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=datetime.UTC)
+            assert abs((datetime.datetime.now(datetime.UTC) - when).total_seconds()) < 600
+            seen.append(fields)
+    assert len(seen) == 60
+    named = {f["WARC-Record-ID"]: f for f in seen}
+    for f in seen:
+        if f["WARC-Type"] == "revisit":
+            first = named[f["WARC-Refers-To"]]
+            assert f["WARC-Refers-To-Target-URI"] == first["WARC-Target-URI"] and f["WARC-Refers-To-Date"] == first["WARC-Date"]
+            assert f["WARC-Payload-Digest"] == first["WARC-Payload-Digest"] and first["WARC-Type"] == "response"
+    assert sum(f["WARC-Type"] == "response" for f in seen) == 7
+
+
+def test_warc_hot_payload_without_broadcast(spark, tmp_path, monkeypatch):
+    from mensura.operators import joins
+
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 5)
+    frame = spark.createDataFrame([(k, f"u{k}", "hot" if k % 3 else f"p{k // 6}", "", 0) for k in range(60)], PAGES)
+    warc.write_archives(frame, str(tmp_path / "a"))
+    got = {r.page_id: (r.record_type, r.refers_to, r.intact) for r in warc.resolved_records(warc.read_archives(spark, str(tmp_path / "a"))).collect()}
+    for k in range(60):
+        first = 1 if k % 3 else k // 6 * 6
+        assert got[k] == (("response", None, True) if k == first else ("revisit", first, True))
 
 
 def test_escape_is_reversible():
