@@ -5,51 +5,65 @@ backslash is doubled, and one is set after the first character of ``<|``, ``<s>`
 ``</s>``, ``[INST]`` and ``[/INST]``, so that no control string of this or another common
 template is left; dropping each backslash before its character gives the text back.
 
-A conversation is rendered whole and encoded once; the marks are special tokens, so token
-bounds meet turn bounds.  The loss mask comes from binary search of the token offsets in
-the sorted spans of the assistant's texts.
-
-Rows come sorted by conversation and turn within partitions and are read as a stream.  A
-conversation of more than ``PART_CHARS`` characters is given in several parts that end at
-turn bounds, where encoding is independent, so that none is ever held whole.
+A conversation is rendered whole and encoded once; the marks are tokens of their own, so
+token bounds meet turn bounds and turns are encoded alike wherever a text is cut between
+them.  The loss mask comes from binary search of the token offsets, the running sum of the
+tokens' bytes, in the sorted spans of the assistant's texts.
+
+Rows are dealt by ranges of conversation and runs of ``TURNS_TOGETHER`` turns, so that a
+conversation with a large share of all rows is formatted by several tasks, and read as a
+sorted stream.  A conversation that goes on in another range, or has more than
+``PART_CHARS`` characters, is given in several parts that end at turn bounds; its tokens,
+taken in order, are those of the whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mensura.llm.byte_pairs import encoder, load_ranks
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 PART_CHARS = 1 << 20
+TURNS_TOGETHER = 4096
 _CONTROL = re.compile(r"([<\[])(?=\||/?s>|/?INST\])")
 _TURNS = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.DOTALL)
 
 
 def escape(text: str) -> str:
-    return _CONTROL.sub(r"\1" + r"\\", text.replace("\\", "\\\\"))
+    if "\\" in text:
+        text = text.replace("\\", "\\\\")
+    return _CONTROL.sub(r"\1" + r"\\", text) if "<" in text or "[" in text else text
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
+    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL) if "\\" in text else text
+
+
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
 
 
 def render(turns: list[tuple[str, str]], loss_role: str = "assistant") -> tuple[str, np.ndarray]:
-    """Formatted text of (role, text) turns, and start and end of each text under the loss."""
+    """Formatted text of (role, text) turns, and start and end, in bytes, of each text under the loss."""
     parts, spans, at = [], [], 0
     for role, text in turns:
         said = escape(text)
         opening = f"{TURN}{escape(role)}{TEXT}"
+        start = at + _size(opening)
+        end = start + _size(said)
         if role == loss_role:
-            spans.append((at + len(opening), at + len(opening) + len(said)))
+            spans.append((start, end))
         parts.append(f"{opening}{said}{END}")
-        at += len(parts[-1])
+        at = end + len(END)
     return "".join(parts), np.array(spans, np.int64).reshape(-1, 2)
 
 
@@ -61,17 +75,6 @@ def loss_mask(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return (at >= 0) & (offsets[:, 1] <= spans[at, 1]) & (offsets[:, 1] > offsets[:, 0])
 
 
-def load_tokenizer(path: str):
-    """A byte-level tokenizer of the ``tokenizers`` library with the template's marks."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    from tokenizers import Tokenizer, processors
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.add_special_tokens([TURN, TEXT, END])
-    tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
-    return tokenizer
-
-
 def _runs(batches, key: int) -> Iterator[tuple[bool, list]]:
     """Rows of one batch that follow each other with an equal key; true if the key goes on from the last run."""
     last: object = batches  # no key
@@ -87,7 +90,7 @@ def _runs(batches, key: int) -> Iterator[tuple[bool, list]]:
 
 def format_conversations(
     df: DataFrame,
-    tokenizer_path: str,
+    ranks_path: str,
     id_col: str = "conv_id",
     turn_col: str = "turn",
     role_col: str = "role",
@@ -97,10 +100,12 @@ def format_conversations(
 ) -> DataFrame:
     """Format every conversation of ``df``.
 
-    Returns ``conv_id``, ``part``, ``formatted``, ``token_ids`` and ``loss_mask``.  Null
-    roles and texts are empty; rows without a conversation id form one conversation; null
-    turns come first and equal ones go by role and text, so that repeated rows are turns
-    of their own.
+    Returns ``conv_id``, ``part`` (a number in the order of a conversation's parts),
+    ``formatted``, ``token_ids`` and ``loss_mask``.  Null roles and texts are empty; rows
+    without a conversation id form one conversation; null turns come first and equal ones
+    go by role and text, so that repeated rows are turns of their own.  A single text of
+    any size is one turn of one part.  An empty table gives an empty result, and other
+    columns are ignored.  ``ranks_path`` is read by the driver.
     """
     rows = df.select(
         F.col(id_col).cast("long").alias("conv_id"),
@@ -108,17 +113,23 @@ def format_conversations(
         F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("formatted", pa.string()), ("token_ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.bool_()))])
+    shared = df.sparkSession.sparkContext.broadcast(load_ranks(ranks_path, (TURN, TEXT, END)))  # bounded by the file
 
     def formatted(batches):
-        tokenizer = load_tokenizer(tokenizer_path)
+        tokenizer, before = encoder(shared.value), TaskContext.get().partitionId() << 32
 
         def encoded(done: list[tuple[int | None, int, list]]) -> pa.RecordBatch:
-            drawn = [render(turns, loss_role) for _, _, turns in done]
-            made = tokenizer.encode_batch([text for text, _ in drawn], add_special_tokens=False)
-            masks = [loss_mask(np.array(e.offsets, np.int64).reshape(-1, 2), spans) for e, (_, spans) in zip(made, drawn)]
-            columns = [[c for c, _, _ in done], [p for _, p, _ in done], [t for t, _ in drawn], [e.ids for e in made], [m.tolist() for m in masks]]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            texts, ids, masks = [], [], []
+            for _, _, turns in done:
+                text, spans = render(turns, loss_role)
+                texts.append(text)
+                ids.append(tokenizer.encode(text))
+                ends = np.cumsum(tokenizer.sizes[ids[-1]])
+                masks.append(loss_mask(np.column_stack((ends - tokenizer.sizes[ids[-1]], ends)), spans))
+            bounds = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            arrays = [pa.array([c for c, _, _ in done], pa.int64()), pa.array([before + p for _, p, _ in done], pa.int64()), pa.array(texts, pa.string())]
+            arrays += [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(v))) for v in (ids, masks)]
+            return pa.RecordBatch.from_arrays(arrays, ["conv_id", "part", "formatted", "token_ids", "loss_mask"])
 
         done: list[tuple[int | None, int, list]] = []
         conv, part, turns, held, waiting = None, 0, [], 0, 0
@@ -143,51 +154,62 @@ def format_conversations(
         if done:
             yield encoded(done)
 
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    ordered = rows.repartitionByRange("conv_id", F.floor(F.col("turn") / TURNS_TOGETHER)).sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.mapInArrow(formatted, "conv_id long, part long, formatted string, token_ids array<int>, loss_mask array<boolean>")
 
 
-def read_back(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
+def read_back(formatted: DataFrame, ranks_path: str) -> DataFrame:
     """Digest every conversation from its formatted text, and its loss text from the masked tokens.
 
     Returns ``conv_id``, ``n_turns``, ``turns_sha256`` (of role, line feed, text and line
     feed of each turn), ``loss_chars``, ``loss_sha256``, ``formatted_chars`` and ``n_tokens``.
+    Parts are read each on its own; only for the digests of their texts they come in order.
     """
-    schema = pa.schema(
-        [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64())]
-    )
+    shared = formatted.sparkSession.sparkContext.broadcast(load_ranks(ranks_path, (TURN, TEXT, END)))  # bounded by the file
+    counts = ["n_turns", "loss_chars", "formatted_chars", "n_tokens"]
+
+    def read(batches):
+        tokenizer = encoder(shared.value)
+        for batch in batches:
+            rows: list[tuple] = []
+            for text, ids, mask in zip(*batch.columns[2:]):
+                text, ids = str(text), ids.values.to_numpy()
+                turns = _TURNS.findall(text)
+                under = unescape(tokenizer.decode(ids[mask.values.to_numpy(zero_copy_only=False)]))
+                rows.append((len(turns), len(under), len(text), len(ids), "".join([f"{unescape(role)}\n{unescape(said)}\n" for role, said in turns]), under))
+            columns = list(zip(*rows)) or [()] * 6
+            arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(c, pa.string()) for c in columns[4:]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], ["conv_id", "part", *counts, "turns", "loss"])
 
     def digested(batches):
-        tokenizer = load_tokenizer(tokenizer_path)
-        rows: list[dict] = []
+        rows: list[list] = []
         turns_hash = loss_hash = None
 
-        def close():
-            rows[-1]["turns_sha256"], rows[-1]["loss_sha256"] = turns_hash.hexdigest(), loss_hash.hexdigest()
+        def close() -> None:
+            rows[-1] += [turns_hash.hexdigest(), loss_hash.hexdigest()]
 
-        for goes_on, (convs, _, texts, ids, masks) in _runs(batches, 0):
+        def made() -> pa.RecordBatch:
+            types = [pa.int64()] * 5 + [pa.string()] * 2
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["conv_id", *counts, "turns_sha256", "loss_sha256"])
+
+        for goes_on, (convs, _, *numbers, turns, loss) in _runs(batches, 0):
             if not goes_on:
                 if rows:
                     close()
                 if len(rows) >= 1024:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield made()
                     rows = []
                 turns_hash, loss_hash = hashlib.sha256(), hashlib.sha256()
-                rows.append({"conv_id": convs[0], "n_turns": 0, "loss_chars": 0, "formatted_chars": 0, "n_tokens": 0})
-            row = rows[-1]
-            for text, token_ids, mask in zip(texts, ids, masks):
-                row["formatted_chars"] += len(text)
-                row["n_tokens"] += len(token_ids)
-                for role, said in _TURNS.findall(text):
-                    row["n_turns"] += 1
-                    turns_hash.update(f"{unescape(role)}\n{unescape(said)}\n".encode())
-                under = unescape(tokenizer.decode([i for i, m in zip(token_ids, mask) if m], skip_special_tokens=False))
-                row["loss_chars"] += len(under)
+                rows.append([convs[0], 0, 0, 0, 0])
+            rows[-1][1:] = [n + sum(more) for n, more in zip(rows[-1][1:], numbers)]
+            for some, under in zip(turns, loss):
+                turns_hash.update(some.encode())
                 loss_hash.update(under.encode())
         if rows:
             close()
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    ordered = formatted.select("conv_id", "part", "formatted", "token_ids", "loss_mask").repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    return ordered.mapInArrow(digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+            yield made()
 
+    numbers = ", ".join(f"{c} long" for c in counts)
+    parts = formatted.select("conv_id", "part", "formatted", "token_ids", "loss_mask").mapInArrow(read, f"conv_id long, part long, {numbers}, turns string, loss string")
+    ordered = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return ordered.mapInArrow(digested, f"conv_id long, {numbers}, turns_sha256 string, loss_sha256 string")

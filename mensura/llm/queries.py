@@ -17,7 +17,7 @@ from mensura.llm.packing import pack
 from mensura.llm.simhash import near_duplicates
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHAT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+BYTE_PAIR_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"))
+    return pack(read_table(spark, sf_dir, "documents"), BYTE_PAIR_RANKS)
 
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
-    return chat.read_back(chat.format_conversations(rows.unionByName(planted), CHAT_TOKENIZER), CHAT_TOKENIZER).drop("n_tokens")
+    return chat.read_back(chat.format_conversations(rows.unionByName(planted), BYTE_PAIR_RANKS), BYTE_PAIR_RANKS).drop("n_tokens")
 
 
 OP8_SQL = r"""

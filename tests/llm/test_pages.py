@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mensura.llm import chat, html_text, warc
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PAGES = "page_id long, url string, html string, payload string, copy int"
 
 
@@ -132,6 +132,42 @@ def test_chat_round_trip(spark, part_chars):
     assert chat.format_conversations(frame.limit(0), TOKENIZER).count() == 0
 
 
+def test_chat_tokens_do_not_depend_on_parts(spark, monkeypatch):
+    """Tokens and masks of a conversation are the same in one part, in many, and by the other library."""
+    import re
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    said = ["hello there", "  two", "é漢\U0001f600", "don't\n\n", "x" * 50, "", " \\ <|end|>", "12 345"]
+    rows = [(c, t, rng.choice(["user", "assistant"]), " ".join(rng.choice(said) for _ in range(4))) for c in range(4) for t in range(40)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+
+    def tokens(part_chars):
+        found = {}
+        for r in sorted(chat.format_conversations(frame, TOKENIZER, part_chars=part_chars).collect(), key=lambda r: (r.conv_id, r.part)):
+            text, ids, mask = found.setdefault(r.conv_id, ([], [], []))
+            text.append(r.formatted)
+            ids += r.token_ids
+            mask += r.loss_mask
+        return found
+
+    whole = tokens(1 << 20)
+    other = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    for part_chars in (1 << 20, 300, 1):
+        if part_chars < 1 << 20:
+            monkeypatch.setattr(chat, "TURNS_TOGETHER", 8)
+        split = tokens(part_chars)
+        assert {c: ("".join(t), i, m) for c, (t, i, m) in split.items()} == {c: ("".join(t), i, m) for c, (t, i, m) in whole.items()}
+        assert part_chars == 1 << 20 or all(len(t) > 4 for t, _, _ in split.values())
+    for texts, ids, mask in whole.values():
+        special = [chat.TURN, chat.TEXT, chat.END]
+        want = []
+        for part in filter(None, re.split(r"(<\|(?:turn|text|end)\|>)", "".join(texts))):
+            want += [50256 + special.index(part)] if part in special else other.encode(part, add_special_tokens=False).ids
+        assert ids == want and len(mask) == len(ids)
+
+
 def test_loss_mask_by_offsets():
     import numpy as np
 

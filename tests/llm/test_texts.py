@@ -188,43 +188,83 @@ def test_sketches_merge_and_contain(spark):
     assert abs(row.alike - 1 / 11) < 0.03
 
 
-def test_packing(docs, rows, empty):
-    got = packing.pack(docs, capacities=(16, 64, 256), shard_pieces=20).collect()
-    total = {}
-    for i, t, *_ in rows:
-        total[i] = total.get(i, 0) + len(re.findall(r"\S+", t or "")) + 1
-    seen, bins = {}, {}
-    for r in got:
-        seen[r.doc_id] = seen.get(r.doc_id, 0) + r.piece_tokens
-        bins.setdefault((r.bin_id, r.bin_capacity), []).append((r.bin_offset, r.piece_tokens))
-    assert seen == total
-    for (_, capacity), parts in bins.items():
-        at = 0
-        for offset, size in sorted(parts):
-            assert offset == at
-            at += size
-        assert at <= capacity and capacity == min(c for c in (16, 64, 256) if c >= at)
-    assert packing.pack(empty).count() == 0
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def test_best_fit_places_each_piece_where_least_room_is_left():
-    rng = random.Random(4)
-    sizes = sorted((rng.randrange(0, 65) for _ in range(300)), reverse=True)
-    placed = packing.best_fit(sizes, (16, 32, 64))
-    assert len({p for p, _, _ in placed}) <= math.ceil(sum(sizes) / 64) + 5
-    # the same rule with a plain search over all bins
-    bins, left = [], sum(sizes)
-    for size, (place, offset, _) in zip(sizes, placed):
-        rooms = [c - u for c, u in bins]
-        fits = [r for r in rooms if r >= size]
+def plain_best_fit(sizes, capacities):
+    """The rule of packing, by looking at every bin and every waiting piece."""
+    bins, placed = [], []  # capacity and tokens of each
+    for k, size in enumerate(sizes):
+        fits = [(c - u, n) for n, (c, u) in enumerate(bins) if c - u >= size]
         if fits:
-            assert rooms[place] == min(fits)
+            least = min(room for room, _ in fits)
+            options = [n for room, n in fits if room == least]
         else:
-            assert place == len(bins)
-            bins.append([packing.cheapest_capacity(size, left, (16, 32, 64)), 0])
-        assert offset == bins[place][1]
-        bins[place][1] += size
-        left -= size
+            def a_token(c):
+                waiting = sum(s for s in sizes[k + 1 :] if s <= c - size)
+                return (c + c * c / 8192 + 128) / max(size + min(c - size, waiting), 1)
+
+            bins.append([min((c for c in capacities if c >= size), key=lambda c: (a_token(c), c)), 0])
+            options = [len(bins) - 1]
+        placed.append((options, size))
+        bins[options[-1]][1] += size  # any of them: rooms are the same
+    return sorted((min(c for c in capacities if c >= u), u) for _, u in bins)
+
+
+@pytest.mark.parametrize("capacities", [(16, 32, 64), (512, 1024, 2048, 4096, 8192), (100,)])
+def test_best_fit_is_the_plain_rule(capacities):
+    rng = random.Random(4)
+    for _ in range(5):
+        sizes = sorted((rng.randrange(0, capacities[-1] + 1) if rng.random() < 0.3 else rng.randrange(0, capacities[0]) for _ in range(300)), reverse=True)
+        placed, bins = packing.best_fit(sizes, capacities), {}
+        for size, (place, offset, final) in zip(sizes, placed):
+            assert offset == bins.get(place, (final, 0))[1]
+            bins[place] = (final, offset + size)
+        plain = plain_best_fit(sizes, capacities)
+        assert sum(u for _, u in bins.values()) == sum(u for _, u in plain) == sum(sizes)
+        assert abs(len(bins) - len(plain)) <= 3 and abs(sum(c for c, _ in bins.values()) / sum(c for c, _ in plain) - 1) < 0.02
+        assert all(u <= c and c == min(x for x in capacities if x >= u) for c, u in bins.values())
+
+
+def test_several_capacities_cost_less_than_any_alone():
+    rng = random.Random(8)
+    sizes = sorted((min(int(rng.paretovariate(1.1) * 60), 8192) for _ in range(2000)), reverse=True)
+
+    def total(capacities):
+        return sum(packing.cost(c) for c in {place: final for place, _, final in packing.best_fit(sizes, capacities)}.values())
+
+    opened = {final for _, _, final in packing.best_fit(sizes)}
+    assert len(opened) >= 4 and total(packing.CAPACITIES) < total((8192,))
+    for k in range(len(packing.CAPACITIES)):
+        assert total(packing.CAPACITIES) <= 1.001 * total(packing.CAPACITIES[k:])  # a greedy rule
+
+
+def test_pack(spark, docs, rows, empty):
+    import tiktoken
+
+    from mensura.llm.byte_pairs import PATTERN, load_ranks
+
+    plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=load_ranks(RANKS).of, special_tokens={"<|endoftext|>": 50256})
+    capacities = (16, 64, 256)
+    got = packing.pack(docs, RANKS, capacities=capacities, shard_bytes=2000).collect()
+    made = {}
+    for r in got:
+        assert r.bin_tokens == len(r.token_ids) <= r.bin_capacity == min(c for c in capacities if c >= r.bin_tokens)
+        at = 0
+        for p in r.pieces:
+            assert p.bin_offset == at and p.piece_start == 256 * p.piece
+            made.setdefault((str(p.doc_id), p.piece), []).append(tuple(r.token_ids[at : at + p.tokens]))
+            at += p.tokens
+        assert at == r.bin_tokens
+    want = {}
+    for i, t, *_ in rows:
+        ids = [*plain.encode_ordinary(t or ""), 50256]
+        for k in range(0, len(ids), 256):
+            want.setdefault((str(i), k // 256), []).append(tuple(ids[k : k + 256]))
+    assert {k: sorted(v) for k, v in made.items()} == {k: sorted(v) for k, v in want.items()}
+    again = packing.pack(docs.repartition(3), RANKS, capacities=capacities, shard_bytes=2000).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    assert packing.pack(empty, RANKS).count() == 0
 
 
 def test_importance_sampling(spark):
