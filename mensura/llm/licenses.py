@@ -12,7 +12,10 @@ shares one of a template's first words, its prefix; a text block must have enoug
 (length filter), and from the first shared place enough must be left on either side
 (position filter).  What passes is counted out.
 
-The templates are the bounded side: their words, places and prefixes are broadcast.
+Templates are whole licences and notices of nine words and more: a shorter one would match
+words that stand apart in any order.  They are the bounded side: their words, places and
+prefixes are broadcast.  Texts are divided into words once; the blocks that hold fewer
+template words than any template needs go at once, the rest wait for the counts.
 """
 
 from __future__ import annotations
@@ -25,35 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mensura.llm.common import body, cut
+from mensura.llm.license_texts import BASE_PHRASES, TEMPLATES
 
 BLOCK_WORDS = 64
 THRESHOLD = 0.8
 
-# Labels with the phrases that give them where their words stand consecutively.
-BASE_PHRASES = [
-    ("mit", "under the mit license"),
-    ("apache-2", "apache license version 2"),
-    ("cc-by-nc", "cc by nc"),
-]
-
-# Labels with notices and opening clauses of public licences.
-TEMPLATES = [
-    ("mit", "under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
-    ("apache-2", "apache license version 2"),
-    ("apache-2", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license"),
-    ("cc-by-nc", "cc by nc"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4.0 international license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4.0 international license"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2.0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-]
-
 _SEPARATED = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
@@ -75,14 +54,24 @@ def phrase_starts(words: list[bytes], phrase: bytes, line: bytes) -> list[int]:
     return found
 
 
-def template_blocks(templates: list[tuple[str, str]] = TEMPLATES, block_words: int = BLOCK_WORDS) -> list[tuple[str, list[bytes]]]:
-    """Label and distinct words of each block of the templates."""
-    blocks = []
-    for label, text in templates:
-        words = words_of(text)
-        count = -(-len(words) // (block_words // 2))
+def template_blocks(
+    templates: list[tuple[str, str]] = TEMPLATES, block_words: int = BLOCK_WORDS, threshold: float = THRESHOLD
+) -> list[tuple[str, list[bytes]]]:
+    """Label and distinct words of each block of the templates.
+
+    Of templates of several blocks, those that another label's template would match as
+    well are left out.
+    """
+    split = [(label, words_of(text)) for label, text in templates]
+    half, blocks = block_words // 2, []
+    seen = [(label, set(words[at : at + block_words])) for label, words in split for at in range(0, len(words), half)]
+    for label, words in split:
+        count = -(-len(words) // half)
         size = -(-len(words) // count)
-        blocks += [(label, sorted(set(words[at : at + size]))) for at in range(0, len(words), size)]
+        for at in range(0, len(words), size):
+            block = set(words[at : at + size])
+            if count == 1 or not any(other != label and len(block & text) >= threshold * len(block) for other, text in seen):
+                blocks.append((label, sorted(block)))
     return blocks
 
 
@@ -99,23 +88,6 @@ def _block_words(words: list[bytes], known: dict[bytes, int], size: int) -> dict
     return blocks
 
 
-def block_frequencies(docs: DataFrame, words: list[bytes], block_words: int = BLOCK_WORDS) -> list[int]:
-    """Number of text blocks, of all rows' ``text``, that hold each of the given words."""
-    known = {w: i for i, w in enumerate(words)}
-
-    def counted(batches):
-        counts = np.zeros(len(words), np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                for found in _block_words(words_of(str(text)), known, block_words).values():
-                    counts[list(found)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(words)), pa.int64()), pa.array(counts)], ["word", "n"])
-
-    rows = docs.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    total = dict(map(tuple, rows))  # a row for each template word
-    return [total.get(i, 0) for i in range(len(words))]
-
-
 def scan_licenses(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -130,30 +102,26 @@ def scan_licenses(
     Returns a row per row of ``df``: ``doc_id``, ``n_words``, ``n_base`` (places of the
     phrases), ``first_word`` and ``last_word`` (smallest and largest word they start at,
     else null), ``base_labels``, ``labels`` (base labels and those of matched templates,
-    sorted and joined by commas) and ``score``, the largest containment of a matched
-    template block, zero if none matches.
+    sorted and joined by commas) and ``score``, one if there is a phrase, else the largest
+    containment of a matched template block, zero if none matches.
 
-    A null text counts as empty; repeated rows and null ids are scanned like any other.
+    A null text counts as empty, a text of any length is read whole; repeated rows and null
+    ids are scanned like any other, an empty table gives an empty result, and other columns
+    are ignored.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("text"))
-    blocks = template_blocks(templates, block_words)
+    blocks = template_blocks(templates, block_words, threshold)
     vocabulary = sorted({w for _, words in blocks for w in words})
-    counts = block_frequencies(docs, vocabulary, block_words)
-    rank = {w: r for r, (_, w) in enumerate(sorted(zip(counts, vocabulary)))}
-    entries, prefixes = [], set()
-    for number, (label, words) in enumerate(blocks):
-        ranks = sorted(rank[w] for w in words)
-        need = ceil(threshold * len(ranks) - 1e-9)
-        entries += [(r, number, label, place, ranks, need) for place, r in enumerate(ranks[: len(ranks) - need + 1])]
-        prefixes |= set(ranks[: len(ranks) - need + 1])
+    known = {w: i for i, w in enumerate(vocabulary)}
+    needs = [ceil(threshold * len(words) - 1e-9) for _, words in blocks]
     sought = [(label, b" ".join(words_of(phrase))) for label, phrase in phrases]
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base", pa.list_(pa.string())),
-         ("blocks", pa.list_(pa.struct([("size", pa.int32()), ("ranks", pa.list_(pa.int32()))])))]
+         ("blocks", pa.list_(pa.struct([("size", pa.int32()), ("words", pa.list_(pa.int32()))]))), ("counts", pa.list_(pa.int64()))]
     )
 
     def scanned(batches):
-        half = block_words // 2
+        half, least, counts = block_words // 2, min(needs, default=0), np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -161,11 +129,12 @@ def scan_licenses(
                 line = b" " + b" ".join(words) + b" "
                 base = [(label, at) for label, phrase in sought for at in phrase_starts(words, phrase, line)]
                 starts = [at for _, at in base]
-                candidates = [
-                    {"size": len(set(words[half * b : half * b + block_words])), "ranks": sorted(found)}
-                    for b, found in _block_words(words, rank, block_words).items()
-                    if not prefixes.isdisjoint(found)
-                ]
+                candidates = []
+                for b, found in _block_words(words, known, block_words).items():
+                    found = list(found)
+                    counts[found] += 1
+                    if len(found) >= least:
+                        candidates.append({"size": len(set(words[half * b : half * b + block_words])), "words": found})
                 rows.append(
                     {
                         "doc_id": doc_id,
@@ -178,18 +147,34 @@ def scan_licenses(
                     }
                 )
             yield pa.RecordBatch.from_pylist(rows, schema)
+        yield pa.RecordBatch.from_pylist([{"counts": counts.tolist()}], schema)  # of the task's blocks that hold each word
 
-    found = cut(
+    read = cut(
         docs.mapInArrow(
             scanned,
-            "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<struct<size:int,ranks:array<int>>>",
+            "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<struct<size:int,words:array<int>>>, counts array<long>",
         ).withColumn("row", F.monotonically_increasing_id())
     )
+    totals = read.where("counts is not null").select(F.posexplode("counts").alias("word", "n")).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = dict(map(tuple, totals.collect()))  # a row for each template word
+    order = sorted(range(len(vocabulary)), key=lambda w: (counts.get(w, 0), vocabulary[w]))
+    rank = {w: r for r, w in enumerate(order)}
+    entries, prefixes = [], set()
+    for number, ((label, words), need) in enumerate(zip(blocks, needs)):
+        ranks = sorted(rank[known[w]] for w in words)
+        entries += [(r, number, label, place, ranks, need) for place, r in enumerate(ranks[: len(ranks) - need + 1])]
+        prefixes |= set(ranks[: len(ranks) - need + 1])
+
+    ranks = F.lit([rank[w] for w in range(len(vocabulary))])
+    found = read.where("counts is null").drop("counts")
+    ranked = F.transform("blocks", lambda b: F.struct(b["size"].alias("size"), F.array_sort(F.transform(b["words"], lambda w: F.get(ranks, w))).alias("ranks")))
+    promising = F.filter(ranked, lambda b: F.arrays_overlap(b["ranks"], F.lit(sorted(prefixes))))
     table = F.broadcast(  # a row for each prefix word of each template block
         df.sparkSession.createDataFrame(entries, "rank int, template int, label string, place int, wanted array<int>, need int")
     )
     candidates = (
-        found.select("row", F.posexplode("blocks").alias("block", "b"))
+        found.where(F.size("blocks") > 0)
+        .select("row", F.posexplode(promising).alias("block", "b"))
         .select("row", "block", "b.size", "b.ranks", F.posexplode("b.ranks").alias("at", "rank"))
         .join(table, "rank")
         .where("size >= need")
@@ -211,5 +196,5 @@ def scan_licenses(
         "last_word",
         F.array_join("base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"),
     )

@@ -122,7 +122,7 @@ matched AS (
 SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(base.labels, ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, matched.labels))), ','), '') AS labels,
-       coalesce(score, 0) AS score
+       CASE WHEN n_base > 0 THEN 1 ELSE coalesce(score, 0) END AS score
 FROM texts LEFT JOIN base USING (row) LEFT JOIN matched USING (row)
 """
 

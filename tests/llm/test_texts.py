@@ -344,19 +344,22 @@ def test_licenses(spark):
         6: None,
         7: "This work is licensed under the GNU General Public License, version 3.",
         8: "under mit the license apache",
+        9: "a student under license at the mit, and cc to nc by mail" + filler * 9,
+        10: filler * 500 + dict(licenses.TEMPLATES)["mit"].replace("Software", "software!") + filler * 300,
     }
     rows = [(i, t, "r", 1, "g", None) for i, t in texts.items()] + [(None, "under the mit license", "r", 1, "g", None)] * 2
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert len(got) == 9
+    assert len(got) == 11
     assert (got[1].n_base, got[1].base_labels, got[1].labels, got[1].score) == (1, "mit", "mit", 1.0)
     assert got[1].first_word == got[1].last_word == 30 * 8 + 1
     assert got[2].n_base == 0 and got[2].labels == "mit" and 0.8 <= got[2].score <= 1
     assert (got[3].n_base, got[3].first_word, got[3].last_word, got[3].base_labels) == (3, 2, 11, "apache-2,cc-by-nc")
     assert (got[4].labels, got[4].score, got[4].first_word) == ("", 0.0, None)
-    assert got[5].n_base == 0 and got[5].n_words == 7 and got[5].labels == "mit"
+    assert got[5].n_base == 0 and got[5].n_words == 7 and got[5].labels == ""  # no phrase, and too short for a template
     assert (got[6].n_words, got[6].n_base, got[6].labels) == (0, 0, "")
     assert got[7].labels == "gpl-3"
-    assert got[8].n_base == 0
+    assert got[8].n_base == 0 and got[8].labels == "" and got[9].labels == ""
+    assert got[10].labels == "mit" and got[10].n_base == 0 and got[10].score >= 0.9
     assert got[None].base_labels == "mit"
     assert licenses.scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
 
