@@ -147,8 +147,7 @@ def brute_sketch(text):
 
     hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in found]
     every = {mix(hashes[k : k + 5]) for k in range(len(hashes) - 4)} or ({mix(hashes)} if hashes else set())
-    kept = {h for h in every if h < -(1 << 63) + (1 << 61)}
-    return sorted(kept or ({min(every)} if every else set()))
+    return sorted(h for h in every if h < -(1 << 63) + (1 << 61)), min(every, default=None)
 
 
 def test_fingerprints(docs, rows, empty):
@@ -160,7 +159,7 @@ def test_fingerprints(docs, rows, empty):
         edited = t[: len(t) - half] + after[:half]
         want.append((str(i), len(t), edited, brute_sketch(t), brute_sketch(edited), brute_sketch(after)))
     got = fingerprints.fingerprint_with_edits(docs).collect()
-    got = [(str(r.doc_id), r.n_chars, r.edited_text, r.sketch, r.edited_sketch, r.next_sketch) for r in got]
+    got = [(str(r.doc_id), r.n_chars, r.edited_text, tuple(r.sketch), tuple(r.edited_sketch), tuple(r.next_sketch)) for r in got]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert fingerprints.fingerprint_with_edits(empty).count() == 0
 
@@ -188,6 +187,29 @@ def test_sketches_merge_and_contain(spark):
     assert abs(row.alike - 1 / 11) < 0.03
 
 
+def test_sketch_of_a_union_is_the_union_of_sketches(spark):
+    """Of texts of any length, short ones that keep no hash too: their shingles are those of texts that share no border."""
+    rng = random.Random(9)
+    texts = [(words(rng, rng.randrange(0, 12)), words(rng, rng.randrange(0, 40))) for _ in range(60)]
+    frame = spark.createDataFrame(texts, "a string, b string")
+    got = frame.select("a", "b", fingerprints.merge(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))).alias("m")).collect()
+    short = 0
+    for r in got:
+        (x, p), (y, q) = brute_sketch(r.a), brute_sketch(r.b)
+        short += not x and p is not None
+        assert tuple(r.m) == (sorted({*x, *y}), min((h for h in (p, q) if h is not None), default=None))
+    assert short > 5
+
+
+def test_next_over_outlying_ids(spark):
+    """A few far ids don't crowd all others into one bucket, and neither do null and equal ids lose rows."""
+    ids = [*range(2000), 10**9, 10**15]
+    frame = spark.createDataFrame([(i, str(i)) for i in ids], "id long, v string").repartition(5)
+    got = {r.id: r.next_v for r in fingerprints.with_next(frame, "id", ["v"], bucket_rows=50).collect()}
+    order = sorted(ids, reverse=True)
+    assert got == {i: str(order[(k + 1) % len(order)]) for k, i in enumerate(order)}
+
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
