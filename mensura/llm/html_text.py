@@ -9,14 +9,17 @@ article and main elements if there are any, else the smallest node that holds al
 outside menus, headers and the like.
 
 A page's text is what stands under the nodes matched with those, without the parts that
-are never content and, where no article or main is named, without template parts that no
-slot stands beside.  A page in which nothing matches names its own nodes by the same rule.
+are never content and without template: elements below, but no headings and paragraphs,
+whose text is the same on most pages of the host, pages that differ elsewhere.  So what a
+few copies of an article share is no template, and articles and main elements that are the
+same on all pages are none of the content if others vary.  A page in which nothing matches
+names its own nodes by the same rule.
 
 Some marks (a class ``related``, a header) tell of menus and the like only perhaps.  Such
 elements name no content; within it they go if their text is the same over the host.
 
-Only outlines, counts and digests are combined by host, in sums, minima and maxima that
-Spark merges before the shuffle; an outline's alignment is worked out once a task.
+Tasks combine their pages by host and outline before anything is shuffled; what follows
+are sums, minima and maxima by host and node, and an outline's alignment, made once.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from mensura.llm.common import body, cut
 
 BROADCAST_BYTES = 8 << 20
+OUTLINES_HELD = 4096  # that a task combines before it hands them on
 NEVER_MARK = "-"  # in the kind of an element that is never content
 PERHAPS_MARK = "!"  # in that of one that is none outside the content and, within, by its host's alignment
 
@@ -77,8 +81,11 @@ CLOSED_BY = {
 }
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|\Z)""", re.IGNORECASE)
+# quoted values may hold a greater-than sign; no part is tried twice, so that a page is read in linear time
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_BROKEN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)([^>]*+)>")  # from the first quote on that isn't closed
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+""")
+_TOLD = frozenset("class id role hidden aria-hidden".split())
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -106,6 +113,8 @@ def _element(tag: str, attributes: str) -> Node:
     if attributes:
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.lower().strip("\"'")
+            if name not in _TOLD:
+                continue
             words, whole = _NAME.findall(value), value.replace("_", "-").split()
             marks += words
             skip |= name == "hidden" or (name == "aria-hidden" and words == ["true"])
@@ -121,14 +130,34 @@ def _element(tag: str, attributes: str) -> Node:
 def parse(page: str) -> Node:
     """DOM of a page; missing end tags are supplied and stray ones passed over."""
     root = Node("#root", "#root", False)
-    stack, at = [root], 0
-    while found := _MARKUP.search(page, at):
-        if found.start() > at:
-            stack[-1].content.append(page[at : found.start()])
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag:
+    stack, at, text_from, tags = [root], 0, 0, _TAG
+    while (at := page.find("<", at)) >= 0:
+        mark = page[at + 1 : at + 2]
+        found = None
+        if mark in ("!", "?"):
+            comment = page.startswith("<!--", at)
+            end = page.find("-->" if comment else ">", at + 2 * comment)
+            after = len(page) if end < 0 else end + (3 if comment else 1)
+        elif mark == "/" or "a" <= mark.lower() <= "z":
+            found = tags.match(page, at)
+            if not found and tags is _TAG:
+                tags = _BROKEN_TAG
+                found = tags.match(page, at)
+            if not found:
+                if page.find(">", at) < 0:
+                    break  # no tag comes
+                at += 1
+                continue
+            after = found.end()
+        else:
+            at += 1
             continue
+        if at > text_from:
+            stack[-1].content.append(page[text_from:at])
+        at = text_from = after
+        if not found:
+            continue
+        tag = found[2].lower()
         if found[1]:
             places = [i for i, node in enumerate(stack) if node.tag == tag]
             if places:
@@ -150,12 +179,12 @@ def parse(page: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
             element.content.append(page[at : end.start() if end else len(page)])
-            at = end.end() if end else len(page)
+            at = text_from = end.end() if end else len(page)
             continue
         if len(stack) < MAX_DEPTH:
             stack.append(element)
-    if at < len(page):
-        stack[-1].content.append(page[at:])
+    if text_from < len(page):
+        stack[-1].content.append(page[text_from:])
     return root
 
 
@@ -225,28 +254,67 @@ def paths(tree: Outline, prefix: str = "") -> list[str]:
     return [here, *(p for child in tree[1] for p in paths(child, here))]
 
 
-def simple_tree_match(a: Outline, b: Outline, to_a: str = "", to_b: str = "") -> tuple[int, dict[str, str]]:
+def simple_tree_match(a: Outline, b: Outline) -> tuple[int, dict[str, str]]:
     """Size of the largest order-keeping match of two trees whose roots match, and the matched paths of ``a`` in ``b``."""
-    if a[0].partition(".")[0] != b[0].partition(".")[0]:
+
+    def match(a: Outline, b: Outline) -> tuple[int, tuple]:
+        """Size and matched pair of nodes with those of their children."""
+        rows = [[0] * (len(b[1]) + 1)]
+        under: dict[tuple[int, int], tuple[int, tuple]] = {}
+        for i, x in enumerate(a[1]):
+            row = [0]
+            for k, y in enumerate(b[1]):
+                best = max(rows[-1][k + 1], row[-1])
+                if _tag_of(x) == _tag_of(y):
+                    size, pair = match(x, y)
+                    size += x[0] == y[0]  # of equal matches, that of equal marks
+                    if rows[-1][k] + size > best:
+                        best = rows[-1][k] + size
+                        under[i + 1, k + 1] = best, pair
+                row.append(best)
+            rows.append(row)
+        pairs, i, k = [], len(a[1]), len(b[1])
+        while i and k:
+            size, pair = under.get((i, k), (-1, ()))
+            if size == rows[i][k]:
+                pairs.append(pair)
+                i, k = i - 1, k - 1
+            elif rows[i - 1][k] == rows[i][k]:
+                i -= 1
+            else:
+                k -= 1
+        return rows[-1][-1] + 1, (a[0], b[0], pairs)
+
+    if _tag_of(a) != _tag_of(b):
         return 0, {}
-    at_a, at_b = f"{to_a}/{a[0]}", f"{to_b}/{b[0]}"
-    rows: list[list[tuple[int, dict[str, str]]]] = [[(0, {})] * (len(b[1]) + 1)]
-    for x in a[1]:
-        row = [(0, {})]
-        for k, y in enumerate(b[1]):
-            size, pairs = simple_tree_match(x, y, at_a, at_b)
-            size += x[0] == y[0]  # of equal matches, that of equal marks
-            across = (rows[-1][k][0] + size, rows[-1][k][1] | pairs)
-            row.append(max(rows[-1][k + 1], row[-1], across, key=lambda m: m[0]))
-        rows.append(row)
-    size, pairs = rows[-1][-1]
-    return size + 1, pairs | {at_a: at_b}
+    size, pair = match(a, b)
+    found, todo = {}, [("", "", pair)]
+    while todo:
+        to_a, to_b, (x, y, pairs) = todo.pop()
+        to_a, to_b = f"{to_a}/{x}", f"{to_b}/{y}"
+        found[to_a] = to_b
+        todo += [(to_a, to_b, p) for p in pairs]
+    return size, found
+
+
+def _tag_of(tree: Outline) -> str:
+    return tree[0].partition(".")[0]
 
 
 @lru_cache(1 << 14)
 def alignment(page: str, exemplar: str) -> dict[str, str]:
-    """Paths of one encoded outline in another."""
-    return simple_tree_match(decoded(page), decoded(exemplar))[1]
+    """Paths of one encoded outline in another; a node that the order keeps from matching goes to one of its kind under the same parent."""
+    own, other = decoded(page), decoded(exemplar)
+    pairs = simple_tree_match(own, other)[1]
+    left = set(paths(other)).difference(pairs.values())
+    for path in paths(own):
+        if left and path not in pairs:
+            above, _, kind = path.rpartition("/")
+            place = f"{pairs.get(above)}/{kind}"
+            if place in left:
+                pairs[path] = place
+                left.remove(place)
+    return pairs
 
 
 def at_path(root: Node, path: str) -> list[Node]:
@@ -313,30 +381,36 @@ def named_paths(tree: Outline) -> list[str]:
     return _outermost([p for p in found if not _marked(p.rsplit("/", 1)[0], PERHAPS_MARK)] or found)
 
 
+@lru_cache(1 << 12)
+def _named_in(exemplar: str) -> frozenset[str]:
+    return frozenset(named_paths(decoded(exemplar)))
+
+
 def content_paths(exemplar: Outline, varying: dict[str, int], template: frozenset[str] = frozenset()) -> tuple[list[str], list[str]]:
     """Paths of the nodes that hold the content, and of those below that are template.
 
     Given are the length of varying text by path, and the paths whose text is the same on
-    most pages.  A template node goes only as a whole element (no heading or paragraph) in
-    which nothing varies, and outside the elements that hold varying text themselves;
-    within those, and within articles and main elements, only if it is marked as perhaps
-    no content.
+    most pages.  A template node goes only as a whole element, no heading or paragraph, in
+    which nothing varies; headings and paragraphs only if they are marked as perhaps no
+    content.
     """
     full = [p for p, n in varying.items() if n and not _skipped(p)]
-    found, holders = named_paths(exemplar), None
+    found = named_paths(exemplar)
     if not full:
         return found, []
-    if not found:
+    if found:
+        found = [p for p in found if any(_within(q, p) for q in full)] or found
+    else:
         full = [p for p in full if not _marked(p, PERHAPS_MARK)] or full
         steps = [p.split("/") for p in full]
         shared = next((i for i, kinds in enumerate(zip(*steps)) if len(set(kinds)) > 1), min(map(len, steps)))
         found = [_lifted("/".join(steps[0][:shared]))]
-        holders = set(map(_lifted, full))
 
     def fixed(path: str) -> bool:
         perhaps = path.rsplit("/", 1)[1].split(".")[1:2] == [PERHAPS_MARK]
-        beside = holders is not None and _tag(path) not in PARTS and not any(_within(path, h) for h in holders)
-        return (perhaps or beside) and any(_within(q, path) for q in template) and not any(_within(q, path) for q in varying if q not in template)
+        if not perhaps and _tag(path) in PARTS:
+            return False
+        return any(_within(q, path) for q in template) and not any(_within(q, path) for q in varying if q not in template)
 
     return found, _outermost([p for p in paths(exemplar) if any(p != above and _within(p, above) for above in found) and fixed(p)])
 
@@ -373,8 +447,11 @@ def page_text(page: str, exemplar: str | None, path: str | None, template: str |
     # articles and main elements tell of themselves, also those that the exemplar lacks
     named = found and any(_tag(q) in CONTENT or "main" in q.rsplit("/", 1)[1].split(".") for q in wanted)
     gone: list[str] = []
-    if exemplar and wanted and (fixed or not named):
+    unwanted = _named_in(exemplar).difference(wanted) if exemplar and named else ()
+    if exemplar and wanted and (fixed or unwanted or not named):
         pairs = alignment(encoded(own), exemplar)
+        if unwanted:
+            found = [p for p in found if pairs.get(p) not in unwanted] or found
         if not named:
             found = _outermost([p for p, q in pairs.items() if q in wanted and _tag(p) == _tag(q) and not _skipped(p)]) or found
         if fixed:
@@ -400,54 +477,84 @@ def host_of(url: Column) -> Column:
 def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Exemplar outline of every host and in it the paths of content and template: ``host``, ``exemplar``, ``path``, ``template``."""
     source = pages.select(host_of(F.col(url_col)).alias("host"), body(html_col).alias("html"))
+    ends = ["least", "most", "first", "last"]
+    slot = pa.struct([("node", pa.int32()), ("n", pa.int64()), *((e, pa.int64()) for e in ends), ("length", pa.int64())])
 
     def outlined(batches):
+        """Pages by outline and, by node, those with text: their number, least and greatest digest of it and of the page, and its length."""
+        held: dict[tuple[str, str], tuple[list, dict[int, list]]] = {}
+
+        def made() -> pa.RecordBatch:
+            slots_of = [[{"node": k, "n": v[0], **dict(zip(ends, v[1:5])), "length": v[5]} for k, v in nodes.items()] for _, nodes in held.values()]
+            columns = [pa.array([h for h, _ in held], pa.string()), pa.array([o for _, o in held], pa.string()), pa.array([c[0] for c, _ in held.values()], pa.int64()), pa.array(slots_of, pa.list_(slot))]
+            return pa.RecordBatch.from_arrays(columns, ["host", "outline", "pages", "slots"])
+
         for batch in batches:
-            rows = []
             for host, page in zip(batch.column(0), batch.column(1)):
                 root = parse(str(page))
-                rows.append((str(host), encoded(outline([root])), [{"path": p, "digest": d, "length": n} for p, d, n in slots(root)]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _, _ in rows], pa.string()), pa.array([o for _, o, _ in rows], pa.string()),
-                 pa.array([s for _, _, s in rows], pa.list_(pa.struct([("path", pa.string()), ("digest", pa.int64()), ("length", pa.int64())])))],
-                ["host", "outline", "slots"],
-            )
-
-    # what stands at each node, by outline: equal least and greatest digests mean one text
-    seen = cut(
-        source.mapInArrow(outlined, "host string, outline string, slots array<struct<path:string,digest:long,length:long>>")
-        .select("host", "outline", F.explode_outer("slots").alias("s"))
-        .groupBy("host", "outline", "s.path")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("s.digest").alias("least"), F.max("s.digest").alias("most"), F.sum("s.length").alias("length"))
+                tree, found = outline([root]), slots(root)
+                count, nodes = held.setdefault((str(host), encoded(tree)), ([0], {}))
+                count[0] += 1
+                number = {p: k for k, p in enumerate(paths(tree))}
+                whole = crc32(repr(found).encode())
+                for path, digest, length in found:
+                    if path not in number:
+                        continue
+                    v = nodes.setdefault(number[path], [0, digest, digest, whole, whole, 0])
+                    v[:] = v[0] + 1, min(v[1], digest), max(v[2], digest), min(v[3], whole), max(v[4], whole), v[5] + length
+            if len(held) > OUTLINES_HELD:
+                yield made()
+                held.clear()
+        if held:
+            yield made()
+
+    combined = [F.sum("n").alias("n"), *(f(e).alias(e) for e, f in zip(ends, (F.min, F.max, F.min, F.max))), F.sum("length").alias("length")]
+    stats = ["n", *ends, "length"]
+    parsed = cut(source.mapInArrow(outlined, f"host string, outline string, pages long, slots array<struct<node:int,n:long,{','.join(e + ':long' for e in ends)},length:long>>"))
+    outlines = cut(parsed.groupBy("host", "outline").agg(F.sum("pages").alias("n")).withColumn("code", F.xxhash64("outline")))
+    exemplars = cut(outlines.groupBy("host").agg(F.max(F.struct("n", "outline")).alias("best"), F.sum("n").alias("pages")).select("host", F.col("best.outline").alias("exemplar"), "pages"))
+
+    @F.arrow_udf("array<int>")
+    def aligned(page: pa.Array, exemplar: pa.Array) -> pa.Array:
+        """For each node of an outline, its number in the exemplar; -1 for none."""
+        found = []
+        for own, other in zip(page.to_pylist(), exemplar.to_pylist()):
+            number = {p: k for k, p in enumerate(paths(decoded(other)))}
+            pairs = alignment(own, other)
+            found.append([number.get(pairs.get(p), -1) for p in paths(decoded(own))])
+        return pa.array(found, pa.list_(pa.int32()))
+
+    places = cut(outlines.join(exemplars.select("host", "exemplar"), "host").select("host", "code", aligned("outline", "exemplar").alias("places")))
+    seen = parsed.select("host", F.xxhash64("outline").alias("code"), F.explode("slots").alias("s")).select("host", "code", "s.node", *[f"s.{c}" for c in stats]).groupBy("host", "code", "node").agg(*combined)
+    by_node = (
+        seen.join(places, ["host", "code"])
+        .withColumn("place", F.get("places", F.col("node")))
+        .where("place >= 0")
+        .groupBy("host", "place")
+        .agg(*combined)
+        .join(exemplars.select("host", "pages"), "host")
     )
-    outlines = seen.groupBy("host", "outline").agg(F.max("n").alias("n"))
-    exemplars = outlines.groupBy("host").agg(F.max(F.struct("n", "outline")).alias("best"), F.sum("n").alias("pages"))
-    exemplars = exemplars.select("host", F.col("best.outline").alias("exemplar"), "pages")
-
-    @F.udf("string")
-    def place(path, page, exemplar):
-        return alignment(page, exemplar).get(path) if path else None
-
-    aligned = (
-        seen.join(exemplars, "host")
-        .withColumn("place", place("path", "outline", "exemplar"))
-        .groupBy("host", "exemplar", "pages", "place")
-        .agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("length").alias("length"))
+    same = F.col("least") == F.col("most")
+    # a text seen once may vary, and one of which all pages are copies of each other; what few pages share is no template of the host
+    shared = same & (F.col("n") > 1) & (F.col("first") != F.col("last"))
+    fixed = shared & (2 * F.col("n") >= F.col("pages"))
+    nodes = by_node.groupBy("host").agg(  # an entry for each node of the exemplar
+        F.collect_list(F.struct("place", F.when(shared, 0).otherwise(F.col("length")).alias("length"), fixed.alias("fixed"))).alias("nodes")
     )
-    # a text seen once may vary: only what several pages share is template
-    varies = F.when((F.col("least") != F.col("most")) | (F.col("n") == 1), F.col("length")).otherwise(0)
-    # what a few copies of a page share is no template of the host
-    fixed = (varies == 0) & (2 * F.col("n") >= F.col("pages"))
-    by_host = aligned.groupBy("host", "exemplar").agg(
-        F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", varies.alias("length"), fixed.alias("fixed")))).alias("nodes")  # a row for each exemplar node
-    )
-
-    @F.udf("path string, template string")
-    def chosen(exemplar, nodes):
-        found = content_paths(decoded(exemplar), {n["place"]: n["length"] for n in nodes}, frozenset(n["place"] for n in nodes if n["fixed"]))
-        return tuple(" ".join(p) for p in found)
 
-    return by_host.select("host", "exemplar", chosen("exemplar", "nodes").alias("found")).select("host", "exemplar", "found.path", "found.template")
+    @F.arrow_udf("struct<path:string,template:string>")
+    def chosen(exemplar: pa.Array, nodes: pa.Array) -> pa.Array:
+        rows = []
+        for text, held in zip(exemplar.to_pylist(), nodes.to_pylist()):
+            tree = decoded(text)
+            at = paths(tree)
+            held = [(at[n["place"]], n["length"], n["fixed"]) for n in held or []]
+            found = content_paths(tree, {p: n for p, n, _ in held}, frozenset(p for p, _, f in held if f))
+            rows.append({"path": " ".join(found[0]), "template": " ".join(found[1])})
+        return pa.array(rows, pa.struct([("path", pa.string()), ("template", pa.string())]))
+
+    by_host = exemplars.join(nodes, "host", "left").select("host", "exemplar", chosen("exemplar", "nodes").alias("found"))
+    return by_host.select("host", "exemplar", "found.path", "found.template")
 
 
 def extract_text(

@@ -266,3 +266,82 @@ def test_perhaps_marked_parts_by_alignment(spark):
     # copies of one page tell nothing
     page = '<article><div class="legal">Case</div><p>text</p></article>'
     assert texts_of_host(spark, [page] * 3) == ["Case\ntext"] * 3
+
+
+def test_words_in_values_of_other_attributes_and_in_ids_take_nothing_out():
+    said = {
+        '<h1 class="article-header">a</h1>': "a",
+        '<section class="related-work"><p>b</p></section>': "b",
+        '<p class="share-price">c</p>': "c",
+        '<p id="search-algorithms">d</p>': "d",
+        '<p title="the hidden truth">e</p>': "e",
+        '<p data-hidden="false">f</p>': "f",
+        '<p data-id="comment-7">g</p>': "g",
+        '<p class="a>h</p>': "h",
+        "<p title='x > y' hidden>no</p><p>i</p>": "i",
+        "<p>1 < 2 <3 <é</p>": "1 < 2 <3 <é",
+        "<p>j<!-- <p>no --> k<!no><?no?></p>": "j k",
+        "<p>l</p><!-- to the end": "l",
+        "<p>m</p><p no": "m\n<p no",
+    }
+    for html, text in said.items():
+        assert html_text.page_text(f"<article>{html}", None, None) == text, html
+
+
+def test_broken_pages_are_read_in_linear_time():
+    import time
+
+    begin = time.time()
+    for part in ('<a title="x ', "<a ", "<", "<a title='\"' ", '<p class="a>t</p>', "<!-", "</", "<p>"):
+        html_text.page_text("<article><p>start</p>" + part * (1_000_000 // len(part)), None, None)
+    wide = "".join(f'<div class="k{chr(97 + k // 26)}{chr(97 + k % 26)}">t {k}</div>' for k in range(300))
+    tree = html_text.outline([html_text.parse(wide)])
+    assert html_text.simple_tree_match(tree, tree)[0] == 301 + 300 + 0 * len(wide)  # each child counts once more for its marks
+    assert time.time() - begin < 60
+
+
+def invented_host(rng, number):
+    """Pages of a host with a layout and class names of its own, and their content."""
+    name = lambda: "".join(rng.choice("bcdfghjklm") for _ in range(7))
+    names = [name() for _ in range(12)]
+    some = lambda n: " ".join(name() for _ in range(n))
+    article = rng.choice(["article", "main", "div", "section"])
+    top, bottom, inside = some(6), some(9), some(5)
+    made = []
+    for _ in range(rng.randrange(4, 9)):
+        blocks = [some(rng.randrange(3, 12)) for _ in range(rng.randrange(2, 6))]
+        parts = [f"<{tag} class={names[0]}>{b}</{tag}>" for b in blocks for tag in [rng.choice(["p", "p", "h2", "blockquote"])]]
+        parts.insert(rng.randrange(len(parts) + 1), f'<div class="{names[1]}"><span>{inside}</span></div>')  # the host's, among the content
+        page = f'<body><div class="{names[2]}"><ul><li>{top}</ul></div><div class="{names[3]}"><{article} class="{names[4]}">{"".join(parts)}</{article}></div><div class="{names[5]}">{bottom}</div></body>'
+        made.append((f"http://h{number}.example/{len(made)}", page, "\n".join(blocks)))
+    return made + [made[0], made[0]]  # copies too
+
+
+def test_wrappers_find_the_content_of_invented_hosts(spark):
+    rng = random.Random(21)
+    every = [p for number in range(12) for p in invented_host(rng, number)]
+    frame = spark.createDataFrame([(k, url, html, "x", 0) for k, (url, html, _) in enumerate(every)], PAGES).repartition(5)
+    got = {r.page_id: r.text for r in html_text.extract_text(frame).collect()}
+    assert got == {k: text for k, (_, _, text) in enumerate(every)}
+    # by themselves pages can't tell what is their host's
+    alone = [html_text.page_text(html, None, None) for _, html, _ in every]
+    assert all(a != text for a, (_, _, text) in zip(alone, every))
+
+
+def test_what_copies_share_is_no_template(spark):
+    """A container that only copies of one article have stays, and so does the text of a host all of whose pages are copies."""
+    copy = '<body><article><p>Same text</p><div class="q">a quotation</div></article></body>'
+    other = [f"<body><article><p>Text {k} of its own</p></article></body>" for k in range(3)]
+    assert texts_of_host(spark, [copy] * 6 + other) == ["Same text\na quotation"] * 6 + [f"Text {k} of its own" for k in range(3)]
+    assert texts_of_host(spark, [copy] * 4) == ["Same text\na quotation"] * 4
+
+
+def test_constant_articles_are_no_content(spark):
+    teaser = '<div><article class="zz"><p>Read our book</p></article></div>'
+    pages = [f'<body>{teaser}<div class="w"><article><p>Text {k}</p></article></div></body>' for k in range(5)]
+    assert texts_of_host(spark, pages) == [f"Text {k}" for k in range(5)]
+
+
+def test_empty_and_null_pages(spark):
+    frame = spark.createDataFrame([(1, None, None, None, None), (None, None, None, None, None), (2, "http://a/", " ", None, None)], PAGES)
+    assert sorted(((r.page_id, r.text, r.n_chars) for r in html_text.extract_text(frame).collect()), key=str) == [(1, "", 0), (2, "", 0), (None, "", 0)]
