@@ -14,8 +14,7 @@ library has it.  Texts are cut into chunks, and each chunk is a row of its own:
 
 Scores are integers, so that sums are exact and no cut moves a piece.  A space starts a
 piece unless another stands before it, for no piece has a space after another character:
-words are independent, a matrix is an outer sum wherever a chunk has such a place, and
-words are segmented many at once and kept.
+a matrix is an outer sum wherever a chunk has such a place.
 
 A model of kind unigram has its scores in the file.  One of kind BPE has merge ranks
 instead, of which no sum means anything; its pieces get the scores of Zipf's law, minus the
@@ -25,6 +24,7 @@ not that of greedy merging.  Decoding is the same for both.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,14 +42,11 @@ BLOCK_CHUNKS = 64
 SCORE_UNIT = 32  # scores are whole multiples of its inverse
 FALLBACK_COST = 10  # below the least score of a piece, for a character spelt in bytes
 BARRED = -1e8  # pieces of scores below, as runs of spaces in some files, are not used; single characters get the least score
-KEPT_WORDS = 1 << 17  # by a worker process, and as many of before
 _SPACE = "▁"
 _LITERAL = "\udc81"  # stands for U+2581 of the text itself, which goes in bytes; no text holds a lone surrogate
 _NONE = -(1 << 60)  # no path; sums of a few stay in 64 bits
-_LONGEST_WORD = 64  # longer ones are not kept
-_ROWS_AT_ONCE = 256
-_CHAR_BITS = 21
-_WORDS = re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
+_ROWS_AT_ONCE = 128
+_CHARS_AT_ONCE = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -93,122 +90,56 @@ class Segmenter:
     """Best segmentation of prepared text by the scores of a vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.pieces = vocabulary.pieces
-        self.byte_ids = vocabulary.byte_ids
-        self.longest = max(map(len, self.pieces), default=1)
-        self.spelt = min((s for _, s in self.pieces.values()), default=0) - FALLBACK_COST * SCORE_UNIT
-        self.recent: dict[str, tuple[int, list[int]]] = {}  # words with their scores and ids
-        self.before: dict[str, tuple[int, list[int]]] = {}
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, models
+
+        pieces = vocabulary.pieces
+        self.longest = max(map(len, pieces), default=1)
+        self.spelt = min((s for _, s in pieces.values()), default=0) - FALLBACK_COST * SCORE_UNIT
         # a node has its children by character, and the score of the piece that ends there
-        self.root: list = [{}, None, 0]
-        keys, self.scores, self.ids = [], [_NONE], [-1]
-        for piece, (number, score) in self.pieces.items():
+        self.root: list = [{}, None]
+        for piece, (_, score) in pieces.items():
             node = self.root
             for c in piece:
-                if c not in node[0]:
-                    keys.append((node[2] << _CHAR_BITS | ord(c), len(self.scores)))
-                    node[0][c] = [{}, None, len(self.scores)]
-                    self.scores.append(_NONE)
-                    self.ids.append(-1)
-                node = node[0][c]
-            node[1] = self.scores[node[2]] = score
-            self.ids[node[2]] = number
-        # the same tree for many words at once
-        self.keys, self.children = np.array(sorted(keys), np.int64).reshape(-1, 2).T
-        self.scores, self.ids = np.array(self.scores), np.array(self.ids)
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = score
+        # between two cuts the library's unigram model finds the same pieces, by whole scores and the same rule of
+        # ties, in runs of characters that are pieces; any other character is a piece spelt in bytes
+        self.single = {p for p in pieces if len(p) == 1}
+        single = "".join(map(re.escape, self.single))
+        self.runs = re.compile(f"[{single}]+|[^{single}]" if single else ".", re.DOTALL).findall
+        self.best = Tokenizer(models.Unigram([(p, float(score)) for p, (_, score) in pieces.items()], None, False)).encode_batch_fast
+        # by place: pieces, then first bytes of characters that are spelt, then their other bytes
+        self.ids = np.array([i for i, _ in pieces.values()] + 2 * vocabulary.byte_ids, np.int32)
+        self.scores = np.array([score for _, score in pieces.values()] + [self.spelt] * 256 + [0] * 256)
 
     def segment(self, texts: list[str]) -> list[tuple[int, np.ndarray]]:
         """Score and ids of each text, whose ends are cuts."""
-        split = [_WORDS.findall(t) for t in texts]
-        if len(self.recent) > KEPT_WORDS:
-            self.recent, self.before = {}, self.recent
-        known, new = self.recent, set()
-        for words in split:
-            new.update(words)
-        new.difference_update(known)
-        for word in new.intersection(self.before):
-            known[word] = self.before[word]
-        new.difference_update(known)
-        long = {w for w in new if len(w) > _LONGEST_WORD}
-        for word in long:
-            known[word] = self._alone(word)
-        self._together(sorted(new - long, key=len, reverse=True))
-        found = []
-        for words in split:
-            held = [known[w] for w in words]
-            found.append((sum([score for score, _ in held]), np.array([i for _, ids in held for i in ids], np.int32)))
-        for word in long:
-            del known[word]
+        found, group, held = [], [], 0
+        for text in texts:  # few characters at once: the library holds many bytes for each piece
+            if group and held + len(text) > _CHARS_AT_ONCE:
+                found += self._segment(group)
+                group, held = [], 0
+            group.append(text)
+            held += len(text)
+        return found + self._segment(group)
+
+    def _segment(self, texts: list[str]) -> list[tuple[int, np.ndarray]]:
+        split = [self.runs(t) for t in texts]
+        made = iter(self.best([r for runs in split for r in runs if r[0] in self.single], add_special_tokens=False))
+        found, first = [], len(self.scores) - 512
+        for runs in split:
+            places: list[int] = []
+            for run in runs:
+                if run[0] in self.single:
+                    places += next(made).ids
+                else:
+                    spelt = (_SPACE if run == _LITERAL else run).encode("utf-8", "surrogatepass")
+                    places += [first + spelt[0], *(first + 256 + b for b in spelt[1:])]
+            at = np.array(places, np.int64)
+            found.append((int(self.scores[at].sum()), self.ids[at]))
         return found
 
-    def _spelt_ids(self, char: str) -> list[int]:
-        return [self.byte_ids[b] for b in (_SPACE if char == _LITERAL else char).encode("utf-8", "surrogatepass")]
-
-    def _alone(self, word: str) -> tuple[int, list[int]]:
-        best, back = self.forward(word, [0], len(word), len(word))
-        parts, to = [], len(word)
-        while to:
-            at = back[to]
-            piece = self.pieces.get(word[at:to])
-            parts.append([piece[0]] if piece else self._spelt_ids(word[at:to]))
-            to = at
-        return best[-1], [i for part in reversed(parts) for i in part]
-
-    def _together(self, words: list[str]) -> None:
-        """Segment new words, longest first: all words go on by a character at a time, and by a node of the tree."""
-        if not words:
-            return
-        lengths = np.array([len(w) for w in words])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        start = np.cumsum(lengths) - lengths
-        base = start + np.arange(len(words))  # a word has a place more than characters
-        best = np.full(base[-1] + lengths[-1] + 1, _NONE)
-        back, piece = np.zeros(len(best), np.int64), np.full(len(best), -1)
-        best[base] = 0
-
-        def child(node: np.ndarray, code: np.ndarray) -> np.ndarray:
-            key = node << _CHAR_BITS | code
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            return np.where(self.keys[at] == key, self.children[at], -1)
-
-        for p in range(lengths[0]):
-            going = int(np.searchsorted(-lengths, -p))  # words of more than p characters
-            char, place, left = start[:going] + p, base[:going] + p, lengths[:going] - p
-            here = best[place]
-            node = child(np.zeros(going, np.int64), codes[char])
-            alone = (node < 0) | (self.scores[node] == _NONE)
-            better = alone & (here + self.spelt > best[place + 1])
-            best[place[better] + 1], back[place[better] + 1], piece[place[better] + 1] = here[better] + self.spelt, place[better], -1
-            for d in range(1, self.longest + 1):
-                within = node >= 0
-                if not within.all():
-                    node, char, place, left, here = (v[within] for v in (node, char, place, left, here))
-                if not len(node):
-                    break
-                score, to = here + self.scores[node], place + d
-                better = (self.scores[node] > _NONE) & (score > best[to])
-                best[to[better]], back[to[better]], piece[to[better]] = score[better], place[better], self.ids[node[better]]
-                within = left > d
-                node, char, place, left, here = (v[within] for v in (node, char, place, left, here))
-                node = child(node, codes[char + d])
-
-        ends = base + lengths
-        on_path, begins, at = np.zeros(len(best), bool), np.zeros(len(best), bool), ends
-        begins[base] = True
-        while len(at):
-            on_path[at] = True
-            at = back[at]
-            at = at[~begins[at]]
-        places = np.flatnonzero(on_path)
-        bounds = np.searchsorted(places, base)
-        ids, spelt = piece[places].tolist(), np.flatnonzero(piece[places] < 0)
-        chars = dict(zip(spelt.tolist(), (codes[places[spelt] - np.searchsorted(base, places[spelt], "right")]).tolist()))
-        for word, total, a, b in zip(words, best[ends].tolist(), bounds.tolist(), [*bounds[1:].tolist(), len(places)]):
-            part = ids[a:b]
-            if min(part) < 0:
-                part = [i for k, one in enumerate(part, a) for i in ([one] if one >= 0 else self._spelt_ids(chr(chars[k])))]
-            self.recent[word] = total, part
-
     def forward(self, s: str, first: list[int], last: int, end: int) -> tuple[list[int], list[int]]:
         """Best scores at the places up to ``end`` by pieces that start before ``last``, and where the last piece starts.
 
@@ -295,7 +226,7 @@ _ready: list[tuple[Vocabulary, Segmenter]] = []
 
 
 def _segmenter(vocabulary: Vocabulary) -> Segmenter:
-    """The segmenter of a worker process, which keeps its words from task to task."""
+    """The segmenter of a worker process, which stays from task to task."""
     if not _ready or _ready[0][0] is not vocabulary:
         _ready[:] = [(vocabulary, Segmenter(vocabulary))]
     return _ready[0][1]
