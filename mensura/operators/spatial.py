@@ -51,14 +51,15 @@ def nearest_neighbour_ratio(points: DataFrame, by: str, width: float) -> DataFra
 
 
 def random_polarisation(offsets: DataFrame, by: str, patterns: int = 999, seed: int = 42) -> DataFrame:
-    """Share of random patterns of equal radii and hashed directions that are at least as polarised."""
+    """Share ``p`` of random patterns of hashed directions that are at least as polarised, and the length relative to their mean: 0 for that, 1 for all one way."""
     drawn = offsets.where("dx <> 0 or dy <> 0").select(by, "id", F.explode(F.sequence(F.lit(1), F.lit(patterns))).alias("pattern"))
     angle = 2 * F.pi() * F.shiftrightunsigned(F.xxhash64("id", "pattern", F.lit(seed)), 11) / float(1 << 53)
     turned = drawn.groupBy(by, "pattern").agg(F.sum(F.cos(angle)).alias("c"), F.sum(F.sin(angle)).alias("s"), F.count(F.lit(1)).alias("n"))
     lengths = turned.select(by, (F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n")).alias("null_length"))
     own = polarisation(offsets, by)
     counts = lengths.join(own, by).groupBy(by, "length").agg(F.count(F.when(F.col("null_length") >= F.col("length"), 1)).alias("above"), F.avg("null_length").alias("expected"))
-    return counts.select(by, "length", ((F.col("above") + 1) / (patterns + 1)).alias("p"), ratio(F.col("length"), F.col("expected")).alias("relative"))
+    relative = ratio(F.col("length") - F.col("expected"), 1 - F.col("expected"))
+    return counts.select(by, "length", (F.col("above") / patterns).alias("p"), relative.alias("relative"))
 
 
 def hull(points: np.ndarray) -> np.ndarray:
