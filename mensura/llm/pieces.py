@@ -28,6 +28,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from math import log
 
 import numpy as np
@@ -45,8 +46,8 @@ BARRED = -1e8  # pieces of scores below, as runs of spaces in some files, are no
 _SPACE = "▁"
 _LITERAL = "\udc81"  # stands for U+2581 of the text itself, which goes in bytes; no text holds a lone surrogate
 _NONE = -(1 << 60)  # no path; sums of a few stay in 64 bits
-_ROWS_AT_ONCE = 128
-_CHARS_AT_ONCE = 1 << 17
+_ROWS_AT_ONCE = 64
+_CHARS_AT_ONCE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -96,13 +97,7 @@ class Segmenter:
         pieces = vocabulary.pieces
         self.longest = max(map(len, pieces), default=1)
         self.spelt = min((s for _, s in pieces.values()), default=0) - FALLBACK_COST * SCORE_UNIT
-        # a node has its children by character, and the score of the piece that ends there
-        self.root: list = [{}, None]
-        for piece, (_, score) in pieces.items():
-            node = self.root
-            for c in piece:
-                node = node[0].setdefault(c, [{}, None])
-            node[1] = score
+        self.pieces = pieces
         # between two cuts the library's unigram model finds the same pieces, by whole scores and the same rule of
         # ties, in runs of characters that are pieces; any other character is a piece spelt in bytes
         self.single = {p for p in pieces if len(p) == 1}
@@ -113,6 +108,19 @@ class Segmenter:
         self.ids = np.array([i for i, _ in pieces.values()] + 2 * vocabulary.byte_ids, np.int32)
         self.scores = np.array([score for _, score in pieces.values()] + [self.spelt] * 256 + [0] * 256)
 
+    @cached_property
+    def root(self) -> dict:
+        """Pieces as a tree, for chunks whose ends are no cuts: a node is its children by character, if any, and the score of the piece that ends there."""
+        root: list = [{}, None]
+        for piece, (_, score) in self.pieces.items():
+            node = root
+            for c in piece:
+                if node[0] is None:
+                    node[0] = {}
+                node = node[0].setdefault(c, [None, None])
+            node[1] = score
+        return root[0]
+
     def segment(self, texts: list[str]) -> list[tuple[int, np.ndarray]]:
         """Score and ids of each text, whose ends are cuts."""
         found, group, held = [], [], 0
@@ -148,7 +156,7 @@ class Segmenter:
         the piece starts at -1.
         """
         best, back = [*first, *[_NONE] * (end + 1 - len(first))], [-1] * (end + 1)
-        root, spelt, reached = self.root[0], self.spelt, _NONE // 2
+        root, spelt, reached = self.root, self.spelt, _NONE // 2
         for at in range(min(last, end)):
             here = best[at]
             if here <= reached:
@@ -159,7 +167,7 @@ class Segmenter:
             while node is not None:
                 if node[1] is not None and here + node[1] > best[to]:
                     best[to], back[to] = here + node[1], at
-                if to == end:
+                if to == end or node[0] is None:
                     break
                 node = node[0].get(s[to])
                 to += 1
