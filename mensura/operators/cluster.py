@@ -8,7 +8,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions.columns import entropy, margin, ratio
@@ -62,8 +62,44 @@ def gap_statistic(df: DataFrame, most: int = 10, references: int = 10, seed: int
     return spark.createDataFrame(rows, "k int, gap double, error double")
 
 
-def silhouettes(df: DataFrame, label: str, key: str = "id") -> DataFrame:
-    """Exact silhouette of every row by squared Euclidean distance, from sums by cluster.
+def silhouettes(df: DataFrame, label: str, key: str = "id", block: int = 2048) -> DataFrame:
+    """Exact silhouette of every row by Euclidean distance.
+
+    Rows are packed in blocks of about ``block``; a task takes two blocks and gives each row
+    of the one the sum of its distances to each cluster of the other.  The work is that of
+    all distances, which this measure needs; ``squared_silhouettes`` needs a pass only.
+    A row alone in its cluster, or where there is one cluster, has 0.
+    """
+    held = cut(df.select(F.col(key).alias("_k"), F.col(label).alias("_l"), vector_to_array("features").alias("_v")))
+    blocks = max(1, -(-held.count() // block))
+    kind, group = (held.schema[c].dataType.simpleString() for c in ("_k", "_l"))
+    packed = held.withColumn("_b", F.pmod(F.xxhash64("_k", "_v"), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct("_k", "_l", "_v")).alias("_r"))
+    packed = cut(packed.select(F.col("_r._k").alias("_k"), F.col("_r._l").alias("_l"), F.flatten("_r._v").alias("_v")))
+    theirs = packed.select(F.col("_l").alias("_l2"), F.col("_v").alias("_v2"))
+
+    def summed(frames):
+        for frame in frames:
+            for row in frame.itertuples(index=False, name=None):
+                keys, labels, mine, other, yours = row
+                a, b = np.asarray(mine).reshape(len(keys), -1), np.asarray(yours).reshape(len(other), -1)
+                apart = np.concatenate([np.sqrt(((part[:, None] - b[None]) ** 2).sum(axis=2)) for part in np.array_split(a, -(-a.size * len(b) // (1 << 22)) or 1)])
+                names, codes = np.unique(other, return_inverse=True)
+                for i, name in enumerate(names):
+                    yield pd.DataFrame({"key": keys, "label": labels, "other": name, "s": apart[:, codes == i].sum(axis=1)})
+
+    sizes = held.groupBy(F.col("_l").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    # pairs of blocks, not of rows
+    pairs = packed.crossJoin(theirs).mapInPandas(summed, f"key {kind}, label {group}, other {group}, s double")
+    sums = pairs.groupBy("key", "label", "other").agg(F.sum("s").alias("s")).join(sizes, "other")
+    same = F.col("label") == F.col("other")
+    mean = ratio(F.col("s"), F.when(same, F.col("n") - 1).otherwise(F.col("n")))
+    ab = sums.groupBy("key", "label").agg(F.max(F.when(same, mean)).alias("a"), F.min(F.when(~same, mean)).alias("b"))
+    value = F.coalesce(ratio(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    return ab.select(F.col("key").alias(key), F.col("label").alias(label), value.alias("silhouette"))
+
+
+def squared_silhouettes(df: DataFrame, label: str, key: str = "id") -> DataFrame:
+    """Silhouette of every row by *squared* Euclidean distance, from sums by cluster.
 
     The mean squared distance to a cluster follows from its size, its sum and its sum of
     squares, so that no pairs of rows are made.
@@ -148,32 +184,63 @@ def ward_cut(merges: np.ndarray, n: int, k: int) -> np.ndarray:
     return np.array([list(dict.fromkeys(roots)).index(r) + 1 for r in roots])
 
 
-def ward_labels(df: DataFrame, k: int, limit: int = WARD_LIMIT, seed: int = 42, key: str = "id") -> DataFrame:
-    """Ward clusters of the column ``features``.
+def _ward_cells(df: DataFrame, limit: int, seed: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """At most ``limit`` weighted points ``_cell, c, w`` and the cell of each row."""
+    n = df.count()
+    if n <= limit:
+        return df.select(F.col(key).alias("_cell"), vector_to_array("features").alias("c"), F.lit(1.0).alias("w")), df.select(key, F.col(key).alias("_cell"))
+    labelled = cut(kmeans_labels(df, limit // 2, seed, "_cell"))
+    flat = labelled.select("_cell", F.posexplode(vector_to_array("features")).alias("i", "v")).groupBy("_cell", "i").agg(F.avg("v").alias("v"), F.count(F.lit(1)).cast("double").alias("w"))
+    cells = flat.groupBy("_cell").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("c"), F.max("w").alias("w"))
+    return cells, labelled.select(key, "_cell")
+
+
+def _merged(rows: pd.DataFrame) -> tuple[pd.Series, np.ndarray]:
+    rows = rows.sort_values("_cell")
+    return rows["_cell"], ward_merges(np.array(rows["c"].tolist(), float).reshape(len(rows), -1), rows["w"].to_numpy())
+
+
+def linkage(df: DataFrame, limit: int = WARD_LIMIT, seed: int = 42, key: str = "id") -> DataFrame:
+    """Ward's merges in order: ``step`` from zero, the clusters ``a < b`` merged, ``height`` and ``size``.
+
+    Points are numbered from zero by key, the cluster of a step by the number of points and
+    the step.  Exact up to ``limit`` rows; beyond, the points are K-means cells.
+    """
+    cells, _ = _ward_cells(df, limit, seed, key)
+
+    def table(rows: pd.DataFrame) -> pd.DataFrame:
+        _, m = _merged(rows)
+        return pd.DataFrame({"step": np.arange(len(m)), "a": m[:, 0].astype(int), "b": m[:, 1].astype(int), "height": m[:, 2], "size": m[:, 3]})
+
+    return cells.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(table, "step int, a long, b long, height double, size double")  # ``limit`` rows
+
+
+def suggested_cut(merges: DataFrame, place: int = 1) -> DataFrame:
+    """Height midway in the ``place``-th largest gap between successive merges, and the clusters that a cut there leaves.
+
+    Of equal gaps the later counts as larger.
+    """
+    order = Window.orderBy("step")  # a tree of at most ``limit`` points
+    gaps = merges.select("step", "height", F.lead("height").over(order).alias("_next"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_n")).where("_next is not null")
+    ranked = gaps.withColumn("_k", F.row_number().over(Window.orderBy((F.col("_next") - F.col("height")).desc(), F.col("step").desc())))
+    return ranked.where(F.col("_k") == place).select(((F.col("height") + F.col("_next")) / 2).alias("threshold"), (F.col("_n") - F.col("step")).cast("int").alias("clusters"), F.col("step").alias("gap"))
+
+
+def ward_labels(df: DataFrame, k: int | None = None, limit: int = WARD_LIMIT, seed: int = 42, key: str = "id", height: float | None = None) -> DataFrame:
+    """Ward clusters of the column ``features``: ``k`` of them, or those left by a cut at a height.
 
     Rows are first gathered in at most ``limit`` K-means cells, whose weighted centres are
     merged; with fewer rows than that the merges are exact.
     """
-    n = df.count()
-    if n == 0:
-        return df.select(key, F.lit(0).alias("cluster"))
-    if n <= limit:
-        cells = df.select(F.col(key).alias("_cell"), vector_to_array("features").alias("c"), F.lit(1.0).alias("w"))
-        members = df.select(key, F.col(key).alias("_cell"))
-    else:
-        labelled = cut(kmeans_labels(df, limit // 2, seed, "_cell"))
-        flat = labelled.select("_cell", F.posexplode(vector_to_array("features")).alias("i", "v")).groupBy("_cell", "i").agg(F.avg("v").alias("v"), F.count(F.lit(1)).cast("double").alias("w"))
-        cells = flat.groupBy("_cell").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("c"), F.max("w").alias("w"))
-        members = labelled.select(key, "_cell")
-
-    def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_cell")
-        points = np.array(rows["c"].tolist(), float)
-        found = ward_cut(ward_merges(points, rows["w"].to_numpy()), len(points), k)
-        return pd.DataFrame({"_cell": rows["_cell"], "cluster": found})
+    cells, members = _ward_cells(df, limit, seed, key)
+
+    def labelled(rows: pd.DataFrame) -> pd.DataFrame:
+        names, merges = _merged(rows)
+        left = k if height is None else len(names) - int((merges[:, 2] <= height).sum())
+        return pd.DataFrame({"_cell": names, "cluster": ward_cut(merges, len(names), left)})
 
     # at most ``limit`` rows meet
-    clusters = cells.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(merged, f"_cell {cells.schema['_cell'].dataType.simpleString()}, cluster int")
+    clusters = cells.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(labelled, f"_cell {cells.schema['_cell'].dataType.simpleString()}, cluster int")
     return members.join(clusters, "_cell").select(key, "cluster")
 
 

@@ -90,15 +90,18 @@ def within_radius(points: DataFrame, radius: float, key: str = "id", on: list[st
     return left.join(right, [*on, "_gx", "_gy"]).where("a < b").withColumn("distance", apart).where(F.col("distance") <= radius).select(*on, "a", "b", "distance")
 
 
-def nearest(points: DataFrame, on: str, width: float, key: str = "id") -> DataFrame:
+def nearest(points: DataFrame, on: str, width: float, key: str = "id", targets: DataFrame | None = None) -> DataFrame:
     """Distance of each point to the nearest other of its group ``on``; groups of one fall out.
 
+    With ``targets`` (``on, x, y``), to the nearest of those; groups without any fall out.
+
     Points look in the cells around them; those with no neighbour within a cell's width
     look again in cells of twice the width, so that a dense group makes no pairs of all.
     """
-    sizes = points.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(on)
-    waiting = cut(points.join(sizes, on, "left_semi").select(on, key, "x", "y"))
-    every, found = waiting, []
+    sizes = points.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1") if targets is None else targets
+    waiting = cut(points.where("x is not null and y is not null").join(sizes.select(on), on, "left_semi").select(on, key, "x", "y"))
+    every = waiting if targets is None else cut(targets.select(on, F.lit(None).alias(key), "x", "y").distinct())
+    found = []
     while not waiting.isEmpty():
         steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
         left = waiting.select(on, F.col(key).alias("a"), F.col("x").alias("_ax"), F.col("y").alias("_ay"), steps.alias("_s")).select(
@@ -106,7 +109,7 @@ def nearest(points: DataFrame, on: str, width: float, key: str = "id") -> DataFr
         )
         right = every.select(on, F.col(key).alias("b"), F.col("x").alias("_bx"), F.col("y").alias("_by"), F.floor(F.col("x") / width).alias("_gx"), F.floor(F.col("y") / width).alias("_gy"))
         apart = F.sqrt(F.pow(F.col("_ax") - F.col("_bx"), 2) + F.pow(F.col("_ay") - F.col("_by"), 2))
-        near = left.join(right, [on, "_gx", "_gy"]).where("a <> b").withColumn("distance", apart).where(F.col("distance") <= width)
+        near = left.join(right, [on, "_gx", "_gy"]).where("b is null or a <> b").withColumn("distance", apart).where(F.col("distance") <= width)
         found.append(cut(near.groupBy(on, "a").agg(F.min("distance").alias("distance"))))
         waiting = cut(waiting.join(found[-1].select(on, F.col("a").alias(key)), [on, key], "left_anti"))
         width *= 2

@@ -53,3 +53,9 @@ def in_order(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     """Rows sorted by the place of a value in a list; others last."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(column))
     return df.orderBy(F.when(place > 0, place).otherwise(len(order) + 1), column)
+
+
+def transposed(df: DataFrame, key: str, names: list[str], out: str) -> DataFrame:
+    """A small table turned about: a row for each other column, named ``out``, a column for each of the key's ``names``."""
+    long = long_form(df, [key], [c for c in df.columns if c != key], out)
+    return wide_form(long, [out], key, names, "value")

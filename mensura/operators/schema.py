@@ -85,3 +85,9 @@ def without_constant(df: DataFrame, keys: tuple[str, ...] = (), threshold: float
     spread = df.agg(*[F.stddev_samp(c).alias(c) for c in names]).first().asDict()
     gone = [c for c in names if spread[c] is None or spread[c] <= threshold]
     return df.drop(*gone), gone
+
+
+def uniqueness(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct values of each column, and whether no row shares one; a null row does not count as distinct."""
+    rows = [F.struct(F.lit(c).alias("name"), F.count_distinct(c).alias("n"), (F.count_distinct(c) == F.count(F.lit(1))).alias("is_unique")) for c in columns]
+    return df.agg(F.array(*rows).alias("u")).select(F.inline("u"))

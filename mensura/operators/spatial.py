@@ -50,15 +50,58 @@ def nearest_neighbour_ratio(points: DataFrame, by: str, width: float) -> DataFra
     return boxes.join(means, by).select(by, "observed", expected.alias("expected"), ratio(F.col("observed"), expected).alias("ratio"))
 
 
-def random_polarisation(offsets: DataFrame, by: str, patterns: int = 999, seed: int = 42) -> DataFrame:
-    """Share ``p`` of random patterns of hashed directions that are at least as polarised, and the length relative to their mean: 0 for that, 1 for all one way."""
-    drawn = offsets.where("dx <> 0 or dy <> 0").select(by, "id", F.explode(F.sequence(F.lit(1), F.lit(patterns))).alias("pattern"))
-    angle = 2 * F.pi() * F.shiftrightunsigned(F.xxhash64("id", "pattern", F.lit(seed)), 11) / float(1 << 53)
-    turned = drawn.groupBy(by, "pattern").agg(F.sum(F.cos(angle)).alias("c"), F.sum(F.sin(angle)).alias("s"), F.count(F.lit(1)).alias("n"))
-    lengths = turned.select(by, (F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n")).alias("null_length"))
+def random_lengths(cells: DataFrame, by: str, patterns: int = 999, seed: int = 42) -> DataFrame:
+    """Length of the mean unit vector from ``cx, cy`` of random patterns of ``n`` points inside each cell's polygon ``corners``.
+
+    A row for each cell and pattern; points are drawn where the row is, from a hash of both,
+    so that no points are shuffled and a rerun draws the same.
+    """
+
+    @F.pandas_udf("double")
+    def length(n: pd.Series, cx: pd.Series, cy: pd.Series, corners: pd.Series, draw: pd.Series) -> pd.Series:
+        found = []
+        for size, x0, y0, polygon, s in zip(n, cx, cy, corners, draw):
+            p = np.array([[c["x"], c["y"]] for c in polygon], float)
+            q, random, left, total = np.roll(p, -1, axis=0), np.random.default_rng(int(s) & (2**63 - 1)), int(size), np.zeros(2)
+            while left:
+                points = p.min(axis=0) + random.random((min(2 * left + 8, 1 << 14), 2)) * np.ptp(p, axis=0)
+                x, y = points[:, 0, None], points[:, 1, None]
+                # a ray to the right crosses the outline an odd number of times
+                crossed = (p[:, 1] > y) != (q[:, 1] > y)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    at = p[:, 0] + (y - p[:, 1]) * (q[:, 0] - p[:, 0]) / (q[:, 1] - p[:, 1])
+                inside = points[(crossed & (x < at)).sum(axis=1) % 2 == 1][:left]
+                left -= len(inside)
+                off = inside - (x0, y0)
+                total += (off / np.hypot(off[:, 0], off[:, 1])[:, None]).sum(axis=0)
+            found.append(float(np.hypot(*total)) / size)
+        return pd.Series(found, dtype="float64")
+
+    drawn = cells.select(by, "n", "cx", "cy", "corners", F.explode(F.sequence(F.lit(1), F.lit(patterns))).alias("pattern"))
+    return drawn.select(by, "pattern", length("n", "cx", "cy", "corners", F.xxhash64(by, "pattern", F.lit(seed))).alias("null_length"))
+
+
+def outlined(points: DataFrame, by: str) -> DataFrame:
+    """Groups with their centre, number of points and convex hull; those whose hull has no area fall out."""
+    source = points.withColumn(by, F.col(by).cast("long"))
+    corners = hull_corners(source, by).groupBy(by).agg(F.collect_list(F.struct("x", "y")).alias("_c"))
+    middle = source.groupBy(by).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("n"))
+    centre = F.struct(F.aggregate("_c", F.lit(0.0), lambda t, c: t + c["x"]) / F.size("_c"), F.aggregate("_c", F.lit(0.0), lambda t, c: t + c["y"]) / F.size("_c"))
+    turned = F.transform("_c", lambda c: F.struct(F.atan2(c["y"] - F.col("_m.col2"), c["x"] - F.col("_m.col1")).alias("a"), c["x"].alias("x"), c["y"].alias("y")))
+    ring = F.transform(F.array_sort(turned), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
+    return corners.where("size(_c) > 2").withColumn("_m", centre).select(by, ring.alias("corners")).join(middle, by)
+
+
+def random_polarisation(offsets: DataFrame, by: str, cells: DataFrame, patterns: int = 999, seed: int = 42) -> DataFrame:
+    """Length of each group's mean direction against random patterns in its polygon.
+
+    ``p`` is the share of patterns at least as long; ``relative`` the length beyond the
+    patterns' mean: 0 for that, 1 for all one way.  ``cells`` are as ``outlined`` gives them.
+    """
+    nulls = random_lengths(cells, by, patterns, seed)
     own = polarisation(offsets, by)
-    counts = lengths.join(own, by).groupBy(by, "length").agg(F.count(F.when(F.col("null_length") >= F.col("length"), 1)).alias("above"), F.avg("null_length").alias("expected"))
-    relative = ratio(F.col("length") - F.col("expected"), 1 - F.col("expected"))
+    counts = nulls.join(own, by).groupBy(by, "length").agg(F.count(F.when(F.col("null_length") >= F.col("length"), 1)).alias("above"), F.avg("null_length").alias("expected"))
+    relative = F.when(F.col("expected") < 1, (F.col("length") - F.col("expected")) / (1 - F.col("expected"))).otherwise(0.0)
     return counts.select(by, "length", (F.col("above") / patterns).alias("p"), relative.alias("relative"))
 
 

@@ -6,14 +6,15 @@ tail probabilities are worked out on the result rows only.
 
 from __future__ import annotations
 
-from math import exp
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from mensura.functions import special
 from mensura.functions.columns import ratio
+from mensura.functions.lineage import cut
 from mensura.operators.reshape import long_form
 from mensura.operators.running import running_sum
 
@@ -47,15 +48,28 @@ def kruskal(long: DataFrame, group: str, feature: str = "feature") -> DataFrame:
     return out.withColumn("p", special.chi2_p("h", F.col("groups") - 1))
 
 
-def dunn(long: DataFrame, group: str, feature: str = "feature") -> DataFrame:
-    """Dunn's z and probability of every pair of groups, the smaller first, by feature."""
+def dunn(long: DataFrame, group: str, feature: str = "feature", how: str = "fdr_bh") -> DataFrame:
+    """Dunn's z of every pair of groups, the smaller first, by feature, and its probability, as such and adjusted within the feature."""
     sums, whole = rank_sums(long, [feature], group)
     one = sums.select(feature, F.col(group).alias("group1"), F.col("n").alias("n1"), (F.col("rank_sum") / F.col("n")).alias("r1"))
     two = sums.select(feature, F.col(group).alias("group2"), F.col("n").alias("n2"), (F.col("rank_sum") / F.col("n")).alias("r2"))
     n = F.col("total").cast("double")
     spread = (n * (n + 1) / 12 - F.col("tie_term") / (12 * (n - 1))) * (1 / F.col("n1") + 1 / F.col("n2"))
     pairs = one.join(two, feature).where("group1 < group2").join(whole, feature)
-    return pairs.select(feature, "group1", "group2", ratio(F.col("r1") - F.col("r2"), F.sqrt(spread)).alias("z")).withColumn("p", special.normal_p("z"))
+    scored = pairs.select(feature, "group1", "group2", ratio(F.col("r1") - F.col("r2"), F.sqrt(spread)).alias("z")).withColumn("p", special.normal_p("z"))
+    return adjusted(scored, by=[feature], how=how)
+
+
+def screened_dunn(long: DataFrame, group: str, alpha: float = 0.05, feature: str = "feature", how: str = "fdr_bh") -> DataFrame:
+    """Dunn's pairs of the features that Kruskal-Wallis finds to differ."""
+    differing = kruskal(long, group, feature).where(F.col("p") < alpha).select(feature)
+    return dunn(long, group, feature, how).join(differing, feature, "left_semi")
+
+
+def dunn_effects(long: DataFrame, group: str, alpha: float = 0.05, feature: str = "feature", how: str = "fdr_bh") -> DataFrame:
+    """Adjusted probability and Cliff's delta of every pair of groups, of the features that differ."""
+    pairs = screened_dunn(long, group, alpha, feature, how).select(feature, "group1", "group2", "p_adj")
+    return pairs.join(cliffs_delta_pairs(long, group, feature), [feature, "group1", "group2"]).withColumn("pair", F.concat_ws(" vs ", "group1", "group2"))
 
 
 def mann_whitney(long: DataFrame, side: str, control: str, treated: str, by: list[str]) -> DataFrame:
@@ -96,47 +110,70 @@ def cliffs_delta_pairs(long: DataFrame, group: str, feature: str = "feature") ->
     return scored.groupBy(*by).agg((F.sum("won") / (F.sum("n1") * F.sum("n2")) - 1).alias("delta"))
 
 
-def partners(pairs: DataFrame, alpha: float, feature: str = "feature") -> DataFrame:
+def partners(pairs: DataFrame, alpha: float, feature: str = "feature", p: str = "p_adj") -> DataFrame:
     """By feature and group: from how many others it differs, which, and how that is called."""
-    both = pairs.select(feature, F.col("group1").alias("group"), F.col("group2").alias("other"), "p").unionByName(
-        pairs.select(feature, F.col("group2").alias("group"), F.col("group1").alias("other"), "p")
+    both = pairs.select(feature, F.col("group1").alias("group"), F.col("group2").alias("other"), p).unionByName(
+        pairs.select(feature, F.col("group2").alias("group"), F.col("group1").alias("other"), p)
     )
-    differs = F.col("p") < alpha
+    differs = F.col(p) < alpha
     counted = both.groupBy(feature, "group").agg(F.count(F.when(differs, 1)).alias("n"), F.sort_array(F.collect_list(F.when(differs, F.col("other")))).alias("others"))
-    kind = F.when(F.col("n") >= 2, "differs_from_both").when(F.col("n") == 1, "exactly_one").otherwise("none")
+    kind = F.when(F.col("n") >= 2, "differs_from_both").when(F.col("n") == 1, "differs_from_exactly_one").otherwise("differs_from_none")
     return counted.withColumn("category", kind)
 
 
-def topology(pairs: DataFrame, alpha: float, feature: str = "feature") -> DataFrame:
-    """How a feature's groups differ: all, none, some from all, or only pairs."""
-    groups = partners(pairs, alpha, feature)
-    counts = groups.groupBy(feature).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("ends"), F.max("n").alias("most"))
-    full = groups.join(counts, feature).groupBy(feature).agg(
-        F.first("k").alias("k"), F.first("ends").alias("ends"), F.first("most").alias("most"), F.count(F.when(F.col("n") == F.col("k") - 1, 1)).alias("from_all")
+def topology(pairs: DataFrame, alpha: float, feature: str = "feature", p: str = "p_adj") -> DataFrame:
+    """How a feature's groups differ, the pairs that do, and the number of groups.
+
+    ``all_differ``: every group from every other; one or two ``differ_from_all``, and the
+    rest from them alone; ``only_pairwise``: none from more than one; else ``mixed``.
+    """
+    groups = partners(pairs, alpha, feature, p)
+    k = groups.groupBy(feature).agg(F.count(F.lit(1)).alias("n_groups"))
+    n, others = F.col("n"), F.col("n_groups") - 1
+    counts = groups.join(k, feature).groupBy(feature, "n_groups").agg(
+        F.max("n").alias("most"), F.count(F.when(n == others, 1)).alias("full"), F.count(F.when((n > 1) & (n < others), 1)).alias("between"), F.count(F.when(n == 1, 1)).alias("single")
     )
+    led = (F.col("between") == 0) & (F.col("single") == F.col("n_groups") - F.col("full"))
     kind = (
-        F.when(F.col("ends") == 0, "none")
-        .when(F.col("from_all") == F.col("k"), "all_differ")
-        .when(F.col("from_all") == 2, "two_differ_from_all")
-        .when(F.col("from_all") == 1, "one_differ_from_all")
-        .when(F.col("most") == 1, "only_pairwise")
+        F.when(F.col("full") == F.col("n_groups"), "all_differ")
+        .when(led & (F.col("full") == 1), "one_differ_from_all")
+        .when(led & (F.col("full") == 2), "two_differ_from_all")
+        .when(F.col("most") <= 1, "only_pairwise")
         .otherwise("mixed")
     )
-    return full.select(feature, kind.alias("topology"))
+    found = pairs.groupBy(feature).agg(F.sort_array(F.collect_list(F.when(F.col(p) < alpha, F.concat_ws(" vs ", "group1", "group2")))).alias("differing"))
+    return counts.select(feature, "n_groups", kind.alias("topology")).join(found, feature)
 
 
-def all_or_none(pairs: DataFrame, alpha: float, feature: str = "feature") -> DataFrame:
+def all_or_none(pairs: DataFrame, alpha: float, feature: str = "feature", p: str = "p_adj") -> DataFrame:
     """Whether all, none or part of a feature's pairs differ."""
-    ends = pairs.groupBy(feature).agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+    ends = pairs.groupBy(feature).agg(F.min(p).alias("lo"), F.max(p).alias("hi"))
     return ends.select(feature, F.when(F.col("hi") < alpha, "all").when(F.col("lo") >= alpha, "none").otherwise("partial").alias("extent"))
 
 
+def difference_counts(found: DataFrame, rows: list[str], columns: list[str], group: str, target: str = "all", feature: str = "feature") -> DataFrame:
+    """Features by the keywords of their names, a row for each of ``rows`` and a column for each of ``columns``.
+
+    ``found`` are ``partners``.  Counted are features where the group differs from several
+    others (``all``), from none (``none``), or from the group ``target`` alone.
+    """
+    category, others = F.col("category"), F.col("others")
+    wanted = {"all": category == "differs_from_both", "none": category == "differs_from_none"}.get(
+        target, (category == "differs_from_exactly_one") & F.array_contains(others.cast("array<string>"), target)
+    )
+    names = found.where((F.col("group").cast("string") == group) & wanted).select(feature).distinct()
+    counts = [F.count(F.when(F.col(feature).contains(F.col("row")) & F.col(feature).contains(c), 1)).alias(c) for c in columns]
+    lines = found.sparkSession.createDataFrame([(r,) for r in rows], "row string")
+    # the lines are the handful of keywords given
+    return lines.join(names, F.col(feature).contains(F.col("row")), "left").groupBy("row").agg(*counts)
+
+
 def moments(long: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     return long.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
 
 
 def welch(long: DataFrame, group: str, by: list[str]) -> DataFrame:
-    """Welch's t and degrees of freedom for every pair of groups of two and more, within ``by``."""
+    """Welch's t, degrees of freedom and probability, as such and adjusted, for every pair of groups of two and more, within ``by``."""
     stats = moments(long, [*by, group]).where("n >= 2")
     one = stats.select(*by, F.col(group).alias("group1"), F.col("n").alias("n1"), F.col("mean").alias("m1"), F.col("var").alias("v1"))
     two = stats.select(*by, F.col(group).alias("group2"), F.col("n").alias("n2"), F.col("mean").alias("m2"), F.col("var").alias("v2"))
@@ -144,7 +181,7 @@ def welch(long: DataFrame, group: str, by: list[str]) -> DataFrame:
     e1, e2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
     df = ratio((e1 + e2) * (e1 + e2), e1 * e1 / (F.col("n1") - 1) + e2 * e2 / (F.col("n2") - 1))
     out = pairs.select(*by, "group1", "group2", ratio(F.col("m1") - F.col("m2"), F.sqrt(e1 + e2)).alias("t"), df.alias("df"))
-    return out.withColumn("p", special.t_p("t", "df"))
+    return adjusted(out.withColumn("p", special.t_p("t", "df")), by=by)
 
 
 def anova(long: DataFrame, group: str, by: list[str]) -> DataFrame:
@@ -174,7 +211,7 @@ def contingency(df: DataFrame, row: str, column: str) -> DataFrame:
     rows = cells.groupBy(row).agg(F.sum("n").alias("row_n"))
     columns = cells.groupBy(column).agg(F.sum("n").alias("column_n"))
     whole = cells.agg(F.sum("n").alias("total"))
-    grid = rows.crossJoin(F.broadcast(columns)).crossJoin(F.broadcast(whole))  # the categories of two columns
+    grid = rows.crossJoin(columns).crossJoin(F.broadcast(whole))  # a row for every cell of the table; one row
     full = grid.join(cells, [row, column], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     expected = F.col("row_n") * F.col("column_n") / F.col("total")
     residual = (F.col("n") - expected) / F.sqrt(expected)
@@ -251,6 +288,12 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*pairs).alias("p")).select(F.inline("p"))
 
 
+def correlated(pairs: DataFrame, strong: float = 0.7, extreme: float = 0.9) -> DataFrame:
+    """Pairs of at least a strong correlation of either sign, marked with sign and strength."""
+    size = F.abs(F.col("r"))
+    return pairs.where(size >= strong).withColumns({"sign": F.when(F.col("r") > 0, "positive").otherwise("negative"), "strength": F.when(size >= extreme, "extreme").otherwise("strong")})
+
+
 def dispersion(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Population skewness, variation, median absolute deviation and Gini index by group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
@@ -263,21 +306,67 @@ def dispersion(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return basics.join(mads, by).join(gini, by).select(*by, "skew", "cv", "mad", (F.col("_g") - (F.col("_all") + 1) / F.col("_all")).alias("gini"))
 
 
-def bootstrap_quantile(df: DataFrame, key: str, group: str, value: str, q: float = 0.75, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Quantile of each bootstrap replicate of each group.
+@F.pandas_udf(StructType([StructField("low", LongType()), StructField("high", LongType())]))
+def _two_ranks(n: pd.Series, at: pd.Series, seed: pd.Series) -> pd.DataFrame:
+    """Ranks, in a sample of ``n``, of the values at places ``at`` and ``at + 1`` (from one) of a replicate."""
+    low, high = np.empty(len(n)), np.empty(len(n))
+    for i, (size, k, s) in enumerate(zip(n, at, seed)):
+        draw = np.random.default_rng(int(s) & (2**63 - 1))
+        low[i] = draw.beta(k, size - k + 1)
+        high[i] = low[i] + (1 - low[i]) * draw.beta(1, size - k) if k < size else low[i]
+    every = n.to_numpy()
+    return pd.DataFrame({name: np.minimum(np.floor(u * every).astype(np.int64) + 1, every) for name, u in (("low", low), ("high", high))})
+
+
+def bootstrap_quantile(df: DataFrame, group: str, value: str, q: float = 0.75, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Interpolated quantile of each bootstrap replicate of each group.
+
+    The k-th value of a replicate of ``n`` rows drawn with replacement is the value at the
+    k-th of ``n`` ordered uniform numbers, which has a beta distribution.  So the two values
+    about the quantile are drawn at once, from a hash of group and replicate, and no row
+    is drawn: a replicate costs two lookups in the distinct values of its group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    place = F.lit(q) * (F.col("_all") - 1)
+    drawn = (
+        counts.groupBy(group)
+        .agg(F.sum("_n").alias("_all"))
+        .select(group, "_all", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), (place - F.floor(place)).alias("_share"), (F.floor(place) + 1).alias("_k"))
+        .withColumn("_r", _two_ranks("_all", "_k", F.xxhash64(group, "replicate", F.lit(seed))))
+    )
+    ends = F.array(F.struct(F.col("_r.low").alias("rank"), (1 - F.col("_share")).alias("w")), F.struct(F.col("_r.high").alias("rank"), F.col("_share").alias("w")))
+    ends = cut(drawn.select(group, "replicate", F.inline(ends)))
+    wanted = ends.groupBy(group).agg(F.collect_set("rank").alias("_ranks"))  # at most two a replicate
+    below = F.col("_upto") - F.col("_n")
+    held = running_sum(counts, [group], "_v", "_n", "_upto").join(wanted, group)
+    found = held.select(group, "_v", F.explode(F.filter("_ranks", lambda r: (r > below) & (r <= F.col("_upto")))).alias("rank"))
+    return ends.join(found, [group, "rank"]).groupBy(group, "replicate").agg(F.sum(F.col("w") * F.col("_v")).alias("quantile"))
+
+
+def bootstrap_differences(replicates: DataFrame, group: str) -> DataFrame:
+    """Two-sided probability that two groups' quantiles don't differ, for every pair, the smaller first."""
+    one = replicates.select("replicate", F.col(group).alias("group1"), F.col("quantile").alias("_q1"))
+    two = replicates.select("replicate", F.col(group).alias("group2"), F.col("quantile").alias("_q2"))
+    less, more = F.avg((F.col("_q1") <= F.col("_q2")).cast("double")), F.avg((F.col("_q1") >= F.col("_q2")).cast("double"))
+    return one.join(two, "replicate").where("group1 < group2").groupBy("group1", "group2").agg((2 * F.least(less, more)).alias("p"))
+
+
+def compared_proportions(df: DataFrame, group: str, condition: str, first: str, second: str, how: str = "holm") -> DataFrame:
+    """By group: its count and share in two conditions, the difference, odds ratio, and Fisher's probability, adjusted.
 
-    In a replicate every row counts a Poisson number of times, of mean one, drawn from a
-    hash of its key: rows need not meet to be drawn, and a rerun draws the same.
+    The table behind each is the group against all other groups.
     """
-    drawn = df.where(F.col(value).isNotNull()).select(group, value, key, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    uniform = F.shiftrightunsigned(F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), 11) / float(1 << 53)
-    steps, cumulated, term = F.lit(0), 0.0, exp(-1.0)
-    for k in range(1, 12):
-        cumulated += term
-        steps = steps + (uniform >= cumulated).cast("int")
-        term /= k
-    weighed = drawn.withColumn("w", steps.cast("long")).where("w > 0")
-    return weighed.groupBy(group, "replicate").agg(F.percentile(F.col(value), F.lit(q), F.col("w")).alias("quantile"))
+    one, two = F.col(condition) == first, F.col(condition) == second
+    counts = df.where(one | two).groupBy(group).agg(F.count(F.when(one, 1)).alias("count1"), F.count(F.when(two, 1)).alias("count2"))
+    whole = counts.agg(F.sum("count1").alias("_n1"), F.sum("count2").alias("_n2"))
+    tables = counts.join(F.broadcast(whole)).withColumns({"_b": F.col("_n1") - F.col("count1"), "_d": F.col("_n2") - F.col("count2")})  # one row
+    share1, share2 = ratio(F.col("count1"), F.col("_n1")), ratio(F.col("count2"), F.col("_n2"))
+    out = tables.select(
+        group, "count1", "count2", share1.alias("share1"), share2.alias("share2"), (share2 - share1).alias("difference"),
+        F.when(share2 > share1, "larger").when(share2 < share1, "smaller").otherwise("same").alias("direction"),
+        ratio(F.col("count1").cast("double") * F.col("_d"), F.col("_b") * F.col("count2")).alias("odds"), special.fisher_p("count1", "_b", "count2", "_d").alias("p"),
+    )
+    return adjusted(out, how=how)
 
 
 def feature_table(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
@@ -333,7 +422,8 @@ def line_and_condition(df: DataFrame, line: str, condition: str, value: str, how
     """Welch tests between conditions within each line and between lines within each condition, adjusted together."""
     within = welch(df.select(line, condition, F.col(value).alias("value")), condition, [line]).withColumn("family", F.lit("within_line")).withColumnRenamed(line, "at")
     between = welch(df.select(line, condition, F.col(value).alias("value")), line, [condition]).withColumn("family", F.lit("between_lines")).withColumnRenamed(condition, "at")
-    return adjusted(within.withColumn("at", F.col("at").cast("string")).unionByName(between.withColumn("at", F.col("at").cast("string"))), how=how)
+    both = within.withColumn("at", F.col("at").cast("string")).unionByName(between.withColumn("at", F.col("at").cast("string")))
+    return adjusted(both.drop("p_adj"), how=how)
 
 
 def binned_density(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:

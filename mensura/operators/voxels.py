@@ -189,14 +189,18 @@ def cropped(mask: DataFrame, padding: int = 0) -> DataFrame:
     return mask.join(boxes, "image").select("image", (F.col("y") - F.col("_y") + padding).alias("y"), (F.col("x") - F.col("_x") + padding).alias("x"))
 
 
-def edge_distance(mask: DataFrame, width: int, height: int, reach: int) -> DataFrame:
-    """The place of each image farthest from its background, by steps of square erosion, up to ``reach``."""
+def edge_distance(mask: DataFrame) -> DataFrame:
+    """The place of each image farthest from its background, by steps of square erosion; outside is background.
+
+    A round a step, until the deepest place is gone.
+    """
     left, rows = mask.select(*PLACE).distinct(), None
-    for depth in range(1, reach + 1):
+    depth = 1
+    while True:
         here = cut(left.withColumn("depth", F.lit(depth)))
         if here.isEmpty():
             break
         rows = here if rows is None else rows.unionByName(here)
-        left = eroded(here.select(*PLACE))
+        left, depth = eroded(here.select(*PLACE)), depth + 1
     deepest = (rows if rows is not None else left.withColumn("depth", F.lit(0))).groupBy("image").agg(F.max(F.struct("depth", -F.col("y"), -F.col("x"))).alias("m"))
     return deepest.select("image", F.col("m.depth").alias("depth"), (-F.col("m.col2")).alias("y"), (-F.col("m.col3")).alias("x"))

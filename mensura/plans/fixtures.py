@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from mensura.sources.tables import table
 
 MEASURES = ["quantity", "price", "discount", "tax"]
+ORGANELLES = ["nucleus", "golgi", "lysosome", "er"]
+KINDS = ["area", "shape", "texture"]
 
 OBJECTS = """objects AS (
   SELECT l_suppkey AS cell, l_linenumber AS image, l_orderkey AS order_id, l_quantity AS quantity, l_extendedprice AS price,
@@ -80,3 +82,49 @@ def embedded(spark: SparkSession, folder: str) -> DataFrame:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that the order of summation doesn't show; no negative zero."""
     return df.select(*[(F.round(F.col(c), digits) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+PROFILES = """profiles AS (
+  SELECT label AS subtype, ['nucleus', 'golgi', 'lysosome', 'er'][i % 4 + 1] || '_' || ['area', 'shape', 'texture'][i % 3 + 1] || '_' || i AS feature, value
+  FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings))"""
+
+
+def profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings as measures of organelles, in long form; their labels are subtypes."""
+    flat = table(spark, folder, "embeddings").select(F.col("label").alias("subtype"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "value"))
+    organelle = F.element_at(F.array(*map(F.lit, ORGANELLES)), F.col("i") % 4 + 1)
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("i") % 3 + 1)
+    return flat.select("subtype", F.concat_ws("_", organelle, kind, "i").alias("feature"), "value")
+
+
+def normal_p(z: str) -> str:
+    """SQL of the two-sided normal probability, by Simpson's rule."""
+    weight = "(CASE WHEN i IN (0, 600) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    return f"(list_sum(list_transform(range(0, 601), lambda i: {weight} * exp(-pow(abs({z}) + i * 0.015, 2) / 2))) * 0.01 / sqrt(2 * pi()))"
+
+
+def chi2_p(x: str, df: str) -> str:
+    """SQL of the tail of chi-squared, by its finite sums."""
+    even = f"exp(-({x}) / 2) * list_sum(list_transform(range(0, ({df}) // 2), lambda i: pow(({x}) / 2, i) / gamma(i + 1.0)))"
+    odd = f"{normal_p(f'sqrt({x})')} + exp(-({x}) / 2) * coalesce(list_sum(list_transform(range(1, (({df}) - 1) // 2 + 1), lambda i: pow(({x}) / 2, i - 0.5) / gamma(i + 0.5))), 0)"
+    return f"(CASE WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def t_p(t: str, df: str) -> str:
+    """SQL of the two-sided probability of Student's t, by Simpson's rule over the angle."""
+    start, weight = f"atan(abs({t}) / sqrt({df}))", "(CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    width = f"(least(pi() / 2, {start} + 15 / sqrt({df})) - {start})"
+    return f"(2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi()) * list_sum(list_transform(range(0, 1001), lambda i: {weight} * pow(greatest(cos({start} + i * {width} / 1000), 0), ({df}) - 1))) * {width} / 3000)"
+
+
+def fisher_p(a: str, b: str, c: str, d: str) -> str:
+    """SQL of the two-sided exact probability of a two by two table."""
+    row, column, n = f"({a} + {b})", f"({a} + {c})", f"({a} + {b} + {c} + {d})"
+
+    def choose(m: str, k: str) -> str:
+        return f"(lgamma({m} + 1.0) - lgamma({k} + 1.0) - lgamma({m} - {k} + 1.0))"
+
+    def p(k: str) -> str:
+        return f"exp({choose(row, k)} + {choose(f'({n} - {row})', f'({column} - {k})')} - {choose(n, column)})"
+
+    return f"least(1, list_sum(list_filter(list_transform(range(greatest(0, {row} + {column} - {n}), least({row}, {column}) + 1), lambda k: {p('k')}), lambda q: q <= {p(a)} * 1.0000001)))"

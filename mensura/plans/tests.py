@@ -30,21 +30,23 @@ _RANKED = X.FEATURES + """, r AS (SELECT *, rank() OVER (PARTITION BY feature OR
 
 
 @query(
-    f"""WITH {_RANKED} SELECT feature, count(*) AS groups, min(n) AS smallest,
-    round((12 / (any_value(total) * (any_value(total) + 1.0)) * sum(s * s / n) - 3 * (any_value(total) + 1)) / (1 - any_value(tie) / (any_value(total) * 1.0 * any_value(total) * any_value(total) - any_value(total))), 4) AS h
-    FROM g JOIN t USING (feature) GROUP BY feature"""
+    f"""WITH {_RANKED}, k AS (SELECT feature, count(*) AS groups, min(n) AS smallest,
+    (12 / (any_value(total) * (any_value(total) + 1.0)) * sum(s * s / n) - 3 * (any_value(total) + 1)) / (1 - any_value(tie) / (any_value(total) * 1.0 * any_value(total) * any_value(total) - any_value(total))) AS h
+    FROM g JOIN t USING (feature) GROUP BY feature) SELECT feature, groups, smallest, round(h, 4) AS h, round({X.chi2_p("h", "groups - 1")}, 4) AS p FROM k"""
 )
 def kruskal_h(spark, d):
-    return rounded(stats.kruskal(X.features(spark, d), "subtype").drop("p"), 4)
+    return rounded(stats.kruskal(X.features(spark, d), "subtype"), 4)
 
 
 @query(
-    f"""WITH {_RANKED} SELECT a.feature, a.subtype AS group1, b.subtype AS group2,
-    round((a.s / a.n - b.s / b.n) / sqrt((total * (total + 1.0) / 12 - tie / (12 * (total - 1))) * (1 / a.n + 1 / b.n)), 6) AS z
-    FROM g a JOIN g b ON a.feature = b.feature AND a.subtype < b.subtype JOIN t ON t.feature = a.feature"""
+    f"""WITH {_RANKED}, z AS (SELECT a.feature, a.subtype AS group1, b.subtype AS group2,
+    (a.s / a.n - b.s / b.n) / sqrt((total * (total + 1.0) / 12 - tie / (12 * (total - 1))) * (1 / a.n + 1 / b.n)) AS z
+    FROM g a JOIN g b ON a.feature = b.feature AND a.subtype < b.subtype JOIN t ON t.feature = a.feature),
+    p AS (SELECT *, {X.normal_p("z")} AS p FROM z), k AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY p) AS k, count(*) OVER (PARTITION BY feature) AS m FROM p)
+    SELECT feature, group1, group2, round(z, 6) AS z, round(p, 6) AS p, round(least(min(p * m / k) OVER (PARTITION BY feature ORDER BY k DESC), 1), 6) AS p_adj FROM k"""
 )
 def dunn_z(spark, d):
-    return rounded(stats.dunn(X.features(spark, d), "subtype").drop("p"))
+    return rounded(stats.dunn(X.features(spark, d), "subtype"))
 
 
 @query(
@@ -99,12 +101,14 @@ def composition_clr_mannwhitney(spark, d):
 
 @query(
     f"""WITH {X.TRACKS}, s AS (SELECT line, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM tracks GROUP BY line HAVING count(value) >= 2)
-    SELECT a.line AS group1, b.line AS group2, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t,
-    round((a.v / a.n + b.v / b.n) * (a.v / a.n + b.v / b.n) / ((a.v / a.n) * (a.v / a.n) / (a.n - 1) + (b.v / b.n) * (b.v / b.n) / (b.n - 1)), 4) AS df FROM s a JOIN s b ON a.line < b.line"""
+    , w AS (SELECT a.line AS group1, b.line AS group2, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t,
+    (a.v / a.n + b.v / b.n) * (a.v / a.n + b.v / b.n) / ((a.v / a.n) * (a.v / a.n) / (a.n - 1) + (b.v / b.n) * (b.v / b.n) / (b.n - 1)) AS df FROM s a JOIN s b ON a.line < b.line),
+    p AS (SELECT *, {X.t_p("t", "df")} AS p FROM w), k AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM p)
+    SELECT group1, group2, round(t, 6) AS t, round(df, 4) AS df, round(p, 6) AS p, round(least(min(p * m / k) OVER (ORDER BY k DESC), 1), 6) AS p_adj FROM k"""
 )
 def welch_pairs(spark, d):
-    found = stats.welch(X.tracks(spark, d), "line", []).drop("p")
-    return found.select("group1", "group2", F.round("t", 6).alias("t"), F.round("df", 4).alias("df"))
+    """Welch's tests of all pairs of lines, adjusted for their number."""
+    return rounded(stats.welch(X.tracks(spark, d), "line", [])).withColumn("df", F.round("df", 4))
 
 
 _F = """SELECT count(*) - 1 AS df1, sum(n) - count(*) AS df2, (sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1) / (sum(v * (n - 1)) / (sum(n) - count(*))) AS f"""
@@ -112,20 +116,20 @@ _F = """SELECT count(*) - 1 AS df1, sum(n) - count(*) AS df2, (sum(n * m * m) -
 
 @query(
     f"""WITH {X.FEATURES}, s AS (SELECT feature, subtype, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM features GROUP BY 1, 2), o AS ({_F}, feature FROM s GROUP BY feature)
-    SELECT feature, df1, df2, round(f, 4) AS f FROM o"""
+    SELECT feature, df1, df2, round(f, 4) AS f, round(pow(1 + 2 * f / df2, -df2 / 2), 4) AS p FROM o"""  # three groups
 )
 def anova_f(spark, d):
-    return rounded(stats.anova(X.features(spark, d), "subtype", ["feature"]).drop("p"), 4)
+    return rounded(stats.anova(X.features(spark, d), "subtype", ["feature"]), 4)
 
 
 @query(
     f"""WITH {X.FEATURES}, z AS (SELECT feature, subtype, quantile_cont(value, 0.5) AS med FROM features GROUP BY 1, 2),
     y AS (SELECT f.feature, f.subtype, abs(f.value - z.med) AS value FROM features f JOIN z USING (feature, subtype)),
     s AS (SELECT feature, subtype, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM y GROUP BY 1, 2), o AS ({_F}, feature FROM s GROUP BY feature)
-    SELECT feature, df1, df2, round(f, 4) AS w FROM o"""
+    SELECT feature, df1, df2, round(f, 4) AS w, round(pow(1 + 2 * f / df2, -df2 / 2), 4) AS p FROM o"""  # three groups
 )
 def levene_w(spark, d):
-    return rounded(stats.levene(X.features(spark, d), "subtype", ["feature"]).drop("p"), 4)
+    return rounded(stats.levene(X.features(spark, d), "subtype", ["feature"]), 4)
 
 
 @query(
@@ -151,10 +155,10 @@ def chi2_residuals(spark, d):
 
 @query(
     f"""WITH {_CELLS}, x AS (SELECT sum((n - ra * cb / t) * (n - ra * cb / t) / (ra * cb / t)) AS chi2, max(t) AS t, count(DISTINCT a) AS r, count(DISTINCT b) AS c FROM e)
-    SELECT round(chi2, 6) AS chi2, (r - 1) * (c - 1) AS df, round(sqrt(chi2 / (t * (least(r, c) - 1))), 6) AS v FROM x"""
+    SELECT round(chi2, 6) AS chi2, (r - 1) * (c - 1) AS df, round(sqrt(chi2 / (t * (least(r, c) - 1))), 6) AS v, round({X.chi2_p("chi2", "(r - 1) * (c - 1)")}, 6) AS p FROM x"""
 )
 def cramers_v(spark, d):
-    return rounded(stats.cramers_v(S.table(spark, d, "lineitem"), "l_returnflag", "l_linestatus").drop("p"))
+    return rounded(stats.cramers_v(S.table(spark, d, "lineitem"), "l_returnflag", "l_linestatus"))
 
 
 _TABLES = f"""{X.OBJECTS}, q AS (SELECT image, count(*) FILTER (WHERE condition = 'F' AND discount > 0.05) AS a, count(*) FILTER (WHERE condition = 'F' AND discount <= 0.05) AS b,
@@ -168,23 +172,25 @@ def _tables(spark, d):
 
 
 @query(
-    f"""WITH {_TABLES} SELECT image, a, b, c, d, round((a + b + c + d) * pow(CAST(a AS DOUBLE) * d - b * c, 2) / (CAST(a + b AS DOUBLE) * (c + d) * (a + c) * (b + d)), 6) AS chi2,
-    round(CAST(a AS DOUBLE) * d / (b * c), 6) AS odds, least((a + b) * (a + c), (a + b) * (b + d), (c + d) * (a + c), (c + d) * (b + d)) / (a + b + c + d) < 5 AS exact, round(a / (a + b) - c / (c + d), 6) AS difference FROM q"""
+    f"""WITH {_TABLES}, x AS (SELECT image, a, b, c, d, round((a + b + c + d) * pow(CAST(a AS DOUBLE) * d - b * c, 2) / (CAST(a + b AS DOUBLE) * (c + d) * (a + c) * (b + d)), 6) AS chi2,
+    round(CAST(a AS DOUBLE) * d / (b * c), 6) AS odds, least((a + b) * (a + c), (a + b) * (b + d), (c + d) * (a + c), (c + d) * (b + d)) / (a + b + c + d) < 5 AS exact, round(a / (a + b) - c / (c + d), 6) AS difference FROM q)
+    SELECT *, round(CASE WHEN exact THEN {X.fisher_p("a", "b", "c", "d")} ELSE {X.chi2_p("chi2", "1")} END, 5) AS p FROM x"""
 )
 def fisher_2x2(spark, d):
-    return rounded(stats.two_by_two(_tables(spark, d), ["image"]).drop("p"))
+    return rounded(stats.two_by_two(_tables(spark, d), ["image"])).withColumn("p", F.round("p", 5))
 
 
 @query(
     f"""WITH {_TABLES}, w AS (SELECT image, a AS x1, a + b AS n1, c AS x2, c + d AS n2, (a + c) / (a + b + c + d) AS p, a / (a + b) AS s FROM q)
     SELECT image, x1, n1, x2, n2, round((x1 / n1 - x2 / n2) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2)), 6) AS z,
     round((s + 1.959964 * 1.959964 / (2 * n1) - 1.959964 * sqrt(s * (1 - s) / n1 + 1.959964 * 1.959964 / (4.0 * n1 * n1))) / (1 + 1.959964 * 1.959964 / n1), 6) AS low,
-    round((s + 1.959964 * 1.959964 / (2 * n1) + 1.959964 * sqrt(s * (1 - s) / n1 + 1.959964 * 1.959964 / (4.0 * n1 * n1))) / (1 + 1.959964 * 1.959964 / n1), 6) AS high FROM w"""
+    round((s + 1.959964 * 1.959964 / (2 * n1) + 1.959964 * sqrt(s * (1 - s) / n1 + 1.959964 * 1.959964 / (4.0 * n1 * n1))) / (1 + 1.959964 * 1.959964 / n1), 6) AS high,
+    round({X.normal_p("(x1 / n1 - x2 / n2) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2))")}, 6) AS p FROM w"""
 )
 def prop_z_wilson(spark, d):
     counts = _tables(spark, d).selectExpr("image", "a AS x1", "a + b AS n1", "c AS x2", "c + d AS n2")
     low, high = stats.wilson(F.col("x1"), F.col("n1"))
-    return rounded(stats.two_proportions(counts, ["image"]).drop("p").withColumns({"low": low, "high": high}))
+    return rounded(stats.two_proportions(counts, ["image"]).withColumns({"low": low, "high": high}))
 
 
 @query(
@@ -268,7 +274,7 @@ def hull_props(spark, d):
 
 @query()
 def random_polarity(spark, d):
-    return rounded(spatial.random_polarisation(_offsets(spark, d), "cell", 199))
+    return rounded(spatial.random_polarisation(_offsets(spark, d), "cell", spatial.outlined(X.points(spark, d), "cell")))
 
 
 @query(
@@ -299,17 +305,33 @@ def merge_components(spark, d):
     return components.least_member(points, joins.within_radius(points, 0.02))
 
 
-@query(
-    """WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
-    p AS (SELECT a.id, a.label, b.label AS other, sum(list_sum(list_transform(list_zip(a.v, b.v), lambda z: pow(z[1] - z[2], 2)))) AS s, count(*) AS n FROM e a JOIN e b ON true GROUP BY ALL),
-    ab AS (SELECT id, label, max(CASE WHEN label = other THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN label <> other THEN s / n END) AS b, max(CASE WHEN label = other THEN n END) AS n FROM p GROUP BY ALL)
-    SELECT id, label AS given, round(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM ab"""
-)
+def _silhouettes(apart: str, then: str) -> str:
+    return f"""WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
+    p AS (SELECT a.id, a.label, b.label AS other, sum({apart}) AS s, count(*) AS n FROM e a JOIN e b ON true GROUP BY ALL),
+    ab AS (SELECT id, label, max(CASE WHEN label = other THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN label <> other THEN s / n END) AS b, max(CASE WHEN label = other THEN n END) AS n FROM p GROUP BY ALL),
+    s AS (SELECT id, label AS given, CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END AS silhouette FROM ab) {then}"""
+
+
+_SQUARED = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: pow(z[1] - z[2], 2)))"
+
+
+@query(_silhouettes(f"sqrt({_SQUARED})", "SELECT id, given, round(silhouette, 6) AS silhouette FROM s"))
 def silhouette_samples(spark, d):
     return rounded(cluster.silhouettes(X.embedded(spark, d), "given"))
 
 
-@query()
+@query(_silhouettes(_SQUARED, "SELECT id, given, round(silhouette, 6) AS silhouette FROM s"))
+def squared_silhouettes(spark, d):
+    return rounded(cluster.squared_silhouettes(X.embedded(spark, d), "given"))
+
+
+@query(
+    _silhouettes(
+        f"sqrt({_SQUARED})",
+        """SELECT given, count(*) AS n, round(avg(silhouette), 6) AS mean, round(stddev_samp(silhouette) / sqrt(count(*)), 6) AS sem, round(stddev_samp(silhouette), 6) AS std,
+        round(min(silhouette), 6) AS least, round(max(silhouette), 6) AS most FROM s GROUP BY given""",
+    )
+)
 def silhouette_summary(spark, d):
     return rounded(A.described(cluster.silhouettes(X.embedded(spark, d), "given"), ["given"], "silhouette"))
 
@@ -350,9 +372,14 @@ def mrmr_features(spark, d):
 
 @query()
 def bootstrap_q75(spark, d):
-    rows = X.tracks(spark, d).withColumn("key", F.xxhash64("cell", "frame", "value", "label"))
-    boot = stats.bootstrap_quantile(rows, "key", "line", "value", replicates=50)
-    return rounded(A.described(boot, ["line"], "quantile"))
+    return rounded(A.described(stats.bootstrap_quantile(X.tracks(spark, d), "line", "value"), ["line"], "quantile"))
+
+
+@query()
+def bootstrap_differences(spark, d):
+    """Whether lines differ in their upper quartile, adjusted for the pairs."""
+    boot = stats.bootstrap_quantile(X.tracks(spark, d), "line", "value")
+    return rounded(stats.adjusted(stats.bootstrap_differences(boot, "line")))
 
 
 @query(f"WITH {X.OBJECTS}, t AS (SELECT unnest([10, 25, 40]) AS threshold) SELECT CAST(threshold AS DOUBLE) AS threshold, count(DISTINCT (order_id % 8, order_id // 8 % 64, image)) AS n FROM t, objects WHERE quantity >= threshold GROUP BY 1")
@@ -431,7 +458,11 @@ def filled_mask(spark, d):
     return voxels.filled(voxels.dilated(X.mask(spark, d), 64, 64), 64, 64)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_BACK}, hole AS (SELECT image, y, x FROM back EXCEPT SELECT image, y, x FROM walk), inner_walk(image, y, x, root) AS (SELECT image, y, x, y * 64 + x FROM hole
+      UNION SELECT h.image, h.y, h.x, w.root FROM inner_walk w, (SELECT unnest([0, 0, 1, -1]) AS dy, unnest([1, -1, 0, 0]) AS dx) s, hole h WHERE h.image = w.image AND h.y = w.y + dy AND h.x = w.x + dx AND w.root < h.y * 64 + h.x)
+    SELECT image, y, x, min(root) AS label FROM inner_walk GROUP BY 1, 2, 3"""
+)
 def mask_holes(spark, d):
     return voxels.holes(voxels.dilated(X.mask(spark, d), 64, 64), 64, 64)
 

@@ -14,8 +14,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def sheets(spark: SparkSession, folder: str, names: list[str], keywords: list[str] = [], how: str = "any") -> dict[str, DataFrame]:  # noqa: B006
     """Tables of a folder whose names hold any, all or none of the keywords."""
+    return {n: table(spark, folder, n) for n in _matching(names, keywords, how)}
+
+
+def sheets_of(spark: SparkSession, folder: str, keywords: list[str] = [], how: str = "any") -> dict[str, DataFrame]:  # noqa: B006
+    """CSV files with a header of a folder, by name, whose names hold any, all or none of the keywords."""
+    paths = [r.path for r in files(spark, folder, "*.csv").select("path").collect()]  # a row a file, contents unread
+    named = {p.rsplit("/", 1)[-1].removesuffix(".csv"): p for p in sorted(paths)}
+    return {n: spark.read.csv(named[n], header=True, inferSchema=True) for n in _matching(list(named), keywords, how)}
+
+
+def chosen(sheets: dict[str, DataFrame], names: list[str]) -> dict[str, DataFrame]:
+    """The sheets of those names that there are, in the order given."""
+    return {n: sheets[n] for n in names if n in sheets}
+
+
+def _matching(names: list[str], keywords: list[str], how: str) -> list[str]:
     test = {"any": lambda n: not keywords or any(k in n for k in keywords), "all": lambda n: all(k in n for k in keywords), "none": lambda n: not any(k in n for k in keywords)}[how]
-    return {n: table(spark, folder, n) for n in names if test(n)}
+    return [n for n in names if test(n)]
 
 
 def delimited(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -8,11 +8,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from mensura.functions import columns as C
 from mensura.functions import special
-from mensura.operators import aggregate, clean, cluster, components, joins, reshape, scale, schema, spatial, stats, tracking, voxels
+from mensura.operators import aggregate, clean, cluster, components, joins, reshape, scale, schema, spatial, stats, tracking, voxels, zones
 from mensura.sources import tables
 from mensura.streaming import windows
 
@@ -101,10 +102,10 @@ def test_mann_whitney_of_separated_groups(spark):
 
 
 def test_dunn_categories(spark):
-    pairs = spark.createDataFrame([("f", "a", "b", 0.01), ("f", "a", "c", 0.01), ("f", "b", "c", 0.5), ("g", "a", "b", 0.5), ("g", "a", "c", 0.5), ("g", "b", "c", 0.5)], "feature string, group1 string, group2 string, p double")
+    pairs = spark.createDataFrame([("f", "a", "b", 0.01), ("f", "a", "c", 0.01), ("f", "b", "c", 0.5), ("g", "a", "b", 0.5), ("g", "a", "c", 0.5), ("g", "b", "c", 0.5)], "feature string, group1 string, group2 string, p_adj double")
     kinds = {(r.feature, r.group): r.category for r in stats.partners(pairs, 0.05).collect()}
-    assert kinds[("f", "a")] == "differs_from_both" and kinds[("f", "b")] == "exactly_one" and kinds[("g", "a")] == "none"
-    assert {r.feature: r.topology for r in stats.topology(pairs, 0.05).collect()} == {"f": "one_differ_from_all", "g": "none"}
+    assert kinds[("f", "a")] == "differs_from_both" and kinds[("f", "b")] == "differs_from_exactly_one" and kinds[("g", "a")] == "differs_from_none"
+    assert {r.feature: r.topology for r in stats.topology(pairs, 0.05).collect()} == {"f": "one_differ_from_all", "g": "only_pairwise"}
     assert {r.feature: r.extent for r in stats.all_or_none(pairs, 0.05).collect()} == {"f": "partial", "g": "none"}
 
 
@@ -176,7 +177,7 @@ def test_masks(spark):
     assert [(r.y, r.x) for r in voxels.eroded(block).collect()] == [(2, 1)]
     assert voxels.opened(block, 3, 4).count() == 9 and voxels.closed(ring, 5, 5).count() == 25
     assert clean.clear_of_border(labels, ["image", "label"], 5, 5).count() == 1
-    far = voxels.edge_distance(mask_of(spark, [".....", ".###.", ".###.", ".###.", "....."]), 5, 5, 5).first()
+    far = voxels.edge_distance(mask_of(spark, [".....", ".###.", ".###.", ".###.", "....."])).first()
     assert (far.depth, far.y, far.x) == (2, 2, 2)
 
 
@@ -327,3 +328,88 @@ def test_components_by_rounds_and_at_once(spark, monkeypatch):
         assert {r.node: least[r.label] for r in labels} == {n: top(n) for n in root if sum(n in p and p[0] != p[1] for p in pairs)}
     assert {r.id: r.root for r in components.least_member(nodes, edges).collect()} == {n: top(n) for n in root}
     assert components.connected_components(edges.limit(0)).count() == 0
+
+
+def test_silhouettes_by_blocks(spark):
+    rng = np.random.default_rng(3)
+    points, labels = rng.integers(0, 3, size=(40, 2)).astype(float), [*rng.integers(0, 3, size=39), 7]
+    frame = spark.createDataFrame([(i, int(g), p.tolist()) for i, (g, p) in enumerate(zip(labels, points))], "id int, given int, v array<double>")
+    frame = frame.select("id", "given", array_to_vector("v").alias("features"))
+    apart = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    for block in (7, 2048):
+        found = {r.id: r.silhouette for r in cluster.silhouettes(frame, "given", block=block).collect()}
+        for i, g in enumerate(labels):
+            own = [j for j in range(40) if labels[j] == g and j != i]
+            a = apart[i, own].mean() if own else None
+            b = min(apart[i, [j for j in range(40) if labels[j] == o]].mean() for o in set(labels) - {g})
+            assert found[i] == pytest.approx(0.0 if a is None else (b - a) / max(a, b))
+    assert [r.silhouette for r in cluster.silhouettes(frame.where("given = 7"), "given").collect()] == [0.0]
+    assert cluster.silhouettes(frame.where("given = 9"), "given").count() == 0
+
+
+def test_linkage_and_cuts(spark):
+    frame = spark.createDataFrame([(i, [v]) for i, v in enumerate([0.0, 1.0, 10.0, 11.5, 30.0])], "id int, v array<double>").select("id", array_to_vector("v").alias("features"))
+    merges = cluster.linkage(frame)
+    rows = merges.orderBy("step").collect()
+    assert [(r.a, r.b, r.size) for r in rows] == [(0, 1, 2), (2, 3, 2), (5, 6, 4), (4, 7, 5)]
+    assert [r.height for r in rows[:2]] == [1.0, 1.5]
+    heights = [r.height for r in rows]
+    first, second = cluster.suggested_cut(merges).first(), cluster.suggested_cut(merges, 2).first()
+    gaps = np.diff(heights)
+    assert first.threshold == pytest.approx(sum(heights[gaps.argmax() : gaps.argmax() + 2]) / 2) and first.clusters == 5 - (gaps.argmax() + 1)
+    assert second.gap == np.argsort(gaps)[::-1][1]
+    found = {r.id: r.cluster for r in cluster.ward_labels(frame, height=1.2).collect()}
+    assert found[0] == found[1] and len(set(found.values())) == 4
+    assert cluster.linkage(frame.where("id < 0")).count() == 0 and cluster.ward_labels(frame.where("id < 0"), 2).count() == 0
+
+
+def test_bootstrap_against_drawing_rows(spark):
+    rng = np.random.default_rng(5)
+    sample = {"a": np.round(rng.gamma(2, 3, 30)), "b": np.round(rng.gamma(2, 3, 45) + 4), "one": np.array([2.0])}
+    frame = spark.createDataFrame([(g, float(v)) for g, vs in sample.items() for v in vs] + [("a", None)], "grp string, v double")
+    boot = stats.bootstrap_quantile(frame, "grp", "v", 0.75, 4000).cache()
+    for g, vs in sample.items():
+        own = np.array([r["quantile"] for r in boot.where(F.col("grp") == g).collect()])
+        plain = np.quantile(rng.choice(vs, size=(4000, len(vs))), 0.75, axis=1)
+        assert len(own) == 4000 and own.mean() == pytest.approx(plain.mean(), abs=0.12) and own.std() == pytest.approx(plain.std(), abs=0.12)
+    p = {(r.group1, r.group2): r.p for r in stats.bootstrap_differences(boot, "grp").collect()}
+    assert len(p) == 3 and p[("a", "b")] < 0.2 and p[("b", "one")] == 0
+    assert boot.exceptAll(stats.bootstrap_quantile(frame.repartition(7), "grp", "v", 0.75, 4000)).count() == 0
+
+
+def test_random_patterns_lie_in_the_polygon(spark):
+    # an L, whose points lie to the upper right of its inner corner nowhere
+    corners = [(0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 1.0), (1.0, 4.0), (0.0, 4.0)]
+    cells = spark.createDataFrame([(1, 400, 2.0, 2.0, corners), (2, 1, 2.0, 2.0, corners)], "cell long, n long, cx double, cy double, corners array<struct<x:double,y:double>>")
+    lengths = spatial.random_lengths(cells, "cell", 50)
+    rng = np.random.default_rng(1)
+    p = rng.random((200000, 2)) * 4
+    off = p[(p.min(axis=1) < 1)] - 2
+    expected = np.hypot(*(off / np.hypot(off[:, 0], off[:, 1])[:, None]).mean(axis=0))
+    rows = lengths.groupBy("cell").agg(F.avg("null_length").alias("m"), F.count(F.lit(1)).alias("n")).orderBy("cell").collect()
+    assert rows[0].n == 50 and rows[0].m == pytest.approx(expected, abs=0.03) and rows[1].m == pytest.approx(1.0)
+    square = spark.createDataFrame([(1, float(x), float(y)) for x in (0, 1, 2) for y in (0, 1, 2)] + [(2, 0.0, 0.0)], "cell int, x double, y double")
+    outline = spatial.outlined(square, "cell").first()
+    assert {(c.x, c.y) for c in outline.corners} == {(0, 0), (0, 2), (2, 0), (2, 2)} and (outline.cx, outline.cy, outline.n) == (1, 1, 9)
+
+
+def test_zones(spark):
+    mask = mask_of(spark, ["#....", "#....", "....."])
+    labels = spark.createDataFrame([(0, 0, 1, 1), (0, 2, 4, 2)], "image int, y int, x int, label int")
+    flags = {r.label: (r.near, r.dense) for r in zones.context_flags(labels, {"near": zones.around(mask, 5, 3, 1)}, {"dense": labels.where("label = 2")}).collect()}
+    assert flags == {1: (1, 0), 2: (0, 1)}
+    density = zones.zone_density(labels, zones.around(mask, 5, 3, 1)).first()
+    assert (density.n, density.area, density["share"]) == (1, 6, 0.5)
+    points = spark.createDataFrame([(0, 1, 40.0, 1.0), (0, 2, 0.0, 1.0), (9, 3, 0.0, 0.0), (0, 4, None, 1.0)], "image int, id int, x double, y double")
+    assert {r.id: r.distance for r in zones.distance_to_mask(points, mask, 1.0).collect()} == {1: 40.0, 2: 0.0, 3: None, 4: None}
+    assert zones.rim(mask_of(spark, ["###", "###", "###"]), 1).count() == 8
+
+
+def test_sheets_of_a_directory(spark, tmp_path):
+    for name, text in (("golgi_cells", "id,area\n1,2.5\n"), ("golgi_images", "id,path\n1,a\n"), ("er_cells", "id,area\n1,7\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    found = tables.sheets_of(spark, str(tmp_path), ["golgi"])
+    assert sorted(found) == ["golgi_cells", "golgi_images"] and found["golgi_cells"].first().asDict() == {"id": 1, "area": 2.5}
+    assert sorted(tables.sheets_of(spark, str(tmp_path), ["golgi", "cells"], "all")) == ["golgi_cells"]
+    assert sorted(tables.sheets_of(spark, str(tmp_path), ["golgi"], "none")) == ["er_cells"]
+    assert sorted(tables.chosen(found, ["golgi_cells", "absent"])) == ["golgi_cells"]
