@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions.columns import number_or_null
+from mensura.operators.schema import numeric, with_keywords, without_empty
 
 
 def within_wide_bounds(df: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95, factor: float = 1.5) -> tuple[DataFrame, list[str]]:
@@ -66,3 +67,14 @@ def clear_of_border(pixels: DataFrame, key: list[str], width: int, height: int)
     edge = pixels.groupBy(*key).agg(F.min("x").alias("_l"), F.max("x").alias("_r"), F.min("y").alias("_t"), F.max("y").alias("_b"))
     touching = edge.where(f"_l = 0 or _t = 0 or _r = {width - 1} or _b = {height - 1}").select(*key)
     return pixels.join(touching, key, "left_anti")
+
+
+def prepared(df: DataFrame, key: str, features: list[str] = [], empty: float = 0.5, outliers: bool = False) -> DataFrame:  # noqa: B006
+    """A sheet of measurements ready for analysis: the key and the features that hold any of the keywords (none: all).
+
+    Columns with more than the share ``empty`` of nulls go; with ``outliers``, rows
+    outside the wide bounds of any numeric feature too.
+    """
+    kept = [c for c in df.columns if c == key or not features or c in with_keywords(df.columns, features)]
+    filled, _ = without_empty(df.select(*kept), empty)
+    return within_wide_bounds(filled, numeric(filled, (key,)))[0] if outliers else filled

@@ -143,8 +143,8 @@ def kruskal_screen(spark, d):
     round(CAST(x1 AS DOUBLE) * (n2 - x2) / ((n1 - x1) * x2), 6) AS odds, round(p, 5) AS p, round(least(max(p * (m - k + 1)) OVER (ORDER BY k), 1), 5) AS p_adj FROM k"""
 )
 def compared_proportions(spark, d):
-    found = rounded(stats.compared_proportions(X.objects(spark, d), "subtype", "condition", "F", "O"))
-    return found.withColumns({c: F.round(c, 5) for c in ("p", "p_adj")})
+    found = stats.compared_proportions(X.objects(spark, d), "subtype", "condition", "F", "O")
+    return rounded(found.withColumns({c: F.round(c, 5) for c in ("p", "p_adj")}))
 
 
 @query(

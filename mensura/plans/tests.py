@@ -108,7 +108,7 @@ def composition_clr_mannwhitney(spark, d):
 )
 def welch_pairs(spark, d):
     """Welch's tests of all pairs of lines, adjusted for their number."""
-    return rounded(stats.welch(X.tracks(spark, d), "line", [])).withColumn("df", F.round("df", 4))
+    return rounded(stats.welch(X.tracks(spark, d), "line", []).withColumn("df", F.round("df", 4)))
 
 
 _F = """SELECT count(*) - 1 AS df1, sum(n) - count(*) AS df2, (sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1) / (sum(v * (n - 1)) / (sum(n) - count(*))) AS f"""
@@ -172,12 +172,12 @@ def _tables(spark, d):
 
 
 @query(
-    f"""WITH {_TABLES}, x AS (SELECT image, a, b, c, d, round((a + b + c + d) * pow(CAST(a AS DOUBLE) * d - b * c, 2) / (CAST(a + b AS DOUBLE) * (c + d) * (a + c) * (b + d)), 6) AS chi2,
+    f"""WITH {_TABLES}, x AS (SELECT image, a, b, c, d, (a + b + c + d) * pow(CAST(a AS DOUBLE) * d - b * c, 2) / (CAST(a + b AS DOUBLE) * (c + d) * (a + c) * (b + d)) AS chi2,
     round(CAST(a AS DOUBLE) * d / (b * c), 6) AS odds, least((a + b) * (a + c), (a + b) * (b + d), (c + d) * (a + c), (c + d) * (b + d)) / (a + b + c + d) < 5 AS exact, round(a / (a + b) - c / (c + d), 6) AS difference FROM q)
-    SELECT *, round(CASE WHEN exact THEN {X.fisher_p("a", "b", "c", "d")} ELSE {X.chi2_p("chi2", "1")} END, 5) AS p FROM x"""
+    SELECT * REPLACE (round(chi2, 6) AS chi2), round(CASE WHEN exact THEN {X.fisher_p("a", "b", "c", "d")} ELSE {X.chi2_p("chi2", "1")} END, 5) AS p FROM x"""
 )
 def fisher_2x2(spark, d):
-    return rounded(stats.two_by_two(_tables(spark, d), ["image"])).withColumn("p", F.round("p", 5))
+    return rounded(stats.two_by_two(_tables(spark, d), ["image"]).withColumn("p", F.round("p", 5)))
 
 
 @query(

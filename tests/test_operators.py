@@ -413,3 +413,11 @@ def test_sheets_of_a_directory(spark, tmp_path):
     assert sorted(tables.sheets_of(spark, str(tmp_path), ["golgi", "cells"], "all")) == ["golgi_cells"]
     assert sorted(tables.sheets_of(spark, str(tmp_path), ["golgi"], "none")) == ["er_cells"]
     assert sorted(tables.chosen(found, ["golgi_cells", "absent"])) == ["golgi_cells"]
+
+
+def test_prepared_sheet(spark):
+    sheet = spark.createDataFrame([(i, float(i), 1000.0 if i == 9 else 1.0, None) for i in range(40)], "id int, area_x double, area_y double, area_none double")
+    assert clean.prepared(sheet, "id").columns == ["id", "area_x", "area_y"]
+    assert clean.prepared(sheet, "id", ["_y"]).columns == ["id", "area_y"]
+    assert clean.prepared(sheet, "id", ["_y"], outliers=True).count() == 39
+    assert clean.prepared(sheet.limit(0), "id").count() == 0
