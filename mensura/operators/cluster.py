@@ -62,7 +62,7 @@ def gap_statistic(df: DataFrame, most: int = 10, references: int = 10, seed: int
     return spark.createDataFrame(rows, "k int, gap double, error double")
 
 
-def silhouettes(df: DataFrame, label: str, key: str = "id", block: int = 2048) -> DataFrame:
+def silhouettes(df: DataFrame, label: str, key: str = "id", block: int = 1024) -> DataFrame:
     """Exact silhouette of every row by Euclidean distance.
 
     Rows are packed in blocks of about ``block``; a task takes two blocks and gives each row
@@ -74,7 +74,7 @@ def silhouettes(df: DataFrame, label: str, key: str = "id", block: int = 2048) -
     blocks = max(1, -(-held.count() // block))
     kind, group = (held.schema[c].dataType.simpleString() for c in ("_k", "_l"))
     packed = held.withColumn("_b", F.pmod(F.xxhash64("_k", "_v"), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct("_k", "_l", "_v")).alias("_r"))
-    packed = cut(packed.select(F.col("_r._k").alias("_k"), F.col("_r._l").alias("_l"), F.flatten("_r._v").alias("_v")))
+    packed = cut(packed.select(F.col("_r._k").alias("_k"), F.col("_r._l").alias("_l"), F.flatten("_r._v").alias("_v")).repartition(min(blocks, 64)))  # a task for each pair of parts
     theirs = packed.select(F.col("_l").alias("_l2"), F.col("_v").alias("_v2"))
 
     def summed(frames):
