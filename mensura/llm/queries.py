@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.llm import chat, html_text, licenses, pieces, warc
+from mensura.llm.alignment import alignment
 from mensura.llm.common import checkpoint_root, read_table
 from mensura.llm.exact_dedup import exact_duplicates
 from mensura.llm.fingerprints import containment, encoded, fingerprint_with_edits, resemblance
 from mensura.llm.importance import fit_importance, importance_scores
+from mensura.llm.minhash_join import minhash_duplicates
 from mensura.llm.packing import pack
+from mensura.llm.ranked_search import search
 from mensura.llm.simhash import near_duplicates
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 BYTE_PAIR_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -191,6 +195,62 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), places AS (
+  SELECT row, words, unnest(range(greatest(len(words) - 2, CASE WHEN len(words) > 0 THEN 1 ELSE 0 END))) AS place FROM texts
+), shingles AS (SELECT DISTINCT row, array_to_string(words[place + 1:place + 3], ' ') AS shingle FROM places
+), sizes AS (SELECT row, count(*) AS n FROM shingles GROUP BY row
+), links AS (
+  SELECT x.row AS a, y.row AS b FROM shingles x JOIN shingles y USING (shingle) JOIN sizes p ON p.row = x.row JOIN sizes q ON q.row = y.row
+  WHERE x.row <> y.row GROUP BY x.row, y.row, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+), reached AS (
+  SELECT row AS a, row AS b FROM texts UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b
+)
+SELECT t.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(u.doc_id) AS component_id, t.doc_id = min(u.doc_id) AS kept
+FROM reached r JOIN texts t ON t.row = r.a JOIN texts u ON u.row = r.b LEFT JOIN sizes s ON s.row = r.a GROUP BY t.row, t.doc_id, s.n
+"""
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), words AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM texts
+), sizes AS (SELECT row, count(*) AS n FROM words GROUP BY row
+), corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM sizes
+), asked AS (
+  SELECT item, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS item, item_id,
+           unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL
+), postings AS (SELECT row, doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, corpus GROUP BY term, docs
+), scored AS (
+  SELECT item, item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (row), corpus GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(read_table(spark, sf_dir, "documents"), BYTE_LEVEL, SENTENCEPIECE_MODEL)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -203,6 +263,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_html_text": op10_html_text,
+        "op11_minhash_near_dedup": op11_minhash_near_dedup,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
@@ -213,4 +276,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_license_scan": _op6_sql(),
         "op8_chat_format": OP8_SQL,
         "op10_html_text": OP10_SQL,
+        "op11_minhash_near_dedup": OP11_SQL,
+        "op12_ranked_search": OP12_SQL,
     }
