@@ -37,7 +37,7 @@ RESEMBLANCE = 0.85
 COORDINATES = 64
 MISSED = 1e-9
 SHORT_LIST = 8
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 2
 BLOCK = 64
 _AT_ONCE = 1 << 12
 _random = np.random.default_rng(11)
@@ -91,8 +91,8 @@ def prefixes(nodes: DataFrame, matches: int) -> DataFrame:
     """The postings ``token``, ``node``, ``size`` among which any two nodes with enough matches meet."""
     token = F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long")
     posts = nodes.select("node", "size", F.posexplode("signature").alias("at", "value")).select("node", "size", token.alias("token"))
-    lists = cut(posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = joined_unskewed(posts, lists, ["token"])
+    lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = posts.join(lists.hint("merge"), "token")
     held = shared.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("posts"))  # COORDINATES at most
     # lists of one come first in the prefix
     left = F.size("posts") - (matches - 1)
@@ -103,17 +103,27 @@ def _near_size(a: str, b: str, resemblance: float):
     return F.least(a, b) >= resemblance * F.greatest(a, b)
 
 
-def _pair(a, b):
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+def _within_blocks(listed: DataFrame, signatures: DataFrame, matches: int, resemblance: float) -> DataFrame:
+    """Pairs of nodes of different components that share a list and have enough matches, found by blocks of its nodes.
 
+    Nodes of the component that a list's leader belongs to, as a crowd's mostly do, are not
+    compared with each other: they are sent to the blocks of the other nodes only.
+    """
 
-def _within_blocks(listed: DataFrame, signatures: DataFrame, matches: int, resemblance: float) -> DataFrame:
-    """Pairs of nodes of different components that share a list and have enough matches, found by blocks of its nodes."""
-    counted = cut(listed.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    blocks = F.floor((F.col("n") - 1) / BLOCK).cast("int") + 1
-    placed = joined_unskewed(listed, counted, ["token"]).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = placed.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "size")
-    rows = rows.join(signatures, "node")
+    def blocks(count: str):
+        return F.floor((F.col(count) - 1) / BLOCK).cast("int") + 1
+
+    def others(count: str):
+        return F.when(F.col(count) > 0, F.sequence(F.lit(0), F.greatest(blocks(count) - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+    main = F.col("label") == F.col("leader.label")
+    own = F.pmod(F.xxhash64("node"), F.when(main, blocks("n_main")).otherwise(blocks("n_rest"))).cast("int")
+    # blocks of the main component are numbered downwards from -1
+    to_rest = F.transform(others("n_rest"), lambda o: F.when(main, F.struct(o.alias("i"), (-1 - own).alias("j"))).otherwise(F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"))))
+    to_main = F.transform(F.when(main, F.array().cast("array<int>")).otherwise(others("n_main")), lambda o: F.struct(own.alias("i"), (-1 - o).alias("j")))
+    counted = listed.withColumn("n_main", F.col("n") - F.col("n_rest"))
+    rows = counted.select("token", "node", "label", "size", F.when(main, -1 - own).otherwise(own).alias("own"), F.explode(F.concat(to_rest, to_main)).alias("_b"))
+    rows = rows.select("token", "_b.i", "_b.j", "own", "node", "label", "size").join(signatures, "node")
 
     def compared(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -133,65 +143,59 @@ def _within_blocks(listed: DataFrame, signatures: DataFrame, matches: int, resem
         nodes = group.column("node").combine_chunks()
         return pa.table([nodes.take(pa.array(a, pa.int64())), nodes.take(pa.array(b, pa.int64()))], names=["a", "b"])
 
-    found = rows.groupBy("token", "i", "j").applyInArrow(compared, "a binary, b binary")
-    return found.select(*_pair("a", "b")).distinct()
+    return rows.groupBy("token", "i", "j").applyInArrow(compared, "a binary, b binary")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, resemblance: float) -> DataFrame:
+def confirmed(pairs: DataFrame, held: DataFrame, matches: int, resemblance: float) -> DataFrame:
     """The pairs that have enough matches and whose whole sets have the resemblance.
 
-    Nodes in many pairs are dealt out, with their sets, in parts of 1,024 pairs.
+    ``b`` may be in any number of pairs; by then rows have the set of ``a``, and adaptive
+    execution splits the join by their size.
     """
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("signature").alias("x"), F.col("hashes").alias("s")).hint("merge"), "a").join(
+        held.select(F.col("node").alias("b"), F.col("signature").alias("y"), F.col("hashes").alias("t")).hint("merge"), "b"
+    )
+    tally = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
+    shared = F.size(F.array_intersect("s", "t"))
+    return both.where((tally >= matches) & (100 * shared >= round(100 * resemblance) * (F.size("s") + F.size("t") - shared))).select("a", "b")
 
-    def beside(pairs: DataFrame, table: DataFrame, side: str, column: str) -> DataFrame:
-        counts = cut(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")))
-        parts = F.floor(F.col("n") / 1024).cast("int") + 1
-        of_table = counts.join(table.select(F.col("node").alias(side), column), side).select(side, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"), F.col(column).alias(f"of_{side}"))
-        dealt = joined_unskewed(pairs, counts, [side]).withColumn("_part", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("n")
-        return dealt.join(of_table, [side, "_part"]).drop("_part")
-
-    signed = beside(cut(beside(pairs, nodes, "a", "signature")), nodes, "b", "signature")
-    tally = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
-    likely = cut(signed.where(tally >= matches).select("a", "b"))
-    whole = beside(cut(beside(likely, sets, "a", "hashes")), sets, "b", "hashes")
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    percent = round(100 * resemblance)
-    return whole.where(100 * both >= percent * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
+def node_links(held: DataFrame, posts: DataFrame, resemblance: float, short_list: int = SHORT_LIST, rounds: int = LEADER_ROUNDS) -> tuple[DataFrame, DataFrame] | None:
+    """Edges ``(a, b)`` between nodes of at least the resemblance, such that what they reach is what all links reach, and the labels that follow.
 
-def node_links(nodes: DataFrame, sets: DataFrame, posts: DataFrame, resemblance: float, short_list: int = SHORT_LIST, rounds: int = LEADER_ROUNDS) -> DataFrame | None:
-    """Edges ``(a, b)`` between nodes of at least the resemblance, such that what they reach is what all links reach."""
+    ``held`` has ``node, signature, hashes`` of all nodes of ``posts``.
+    """
     matches = least_matches(resemblance)
-    edges, labels = None, None
+    edges = labels = None
     live = posts
     for number in range(rounds + 1):
         if labels is None:
             named = live.withColumn("label", F.col("node"))
         else:
-            named = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = cut(named.select("token", "node", "size", "label"))
-        leader = F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("p"), "node", "size", "label")).alias("leader")
-        lists = named.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"), leader)
-        mixed = cut(lists.where("x <> y").select("token", "n", "leader"))
-        if mixed.isEmpty():
-            break
-        few = mixed.where(F.col("n") <= short_list)
-        short = named.join(few.select("token"), "token", "left_semi")
-        other = short.select("token", F.col("node").alias("_node"), F.col("size").alias("_size"), F.col("label").alias("_label"))
-        pairs = short.join(other, "token").where((F.col("node") < F.col("_node")) & (F.col("label") != F.col("_label")) & _near_size("size", "_size", resemblance))
-        pairs = pairs.select(*_pair("node", "_node")).distinct()
-        many = cut(joined_unskewed(named, mixed.where(F.col("n") > short_list), ["token"]))
+            named = cut(live.join(labels, "node", "left").select("token", "node", "size", F.coalesce("label", "node").alias("label")))
+        leader = F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("p"), "node", "size", "label"))
+        lists = named.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"), leader.alias("leader"))
+        # merged at every size: with growing data the lists outgrow a broadcast
+        mixed = cut(named.join(lists.where("x <> y").select("token", "n", "leader").hint("merge"), "token"))
+        short, long = mixed.where(F.col("n") <= short_list), mixed.where(F.col("n") > short_list)
+        other = short.select("token", F.col("node").alias("b"), F.col("size").alias("_size"), F.col("label").alias("_label"))
+        near = short.select("token", F.col("node").alias("a"), "size", "label").join(other.hint("merge"), "token")
+        pairs = near.where((F.col("a") < F.col("b")) & (F.col("label") != F.col("_label")) & _near_size("size", "_size", resemblance)).select("a", "b")
         if number < rounds:
-            led = many.where((F.col("label") != F.col("leader.label")) & _near_size("size", "leader.size", resemblance))
-            pairs = pairs.unionByName(led.select(*_pair("node", "leader.node")).distinct())
+            led = long.where((F.col("label") != F.col("leader.label")) & _near_size("size", "leader.size", resemblance))
+            pairs = pairs.unionByName(led.select(F.col("node").alias("a"), F.col("leader.node").alias("b")))
             # a leader has met all nodes of its list
-            live = cut(many.where(F.col("node") != F.col("leader.node")).select("token", "node", "size"))
-        elif not many.isEmpty():
-            pairs = pairs.unionByName(_within_blocks(many.select("token", "node", "size", "label"), nodes.select("node", "signature"), matches, resemblance))
-        found = cut(confirmed(cut(pairs.distinct()), nodes, sets, matches, resemblance))
-        edges = found if edges is None else cut(edges.unionByName(found))
-        labels = cut(connected_components(edges))
-    return edges
+            live = long.where(F.col("node") != F.col("leader.node")).select("token", "node", "size")
+        else:
+            rest = long.groupBy("token").agg(F.count(F.when(F.col("label") != F.col("leader.label"), 1)).alias("n_rest"))
+            pairs = pairs.unionByName(_within_blocks(long.join(rest.hint("merge"), "token"), held.select("node", "signature"), matches, resemblance))
+        found = cut(confirmed(pairs.distinct(), held, matches, resemblance))
+        if not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+            labels = connected_components(edges)
+        if long.isEmpty():
+            break
+    return None if edges is None else (edges, labels)
 
 
 def minhash_duplicates(
@@ -219,17 +223,17 @@ def minhash_duplicates(
     def of_batches(batches):
         for batch in batches:
             sets = [shingle_set(str(t), shingle_words).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.list_(pa.int64()))], ["node", "signature", "hashes"])
 
-    asked = nodes.join(posts.select("node").distinct(), "node", "left_semi").select("node", "text_key")
-    some = docs.select("text_key", "text").join(asked, "text_key").dropDuplicates(["node"]).select("node", "text")
-    sets = cut(some.mapInArrow(of_batches, "node binary, hashes array<long>"))
+    asked = nodes.join(posts.select("node").distinct(), "node", "left_semi").select("node", "text_key", "signature")
+    some = docs.select("text_key", "text").join(asked, "text_key").dropDuplicates(["node"]).select("node", "text", "signature")
+    held = cut(some.mapInArrow(of_batches, "node binary, signature array<int>, hashes array<long>"))
 
-    edges = node_links(nodes, sets, posts, resemblance, short_list, rounds)
-    if edges is None:
+    found = node_links(held, posts, resemblance, short_list, rounds)
+    if found is None:
         named = nodes.select("node", F.col("least").alias("component_id"), "n")
     else:
-        labels = cut(connected_components(edges))
+        labels = found[1]
         linked = cut(nodes.join(labels, "node").select("node", "label", "least", "n"))
         least = cut(linked.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
         together = joined_unskewed(linked.drop("least", "n"), least, ["label"]).select("node", "component_id").join(linked.select("node", "n"), "node")
