@@ -38,7 +38,7 @@ COORDINATES = 64
 MISSED = 1e-9
 SHORT_LIST = 8
 LEADER_ROUNDS = 2
-BLOCK = 64
+BLOCK = 512
 _AT_ONCE = 1 << 12
 _random = np.random.default_rng(11)
 _FACTORS = _random.integers(0, 1 << 63, (COORDINATES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,45 +69,46 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """``doc_id``, ``text_key``, ``node`` (a 128-bit hash of the set, null for none), ``size`` and ``signature`` of every row."""
+    """``doc_id``, ``text_key``, ``set_key`` (a 128-bit hash of the set, null for none), ``size`` and ``signature`` of every row."""
 
     def of_batches(batches):
         for batch in batches:
-            nodes, sizes, signatures = [], [], []
+            keys, sizes, signatures = [], [], []
             for text in batch.column(2):
                 hashes = shingle_set(str(text), shingle_words)
-                nodes.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
+                keys.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
                 sizes.append(len(hashes))
                 signatures.append(signature(hashes) if len(hashes) else None)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.list_(pa.int32()))],
-                ["doc_id", "text_key", "node", "size", "signature"],
+                [*batch.columns[:2], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.list_(pa.int32()))],
+                ["doc_id", "text_key", "set_key", "size", "signature"],
             )
 
-    return docs.mapInArrow(of_batches, "doc_id long, text_key string, node binary, size long, signature array<int>")
+    return docs.mapInArrow(of_batches, "doc_id long, text_key string, set_key binary, size long, signature array<int>")
 
 
 def prefixes(nodes: DataFrame, matches: int) -> DataFrame:
-    """The postings ``token``, ``node``, ``size`` among which any two nodes with enough matches meet."""
+    """For each ``node`` the ``tokens`` under which it is posted; any two nodes with enough matches share one."""
     token = F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long")
-    posts = nodes.select("node", "size", F.posexplode("signature").alias("at", "value")).select("node", "size", token.alias("token"))
+    posts = nodes.select("node", F.posexplode("signature").alias("at", "value")).select("node", token.alias("token"))
     lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = posts.join(lists.hint("merge"), "token")
-    held = shared.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("posts"))  # COORDINATES at most
+    held = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("posts"))  # COORDINATES at most
     # lists of one come first in the prefix
     left = F.size("posts") - (matches - 1)
-    return held.where(left > 0).select("node", "size", F.explode(F.slice("posts", 1, left)).alias("p")).select("p.token", "node", "size")
+    return held.where(left > 0).select("node", F.col("posts.token").alias("tokens"), left.alias("left")).select("node", F.slice("tokens", F.lit(1), F.col("left")).alias("tokens"))
 
 
 def _near_size(a: str, b: str, resemblance: float):
     return F.least(a, b) >= resemblance * F.greatest(a, b)
 
 
-def _within_blocks(listed: DataFrame, signatures: DataFrame, matches: int, resemblance: float) -> DataFrame:
+def _within_blocks(listed: DataFrame, held: DataFrame, matches: int, resemblance: float) -> DataFrame:
     """Pairs of nodes of different components that share a list and have enough matches, found by blocks of its nodes.
 
     Nodes of the component that a list's leader belongs to, as a crowd's mostly do, are not
-    compared with each other: they are sent to the blocks of the other nodes only.
+    compared with each other: they are sent to the blocks of the other nodes only.  A pair
+    counts in the least list that both are posted in; if that is done, so is the pair.
     """
 
     def blocks(count: str):
@@ -123,7 +124,7 @@ def _within_blocks(listed: DataFrame, signatures: DataFrame, matches: int, resem
     to_main = F.transform(F.when(main, F.array().cast("array<int>")).otherwise(others("n_main")), lambda o: F.struct(own.alias("i"), (-1 - o).alias("j")))
     counted = listed.withColumn("n_main", F.col("n") - F.col("n_rest"))
     rows = counted.select("token", "node", "label", "size", F.when(main, -1 - own).otherwise(own).alias("own"), F.explode(F.concat(to_rest, to_main)).alias("_b"))
-    rows = rows.select("token", "_b.i", "_b.j", "own", "node", "label", "size").join(signatures, "node")
+    rows = rows.select("token", "_b.i", "_b.j", "own", "node", "label", "size").join(held, "node")
 
     def compared(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -131,6 +132,7 @@ def _within_blocks(listed: DataFrame, signatures: DataFrame, matches: int, resem
         own, size = np.asarray(group.column("own")), np.asarray(group.column("size"))
         label = np.asarray(group.column("label").combine_chunks().dictionary_encode().indices)
         values = np.asarray(group.column("signature").combine_chunks().values).reshape(len(own), COORDINATES)
+        token, tokens = group.column("token")[0].as_py(), [set(t) for t in group.column("tokens").to_pylist()]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
         for x in left.tolist():
@@ -138,12 +140,13 @@ def _within_blocks(listed: DataFrame, signatures: DataFrame, matches: int, resem
             ys = ys[label[ys] != label[x]]
             ys = ys[np.minimum(size[ys], size[x]) >= resemblance * np.maximum(size[ys], size[x])]
             ys = ys[(values[ys] == values[x]).sum(axis=1) >= matches]
+            ys = [y for y in ys.tolist() if min(tokens[x] & tokens[y]) == token]
             a += [x] * len(ys)
-            b += ys.tolist()
+            b += ys
         nodes = group.column("node").combine_chunks()
         return pa.table([nodes.take(pa.array(a, pa.int64())), nodes.take(pa.array(b, pa.int64()))], names=["a", "b"])
 
-    return rows.groupBy("token", "i", "j").applyInArrow(compared, "a binary, b binary")
+    return rows.groupBy("token", "i", "j").applyInArrow(compared, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, held: DataFrame, matches: int, resemblance: float) -> DataFrame:
@@ -160,14 +163,14 @@ def confirmed(pairs: DataFrame, held: DataFrame, matches: int, resemblance: floa
     return both.where((tally >= matches) & (100 * shared >= round(100 * resemblance) * (F.size("s") + F.size("t") - shared))).select("a", "b")
 
 
-def node_links(held: DataFrame, posts: DataFrame, resemblance: float, short_list: int = SHORT_LIST, rounds: int = LEADER_ROUNDS) -> tuple[DataFrame, DataFrame] | None:
+def node_links(held: DataFrame, resemblance: float, short_list: int = SHORT_LIST, rounds: int = LEADER_ROUNDS) -> tuple[DataFrame, DataFrame] | None:
     """Edges ``(a, b)`` between nodes of at least the resemblance, such that what they reach is what all links reach, and the labels that follow.
 
-    ``held`` has ``node, signature, hashes`` of all nodes of ``posts``.
+    ``held`` has ``node, size, signature, tokens, hashes`` of the nodes with postings.
     """
     matches = least_matches(resemblance)
     edges = labels = None
-    live = posts
+    live = held.select("node", "size", F.explode("tokens").alias("token"))
     for number in range(rounds + 1):
         if labels is None:
             named = live.withColumn("label", F.col("node"))
@@ -188,7 +191,7 @@ def node_links(held: DataFrame, posts: DataFrame, resemblance: float, short_list
             live = long.where(F.col("node") != F.col("leader.node")).select("token", "node", "size")
         else:
             rest = long.groupBy("token").agg(F.count(F.when(F.col("label") != F.col("leader.label"), 1)).alias("n_rest"))
-            pairs = pairs.unionByName(_within_blocks(long.join(rest.hint("merge"), "token"), held.select("node", "signature"), matches, resemblance))
+            pairs = pairs.unionByName(_within_blocks(long.join(rest.hint("merge"), "token"), held.select("node", "signature", "tokens"), matches, resemblance))
         found = cut(confirmed(pairs.distinct(), held, matches, resemblance))
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
@@ -214,31 +217,29 @@ def minhash_duplicates(
     text = body(text_col)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text).alias("text_key"), text.alias("text"))
     marked = cut(_marked(docs, shingle_words))
-    grouped = marked.where("node is not null").groupBy("node").agg(
+    grouped = marked.where("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("signature").alias("signature")
     )
-    nodes = cut(grouped)
-    posts = cut(prefixes(nodes, matches))
+    nodes = cut(grouped.withColumn("node", F.monotonically_increasing_id()))
 
     def of_batches(batches):
         for batch in batches:
-            sets = [shingle_set(str(t), shingle_words).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.list_(pa.int64()))], ["node", "signature", "hashes"])
+            sets = [shingle_set(str(t), shingle_words).view(np.int64) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.list_(pa.int64()))], ["node", "size", "signature", "tokens", "hashes"])
 
-    asked = nodes.join(posts.select("node").distinct(), "node", "left_semi").select("node", "text_key", "signature")
-    some = docs.select("text_key", "text").join(asked, "text_key").dropDuplicates(["node"]).select("node", "text", "signature")
-    held = cut(some.mapInArrow(of_batches, "node binary, signature array<int>, hashes array<long>"))
+    asked = nodes.select("node", "text_key", "size", "signature").join(prefixes(nodes, matches).hint("merge"), "node")
+    some = docs.select("text_key", "text").join(asked, "text_key").dropDuplicates(["node"]).select("text", "node", "size", "signature", "tokens")
+    held = cut(some.mapInArrow(of_batches, "node long, size long, signature array<int>, tokens array<long>, hashes array<long>"))
 
-    found = node_links(held, posts, resemblance, short_list, rounds)
+    found = node_links(held, resemblance, short_list, rounds)
     if found is None:
-        named = nodes.select("node", F.col("least").alias("component_id"), "n")
+        named = nodes.select("set_key", F.col("least").alias("component_id"), "n")
     else:
-        labels = found[1]
-        linked = cut(nodes.join(labels, "node").select("node", "label", "least", "n"))
+        linked = cut(nodes.join(found[1], "node").select("set_key", "label", "least", "n"))
         least = cut(linked.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
-        together = joined_unskewed(linked.drop("least", "n"), least, ["label"]).select("node", "component_id").join(linked.select("node", "n"), "node")
-        alone = nodes.join(labels, "node", "left_anti").select("node", F.col("least").alias("component_id"), "n")
+        together = joined_unskewed(linked.select("set_key", "label", F.col("n").alias("rows")), least, ["label"]).select("set_key", "component_id", F.col("rows").alias("n"))
+        alone = nodes.join(found[1], "node", "left_anti").select("set_key", F.col("least").alias("component_id"), "n")
         named = together.unionByName(alone)
-    classed = joined_unskewed(marked.where("node is not null"), cut(named), ["node"]).select("doc_id", "size", "component_id")
-    bare = marked.where("node is null").select("doc_id", "size", F.col("doc_id").alias("component_id"))
+    classed = joined_unskewed(marked.where("set_key is not null"), cut(named), ["set_key"]).select("doc_id", "size", "component_id")
+    bare = marked.where("set_key is null").select("doc_id", "size", F.col("doc_id").alias("component_id"))
     return classed.unionByName(bare).select("doc_id", F.col("size").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

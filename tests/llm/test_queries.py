@@ -34,7 +34,7 @@ def documents():
 def test_sql(spark, name):
     found = queries.queries()[name](spark, FOLDER)
     connection = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "benchmark"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     cursor = connection.execute(queries.oracle_sql()[name])
     names = [c[0] for c in cursor.description]
