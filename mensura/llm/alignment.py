@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -27,14 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mensura.llm.byte_pairs import PATTERN
 from mensura.llm.common import body, checkpoint_root, cut
 
 BYTES_AT_ONCE = 1 << 20
 LINKS_AT_ONCE = 1 << 21
 PAIRS_AT_ONCE = 1 << 20  # 25 MB as three columns
-KNOWN_UNITS = 1 << 17
-LONG_UNIT = 256
-_SPACE = re.compile(r"(?<=\S) ")
 
 
 def byte_letters() -> dict[str, int]:
@@ -64,51 +61,61 @@ class Files:
         named |= {t["id"]: t["content"].encode() for t in stated["added_tokens"]}
         return [named.get(i, b"") for i in range(max(named) + 1)]
 
+    @cached_property
+    def piece_tokens(self) -> list[bytes]:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_proto=self.pieces)
+        names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        return [bytes([int(n[3:5], 16)]) if model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+
+    @property
+    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the tokens of both."""
+        return tuple(np.array([len(t) for t in table], np.int64) for table in (self.byte_level_tokens, self.piece_tokens))
+
+    def check(self) -> Files:
+        """Raises if the byte-level file isn't one whose ids are its merge ranks."""
+        stated = json.loads(self.byte_level)
+        vocabulary, merges = stated["model"]["vocab"], stated["model"]["merges"]
+        made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        kind = stated["pre_tokenizer"]
+        if made != sorted(made) or kind["type"] != "ByteLevel" or not kind.get("use_regex", True) or stated["normalizer"]:
+            raise ValueError("the vocabulary must be byte-level BPE, numbered in the order of its merges")
+        return self
+
 
 class Tokens:
-    """Both tokenizers in a worker process, and the units that it has met.
+    """Both tokenizers in a worker process.
 
-    A space after a character that is no white space starts a token of either: no token has
-    white space after another character.  So texts are encoded by units between such spaces,
-    each unit once; where the piece model has other pieces, a text is one unit.
+    The byte-level vocabulary is numbered in the order of its merges, so that its ids are
+    the ranks by which pairs are merged.
     """
 
     def __init__(self, files: Files):
         import sentencepiece
-        import tokenizers
+        import tiktoken
 
-        self._bytes = tokenizers.Tokenizer.from_str(files.byte_level)
-        self._bytes.encode_special_tokens = True
+        table = files.byte_level_tokens
+        special = {t["id"] for t in json.loads(files.byte_level)["added_tokens"]}
+        ranks = {t: i for i, t in enumerate(table) if t and i not in special}
+        self._bytes = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._pieces = sentencepiece.SentencePieceProcessor(model_proto=files.pieces)
-        names = [self._pieces.id_to_piece(i) for i in range(self._pieces.get_piece_size())]
-        pieces = [bytes([int(n[3:5], 16)]) if self._pieces.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-        self._divides = not any(re.search("[^▁\\s]▁", n) for n in names)
-        self.tables = (files.byte_level_tokens, pieces)
+        self.tables = (table, files.piece_tokens)
         self.sizes = tuple(np.array([len(t) for t in table], np.int64) for table in self.tables)
-        self._known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-    def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both tokenizers for a space and the text, or nothing if either's bytes are not those."""
-        units = _SPACE.split(text) if self._divides else [text]
-        if units[-1] == "":  # the piece model puts no space before nothing
-            units[-2:] = [units[-2] + " "]
-        known = self._known
-        if new := [u for u in dict.fromkeys(units) if u not in known]:
-            if len(known) + len(new) > KNOWN_UNITS:
-                known = self._known = {}
-                new = list(dict.fromkeys(units))
-            left = [e.ids for e in self._bytes.encode_batch([" " + u for u in new], add_special_tokens=False)]
-            right = self._pieces.encode(new, num_threads=1)
-            for u, a, b in zip(new, left, right):
-                whole = (" " + u).encode()
-                same = b"".join(map(self.tables[0].__getitem__, a)) == whole == b"".join(map(self.tables[1].__getitem__, b))
-                known[u] = (np.array(a, np.int32), np.array(b, np.int32)) if same else None
-        found = [known[u] for u in units]
-        for u in [u for u in new if len(u) > LONG_UNIT]:
-            del known[u]
-        if any(f is None for f in found):
-            return None
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        # an id and what follows it, for the layout of groups
+        self.marked = [f"{i}{mark}" for table, marks in zip(self.tables, (",|", ",;")) for mark in marks for i in range(len(table))]
+
+    def encoded(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both tokenizers for a space and each text, or nothing if it is empty or either's bytes are not those."""
+        asked = [k for k, t in enumerate(texts) if t]
+        found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
+        for k, right in zip(asked, self._pieces.encode([texts[k] for k in asked], num_threads=1) if asked else ()):
+            whole = " " + texts[k]
+            if b"".join(map(self.tables[1].__getitem__, right)) == whole.encode():
+                left = self._bytes.encode_to_numpy(whole, allowed_special=set(), disallowed_special=())
+                found[k] = left.astype(np.int32), np.array(right, np.int32)
+        return found
 
 
 _ready: list[tuple[Files, Tokens]] = []
@@ -179,17 +186,14 @@ def linked_pairs(texts: np.ndarray, groups: tuple[np.ndarray, np.ndarray], ids:
     return text, pair, n
 
 
-def _layout(ids_a: np.ndarray, ids_b: np.ndarray, groups: tuple[np.ndarray, np.ndarray]) -> str:
-    """``a1,a2|b1;a3|b2``: the ids of each group."""
-    if not len(ids_a):
-        return ""
-    out, strings = [], []
-    for ids, group, last in ((ids_a, groups[0], "|"), (ids_b, groups[1], ";")):
-        marks = np.where(np.concatenate((group[1:] != group[:-1], [True])), last, ",").tolist()
-        strings += [f"{i}{m}" for i, m in zip(ids.tolist(), marks)]
-        out.append(2 * group + (last == ";"))
-    order = np.argsort(np.concatenate(out), kind="stable").tolist()
-    return "".join(map(strings.__getitem__, order))[:-1]
+def _layout(ids: list[np.ndarray], groups: tuple[np.ndarray, np.ndarray], counts: list[np.ndarray], widths: tuple[int, int]) -> np.ndarray:
+    """The order of ``a1,a2|b1;a3|b2`` as numbers of strings of an id and the mark after it."""
+    out = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+    before_a, before_b = (np.cumsum(c) - c for c in counts)
+    for side, shift in ((0, before_b), (1, before_a + counts[0])):
+        last = np.concatenate((groups[side][1:] != groups[side][:-1], [True])) if len(ids[side]) else np.empty(0, bool)
+        out[np.arange(len(ids[side])) + shift[groups[side]]] = ids[side] + widths[side] * last + (2 * widths[0] if side else 0)
+    return out
 
 
 def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -208,45 +212,47 @@ def aligned(df: DataFrame, byte_level_path: str, pieces_path: str, id_col: str =
     tokens' strings as plain text.  A null or empty text, or one that either tokenizer
     doesn't give back byte by byte, has no tokens, zeros and an empty digest.
     """
-    shared = df.sparkSession.sparkContext.broadcast(Files.load(byte_level_path, pieces_path))  # bounded by the vocabularies
+    shared = df.sparkSession.sparkContext.broadcast(Files.load(byte_level_path, pieces_path).check())  # bounded by the vocabularies
 
     def of_batches(batches):
         tokens = _tokens(shared.value)
         for batch in batches:
             texts = batch.column(1)
             for at, to in _slices(np.asarray(pc.binary_length(texts), np.int64)):
-                found = [tokens.encoded(t) if t else None for t in texts.slice(at, to - at).to_pylist()]
+                found = tokens.encoded(texts.slice(at, to - at).to_pylist())
                 none = np.empty(0, np.int32)
                 ids = [[f[side] if f else none for f in found] for side in (0, 1)]
-                yield _with_groups(batch.column(0).slice(at, to - at), ids, tokens.sizes)
+                yield _with_groups(batch.column(0).slice(at, to - at), ids, tokens)
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("text"))
     return docs.mapInArrow(of_batches, "doc_id long, ids_a array<int>, ids_b array<int>, n_groups long, n_links long, groups_sha256 string")
 
 
-def _with_groups(doc_ids: pa.Array, ids: list[list[np.ndarray]], sizes: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    lists = [pa.ListArray.from_arrays(pa.array(_bounds(side), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *side]), pa.int32())) for side in ids]
+def _with_groups(doc_ids: pa.Array, ids: list[list[np.ndarray]], tokens: Tokens) -> pa.RecordBatch:
     flat = [np.concatenate([np.empty(0, np.int32), *side]) for side in ids]
-    groups = groups_of(*(np.cumsum(s[f]) for s, f in zip(sizes, flat)))
     bounds = [_bounds(side) for side in ids]
-    counts = [np.bincount(g, minlength=1) for g in groups]
-    before = np.concatenate(([0], np.cumsum(counts[0] * counts[1])))
-    n_groups, n_links, digests = [], [], []
-    for (a0, a1), (b0, b1) in zip(zip(bounds[0], bounds[0][1:]), zip(bounds[1], bounds[1][1:])):
-        own = groups[0][a0:a1], groups[1][b0:b1]
-        first, last = (int(own[0][0]), int(own[0][-1]) + 1) if a1 > a0 else (0, 0)
-        n_groups.append(last - first)
-        n_links.append(int(before[last] - before[first]))
-        laid = _layout(flat[0][a0:a1], flat[1][b0:b1], own)
-        digests.append(hashlib.sha256(laid.encode()).hexdigest() if laid else "")
+    lists = [pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(f, pa.int32())) for b, f in zip(bounds, flat)]
+    groups = groups_of(*(np.cumsum(s[f]) for s, f in zip(tokens.sizes, flat)))
+    n = int(groups[0][-1]) + 1 if len(flat[0]) else 0
+    counts = [np.bincount(g, minlength=n) for g in groups]
+    # groups before each text: texts end where both end
+    at = np.append(groups[0], n)[bounds[0]]
+    links = _bounds_of(counts[0] * counts[1])[at]
+    laid, both = _layout(flat, groups, counts, tuple(map(len, tokens.tables))), bounds[0] + bounds[1]
+    strings = [laid[x:y].tolist() for x, y in zip(both.tolist(), both.tolist()[1:])]
+    digests = [hashlib.sha256("".join(map(tokens.marked.__getitem__, x))[:-1].encode()).hexdigest() if x else "" for x in strings]
     return pa.RecordBatch.from_arrays(
-        [doc_ids, *lists, pa.array(n_groups, pa.int64()), pa.array(n_links, pa.int64()), pa.array(digests, pa.string())],
+        [doc_ids, *lists, pa.array(np.diff(at)), pa.array(np.diff(links)), pa.array(digests, pa.string())],
         ["doc_id", "ids_a", "ids_b", "n_groups", "n_links", "groups_sha256"],
     )
 
 
 def _bounds(lists: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64)))
+    return _bounds_of(np.array([len(x) for x in lists], np.int64))
+
+
+def _bounds_of(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
 
 
 def _pairs_of(batch: pa.RecordBatch, sizes: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -262,14 +268,6 @@ def _pairs_of(batch: pa.RecordBatch, sizes: tuple[np.ndarray, np.ndarray]) -> It
         yield at, to, linked_pairs(of_group, groups, tuple(ids), len(sizes[1]))
 
 
-def _vocabulary_sizes(files: Files) -> tuple[np.ndarray, np.ndarray]:
-    import sentencepiece
-
-    model = sentencepiece.SentencePieceProcessor(model_proto=files.pieces)
-    pieces = [1 if model.is_byte(i) else len(model.id_to_piece(i).replace("▁", " ").encode()) for i in range(model.get_piece_size())]
-    return np.array([len(t) for t in files.byte_level_tokens], np.int64), np.array(pieces, np.int64)
-
-
 def pair_counts(tokens: DataFrame, sizes: tuple[np.ndarray, np.ndarray], at_once: int = LINKS_AT_ONCE) -> DataFrame:
     """How many rows of ``ids_a, ids_b`` hold a pair linked: ``a``, ``b``, ``n``."""
     shared = tokens.sparkSession.sparkContext.broadcast(sizes)  # a number a token
@@ -316,7 +314,7 @@ def alignment(df: DataFrame, byte_level_path: str, pieces_path: str, id_col: str
     and an empty table gives an empty result.
     """
     spark = df.sparkSession
-    sizes = _vocabulary_sizes(Files.load(byte_level_path, pieces_path))
+    sizes = Files.load(byte_level_path, pieces_path).sizes
     folder = f"{checkpoint_root(spark)}/aligned-{uuid4().hex}"
     aligned(df, byte_level_path, pieces_path, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).write.parquet(folder)
     tokens = spark.read.parquet(folder)
