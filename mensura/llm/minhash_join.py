@@ -12,8 +12,8 @@ least ``MATCHES`` coordinates but for one pair in 10⁹, and pairs are taken up
 * Skip: nodes known to be linked aren't compared again.  A list whose nodes all belong to one
   component is skipped; short ones pair the nodes of different components, long ones pair
   a leader with those of other components, round by round; what is then left of
-  long lists is compared in blocks of nodes inside tasks, which give only pairs above the
-  threshold.  So a crowd of near copies costs some rounds of its size, and no link between
+  long lists is compared in blocks of nodes inside tasks, which count collisions, compare
+  the whole sets of what is above the threshold, and give links only.  So a crowd of near copies costs some rounds of its size, and no link between
   different components is left out.
 * A collision count over the whole signatures, then the whole sets, confirm a pair.
 """
@@ -39,6 +39,7 @@ MISSED = 1e-9
 SHORT_LIST = 8
 LEADER_ROUNDS = 2
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 18
 _AT_ONCE = 1 << 12
 _random = np.random.default_rng(11)
 _FACTORS = _random.integers(0, 1 << 63, (COORDINATES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,7 +105,7 @@ def _near_size(a: str, b: str, resemblance: float):
 
 
 def _within_blocks(listed: DataFrame, held: DataFrame, matches: int, resemblance: float) -> DataFrame:
-    """Pairs of nodes of different components that share a list and have enough matches, found by blocks of its nodes.
+    """Links between nodes of different components that share a list, found by blocks of its nodes.
 
     Nodes of the component that a list's leader belongs to, as a crowd's mostly do, are not
     compared with each other: they are sent to the blocks of the other nodes only.  A pair
@@ -112,18 +113,18 @@ def _within_blocks(listed: DataFrame, held: DataFrame, matches: int, resemblance
     """
 
     def blocks(count: str):
-        return F.floor((F.col(count) - 1) / BLOCK).cast("int") + 1
+        return F.floor(F.greatest((F.col(count) - 1) / BLOCK, F.col(f"size_{count}") / BLOCK_SHINGLES)).cast("int") + 1
 
     def others(count: str):
         return F.when(F.col(count) > 0, F.sequence(F.lit(0), F.greatest(blocks(count) - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
+    percent = round(100 * resemblance)
     main = F.col("label") == F.col("leader.label")
     own = F.pmod(F.xxhash64("node"), F.when(main, blocks("n_main")).otherwise(blocks("n_rest"))).cast("int")
     # blocks of the main component are numbered downwards from -1
     to_rest = F.transform(others("n_rest"), lambda o: F.when(main, F.struct(o.alias("i"), (-1 - own).alias("j"))).otherwise(F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"))))
     to_main = F.transform(F.when(main, F.array().cast("array<int>")).otherwise(others("n_main")), lambda o: F.struct(own.alias("i"), (-1 - o).alias("j")))
-    counted = listed.withColumn("n_main", F.col("n") - F.col("n_rest"))
-    rows = counted.select("token", "node", "label", "size", F.when(main, -1 - own).otherwise(own).alias("own"), F.explode(F.concat(to_rest, to_main)).alias("_b"))
+    rows = listed.select("token", "node", "label", "size", F.when(main, -1 - own).otherwise(own).alias("own"), F.explode(F.concat(to_rest, to_main)).alias("_b"))
     rows = rows.select("token", "_b.i", "_b.j", "own", "node", "label", "size").join(held, "node")
 
     def compared(group: pa.Table) -> pa.Table:
@@ -133,6 +134,10 @@ def _within_blocks(listed: DataFrame, held: DataFrame, matches: int, resemblance
         label = np.asarray(group.column("label").combine_chunks().dictionary_encode().indices)
         values = np.asarray(group.column("signature").combine_chunks().values).reshape(len(own), COORDINATES)
         token, tokens = group.column("token")[0].as_py(), [set(t) for t in group.column("tokens").to_pylist()]
+        hashes = group.column("hashes").combine_chunks()
+        ends = np.asarray(hashes.offsets).astype(np.int64)
+        shingles = np.unique(np.asarray(hashes.values), return_inverse=True)[1]
+        there = np.zeros(len(shingles) + 1, np.int64)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
         for x in left.tolist():
@@ -141,8 +146,13 @@ def _within_blocks(listed: DataFrame, held: DataFrame, matches: int, resemblance
             ys = ys[np.minimum(size[ys], size[x]) >= resemblance * np.maximum(size[ys], size[x])]
             ys = ys[(values[ys] == values[x]).sum(axis=1) >= matches]
             ys = [y for y in ys.tolist() if min(tokens[x] & tokens[y]) == token]
-            a += [x] * len(ys)
-            b += ys
+            there[shingles[ends[x] : ends[x + 1]]] = 1
+            for y in ys:
+                both = int(there[shingles[ends[y] : ends[y + 1]]].sum())
+                if 100 * both >= percent * (size[x] + size[y] - both):
+                    a.append(x)
+                    b.append(y)
+            there[shingles[ends[x] : ends[x + 1]]] = 0
         nodes = group.column("node").combine_chunks()
         return pa.table([nodes.take(pa.array(a, pa.int64())), nodes.take(pa.array(b, pa.int64()))], names=["a", "b"])
 
@@ -190,9 +200,13 @@ def node_links(held: DataFrame, resemblance: float, short_list: int = SHORT_LIST
             # a leader has met all nodes of its list
             live = long.where(F.col("node") != F.col("leader.node")).select("token", "node", "size")
         else:
-            rest = long.groupBy("token").agg(F.count(F.when(F.col("label") != F.col("leader.label"), 1)).alias("n_rest"))
-            pairs = pairs.unionByName(_within_blocks(long.join(rest.hint("merge"), "token"), held.select("node", "signature", "tokens"), matches, resemblance))
-        found = cut(confirmed(pairs.distinct(), held, matches, resemblance))
+            rest = F.col("label") != F.col("leader.label")
+            sums = [F.count(F.when(rest, 1)).alias("n_rest"), F.count(F.when(~rest, 1)).alias("n_main")]
+            sums += [F.coalesce(F.sum(F.when(rest, F.col("size"))), F.lit(0)).alias("size_n_rest"), F.coalesce(F.sum(F.when(~rest, F.col("size"))), F.lit(0)).alias("size_n_main")]
+            counted = long.join(long.groupBy("token").agg(*sums).hint("merge"), "token")
+            within = _within_blocks(counted, held.select("node", "signature", "tokens", "hashes"), matches, resemblance)
+        found = confirmed(pairs.distinct(), held, matches, resemblance)
+        found = cut(found.unionByName(within) if number == rounds else found)
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             labels = connected_components(edges)
