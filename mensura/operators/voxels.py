@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, exp
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from mensura.functions.columns import ratio
 from mensura.functions.lineage import cut
 from mensura.operators.aggregate import histogram
 from mensura.operators.components import least_member
+from mensura.operators.tiles import grown
 
 PLACE = ["image", "y", "x"]
 
@@ -189,18 +192,61 @@ def cropped(mask: DataFrame, padding: int = 0) -> DataFrame:
     return mask.join(boxes, "image").select("image", (F.col("y") - F.col("_y") + padding).alias("y"), (F.col("x") - F.col("_x") + padding).alias("x"))
 
 
-def edge_distance(mask: DataFrame) -> DataFrame:
-    """The place of each image farthest from its background, by steps of square erosion; outside is background.
+def separated(mask: DataFrame, width: int, height: int, least: int, most: int) -> DataFrame:
+    """Touching objects apart: places of the mask with the ``seed`` that they belong to and the ``label`` of what they make up.
+
+    Components of the mask less a ring of one place are seeds and grow back within the mask,
+    all at one pace and to four neighbours, of equally near ones the one of least label.
+    Only what seeds of an area over ``least`` and below ``most`` have taken stays.
+    """
+    seeds = cut(labelled(eroded(mask), width))
+    areas = seeds.groupBy("image", "label").agg(F.count(F.lit(1)).alias("_n")).where(f"_n > {least} and _n < {most}").select("image", F.col("label").alias("seed"))
+    taken = cut(grown(mask, seeds).select(*PLACE, F.col("label").alias("seed")).join(areas, ["image", "seed"], "left_semi"))
+    return labelled(taken, width).join(taken, PLACE).select(*PLACE, "seed", "label")
+
+
+def adaptive(pixels: DataFrame, value: str, block: int, less: float, method: str = "mean") -> DataFrame:
+    """Foreground of full images: places brighter than the mean of a square window about them, less a constant.
 
-    A round a step, until the deepest place is gone.
+    The window is ``block`` places wide, an odd number; beyond the edge the edge's values go
+    on.  Means are rounded to whole numbers, halves to the even one.  The plain mean takes two
+    running sums, one along each axis, whatever the window; ``gaussian`` weighs the window's
+    places.  Images with missing places are not asked for; null values count as zero.
+    """
+    if block % 2 == 0 or block <= 1:
+        raise ValueError("block must be odd and more than one")
+    reach = block // 2
+
+    def summed(df: DataFrame, along: str, across: str) -> DataFrame:
+        order = Window.partitionBy("image", across).orderBy(along)
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        first, last = F.first("_v").over(whole), F.last("_v").over(whole)
+        if method == "gaussian":
+            sigma = 0.3 * ((block - 1) * 0.5 - 1) + 0.8
+            weights = [exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
+            terms = [F.coalesce(F.lag("_v", -k).over(order), first if k < 0 else last) * (w / sum(weights)) for k, w in zip(range(-reach, reach + 1), weights)]
+            return df.withColumn("_v", sum(terms[1:], terms[0]))
+        df = df.withColumn("_p", F.sum("_v").over(order)).withColumns({"_first": first, "_last": last, "_end": F.max(along).over(whole)})
+        inner = F.coalesce(F.lead("_p", reach).over(order), F.sum("_v").over(whole)) - F.coalesce(F.lag("_p", reach + 1).over(order), F.lit(0))
+        before, after = F.greatest(F.lit(reach) - F.col(along), F.lit(0)), F.greatest(F.col(along) + reach - F.col("_end"), F.lit(0))
+        return df.withColumn("_v", inner + before * F.col("_first") + after * F.col("_last")).drop("_p", "_first", "_last", "_end")
+
+    held = pixels.select(*PLACE, F.coalesce(F.col(value), F.lit(0)).alias("_own")).withColumn("_v", F.col("_own"))
+    sums = summed(summed(held, "x", "y"), "y", "x")
+    mean = F.bround(F.col("_v") if method == "gaussian" else F.col("_v") / (block * block))
+    return sums.where(F.col("_own") > mean - ceil(less)).select(*PLACE)
+
+
+def debris(pixels: DataFrame, value: str, width: int, height: int, score: float = 3.0, least: int = 50, most: int = 200_000, reach: int = 10) -> DataFrame:
+    """Places of debris: components of outlying intensity, of an area from ``least`` to ``most``, and a disc about them.
+
+    Components at the image's edge of more than four times the reach are objects cut off, and
+    stay.  An image of one value has no debris.
     """
-    left, rows = mask.select(*PLACE).distinct(), None
-    depth = 1
-    while True:
-        here = cut(left.withColumn("depth", F.lit(depth)))
-        if here.isEmpty():
-            break
-        rows = here if rows is None else rows.unionByName(here)
-        left, depth = eroded(here.select(*PLACE)), depth + 1
-    deepest = (rows if rows is not None else left.withColumn("depth", F.lit(0))).groupBy("image").agg(F.max(F.struct("depth", -F.col("y"), -F.col("x"))).alias("m"))
-    return deepest.select("image", F.col("m.depth").alias("depth"), (-F.col("m.col2")).alias("y"), (-F.col("m.col3")).alias("x"))
+    own = Window.partitionBy("image")
+    apart = F.abs(F.col(value) - F.avg(value).over(own)) / (F.stddev_pop(value).over(own) + 1e-8)
+    regions = cut(labelled(pixels.withColumn("_z", apart).where(F.col("_z") > score), width))
+    at_edge = F.max(((F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == height - 1) | (F.col("x") == width - 1)).cast("int"))
+    kept = regions.groupBy("image", "label").agg(F.count(F.lit(1)).alias("_n"), at_edge.alias("_e"))
+    kept = kept.where((F.col("_n") >= least) & (F.col("_n") <= most) & ~((F.col("_e") == 1) & (F.col("_n") > 4 * reach)))
+    return dilated(regions.join(kept, ["image", "label"], "left_semi"), width, height, "disc", reach)

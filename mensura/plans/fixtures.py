@@ -128,3 +128,36 @@ def fisher_p(a: str, b: str, c: str, d: str) -> str:
         return f"exp({choose(row, k)} + {choose(f'({n} - {row})', f'({column} - {k})')} - {choose(n, column)})"
 
     return f"least(1, list_sum(list_filter(list_transform(range(greatest(0, {row} + {column} - {n}), least({row}, {column}) + 1), lambda k: {p('k')}), lambda q: q <= {p(a)} * 1.0000001)))"
+
+
+BLOBS = """blobs AS (
+  SELECT DISTINCT image, y + dy AS y, x + dx AS x
+  FROM (SELECT l_orderkey // 512 AS image, (l_orderkey * 31 + l_linenumber * 17) % 64 AS y, l_partkey * 7 % 64 AS x FROM lineitem WHERE l_quantity <= 3),
+       (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx)
+  WHERE dy * dy + dx * dx <= 9 AND y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 63)"""
+
+PIXELS = """pixels AS (
+  SELECT image, y, x, coalesce(value, 0) AS value
+  FROM (SELECT * FROM (SELECT DISTINCT l_orderkey // 512 AS image FROM lineitem), (SELECT unnest(range(64)) AS y), (SELECT unnest(range(64)) AS x))
+  LEFT JOIN (SELECT l_orderkey // 512 AS image, (l_orderkey * 31 + l_linenumber * 17) % 64 AS y, l_partkey * 7 % 64 AS x, CAST(sum(l_quantity) AS BIGINT) AS value FROM lineitem GROUP BY ALL) USING (image, y, x))"""
+
+
+def _marks(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").selectExpr("l_orderkey div 512 AS image", "(l_orderkey * 31 + l_linenumber * 17) % 64 AS y", "l_partkey * 7 % 64 AS x", "l_quantity AS quantity")
+
+
+def blobs(spark: SparkSession, folder: str) -> DataFrame:
+    """Discs that touch and overlap, in images of 64 by 64 places, whose number grows with the table."""
+    from mensura.operators.voxels import dilated
+
+    return dilated(_marks(spark, folder).where("quantity <= 3"), 64, 64, "disc", 3)
+
+
+def pixels(spark: SparkSession, folder: str) -> DataFrame:
+    """Full images of 64 by 64 intensities, whose number grows with the table."""
+    marks = _marks(spark, folder)
+    places = F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))
+    rows = marks.select("image").distinct().select("image", F.explode(places).alias("y"))
+    grid = rows.select("image", "y", F.explode(places).alias("x"))
+    held = marks.groupBy("image", "y", "x").agg(F.sum("quantity").cast("long").alias("value"))
+    return grid.join(held, ["image", "y", "x"], "left").select("image", "y", "x", F.coalesce("value", F.lit(0)).alias("value"))

@@ -6,7 +6,7 @@ from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
-from mensura.operators import aggregate, clean, cluster, reshape, scale, spatial, stats, tracking, voxels
+from mensura.operators import aggregate, clean, cluster, reshape, scale, spatial, stats, tiles, tracking, voxels
 from mensura.plans import fixtures as X
 from mensura.plans.fixtures import rounded
 from mensura.plans.tests import _LABELS, _frames
@@ -240,12 +240,12 @@ def ordered_categories(spark, d):
 
 @query(
     f"""WITH {X.MASK}, d AS (SELECT DISTINCT image, y + dy AS y, x + dx AS x FROM mask, (SELECT unnest([-1, -1, -1, 0, 0, 0, 1, 1, 1]) AS dy, unnest([-1, 0, 1, -1, 0, 1, -1, 0, 1]) AS dx) WHERE y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 63),
-    grid AS (SELECT image, y, x FROM (SELECT DISTINCT image FROM mask), (SELECT unnest(range(-1, 65)) AS y), (SELECT unnest(range(-1, 65)) AS x)), back AS (SELECT image, y, x FROM grid EXCEPT SELECT image, y, x FROM d),
-    e AS (SELECT d.image, d.y, d.x, min(greatest(abs(d.y - b.y), abs(d.x - b.x))) AS depth FROM d JOIN back b ON d.image = b.image GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY depth DESC, y, x) AS k FROM e)
-    SELECT image, CAST(depth AS INTEGER) AS depth, y, x FROM r WHERE k = 1"""
+    grid AS (SELECT image, y, x FROM (SELECT DISTINCT image FROM mask), (SELECT unnest(range(64)) AS y), (SELECT unnest(range(64)) AS x)), back AS (SELECT image, y, x FROM grid EXCEPT SELECT image, y, x FROM d),
+    e AS (SELECT d.image, d.y, d.x, min(pow(d.y - b.y, 2) + pow(d.x - b.x, 2)) AS square FROM d JOIN back b ON d.image = b.image GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY square DESC, y, x) AS k FROM e)
+    SELECT image, round(sqrt(square), 6) AS depth, y, x FROM r WHERE k = 1"""
 )
 def edge_depth(spark, d):
-    return voxels.edge_distance(voxels.dilated(X.mask(spark, d), 64, 64))
+    return rounded(tiles.deepest(voxels.dilated(X.mask(spark, d), 64, 64), 64, 64))
 
 
 @query()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mensura.functions import columns as C
 from mensura.functions import special
-from mensura.operators import aggregate, clean, cluster, components, joins, reshape, scale, schema, spatial, stats, tracking, voxels, zones
+from mensura.operators import aggregate, clean, cluster, components, joins, reshape, scale, schema, spatial, stats, tiles, tracking, voxels, zones
 from mensura.sources import tables
 from mensura.streaming import windows
 
@@ -177,7 +177,7 @@ def test_masks(spark):
     assert [(r.y, r.x) for r in voxels.eroded(block).collect()] == [(2, 1)]
     assert voxels.opened(block, 3, 4).count() == 9 and voxels.closed(ring, 5, 5).count() == 25
     assert clean.clear_of_border(labels, ["image", "label"], 5, 5).count() == 1
-    far = voxels.edge_distance(mask_of(spark, [".....", ".###.", ".###.", ".###.", "....."])).first()
+    far = tiles.deepest(mask_of(spark, [".....", ".###.", ".###.", ".###.", "....."]), 5, 5).first()
     assert (far.depth, far.y, far.x) == (2, 2, 2)
 
 
