@@ -222,3 +222,19 @@ def test_pointers_lead_to_the_end_of_the_group():
     a, b = np.array([3, 6, 9, 12, 13]), np.array([2, 4, 8, 10, 12, 13])
     groups = alignment.groups_of(a, b)
     assert groups[0].tolist() == [0, 0, 0, 0, 1] and groups[1].tolist() == [0, 0, 0, 0, 0, 1]
+
+
+@pytest.mark.parametrize(("shared", "short_list"), [(870, 8), (880, 2)])
+def test_near_copies_in_crowds_are_all_found(spark, shared, short_list):
+    """Texts that share most of their words, each with a twin of a resemblance of 0.83."""
+    from mensura.llm.resembling import drop_near_copies
+
+    common, rows = words(shared, 1, 10**9), []
+    for i in range(80):
+        own = common + words(1000 - shared, 100 + i, 10**9)
+        twin = list(own)
+        for k in range(5, 1000, 55):
+            twin[k] = f"t{i}x{k}"
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(twin))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in drop_near_copies(frame, short_list=short_list).collect()) == [2 * i for i in range(80)]
