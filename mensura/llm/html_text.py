@@ -47,11 +47,12 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 NEVER = frozenset(
-    "head script style noscript template iframe object svg canvas nav footer aside form button select option textarea input menu dialog title".split()
+    "head script style noscript template iframe object svg canvas nav footer aside form label button select option textarea input menu dialog title".split()
 )
 CONTENT = frozenset(("article", "main"))
 PERHAPS = frozenset(("header",))
-COMMENTS = frozenset("comment comments comment-list comments-area comments-section".split())
+COMMENTS = frozenset("comment comments comment-list commentlist comments-area comments-section comment-section comment-thread comment-respond".split())
+BOXES = frozenset("div ol ul dl".split())
 TEXT_SECTIONS = frozenset(("article", "main", "section"))  # of the marks only those of comments hold
 UNMARKED = frozenset("html body h1 h2 h3 h4 h5 h6".split())
 PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre blockquote figcaption caption summary".split())  # never all the content
@@ -59,7 +60,7 @@ MAX_DEPTH = 256  # deeper elements become siblings, as in browsers
 # Whole words of class and role that mark what is not content; as an id they do so perhaps.
 BOILERPLATE = COMMENTS | frozenset(
     "ad ads adv advert advertisement breadcrumb breadcrumbs disqus footer masthead nav navbar navigation newsletter pagination sidebar sponsored "
-    "ad-banner ad-container ad-slot ad-unit cookie-banner cookie-consent cookie-notice main-menu main-nav nav-menu newsletter-signup related-articles "
+    "ad-banner ad-box advert-box ad-container ad-slot ad-unit cookie-banner cookie-consent cookie-notice main-menu main-nav nav-menu newsletter-signup related-articles "
     "related-posts search-form share-buttons site-footer site-header site-nav skip-link skip-links social-links social-share".split()
 )
 # Words of class and role that may mark it, or name what a text is about.
@@ -120,8 +121,10 @@ def _element(tag: str, attributes: str) -> Node:
             skip |= name == "hidden" or (name == "aria-hidden" and words == ["true"])
             if tag in UNMARKED or name not in ("class", "role", "id"):
                 continue
-            never = not (COMMENTS if tag in TEXT_SECTIONS else BOILERPLATE).isdisjoint(whole)
-            skip |= never and name != "id"
+            comments = any(w in COMMENTS or "comments" in w.split("-") for w in whole)
+            never = comments or (tag not in TEXT_SECTIONS and not BOILERPLATE.isdisjoint(whole))
+            # an id may name what a text is about, but not that of a box or list of comments
+            skip |= never and (name != "id" or (comments and tag in BOXES))
             perhaps |= tag not in TEXT_SECTIONS and (never or (name != "id" and not AMBIGUOUS.isdisjoint(whole)))
     mark = [NEVER_MARK] if skip else [PERHAPS_MARK] * perhaps
     return Node(tag, ".".join([tag, *mark, *sorted(set(marks))]), skip)

@@ -345,3 +345,27 @@ def test_constant_articles_are_no_content(spark):
 def test_empty_and_null_pages(spark):
     frame = spark.createDataFrame([(1, None, None, None, None), (None, None, None, None, None), (2, "http://a/", " ", None, None)], PAGES)
     assert sorted(((r.page_id, r.text, r.n_chars) for r in html_text.extract_text(frame).collect()), key=str) == [(1, "", 0), (2, "", 0), (None, "", 0)]
+
+
+@pytest.mark.parametrize(
+    "said",
+    [
+        '<div id="comments"><h3>Comments</h3><p>reader {k} says hi {k}</p></div>',
+        '<ol class="commentlist"><li>reader {k}</li></ol>',
+        '<div class="user-comments"><p>reader {k}</p></div>',
+        '<div class="reader_comments wide"><p>reader {k}</p></div>',
+        '<ul id="comment-list"><li><p>reader {k}</p></ul>',
+        '<div class="advert-box">buy {k}</div>',
+        "<label>search {k}</label>",
+    ],
+)
+def test_readers_comments_go_wherever_they_stand(spark, said):
+    def page(k, inside):
+        text = f"<h1 id='comments'>Title {k}</h1><p>About comments, text {k}.</p>"
+        extra = said.format(k=k)
+        return f"<html><body><nav>menu</nav><article>{text}{extra if inside else ''}</article>{'' if inside else extra}</body></html>"
+
+    for inside in (True, False):
+        rows = [(k, f"http://host.example/{k}", page(k, inside)) for k in range(6)]
+        got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert {r.page_id: r.text for r in got} == {k: f"Title {k}\nAbout comments, text {k}." for k in range(6)}
