@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mensura.operators import tiles, voxels
+from mensura.operators import networks, tiles, voxels
 from mensura.plans import fixtures as X
 from mensura.plans.fixtures import rounded
 
@@ -90,3 +90,45 @@ def adaptive_threshold(spark, d):
 def debris_mask(spark, d):
     """Outlying spots of intensity and a disc about them."""
     return voxels.debris(X.pixels(spark, d), "value", 64, 64, score=2.0, least=2, most=40, reach=2)
+
+
+_DOTS = "dots AS (SELECT DISTINCT l_orderkey // 512 AS image, (l_orderkey * 31 + l_linenumber * 17) % 64 AS y, l_partkey * 7 % 64 AS x FROM lineitem)"
+
+
+@query(
+    f"""WITH RECURSIVE {_DOTS}, moved AS (SELECT image, y AS y0, x AS x0, y + dy AS y, x + dx AS x, sqrt(abs(dy) + abs(dx)) AS step FROM dots, {_AROUND}), pairs AS (SELECT * FROM moved JOIN dots USING (image, y, x)),
+    degrees AS (SELECT image, y, x, count(*) AS degree FROM pairs GROUP BY 1, 2, 3), thin AS (SELECT image, y, x FROM degrees WHERE degree < 3), whole AS (SELECT image, y, x FROM degrees), {_components('thin', 'parts')}, {_components('whole', 'nets')},
+    steps AS (SELECT p.image, a.label AS branch, p.y0, p.x0, p.y, p.x, p.step, b.label AS o FROM pairs p JOIN parts a ON a.image = p.image AND a.y = p.y0 AND a.x = p.x0 LEFT JOIN parts b ON b.image = p.image AND b.y = p.y AND b.x = p.x),
+    sums AS (SELECT image, branch, sum(CASE WHEN o IS NULL THEN step ELSE step / 2 END) AS length, count(*) FILTER (WHERE o IS NULL) AS joints, count(o) AS inn FROM steps GROUP BY 1, 2),
+    tips AS (SELECT image, label AS branch, y, x FROM parts JOIN degrees USING (image, y, x) WHERE degree = 1 UNION ALL SELECT image, branch, y, x FROM steps WHERE o IS NULL),
+    spans AS (SELECT image, branch, sqrt(pow(max(y * 64 + x) // 64 - min(y * 64 + x) // 64, 2) + pow(max(y * 64 + x) % 64 - min(y * 64 + x) % 64, 2)) AS span FROM tips GROUP BY 1, 2),
+    places AS (SELECT image, parts.label AS branch, min(nets.label) AS network, count(*) AS places FROM parts JOIN nets USING (image, y, x) GROUP BY 1, 2)
+    SELECT image, branch, network, CAST(CASE WHEN joints = 0 AND inn = 2 * places THEN 3 ELSE joints END AS INTEGER) AS kind, places, round(length, 6) AS length, round(coalesce(span, 0), 6) AS span
+    FROM places JOIN sums USING (image, branch) LEFT JOIN spans USING (image, branch)"""
+)
+def skeleton_branches(spark, d):
+    """Branches between the ends and junctions of thin lines."""
+    return rounded(networks.branches(X.pixels(spark, d).where("value > 0"), 64))
+
+
+@query()
+def network_summary(spark, d):
+    """Networks of the skeletons of touching objects."""
+    mask = X.blobs(spark, d)
+    return rounded(networks.network_summary(tiles.thinned(mask), mask, 64, 64))
+
+
+@query(
+    f"""WITH RECURSIVE {X.PIXELS}, over AS (SELECT t AS level, image * 3 + t AS image, y, x FROM pixels, (SELECT unnest([0, 1, 2]) AS t, unnest([20, 40, 60]) AS least) WHERE value >= least), {_components('over', 'held')}
+    SELECT [20.0, 40.0, 60.0][h.image % 3 + 1]::DOUBLE AS threshold, h.image // 3 AS image, h.label, count(*) AS area, min(b.label) AS parent
+    FROM held h LEFT JOIN held b ON b.image = h.image - 1 AND h.image % 3 > 0 AND b.y = h.y AND b.x = h.x GROUP BY h.image, h.label"""
+)
+def threshold_components(spark, d):
+    """Components at three thresholds, each in its component of the one below."""
+    return networks.component_tree(X.pixels(spark, d), "value", [20, 40, 60], 64)
+
+
+@query()
+def recovered_regions(spark, d):
+    """Largest regions at falling thresholds, each without what higher ones took."""
+    return networks.recovered(X.pixels(spark, d), "value", [60, 40], X.blobs(spark, d), 64, 64, largest=1, reach=2)

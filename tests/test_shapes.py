@@ -7,7 +7,7 @@ from collections import deque
 import numpy as np
 import pytest
 
-from mensura.operators import tiles, voxels
+from mensura.operators import networks, tiles, voxels
 
 
 def blobs(seed, height=40, width=50, discs=14):
@@ -167,3 +167,42 @@ def test_debris(spark):
     got = {(r.image, r.y, r.x) for r in voxels.debris(pixels, "v", 40, 40, 3.0, 4, 100, 2).collect()}
     disc = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4]
     assert got == {(1, y + a, x + b) for y in range(10, 13) for x in range(10, 13) for a, b in disc}
+
+
+def test_branches(spark):
+    ring = {(y, x) for y in range(10, 16) for x in range(10, 16) if y in (10, 15) or x in (10, 15)} - {(10, 10), (10, 15), (15, 10), (15, 15)}
+    cross = {(20, x) for x in range(20, 31)} | {(y, 25) for y in range(21, 28)}
+    line = {(2, x) for x in range(3, 9)}
+    got = networks.branches(frame(spark, {1: ring | cross | line, 2: {(0, 0), (5, 5)}}), 64).collect()
+    assert all(r.image == 1 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.network, []).append((r.kind, r.places, round(r.length, 4), round(r.span, 4)))
+    assert by[2 * 64 + 3] == [(0, 6, 5.0, 5.0)]
+    assert by[10 * 64 + 11] == [(3, 16, round(12 + 4 * math.sqrt(2), 4), 0.0)]
+    # the crossing has four junctions about its middle
+    assert sorted(k for k, *_ in by[20 * 64 + 20]) == [1, 1, 1] and sum(p for _, p, *_ in by[20 * 64 + 20]) == len(cross) - 4
+    assert networks.branches(frame(spark, {}), 64).collect() == []
+
+
+def test_network_summary(spark):
+    mask = {(y, x) for y in range(10, 15) for x in range(5, 50)} | {(y, x) for y in range(10, 38) for x in range(25, 30)} | {(36, x) for x in range(2, 12)}
+    got = networks.network_summary(tiles.thinned(frame(spark, {3: mask})), frame(spark, {3: mask}), 50, 40).first()
+    assert (got.individuals, got.networks, got.kind0) == (1, 1, 1) and got.kind1 == 3
+    assert got.individual_length_mean == 9 and got.individual_width_mean == 2 and 3 < got.network_width_median <= 6
+    assert got.network_share == pytest.approx(1 - 1 / (got.kind0 + got.kind1 + got.kind2 + got.kind3))
+
+
+def test_recovery(spark):
+    rows = [(1, y, x, 9 if 4 <= y <= 6 and 4 <= x <= 6 else 5 if 2 <= y <= 8 and 2 <= x <= 8 else 5 if 20 <= y < 23 and 20 <= x < 24 else 0) for y in range(30) for x in range(30)]
+    pixels = spark.createDataFrame(rows, "image long, y long, x long, v long")
+    cells = pixels.select("image", "y", "x")
+    tree = {(r.threshold, r.label): (r.area, r.parent) for r in networks.component_tree(pixels, "v", [8, 3], 30).collect()}
+    assert tree == {(3.0, 62): (49, None), (3.0, 620): (12, None), (8.0, 124): (9, 62)}
+    got = networks.recovered(pixels, "v", [8, 3], cells, 30, 30, largest=1, reach=1).collect()
+    high, low = ({(r.y, r.x) for r in got if r.threshold == t} for t in (8, 3))
+    cross = [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]
+    taken = {(y, x) for y in range(4, 7) for x in range(4, 7)}
+    assert high == {(y + a, x + b) for y, x in taken for a, b in cross}
+    # the rest of the object is a ring about what the disc has taken, whose hole is filled
+    assert low == {(y + a, x + b) for y in range(2, 9) for x in range(2, 9) for a, b in cross}
