@@ -5,10 +5,10 @@ farthest to the right that it overlaps: one of the other tokenizer, or itself wh
 at the same byte.  Doubling the pointers, ``p = p[p]``, for a batch of texts at once leads
 every token to the last one of its group, whose number labels the group.
 
-Links are the pairs of tokens of a group.  How many documents hold a pair of ids linked is
-counted in tasks over many texts first, then summed by pair.  The counts are handed back to
-the texts in blocks of a bounded number of pairs, so that no broadcast grows with the data;
-the sums of the blocks add up.
+Links are the pairs of tokens of a group.  A text keeps each pair of ids that it holds
+linked once, with its number of links, so that counting documents is counting pairs.  The
+counts are handed back to the texts in blocks of a bounded number of pairs, so that no
+broadcast grows with the data; the sums of the blocks add up.
 """
 
 from __future__ import annotations
@@ -69,11 +69,6 @@ class Files:
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         return [bytes([int(n[3:5], 16)]) if model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
 
-    @property
-    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of the tokens of both."""
-        return tuple(np.array([len(t) for t in table], np.int64) for table in (self.byte_level_tokens, self.piece_tokens))
-
     def check(self) -> Files:
         """Raises if the byte-level file isn't one whose ids are its merge ranks."""
         stated = json.loads(self.byte_level)
@@ -206,7 +201,11 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def aligned(df: DataFrame, byte_level_path: str, pieces_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokens of every row's whole text: ``doc_id``, ``ids_a``, ``ids_b``, ``n_groups``, ``n_links``, ``groups_sha256``.
+    """Tokens, groups and links of every row's whole text.
+
+    Returns ``doc_id``, the counts ``n_a``, ``n_b``, ``n_groups``, ``n_links``, in ``groups_sha256``
+    a digest of the groups, and in ``pairs`` each pair of ids that is linked, the first times
+    the size of the second vocabulary plus the second, and in ``times`` its number of links.
 
     The text is encoded with a space before it, which the piece model adds itself, special
     tokens' strings as plain text.  A null or empty text, or one that either tokenizer
@@ -225,13 +224,12 @@ def aligned(df: DataFrame, byte_level_path: str, pieces_path: str, id_col: str =
                 yield _with_groups(batch.column(0).slice(at, to - at), ids, tokens)
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("text"))
-    return docs.mapInArrow(of_batches, "doc_id long, ids_a array<int>, ids_b array<int>, n_groups long, n_links long, groups_sha256 string")
+    return docs.mapInArrow(of_batches, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>")
 
 
 def _with_groups(doc_ids: pa.Array, ids: list[list[np.ndarray]], tokens: Tokens) -> pa.RecordBatch:
     flat = [np.concatenate([np.empty(0, np.int32), *side]) for side in ids]
     bounds = [_bounds(side) for side in ids]
-    lists = [pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(f, pa.int32())) for b, f in zip(bounds, flat)]
     groups = groups_of(*(np.cumsum(s[f]) for s, f in zip(tokens.sizes, flat)))
     n = int(groups[0][-1]) + 1 if len(flat[0]) else 0
     counts = [np.bincount(g, minlength=n) for g in groups]
@@ -241,9 +239,12 @@ def _with_groups(doc_ids: pa.Array, ids: list[list[np.ndarray]], tokens: Tokens)
     laid, both = _layout(flat, groups, counts, tuple(map(len, tokens.tables))), bounds[0] + bounds[1]
     strings = [laid[x:y].tolist() for x, y in zip(both.tolist(), both.tolist()[1:])]
     digests = [hashlib.sha256("".join(map(tokens.marked.__getitem__, x))[:-1].encode()).hexdigest() if x else "" for x in strings]
+    text, pair, times = linked_pairs(np.repeat(np.arange(len(ids[0])), np.diff(at)), groups, tuple(flat), len(tokens.tables[1]))
+    of_text = pa.array(np.searchsorted(text, np.arange(len(ids[0]) + 1)), pa.int32())
+    sums = [pa.array(np.diff(x)) for x in (*bounds, at, links)]
+    lists = [pa.ListArray.from_arrays(of_text, pa.array(x, pa.int64())) for x in (pair, times)]
     return pa.RecordBatch.from_arrays(
-        [doc_ids, *lists, pa.array(np.diff(at)), pa.array(np.diff(links)), pa.array(digests, pa.string())],
-        ["doc_id", "ids_a", "ids_b", "n_groups", "n_links", "groups_sha256"],
+        [doc_ids, *sums, pa.array(digests, pa.string()), *lists], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
     )
 
 
@@ -255,51 +256,6 @@ def _bounds_of(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
 
 
-def _pairs_of(batch: pa.RecordBatch, sizes: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Linked pairs of the texts of a batch with columns ``ids_a, ids_b``, some texts at a time."""
-    lists = [batch.column(batch.schema.get_field_index(c)) for c in ("ids_a", "ids_b")]
-    offsets = [np.asarray(x.offsets).astype(np.int64) for x in lists]
-    values = [np.asarray(x.values) for x in lists]
-    for at, to in _slices(np.diff(offsets[0]) * 4):
-        ids = [v[o[at] : o[to]] for v, o in zip(values, offsets)]
-        groups = groups_of(*(np.cumsum(s[i]) for s, i in zip(sizes, ids)))
-        texts = np.repeat(np.arange(at, to), np.diff(offsets[0][at : to + 1]))
-        of_group = texts[np.searchsorted(groups[0], np.arange(groups[0][-1] + 1))] if len(texts) else texts
-        yield at, to, linked_pairs(of_group, groups, tuple(ids), len(sizes[1]))
-
-
-def pair_counts(tokens: DataFrame, sizes: tuple[np.ndarray, np.ndarray], at_once: int = LINKS_AT_ONCE) -> DataFrame:
-    """How many rows of ``ids_a, ids_b`` hold a pair linked: ``a``, ``b``, ``n``."""
-    shared = tokens.sparkSession.sparkContext.broadcast(sizes)  # a number a token
-    width = len(sizes[1])
-
-    def of_batches(batches):
-        def summed(held):
-            keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(place, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
-
-        def rows(keys, counts):
-            return pa.RecordBatch.from_arrays([pa.array(keys // width, pa.int32()), pa.array(keys % width, pa.int32()), pa.array(counts, pa.int64())], ["a", "b", "n"])
-
-        held, waiting = [], 0
-        for batch in batches:
-            for _, _, (_, pair, _) in _pairs_of(batch, shared.value):
-                keys, counts = np.unique(pair, return_counts=True)
-                held.append((keys, counts))
-                waiting += len(keys)
-                if waiting > at_once:
-                    held = [summed(held)]
-                    waiting = len(held[0][0])
-                    if waiting > at_once // 2:
-                        yield rows(*held[0])
-                        held, waiting = [], 0
-        if held:
-            yield rows(*summed(held))
-
-    partial = tokens.select("ids_a", "ids_b").mapInArrow(of_batches, "a int, b int, n long")
-    return partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
 def alignment(df: DataFrame, byte_level_path: str, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", pairs_at_once: int = PAIRS_AT_ONCE) -> DataFrame:
     """Per row of ``df`` its tokens, groups and links, and how common its links are in the corpus.
 
@@ -314,22 +270,22 @@ def alignment(df: DataFrame, byte_level_path: str, pieces_path: str, id_col: str
     and an empty table gives an empty result.
     """
     spark = df.sparkSession
-    sizes = Files.load(byte_level_path, pieces_path).sizes
+    width = len(Files.load(byte_level_path, pieces_path).piece_tokens)
     folder = f"{checkpoint_root(spark)}/aligned-{uuid4().hex}"
     aligned(df, byte_level_path, pieces_path, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).write.parquet(folder)
     tokens = spark.read.parquet(folder)
 
-    counts = cut(pair_counts(tokens, sizes))
-    of_a = counts.groupBy("a").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("pairs"))  # a row an id
-    before = F.sum("pairs").over(Window.orderBy("a"))
+    counts = cut(tokens.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")).withColumn("a", F.floor(F.col("pair") / width)))
+    of_a = counts.groupBy("a").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("held"))  # a row an id
+    before = F.sum("held").over(Window.orderBy("a"))
     blocks = of_a.select("a", "most", F.floor((before - 1) / F.lit(pairs_at_once)).alias("block"))
-    table = cut(counts.join(F.broadcast(blocks), "a").select("block", "a", "b", "n", (F.col("n") == F.col("most")).alias("best")))
+    table = cut(counts.join(F.broadcast(blocks), "a").select("block", "pair", "n", (F.col("n") == F.col("most")).alias("best")))
     n_blocks = (table.agg(F.max("block")).first()[0] or 0) + 1
 
-    own = tokens.select("row", "doc_id", F.size("ids_a").cast("long").alias("n_a"), F.size("ids_b").cast("long").alias("n_b"), "n_groups", "n_links", "groups_sha256")
+    own = tokens.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     parts = None
     for block in range(n_blocks):
-        part = _scored(tokens.where("n_links > 0"), table.where(F.col("block") == block), sizes)
+        part = _scored(tokens.where("n_links > 0"), table.where(F.col("block") == block))
         parts = part if parts is None else parts.unionByName(part)
     sums = parts.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     return own.join(sums, "row", "left").select(
@@ -337,25 +293,20 @@ def alignment(df: DataFrame, byte_level_path: str, pieces_path: str, id_col: str
     )
 
 
-def _scored(tokens: DataFrame, table: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _scored(tokens: DataFrame, table: DataFrame) -> DataFrame:
     """``n_best`` and ``count_sum`` of each row over the pairs of one block of the table."""
-    width, spark = len(sizes[1]), tokens.sparkSession
     # at most pairs_at_once pairs and those of one id, fewer than the second vocabulary
-    held = table.select((F.col("a").cast("long") * width + F.col("b")).alias("pair"), "n", "best").sort("pair").toArrow()
-    shared = spark.sparkContext.broadcast((sizes, *(np.asarray(held[c]) for c in ("pair", "n", "best"))))
+    held = table.select("pair", "n", "best").sort("pair").toArrow()
+    shared = tokens.sparkSession.sparkContext.broadcast(tuple(np.asarray(held[c]) for c in ("pair", "n", "best")))
 
     def of_batches(batches):
-        sizes, pairs, counts, best = shared.value
+        pairs, counts, best = shared.value
         for batch in batches:
-            rows = batch.column(batch.schema.get_field_index("row"))
-            for at, to, (text, pair, n) in _pairs_of(batch, sizes):
-                place = np.searchsorted(pairs, pair)
-                there = place < len(pairs)
-                there[there] = pairs[place[there]] == pair[there]
-                text, place, n = text[there] - at, place[there], n[there]
-                total, first = np.zeros(to - at, np.int64), np.zeros(to - at, np.int64)
-                np.add.at(total, text, n * counts[place])
-                np.add.at(first, text, n * best[place])
-                yield pa.RecordBatch.from_arrays([rows.slice(at, to - at), pa.array(first), pa.array(total)], ["row", "n_best", "count_sum"])
-
-    return tokens.select("row", "ids_a", "ids_b").mapInArrow(of_batches, "row long, n_best long, count_sum long")
+            bounds, pair = np.asarray(batch.column(1).offsets).astype(np.int64), np.asarray(batch.column(1).values)
+            times = np.asarray(batch.column(2).values)
+            place = np.minimum(np.searchsorted(pairs, pair), max(0, len(pairs) - 1))
+            times = np.where(pairs[place] == pair, times, 0) if len(pairs) else times * 0
+            sums = [_bounds_of(times * c[place] if len(pairs) else times)[bounds] for c in (best, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.diff(x)) for x in sums]], ["row", "n_best", "count_sum"])
+
+    return tokens.select("row", "pairs", "times").mapInArrow(of_batches, "row long, n_best long, count_sum long")

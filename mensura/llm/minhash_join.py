@@ -11,7 +11,8 @@ least ``MATCHES`` coordinates but for one pair in 10⁹, and pairs are taken up
   Postings in lists of one count among these, so a node without near ones posts nothing.
 * Skip: nodes known to be linked aren't compared again.  A list whose nodes all belong to one
   component is skipped; short ones pair the nodes of different components, long ones pair
-  a leader with those of other components, round by round; what is then left of
+  a leader with those of other components, round by round, at first the node whose
+  coordinates most others have, as the original of a crowd of copies has; what is then left of
   long lists is compared in blocks of nodes inside tasks, which count collisions, compare
   the whole sets of what is above the threshold, and give links only.  So a crowd of near copies costs some rounds of its size, and no link between
   different components is left out.
@@ -89,7 +90,10 @@ def _marked(docs: DataFrame, shingle_words: int) -> DataFrame:
 
 
 def prefixes(nodes: DataFrame, matches: int) -> DataFrame:
-    """For each ``node`` the ``tokens`` under which it is posted; any two nodes with enough matches share one."""
+    """For each ``node`` the ``tokens`` under which it is posted, and in ``weight`` the length of all its lists.
+
+    Any two nodes with enough matches share one of their tokens.
+    """
     token = F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long")
     posts = nodes.select("node", F.posexplode("signature").alias("at", "value")).select("node", token.alias("token"))
     lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -97,7 +101,7 @@ def prefixes(nodes: DataFrame, matches: int) -> DataFrame:
     held = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("posts"))  # COORDINATES at most
     # lists of one come first in the prefix
     left = F.size("posts") - (matches - 1)
-    return held.where(left > 0).select("node", F.col("posts.token").alias("tokens"), left.alias("left")).select("node", F.slice("tokens", F.lit(1), F.col("left")).alias("tokens"))
+    return held.where(left > 0).select("node", F.col("posts.token").alias("tokens"), left.alias("left"), F.aggregate("posts.n", F.lit(0).cast("long"), lambda s, n: s + n).alias("weight")).select("node", "weight", F.slice("tokens", F.lit(1), F.col("left")).alias("tokens"))
 
 
 def _near_size(a: str, b: str, resemblance: float):
@@ -176,17 +180,18 @@ def confirmed(pairs: DataFrame, held: DataFrame, matches: int, resemblance: floa
 def node_links(held: DataFrame, resemblance: float, short_list: int = SHORT_LIST, rounds: int = LEADER_ROUNDS) -> tuple[DataFrame, DataFrame] | None:
     """Edges ``(a, b)`` between nodes of at least the resemblance, such that what they reach is what all links reach, and the labels that follow.
 
-    ``held`` has ``node, size, signature, tokens, hashes`` of the nodes with postings.
+    ``held`` has ``node, size, weight, signature, tokens, hashes`` of the nodes with postings.
     """
     matches = least_matches(resemblance)
     edges = labels = None
-    live = held.select("node", "size", F.explode("tokens").alias("token"))
+    live = held.select("node", "size", "weight", F.explode("tokens").alias("token"))
     for number in range(rounds + 1):
         if labels is None:
             named = live.withColumn("label", F.col("node"))
         else:
-            named = cut(live.join(labels, "node", "left").select("token", "node", "size", F.coalesce("label", "node").alias("label")))
-        leader = F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("p"), "node", "size", "label"))
+            named = cut(live.join(labels, "node", "left").select("token", "node", "size", "weight", F.coalesce("label", "node").alias("label")))
+        first = F.xxhash64("node", F.lit(number)) if number else -F.col("weight")
+        leader = F.min(F.struct(first.alias("p"), "node", "size", "label"))
         lists = named.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"), leader.alias("leader"))
         # merged at every size: with growing data the lists outgrow a broadcast
         mixed = cut(named.join(lists.where("x <> y").select("token", "n", "leader").hint("merge"), "token"))
@@ -198,7 +203,7 @@ def node_links(held: DataFrame, resemblance: float, short_list: int = SHORT_LIST
             led = long.where((F.col("label") != F.col("leader.label")) & _near_size("size", "leader.size", resemblance))
             pairs = pairs.unionByName(led.select(F.col("node").alias("a"), F.col("leader.node").alias("b")))
             # a leader has met all nodes of its list
-            live = long.where(F.col("node") != F.col("leader.node")).select("token", "node", "size")
+            live = long.where(F.col("node") != F.col("leader.node")).select("token", "node", "size", "weight")
         else:
             rest = F.col("label") != F.col("leader.label")
             sums = [F.count(F.when(rest, 1)).alias("n_rest"), F.count(F.when(~rest, 1)).alias("n_main")]
@@ -239,11 +244,11 @@ def minhash_duplicates(
     def of_batches(batches):
         for batch in batches:
             sets = [shingle_set(str(t), shingle_words).view(np.int64) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.list_(pa.int64()))], ["node", "size", "signature", "tokens", "hashes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.list_(pa.int64()))], ["node", "size", "signature", "weight", "tokens", "hashes"])
 
     asked = nodes.select("node", "text_key", "size", "signature").join(prefixes(nodes, matches).hint("merge"), "node")
-    some = docs.select("text_key", "text").join(asked, "text_key").dropDuplicates(["node"]).select("text", "node", "size", "signature", "tokens")
-    held = cut(some.mapInArrow(of_batches, "node long, size long, signature array<int>, tokens array<long>, hashes array<long>"))
+    some = docs.select("text_key", "text").join(asked, "text_key").dropDuplicates(["node"]).select("text", "node", "size", "signature", "weight", "tokens")
+    held = cut(some.mapInArrow(of_batches, "node long, size long, signature array<int>, weight long, tokens array<long>, hashes array<long>"))
 
     found = node_links(held, resemblance, short_list, rounds)
     if found is None:
