@@ -13,8 +13,9 @@ least ``MATCHES`` coordinates but for one pair in 10⁹, and pairs are taken up
   component is skipped; short ones pair the nodes of different components, long ones pair
   a leader with those of other components, round by round, at first the node whose
   coordinates most others have, as the original of a crowd of copies has; what is then left of
-  long lists is compared in blocks of nodes inside tasks, which count collisions, compare
-  the whole sets of what is above the threshold, and give links only.  So a crowd of near copies costs some rounds of its size, and no link between
+  long lists is compared in blocks of nodes inside tasks, the lists of one leader together,
+  which count collisions, compare the whole sets of what is above the threshold, and give
+  links only.  So a crowd of near copies costs some rounds of its size, and no link between
   different components is left out.
 * A collision count over the whole signatures, then the whole sets, confirm a pair.
 """
@@ -109,11 +110,12 @@ def _near_size(a: str, b: str, resemblance: float):
 
 
 def _within_blocks(listed: DataFrame, held: DataFrame, matches: int, resemblance: float) -> DataFrame:
-    """Links between nodes of different components that share a list, found by blocks of its nodes.
+    """Links between nodes of different components that share a list, found by blocks of nodes.
 
-    Nodes of the component that a list's leader belongs to, as a crowd's mostly do, are not
-    compared with each other: they are sent to the blocks of the other nodes only.  A pair
-    counts in the least list that both are posted in; if that is done, so is the pair.
+    The lists of one leader are taken together, so that a crowd whose nodes share dozens of
+    lists is dealt to blocks once; a pair that shares a list shares its leader.  Nodes of the
+    component that the leader belongs to, as a crowd's mostly do, are not compared with each
+    other: they are sent to the blocks of the other nodes only.
     """
 
     def blocks(count: str):
@@ -123,13 +125,18 @@ def _within_blocks(listed: DataFrame, held: DataFrame, matches: int, resemblance
         return F.when(F.col(count) > 0, F.sequence(F.lit(0), F.greatest(blocks(count) - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
     percent = round(100 * resemblance)
-    main = F.col("label") == F.col("leader.label")
+    met = listed.select(F.col("leader.node").alias("led"), F.col("leader.label").alias("led_label"), "node", "label", "size").distinct()
+    main = F.col("label") == F.col("led_label")
+    sums = [F.count(F.when(~main, 1)).alias("n_rest"), F.count(F.when(main, 1)).alias("n_main")]
+    sums += [F.coalesce(F.sum(F.when(~main, F.col("size"))), F.lit(0)).alias("size_n_rest"), F.coalesce(F.sum(F.when(main, F.col("size"))), F.lit(0)).alias("size_n_main")]
+    met = cut(met)
+    counted = met.join(met.groupBy("led").agg(*sums).where("n_rest > 0").hint("merge"), "led")
     own = F.pmod(F.xxhash64("node"), F.when(main, blocks("n_main")).otherwise(blocks("n_rest"))).cast("int")
     # blocks of the main component are numbered downwards from -1
     to_rest = F.transform(others("n_rest"), lambda o: F.when(main, F.struct(o.alias("i"), (-1 - own).alias("j"))).otherwise(F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"))))
     to_main = F.transform(F.when(main, F.array().cast("array<int>")).otherwise(others("n_main")), lambda o: F.struct(own.alias("i"), (-1 - o).alias("j")))
-    rows = listed.select("token", "node", "label", "size", F.when(main, -1 - own).otherwise(own).alias("own"), F.explode(F.concat(to_rest, to_main)).alias("_b"))
-    rows = rows.select("token", "_b.i", "_b.j", "own", "node", "label", "size").join(held, "node")
+    rows = counted.select("led", "node", "label", "size", F.when(main, -1 - own).otherwise(own).alias("own"), F.explode(F.concat(to_rest, to_main)).alias("_b"))
+    rows = rows.select("led", "_b.i", "_b.j", "own", "node", "label", "size").join(held, "node")
 
     def compared(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -137,7 +144,6 @@ def _within_blocks(listed: DataFrame, held: DataFrame, matches: int, resemblance
         own, size = np.asarray(group.column("own")), np.asarray(group.column("size"))
         label = np.asarray(group.column("label").combine_chunks().dictionary_encode().indices)
         values = np.asarray(group.column("signature").combine_chunks().values).reshape(len(own), COORDINATES)
-        token, tokens = group.column("token")[0].as_py(), [set(t) for t in group.column("tokens").to_pylist()]
         hashes = group.column("hashes").combine_chunks()
         ends = np.asarray(hashes.offsets).astype(np.int64)
         shingles = np.unique(np.asarray(hashes.values), return_inverse=True)[1]
@@ -149,9 +155,8 @@ def _within_blocks(listed: DataFrame, held: DataFrame, matches: int, resemblance
             ys = ys[label[ys] != label[x]]
             ys = ys[np.minimum(size[ys], size[x]) >= resemblance * np.maximum(size[ys], size[x])]
             ys = ys[(values[ys] == values[x]).sum(axis=1) >= matches]
-            ys = [y for y in ys.tolist() if min(tokens[x] & tokens[y]) == token]
             there[shingles[ends[x] : ends[x + 1]]] = 1
-            for y in ys:
+            for y in ys.tolist():
                 both = int(there[shingles[ends[y] : ends[y + 1]]].sum())
                 if 100 * both >= percent * (size[x] + size[y] - both):
                     a.append(x)
@@ -160,7 +165,7 @@ def _within_blocks(listed: DataFrame, held: DataFrame, matches: int, resemblance
         nodes = group.column("node").combine_chunks()
         return pa.table([nodes.take(pa.array(a, pa.int64())), nodes.take(pa.array(b, pa.int64()))], names=["a", "b"])
 
-    return rows.groupBy("token", "i", "j").applyInArrow(compared, "a long, b long")
+    return rows.groupBy("led", "i", "j").applyInArrow(compared, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, held: DataFrame, matches: int, resemblance: float) -> DataFrame:
@@ -190,7 +195,8 @@ def node_links(held: DataFrame, resemblance: float, short_list: int = SHORT_LIST
             named = live.withColumn("label", F.col("node"))
         else:
             named = cut(live.join(labels, "node", "left").select("token", "node", "size", "weight", F.coalesce("label", "node").alias("label")))
-        first = F.xxhash64("node", F.lit(number)) if number else -F.col("weight")
+        # in the last round again the most typical node, which many lists then have in common
+        first = F.xxhash64("node", F.lit(number)) if 0 < number < rounds else -F.col("weight")
         leader = F.min(F.struct(first.alias("p"), "node", "size", "label"))
         lists = named.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"), leader.alias("leader"))
         # merged at every size: with growing data the lists outgrow a broadcast
@@ -205,11 +211,7 @@ def node_links(held: DataFrame, resemblance: float, short_list: int = SHORT_LIST
             # a leader has met all nodes of its list
             live = long.where(F.col("node") != F.col("leader.node")).select("token", "node", "size", "weight")
         else:
-            rest = F.col("label") != F.col("leader.label")
-            sums = [F.count(F.when(rest, 1)).alias("n_rest"), F.count(F.when(~rest, 1)).alias("n_main")]
-            sums += [F.coalesce(F.sum(F.when(rest, F.col("size"))), F.lit(0)).alias("size_n_rest"), F.coalesce(F.sum(F.when(~rest, F.col("size"))), F.lit(0)).alias("size_n_main")]
-            counted = long.join(long.groupBy("token").agg(*sums).hint("merge"), "token")
-            within = _within_blocks(counted, held.select("node", "signature", "tokens", "hashes"), matches, resemblance)
+            within = _within_blocks(long, held.select("node", "signature", "hashes"), matches, resemblance)
         found = confirmed(pairs.distinct(), held, matches, resemblance)
         found = cut(found.unionByName(within) if number == rounds else found)
         if not found.isEmpty():
