@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions.columns import adjusted_skewness, ratio, standard_error
+from mensura.operators.quantiles import quantiles, with_quantiles
 from mensura.operators.schema import numeric
 
 
@@ -24,13 +25,21 @@ def summarised(df: DataFrame, group: str, columns: list[str] | None = None, only
     """
     columns = columns or numeric(df, (group,))
     more = varying(df, group, columns) if only_varying else columns
+    df = df.where(F.col(group).isNotNull())
     out: list[Column] = [F.avg(c).alias(f"{c}_mean") for c in columns]
     for c in more:
         skew = adjusted_skewness(c)
         if least_deviation is not None:
             skew = F.when(F.stddev_samp(c) >= least_deviation, skew).otherwise(0.0)
-        out += [F.percentile(c, F.lit(0.5)).alias(f"{c}_median"), F.stddev_samp(c).alias(f"{c}_std"), skew.alias(f"{c}_skew")]
-    return df.where(F.col(group).isNotNull()).groupBy(group).agg(*out)
+        out += [F.stddev_samp(c).alias(f"{c}_std"), skew.alias(f"{c}_skew")]
+    grouped = df.groupBy(group).agg(*out)
+    if not more:
+        return grouped
+    pairs = [F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(more)]
+    medians = quantiles(df.select(F.col(group).alias("_group"), F.inline(F.array(*pairs))), ["_group", "_c"], "_x", {"_m": 0.5})
+    wide = medians.groupBy("_group").agg(*[F.max(F.when(F.col("_c") == i, F.col("_m"))).alias(f"{c}_median") for i, c in enumerate(more)])
+    order = [f"{c}_mean" for c in columns] + [f"{c}_{kind}" for c in more for kind in ("median", "std", "skew")]
+    return grouped.join(wide, F.col(group) == F.col("_group"), "left").select(group, *order)
 
 
 def described(df: DataFrame, groups: list[str], value: str) -> DataFrame:
@@ -78,9 +87,8 @@ def shares(df: DataFrame, category: str) -> DataFrame:
 def list_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Upper quartile, mean, population deviation and number of a list's values; zero for an empty list."""
     zero = F.lit(0.0)
-    return df.groupBy(*keys).agg(
-        F.coalesce(F.percentile(value, F.lit(0.75)), zero).alias("q75"), F.coalesce(F.avg(value), zero).alias("mean"), F.coalesce(F.stddev_pop(value), zero).alias("std"), F.count(value).alias("n")
-    )
+    grouped = df.groupBy(*keys).agg(F.coalesce(F.avg(value), zero).alias("mean"), F.coalesce(F.stddev_pop(value), zero).alias("std"), F.count(value).alias("n"))
+    return with_quantiles(grouped, df, keys, value, {"q75": 0.75}).select(*keys, F.coalesce("q75", zero).alias("q75"), "mean", "std", "n")
 
 
 def lifetimes(df: DataFrame, keys: list[str], frame: str, minutes: int = 10) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions.columns import number_or_null
+from mensura.operators.quantiles import quantiles
 from mensura.operators.schema import numeric, with_keywords, without_empty
 
 
@@ -13,31 +14,32 @@ def within_wide_bounds(df: DataFrame, columns: list[str], low: float = 0.05, hig
     """Rows inside the quantile bounds of every column, taken one after the other.
 
     The bounds of a column come from the rows that earlier columns left; nulls fall out.
-    Also returns the columns that dropped rows.  A column costs one aggregate.
+    Also returns the columns that dropped rows.  A column costs its quantiles and a count.
     """
-    culprits = []
+    culprits, before = [], df.count()
     for c in columns:
-        lo, hi, before = df.agg(F.percentile(c, F.lit(low)), F.percentile(c, F.lit(high)), F.count(F.lit(1))).first()
-        if lo is None:
+        ends = quantiles(df, [], c, {"lo": low, "hi": high}).first()
+        if ends is None:
             return df.limit(0), [*culprits, c]
-        reach = factor * (hi - lo)
-        df = df.where(F.col(c).between(lo - reach, hi + reach))
-        if df.count() < before:
+        reach = factor * (ends["hi"] - ends["lo"])
+        df = df.where(F.col(c).between(ends["lo"] - reach, ends["hi"] + reach))
+        if (after := df.count()) < before:
             culprits.append(c)
+        before = after
     return df, culprits
 
 
 def within_group_quartiles(df: DataFrame, group: str, value: str, factor: float = 1.5) -> DataFrame:
     """Rows whose value is within the group's quartiles, widened by the factor."""
-    bounds = df.groupBy(group).agg(F.percentile(value, F.lit(0.25)).alias("_q1"), F.percentile(value, F.lit(0.75)).alias("_q3"))
+    bounds = quantiles(df, [group], value, {"_q1": 0.25, "_q3": 0.75})
     reach = (F.col("_q3") - F.col("_q1")) * factor
     return df.join(bounds, group).where(F.col(value).between(F.col("_q1") - reach, F.col("_q3") + reach)).drop("_q1", "_q3")
 
 
 def under_percentile_cut(df: DataFrame, group: str, value: str, q: float = 0.9, factor: float = 1.5) -> DataFrame:
     """Rows whose value is at most a multiple of the group's percentile."""
-    cuts = df.groupBy(group).agg((F.percentile(value, F.lit(q)) * factor).alias("_cut"))
-    return df.join(cuts, group).where(F.col(value) <= F.col("_cut")).drop("_cut")
+    cuts = quantiles(df, [group], value, {"_cut": q})
+    return df.join(cuts, group).where(F.col(value) <= F.col("_cut") * factor).drop("_cut")
 
 
 def at_time(column: str, value: float) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mensura.functions.columns import bounded, ratio
 from mensura.functions.lineage import cut
+from mensura.operators.quantiles import quantiles
 from mensura.operators.running import running_sum
 
 
@@ -48,8 +49,8 @@ def unit_range(df: DataFrame, value: str, out: str) -> DataFrame:
 def to_byte(df: DataFrame, value: str, out: str, how: str = "percentile", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Values as 0 to 255: over their range, between percentiles, or of their logarithm."""
     source = F.log1p(F.col(value)) if how == "log" else F.col(value)
-    ends = [F.percentile(source, F.lit(low)), F.percentile(source, F.lit(high))] if how == "percentile" else [F.min(source), F.max(source)]
-    span = df.agg(ends[0].alias("_lo"), ends[1].alias("_hi"))
+    ends = quantiles(df, [], source, {"_lo": low, "_hi": high}) if how == "percentile" else df.select(source.alias("_lo"), source.alias("_hi"))
+    span = ends.agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     scaled = bounded(F.coalesce(ratio(source - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)), 0.0, 1.0) * 255
     return df.join(F.broadcast(span)).withColumn(out, F.floor(scaled).cast("int")).drop("_lo", "_hi")  # one row
 

@@ -15,6 +15,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from mensura.functions import special
 from mensura.functions.columns import ratio
 from mensura.functions.lineage import cut
+from mensura.operators.quantiles import quantiles
 from mensura.operators.reshape import long_form
 from mensura.operators.running import running_sum
 
@@ -24,14 +25,18 @@ def value_ranks(long: DataFrame, by: list[str], value: str = "value") -> DataFra
 
     Values are counted before they are ordered, so that an order is over distinct values.
     """
-    counts = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    return running_sum(counts, by, value, "ties", "_below").withColumn("rank", F.col("_below") - (F.col("ties") - 1) / 2).drop("_below")
+    return _ranked(long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties")), by, value)
+
+
+def _ranked(counts: DataFrame, by: list[str], value: str) -> DataFrame:
+    return running_sum(cut(counts), by, value, "ties", "_below").withColumn("rank", F.col("_below") - (F.col("ties") - 1) / 2).drop("_below")
 
 
 def rank_sums(long: DataFrame, by: list[str], group: str, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """By group: number and sum of ranks; and overall: number and tie term."""
-    ranks = value_ranks(long, by, value)
-    counts = long.where(F.col(value).isNotNull()).groupBy(*by, group, value).agg(F.count(F.lit(1)).alias("n"))
+    # the input is read once: ties, ranks and sums come from the counts
+    counts = cut(long.where(F.col(value).isNotNull()).groupBy(*by, group, value).agg(F.count(F.lit(1)).alias("n")))
+    ranks = cut(_ranked(counts.groupBy(*by, value).agg(F.sum("n").alias("ties")), by, value))
     sums = counts.join(ranks, [*by, value]).groupBy(*by, group).agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("n")).alias("rank_sum"))
     ties = F.col("ties").cast("double")
     whole = ranks.groupBy(*by).agg(F.sum("ties").alias("total"), F.sum(ties * ties * ties - ties).alias("tie_term"))
@@ -200,7 +205,7 @@ def anova(long: DataFrame, group: str, by: list[str]) -> DataFrame:
 def levene(long: DataFrame, group: str, by: list[str]) -> DataFrame:
     """Levene's W about the medians, within ``by``."""
     keys = [*by, group]
-    medians = long.groupBy(*keys).agg(F.percentile("value", F.lit(0.5)).alias("_m"))
+    medians = quantiles(long, keys, "value", {"_m": 0.5})
     moved = long.join(medians, keys).select(*keys, F.abs(F.col("value") - F.col("_m")).alias("value"))
     return anova(moved, group, by).withColumnRenamed("f", "w")
 
@@ -301,8 +306,9 @@ def dispersion(df: DataFrame, by: list[str], value: str) -> DataFrame:
     gini = running_sum(counts, by, "_v", "_n", "_below").withColumn("_place", F.col("_below") - (F.col("_n") - 1) / 2).groupBy(*by).agg(
         ratio(2 * F.sum(F.col("_place") * F.col("_n") * F.col("_v")), F.sum("_n") * F.sum(F.col("_n") * F.col("_v"))).alias("_g"), F.sum("_n").alias("_all")
     )
-    basics = df.groupBy(*by).agg(F.skewness(value).alias("skew"), ratio(F.stddev_pop(value), F.avg(value)).alias("cv"), F.percentile(value, F.lit(0.5)).alias("_med"))
-    mads = df.join(basics.select(*by, "_med"), by).groupBy(*by).agg(F.percentile(F.abs(F.col(value) - F.col("_med")), F.lit(0.5)).alias("mad"))
+    basics = df.groupBy(*by).agg(F.skewness(value).alias("skew"), ratio(F.stddev_pop(value), F.avg(value)).alias("cv"))
+    medians = quantiles(df, by, value, {"_med": 0.5})
+    mads = quantiles(df.join(medians, by), by, F.abs(F.col(value) - F.col("_med")), {"mad": 0.5})
     return basics.join(mads, by).join(gini, by).select(*by, "skew", "cv", "mad", (F.col("_g") - (F.col("_all") + 1) / F.col("_all")).alias("gini"))
 
 

@@ -175,6 +175,7 @@ def otsu(pixels: DataFrame, value: str, low: float, high: float, bins: int) -> D
 
 def projected(stack: DataFrame, value: str, how: str) -> DataFrame:
     """Projection along z: deviation, quartile range, variation or median deviation at each place."""
+    # a place has no more values than the stack has slices
     if how == "mad":
         middles = stack.groupBy(*PLACE).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
         return stack.join(middles, PLACE).groupBy(*PLACE).agg(F.percentile(F.abs(F.col(value) - F.col("_m")), F.lit(0.5)).alias("value"))

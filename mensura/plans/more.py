@@ -7,6 +7,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
 from mensura.operators import aggregate, clean, cluster, reshape, scale, spatial, stats, tiles, tracking, voxels
+from mensura.operators.quantiles import quantiles
 from mensura.plans import fixtures as X
 from mensura.plans.fixtures import rounded
 from mensura.plans.tests import _LABELS, _frames
@@ -291,7 +292,7 @@ def subtype_medians(spark, d):
     from pyspark.ml.functions import vector_to_array
 
     long = flat.select("cluster", F.posexplode(vector_to_array("features")).alias("feature", "value"))
-    return rounded(long.groupBy("cluster", "feature").agg(F.percentile("value", F.lit(0.5)).alias("median")), 4)
+    return rounded(quantiles(long, ["cluster", "feature"], "value", {"median": 0.5}), 4)
 
 
 @query()

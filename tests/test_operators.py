@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from mensura.functions import columns as C
 from mensura.functions import special
 from mensura.operators import aggregate, clean, cluster, components, joins, reshape, scale, schema, spatial, stats, tiles, tracking, voxels, zones
+from mensura.operators.quantiles import quantiles, with_quantiles
 from mensura.sources import tables
 from mensura.streaming import windows
 
@@ -421,3 +422,21 @@ def test_prepared_sheet(spark):
     assert clean.prepared(sheet, "id", ["_y"]).columns == ["id", "area_y"]
     assert clean.prepared(sheet, "id", ["_y"], outliers=True).count() == 39
     assert clean.prepared(sheet.limit(0), "id").count() == 0
+
+
+@pytest.mark.parametrize("parts", [2, 64])
+def test_quantiles_of_groups(spark, parts):
+    draw = random.Random(parts)
+    rows = [("hot", float(draw.randrange(40))) for _ in range(900)] + [("b", draw.random()) for _ in range(7)] + [("one", 3.0), ("none", None), (None, 5.0), (None, 2.0), ("b", None), ("nan", math.nan), ("nan", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"least": 0.0, "q1": 0.25, "m": 0.5, "high": 0.93, "most": 1.0}
+    got = {r.g: r for r in quantiles(df, ["g"], "v", shares, parts).collect()}
+    assert set(got) == {"hot", "b", "one", None, "nan"}
+    for g in ("hot", "b", "one", None):
+        own = [v for k, v in rows if k == g and v is not None]
+        for name, q in shares.items():
+            assert got[g][name] == pytest.approx(float(np.quantile(own, q)), abs=1e-12)
+    assert got["nan"].least == 1.0 and math.isnan(got["nan"].most)
+    assert quantiles(df.where("g = 'none'"), [], "v", shares).count() == 0
+    kept = with_quantiles(df.groupBy("g").agg(F.count("v").alias("n")), df, ["g"], "v", {"m": 0.5})
+    assert {r.g: r.m is None for r in kept.collect()} == {g: g == "none" for g in ("hot", "b", "one", "none", None, "nan")}
