@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mensura.operators import networks, tiles, voxels
+from mensura.operators import networks, regions, tiles, voxels
 from mensura.plans import fixtures as X
 from mensura.plans.fixtures import rounded
 
@@ -132,3 +132,30 @@ def threshold_components(spark, d):
 def recovered_regions(spark, d):
     """Largest regions at falling thresholds, each without what higher ones took."""
     return networks.recovered(X.pixels(spark, d), "value", [60, 40], X.blobs(spark, d), 64, 64, largest=1, reach=2)
+
+
+@query(
+    f"""WITH RECURSIVE {_DOTS}, {_components('dots', 'parts')}, sizes AS (SELECT image, label, count(*) AS area, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM parts GROUP BY 1, 2), small AS (SELECT * FROM sizes WHERE area > 1 AND area < 30),
+    disc AS (SELECT dy, dx FROM (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx) WHERE dy * dy + dx * dx <= 9),
+    about AS (SELECT p.image, p.label AS a, p.y + dy AS y, p.x + dx AS x FROM parts p JOIN small USING (image, label), disc WHERE p.y + dy BETWEEN y0 AND y1 AND p.x + dx BETWEEN x0 AND x1),
+    touching AS (SELECT DISTINCT image, a, label AS b FROM about JOIN parts USING (image, y, x) WHERE label <> a),
+    known AS (SELECT t.image, a, b, m.label IS NOT NULL AS little, count(*) OVER w AS n, count(m.label) OVER w AS n_small FROM touching t LEFT JOIN small m ON m.image = t.image AND m.label = b WINDOW w AS (PARTITION BY t.image, a)),
+    links AS (SELECT image, a, b FROM known WHERE n = 1 OR (n_small > 1 AND little)), both_ways AS (SELECT image, a, b FROM links UNION SELECT image, b, a FROM links),
+    reached(image, id, root) AS (SELECT image, label, label FROM sizes UNION SELECT r.image, b.b, r.root FROM reached r JOIN both_ways b ON b.image = r.image AND b.a = r.id WHERE r.root < b.b)
+    SELECT image, id AS label, min(root) AS glued FROM reached GROUP BY 1, 2"""
+)
+def glued_regions(spark, d):
+    """Small regions joined to what lies about them."""
+    return regions.glued(voxels.labelled(X.pixels(spark, d).where("value > 0"), 64), 1, 30)
+
+
+@query(
+    f"""WITH RECURSIVE {X.BLOBS}, {X.PIXELS}, grid AS (SELECT image, y, x FROM (SELECT DISTINCT image FROM blobs), (SELECT unnest(range(64)) AS y), (SELECT unnest(range(64)) AS x)), back AS (SELECT image, y, x FROM grid EXCEPT SELECT image, y, x FROM blobs),
+    far AS (SELECT f.image, f.y, f.x, min((f.y - b.y) * (f.y - b.y) + (f.x - b.x) * (f.x - b.x)) AS square FROM blobs f JOIN back b ON f.image = b.image GROUP BY 1, 2, 3),
+    centres AS (SELECT image, y AS cy, x AS cx, square FROM far QUALIFY row_number() OVER (PARTITION BY image ORDER BY square DESC, y, x) = 1), bright AS (SELECT image, y, x FROM pixels WHERE value >= 60), {_components('bright', 'spots')},
+    each_one AS (SELECT s.image, label, sqrt(pow(avg(y) - min(cy), 2) + pow(avg(x) - min(cx), 2)) AS middle, min(sqrt(pow(y - cy, 2) + pow(x - cx, 2))) AS near FROM spots s JOIN centres c ON c.image = s.image GROUP BY 1, 2)
+    SELECT c.image, cy, cx, round(sqrt(square), 6) AS radius, count(label) AS objects, round(coalesce(avg(middle), 0), 6) AS centroid_distance, round(coalesce(avg(near), 0), 6) AS nearest_distance FROM centres c LEFT JOIN each_one e ON e.image = c.image GROUP BY c.image, cy, cx, square"""
+)
+def inscribed_distances(spark, d):
+    """Bright spots and the largest circle inside the touching objects of their image."""
+    return rounded(regions.inscribed_distances(X.blobs(spark, d), voxels.labelled(X.pixels(spark, d).where("value >= 60"), 64), 64, 64))

@@ -7,7 +7,7 @@ from collections import deque
 import numpy as np
 import pytest
 
-from mensura.operators import networks, tiles, voxels
+from mensura.operators import networks, regions, tiles, voxels
 
 
 def blobs(seed, height=40, width=50, discs=14):
@@ -206,3 +206,47 @@ def test_recovery(spark):
     assert high == {(y + a, x + b) for y, x in taken for a, b in cross}
     # the rest of the object is a ring about what the disc has taken, whose hole is filled
     assert low == {(y + a, x + b) for y in range(2, 9) for x in range(2, 9) for a, b in cross}
+
+
+def test_gluing_follows_the_rules_one_region_after_the_other(spark):
+    draw = random.Random(5)
+    own = {}
+    for label in range(1, 60):
+        y, x = draw.randrange(40), draw.randrange(40)
+        for _ in range(draw.choice((1, 3, 6, 25))):
+            own.setdefault((y, x), label)
+            y, x = y + draw.choice((-1, 0, 1)), x + draw.choice((-1, 0, 1))
+    places = {}
+    for p, label in own.items():
+        places.setdefault(label, []).append(p)
+    small = {k for k, ps in places.items() if 1 < len(ps) < 10}
+    parent = {k: k for k in places}
+
+    def root(k):
+        return k if parent[k] == k else root(parent[k])
+
+    rules = set()
+    for k in small:
+        ys, xs = [p[0] for p in places[k]], [p[1] for p in places[k]]
+        near = {own.get((y + dy, x + dx)) for y, x in places[k] for dy in range(-3, 4) for dx in range(-3, 4) if dy * dy + dx * dx <= 9 and min(ys) <= y + dy <= max(ys) and min(xs) <= x + dx <= max(xs)} - {k, None}
+        few = near & small
+        joined = near if len(near) == 1 else few if len(few) > 1 else set()
+        rules.add((min(len(near), 2), bool(joined)))
+        for other in joined:
+            a, b = sorted((root(k), root(other)))
+            parent[b] = a
+    assert len(rules) == 4
+    rows = [(i, y, x, label) for i in (1, 2) for (y, x), label in own.items()]
+    got = regions.glued(spark.createDataFrame(rows + rows[:5], "image long, y long, x long, label long"), 1, 10).collect()
+    assert {(r.image, r.label): r.glued for r in got} == {(i, k): root(k) for i in (1, 2) for k in places} and len(got) == 2 * len(places)
+
+
+def test_distances_to_the_inscribed_circle(spark):
+    cell = {(y, x) for y in range(1, 10) for x in range(1, 10)}
+    cells = frame(spark, {1: cell, 2: cell})
+    spots = spark.createDataFrame([(1, 5, 5, 1), (1, 5, 9, 2), (1, 7, 9, 2)], "image long, y long, x long, label long")
+    got = {r.image: r for r in regions.inscribed_distances(cells, spots, 11, 11).collect()}
+    assert (got[1].cy, got[1].cx, got[1].radius, got[1].objects) == (5, 5, 5.0, 2)
+    assert got[1].centroid_distance == pytest.approx(math.sqrt(17) / 2) and got[1].nearest_distance == pytest.approx(2.0)
+    assert (got[2].objects, got[2].centroid_distance, got[2].nearest_distance) == (0, 0.0, 0.0)
+    assert regions.inscribed_distances(cells.limit(0), spots, 11, 11).count() == 0
