@@ -254,6 +254,28 @@ def principal_scores(df: DataFrame, k: int, key: str = "id") -> DataFrame:
     return scores.select(key, *[(F.col("s")[c] * signs[c]).alias(f"pc{c + 1}") for c in range(k)])
 
 
+def principal_loadings(df: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """Loadings of standardised columns on their first components: ``feature``, ``component`` from 1, ``loading``, ``ratio``.
+
+    A loading is the coefficient times the root of the component's variance, where the
+    largest coefficient is positive; ``ratio`` is the share of variance that the component
+    explains.  Columns are scaled by their population deviation; rows with nulls fall out.
+    """
+    whole = vectors(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna(), columns)
+    scaled = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="_c").fit(whole).transform(whole)
+    n = whole.count()
+    model = PCA(k=k, inputCol="_c", outputCol="_s").fit(scaled)
+    parts, ratios = model.pc.toArray(), model.explainedVariance.toArray()
+    # scaled by the sample deviation each column has a variance of one; by the population's n / (n - 1)
+    varying = [c for c, v in zip(columns, whole.agg(*[F.var_samp(c).alias(c) for c in columns]).first()) if v]
+    total = len(varying) * n / max(n - 1, 1)
+    rows = []
+    for i in range(k):
+        sign = float(np.sign(parts[np.argmax(np.abs(parts[:, i])), i]) or 1)
+        rows += [(c, i + 1, float(sign * parts[j, i] * np.sqrt(ratios[i] * total)), float(ratios[i])) for j, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "feature string, component int, loading double, ratio double")
+
+
 def components_for(df: DataFrame, share: float) -> int:
     """Number of components that explain a share of the variance."""
     centred = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="_c").fit(df).transform(df)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import RFormula
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
-from mensura.operators import aggregate, clean, cluster, reshape, scale, spatial, stats, tiles, tracking, voxels
+from mensura.operators import aggregate, clean, cluster, models, reshape, scale, spatial, stats, tiles, tracking, voxels
 from mensura.operators.quantiles import quantiles
 from mensura.plans import fixtures as X
 from mensura.plans.fixtures import rounded
@@ -160,12 +158,26 @@ def mannwhitney_adjusted(spark, d):
     return rounded(stats.adjusted(stats.mann_whitney(long, "condition", "F", "O", ["subtype"])).select("subtype", "u", "delta", "z", "p", "p_adj"))
 
 
+def _deaths(spark, d, terms):
+    counts = X.objects(spark, d).groupBy("condition", "image").agg(F.sum((F.col("discount") > 0.05).cast("double")).alias("dead"), F.count(F.lit(1)).cast("double").alias("n"))
+    return models.binomial_model(counts.withColumn("alive", F.col("n") - F.col("dead")), terms, "dead", "alive")
+
+
 @query()
 def glm_binomial(spark, d):
-    counts = X.objects(spark, d).groupBy("condition", "image").agg(F.sum((F.col("discount") > 0.05).cast("double")).alias("dead"), F.count(F.lit(1)).cast("double").alias("n"))
-    table = RFormula(formula="rate ~ condition * image", featuresCol="features", labelCol="label").fit(counts.withColumn("rate", F.col("dead") / F.col("n"))).transform(counts.withColumn("rate", F.col("dead") / F.col("n")))
-    model = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="n").fit(table)
-    return rounded(model.transform(table).select("condition", "image", "dead", "n", F.col("prediction").alias("fitted")))
+    return rounded(_deaths(spark, d, "condition * image")[1].select("condition", "image", "dead", "n", "fitted"))
+
+
+@query()
+def glm_coefficients(spark, d):
+    """Terms of a model of deaths with errors and probabilities; against plain least squares in the tests."""
+    return rounded(_deaths(spark, d, "condition + image")[0])
+
+
+@query()
+def pca_loadings(spark, d):
+    """Loadings of the measures of objects; against an eigendecomposition in the tests."""
+    return rounded(cluster.principal_loadings(X.objects(spark, d), ["quantity", "discount", "cell"], 2), 4)
 
 
 @query(

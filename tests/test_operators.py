@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mensura.functions import columns as C
 from mensura.functions import special
-from mensura.operators import aggregate, clean, cluster, components, joins, reshape, scale, schema, spatial, stats, tiles, tracking, voxels, zones
+from mensura.operators import aggregate, clean, cluster, components, joins, models, reshape, scale, schema, spatial, stats, tiles, tracking, voxels, zones
 from mensura.operators.quantiles import quantiles, with_quantiles
 from mensura.sources import tables
 from mensura.streaming import windows
@@ -440,3 +440,39 @@ def test_quantiles_of_groups(spark, parts):
     assert quantiles(df.where("g = 'none'"), [], "v", shares).count() == 0
     kept = with_quantiles(df.groupBy("g").agg(F.count("v").alias("n")), df, ["g"], "v", {"m": 0.5})
     assert {r.g: r.m is None for r in kept.collect()} == {g: g == "none" for g in ("hot", "b", "one", "none", None, "nan")}
+
+
+def test_binomial_model_against_reweighted_least_squares(spark):
+    rows = [(line, float(t), float(4 + 2 * t + 3 * (line == "b") + t * t % 3), float(20 - t)) for line in "ab" for t in range(6)]
+    df = spark.createDataFrame([*rows, ("a", 1.0, None, 2.0), ("b", 2.0, 0.0, 0.0)], "line string, time double, dead double, alive double")
+    coefficients, fitted = models.binomial_model(df, "line + time", "dead", "alive")
+    x = np.array([[1.0, line == "a", t] for line, t, _, _ in rows])
+    dead, alive = (np.array([r[i] for r in rows]) for i in (2, 3))
+    n, beta = dead + alive, np.zeros(3)
+    for _ in range(50):
+        share = 1 / (1 + np.exp(-x @ beta))
+        information = x.T @ (x * (n * share * (1 - share))[:, None])
+        beta = beta + np.linalg.solve(information, x.T @ (dead - n * share))
+    error = np.sqrt(np.diag(np.linalg.inv(information)))
+    got = {r.term: r for r in coefficients.collect()}
+    assert set(got) == {"line_a", "time", "intercept"}
+    for i, term in enumerate(("intercept", "line_a", "time")):
+        assert got[term].estimate == pytest.approx(beta[i], abs=1e-6) and got[term].error == pytest.approx(error[i], rel=1e-4)
+        assert got[term].p == pytest.approx(special.normal_two_sided(beta[i] / error[i]), abs=1e-5)
+    assert fitted.count() == len(rows) and fitted.columns == [*df.columns, "fitted"]
+    singular = models.binomial_model(df.withColumn("twice", F.col("time") * 2), "time + twice", "dead", "alive")[0]
+    assert all(r.error is None and r.p is None for r in singular.collect())
+
+
+def test_loadings_against_an_eigendecomposition(spark):
+    draw = np.random.default_rng(3)
+    values = draw.normal(size=(60, 3)) @ np.array([[2.0, 1.0, 0.0], [0.0, 1.0, 0.5], [0.0, 0.0, 3.0]])
+    df = spark.createDataFrame([tuple(map(float, v)) for v in values] + [(None, 1.0, 1.0)], "a double, b double, c double")
+    scaled = (values - values.mean(axis=0)) / values.std(axis=0)
+    variances, parts = np.linalg.eigh(np.cov(scaled.T))
+    got = {(r.feature, r.component): r for r in cluster.principal_loadings(df, ["a", "b", "c"], 2).collect()}
+    for i in (0, 1):
+        part = parts[:, 2 - i] * np.sign(parts[np.argmax(np.abs(parts[:, 2 - i])), 2 - i])
+        for j, c in enumerate("abc"):
+            assert got[c, i + 1].loading == pytest.approx(part[j] * math.sqrt(variances[2 - i]), abs=1e-6)
+            assert got[c, i + 1].ratio == pytest.approx(variances[2 - i] / variances.sum(), abs=1e-9)
