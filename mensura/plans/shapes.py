@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mensura.operators import networks, regions, tiles, voxels
+from mensura.operators import networks, regions, splitting, tiles, voxels
 from mensura.plans import fixtures as X
 from mensura.plans.fixtures import rounded
 
@@ -159,3 +159,35 @@ def glued_regions(spark, d):
 def inscribed_distances(spark, d):
     """Bright spots and the largest circle inside the touching objects of their image."""
     return rounded(regions.inscribed_distances(X.blobs(spark, d), voxels.labelled(X.pixels(spark, d).where("value >= 60"), 64), 64, 64))
+
+
+@query()
+def split_objects(spark, d):
+    """Places of touching objects split along the ways of their skeletons; against the plain rule in the tests."""
+    return splitting.split(X.blobs(spark, d), 64, 64, rest=True)
+
+
+@query()
+def split_layers(spark, d):
+    """Layers without overlaps of the objects split."""
+    return splitting.layers(splitting.split(X.blobs(spark, d), 64, 64, rest=True))
+
+
+@query(
+    """WITH RECURSIVE boxes AS (SELECT l_orderkey // 256 AS image, l_orderkey AS region, min(l_orderkey * 31) % 56 AS y0, min(l_partkey) * 7 % 56 AS x0, 3 + count(*) AS side FROM lineitem GROUP BY 1, 2),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY region) AS k FROM boxes),
+    before AS (SELECT b.image, b.region, b.k, coalesce(list(a.k) FILTER (WHERE a.k IS NOT NULL), []) AS earlier FROM ranked b LEFT JOIN ranked a ON a.image = b.image AND a.k < b.k
+      AND a.y0 < b.y0 + b.side AND b.y0 < a.y0 + a.side AND a.x0 < b.x0 + b.side AND b.x0 < a.x0 + a.side GROUP BY 1, 2, 3),
+    filled(image, k, held) AS (SELECT DISTINCT image, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM before
+      UNION ALL SELECT f.image, b.k, list_append(f.held, list_min(list_filter(range(1, b.k + 1), lambda c: NOT list_contains(list_transform(b.earlier, lambda e: f.held[e]), c)))) FROM filled f JOIN before b ON b.image = f.image AND b.k = f.k + 1)
+    SELECT b.image, b.region, CAST(f.held[b.k] AS INTEGER) AS layer FROM before b JOIN filled f USING (image, k)"""
+)
+def box_layers(spark, d):
+    """Layers without overlaps of squares, an order each, in images of 64 by 64 places."""
+    boxes = (
+        X.table(spark, d, "lineitem")
+        .groupBy((F.expr("l_orderkey div 256")).alias("image"), F.col("l_orderkey").alias("region"))
+        .agg((F.min("l_orderkey") * 31 % 56).alias("y0"), (F.min("l_partkey") * 7 % 56).alias("x0"), (3 + F.count(F.lit(1))).alias("side"))
+    )
+    rows = boxes.select("image", "region", "x0", "side", F.explode(F.expr("sequence(y0, y0 + side - 1)")).alias("y"))
+    return splitting.layers(rows.select("image", "region", "y", F.explode(F.expr("sequence(x0, x0 + side - 1)")).alias("x")))

@@ -7,7 +7,7 @@ from collections import deque
 import numpy as np
 import pytest
 
-from mensura.operators import networks, regions, tiles, voxels
+from mensura.operators import networks, regions, splitting, tiles, voxels
 
 
 def blobs(seed, height=40, width=50, discs=14):
@@ -250,3 +250,147 @@ def test_distances_to_the_inscribed_circle(spark):
     assert got[1].centroid_distance == pytest.approx(math.sqrt(17) / 2) and got[1].nearest_distance == pytest.approx(2.0)
     assert (got[2].objects, got[2].centroid_distance, got[2].nearest_distance) == (0, 0.0, 0.0)
     assert regions.inscribed_distances(cells.limit(0), spots, 11, 11).count() == 0
+
+
+def plain_paths(skeleton, width):
+    near = {p: [q for q in ((p[0] + dy, p[1] + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)) if q != p and q in skeleton] for p in skeleton}
+    found, seen = {}, set()
+    for p in sorted(skeleton):
+        if not near[p] or p in seen:
+            continue
+        if len(near[p]) > 2:
+            for q in near[p]:
+                if len(near[q]) > 2 and p < q:
+                    found[(p[0] * width + p[1], q[0] * width + q[1])] = [p, q]
+            continue
+        waiting, part = [p], {p}
+        while waiting:
+            for q in near[waiting.pop()]:
+                if len(near[q]) < 3 and q not in part:
+                    part.add(q)
+                    waiting.append(q)
+        seen |= part
+        found[(p[0] * width + p[1], -1)] = sorted(part) + [q for r in part for q in near[r] if len(near[q]) > 2]
+    return found, {p for p in skeleton if len(near[p]) > 2}
+
+
+def plain_chains(ways, joints):
+    names, near, degree = sorted(ways), {}, {}
+    for a in names:
+        ends = [p for p in ways[a] if p in joints]
+        near[a] = [b for b in names if b != a and set(ends) & set(ways[b])]
+        degree[a] = len(near[a]) + 2 * (len(ends) == 2 and len(set(ends)) == 1)
+    seen, chains = set(), []
+    for start in names:
+        if start in seen or degree[start] != 1:
+            continue
+        chain, here = [start], start
+        seen.add(start)
+        while True:
+            onward = [b for b in near[here] if b not in seen]
+            if len(onward) != 1:
+                break
+            here = onward[0]
+            chain.append(here)
+            seen.add(here)
+            if degree[here] != 2:
+                break
+        chains.append(chain)
+    return chains
+
+
+def tangle(seed):
+    """Thin lines that cross, rings with tails, and a bar."""
+    draw, found = random.Random(seed), set()
+    for _ in range(7):
+        y, x = draw.randrange(50), draw.randrange(50)
+        dy, dx = draw.choice([(0, 1), (1, 0), (1, 1), (1, -1)])
+        found |= {(y + i * dy, x + i * dx) for i in range(draw.randrange(4, 25))}
+    for y, x in ((60, 5), (60, 30)):
+        found |= {(y + a, x + b) for a in range(-4, 5) for b in range(-4, 5) if abs(a) + abs(b) == 4}
+        found |= {(y, x + 4 + i) for i in range(1, 8)}
+    return {(y, x) for y, x in found if 0 <= y < 80 and 0 <= x < 80}
+
+
+@pytest.mark.parametrize("rest", [False, True])
+def test_chains_follow_the_plain_rule(spark, rest):
+    masks = {i: tangle(i) for i in range(6)} | {7: {(5, x) for x in range(9)} | {(9, x) for x in range(4)}, 8: {(3, 3)}}
+    ways = splitting.paths(frame(spark, masks), 80)
+    got_ways = {}
+    for r in ways.collect():
+        got_ways.setdefault(r.image, {}).setdefault(tuple(r.path), []).extend([(r.y, r.x)] * r.times)
+    got = {}
+    for r in splitting.chained(ways, rest).collect():
+        got.setdefault(r.image, {}).setdefault(tuple(r.chain), set()).add(tuple(r.path))
+    merged = 0
+    for i, mask in masks.items():
+        plain, joints = plain_paths(mask, 80)
+        assert {k: sorted(v) for k, v in got_ways.get(i, {}).items()} == {k: sorted(v) for k, v in plain.items()}
+        chains = plain_chains(plain, joints)
+        merged += sum(len(c) > 1 for c in chains)
+        held = {p for c in chains for p in c}
+        want = {c[0]: set(c) for c in chains} | ({p: {p} for p in plain if p not in held} if rest or not chains else {})
+        assert got.get(i, {}) == want
+    assert merged >= 6
+
+
+def test_chains_of_invented_ways(spark):
+    """Ways that meet two and two, as skeletons of other kinds have them: long chains, forks that two chains want, loops, rings."""
+    rows, want, longest = [], {}, 0
+    for image in range(30):
+        draw, ways, joints = random.Random(image), {}, {(9, x) for x in range(14)}
+        for k in range(12):
+            ends = draw.sample(range(14), 2) if draw.random() < 0.3 else [k, k + 1 if draw.random() < 0.85 else k]
+            ends = ends[: draw.choice((1, 2, 2, 2))]
+            ways[(draw.randrange(1000) * 20 + k, -1)] = [(k + 100, 0)] + [(9, x) for x in ends]
+        for name, places in ways.items():
+            rows += [(image, name, y, x, places.count((y, x)), (y, x) in joints) for y, x in sorted(set(places))]
+        chains = plain_chains(ways, joints)
+        longest = max(longest, *map(len, chains), 0)
+        for c in chains or [[n] for n in ways]:
+            want |= {(image, n): c[0] for n in c}
+    table = spark.createDataFrame(rows, "image long, path struct<a: long, b: long>, y long, x long, times long, joint boolean")
+    got = splitting.chained(table).collect()
+    assert {(r.image, tuple(r.path)): tuple(r.chain) for r in got} == want and len(got) == len(want) and longest >= 5
+
+
+def test_split_grows_chains_by_ellipses(spark):
+    mask = {(y, x) for y in range(10, 15) for x in range(5, 60)} | {(y, x) for y in range(2, 50) for x in range(28, 33)}
+    skeleton = {(r.y, r.x) for r in tiles.thinned(frame(spark, {1: mask})).collect()}
+    plain, _ = plain_paths(skeleton, 64)
+    far = {p: min(math.dist(p, q) for q in ((y, x) for y in range(64) for x in range(64)) if q not in mask) for p in skeleton}
+    want = {}
+    for number, name in enumerate(sorted(k for k in plain if len(plain[k]) >= 3), 1):
+        k = int(np.rint(1.5 * np.mean([far[p] for p in plain[name]])))
+        want[number] = {(y + d, x + e) for y, x in plain[name] for d in range(-k, k + 1) for e in range(-int(np.rint(math.sqrt(k * k - d * d))), int(np.rint(math.sqrt(k * k - d * d))) + 1)} & mask
+    got = {}
+    source = frame(spark, {1: mask})
+    rows = splitting.split(source.unionByName(source), 64, 64, least=3).collect()
+    for r in rows:
+        got.setdefault(r.region, set()).add((r.y, r.x))
+    assert got == want and len(got) >= 4 and len(rows) == sum(map(len, got.values()))
+    assert splitting.split(source, 64, 64, least=3, most=1).count() == 0 and splitting.split(source.limit(0), 64, 64).count() == 0
+
+
+@pytest.mark.parametrize("last", [0, 20, 1 << 18])
+def test_layers_never_overlap_and_fill_in_order(spark, last):
+    draw, rows = random.Random(3), []
+    for image in (1, 2, 3):
+        for region in range(40 if image < 3 else 1):
+            y, x, side = draw.randrange(30), draw.randrange(30), draw.randrange(1, 9)
+            rows += [(image, region, y + a, x + b) for a in range(side) for b in range(side)]
+    table = spark.createDataFrame(rows + rows[:9] + [(1, None, 3, 3), (2, 5, None, 1)], "image long, region long, y long, x long")
+    places = {}
+    for image, region, y, x in rows:
+        places.setdefault((image, region), set()).add((y, x))
+    layer, want = {}, {}
+    for (image, region), own in sorted(places.items()):
+        held = layer.setdefault(image, [])
+        number = next((n for n, taken in enumerate(held) if not taken & own), len(held))
+        if number == len(held):
+            held.append(set())
+        held[number] |= own
+        want[(image, region)] = number + 1
+    got = splitting.layers(table, last).collect()
+    assert {(r.image, r.region): r.layer for r in got} == want and len(got) == len(want) and max(want.values()) > 3
+    assert splitting.layers(table.limit(0), last).count() == 0
