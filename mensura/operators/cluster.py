@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions.columns import entropy, margin, ratio
-from mensura.functions.lineage import cut
+from mensura.functions.lineage import cut, stored
+from mensura.operators.components import least_member
 from mensura.operators.reshape import long_form
+from mensura.operators.running import numbered
 from mensura.operators.stats import anova, correlations
 
 WARD_LIMIT = 4000
@@ -184,15 +186,111 @@ def ward_cut(merges: np.ndarray, n: int, k: int) -> np.ndarray:
     return np.array([list(dict.fromkeys(roots)).index(r) + 1 for r in roots])
 
 
-def _ward_cells(df: DataFrame, limit: int, seed: int, key: str) -> tuple[DataFrame, DataFrame]:
-    """At most ``limit`` weighted points ``_cell, c, w`` and the cell of each row."""
-    n = df.count()
-    if n <= limit:
-        return df.select(F.col(key).alias("_cell"), vector_to_array("features").alias("c"), F.lit(1.0).alias("w")), df.select(key, F.col(key).alias("_cell"))
-    labelled = cut(kmeans_labels(df, limit // 2, seed, "_cell"))
-    flat = labelled.select("_cell", F.posexplode(vector_to_array("features")).alias("i", "v")).groupBy("_cell", "i").agg(F.avg("v").alias("v"), F.count(F.lit(1)).cast("double").alias("w"))
-    cells = flat.groupBy("_cell").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("c"), F.max("w").alias("w"))
-    return cells, labelled.select(key, "_cell")
+def _drawn(x: np.ndarray) -> np.ndarray:
+    """Hashes of whole numbers, different for different ones."""
+    x = x.astype(np.uint64)
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def _nearest(state: DataFrame, count: int, block: int) -> DataFrame:
+    """For each of ``count`` clusters ``i, c, w`` the one whose merge costs least.
+
+    Ties go by a hash of the two names, the same from both sides, so that of a crowd of
+    equal points a constant share finds each other.  Clusters are packed in blocks and tasks take pairs of blocks, each once; of a block's
+    costs only the least for each of its clusters leave the task.
+    """
+    blocks = max(1, -(-count // block))
+    packed = state.withColumn("_b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).groupBy("_b").agg(F.collect_list(F.struct("i", "c", "w")).alias("_r"))
+    packed = cut(packed.select("_b", F.col("_r.i").alias("i"), F.flatten("_r.c").alias("c"), F.col("_r.w").alias("w")))
+    theirs = packed.select(F.col("_b").alias("_p"), F.col("i").alias("i2"), F.col("c").alias("c2"), F.col("w").alias("w2"))
+    pairs = packed.withColumn("_p", F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1)))).join(theirs, "_p")
+
+    def least(frames):
+        for frame in frames:
+            for own, other, names, centres, weights, names2, centres2, weights2 in frame.itertuples(index=False, name=None):
+                a, b = np.asarray(centres).reshape(len(names), -1), np.asarray(centres2).reshape(len(names2), -1)
+                i, j, v, w = map(np.asarray, (names, names2, weights, weights2))
+                for part in np.array_split(np.arange(len(i)), -(-a.size * len(b) // (1 << 22)) or 1):
+                    cost = 2 * v[part, None] * w[None] / (v[part, None] + w[None]) * ((a[part][:, None] - b[None]) ** 2).sum(axis=2)
+                    cost[i[part, None] == j[None]] = np.inf
+                    draw = _drawn(i[part, None] ^ j[None])
+                    yield picked(cost, draw, i[part], j)
+                    if own != other:
+                        yield picked(cost.T, draw.T, j, i[part])
+
+    def picked(cost, draw, names, others):
+        at = np.where(cost == cost.min(axis=1)[:, None], draw, np.iinfo(np.int64).max).argmin(axis=1)
+        rows = np.arange(len(names))
+        return pd.DataFrame({"i": names, "cost": cost[rows, at], "draw": draw[rows, at], "j": others[at]})
+
+    fields = ["_b", "_p", "i", "c", "w", "i2", "c2", "w2"]
+    return pairs.select(*fields).mapInPandas(least, "i long, cost double, draw long, j long").groupBy("i").agg(F.min(F.struct("cost", "draw", "j")).alias("m")).select("i", "m.cost", "m.j").where("cost < double('infinity')")
+
+
+def ward_tree(points: DataFrame, count: int, limit: int = WARD_LIMIT, block: int = 1024) -> DataFrame:
+    """Ward's merges of ``count`` points ``i, c``, numbered from zero: ``node, left, right, height, size``.
+
+    In each round all clusters that are each other's nearest merge: no merge brings a third
+    cluster nearer than the nearer of its parts was, so that these merges are those of the
+    plain method, whose order is by ``height``, then ``node``.  The last ``limit`` clusters
+    are merged in one task.  A round compares all clusters, block by block; rounds follow
+    the longest chain of ever nearer neighbours, some dozens for points that don't lie in
+    a row of growing distances.
+    """
+    state = cut(points.select("i", "c", F.lit(1.0).alias("w"), F.lit(0.0).alias("top"), F.col("i").alias("node")))
+    merges, left, rounds = [], count, 0
+    while left > limit:
+        near = stored(_nearest(state, left, block))
+        pairs = near.join(near.select(F.col("j").alias("i"), F.col("i").alias("j")), ["i", "j"]).where("i < j")
+        one = state.select("i", *[F.col(c).alias(f"{c}1") for c in ("c", "w", "top", "node")])
+        two = state.select(F.col("i").alias("j"), *[F.col(c).alias(f"{c}2") for c in ("c", "w", "top", "node")])
+        weight = F.col("w1") + F.col("w2")
+        centre = F.transform(F.arrays_zip("c1", "c2"), lambda e: (e["c1"] * F.col("w1") + e["c2"] * F.col("w2")) / weight)
+        height = F.greatest(F.sqrt("cost"), "top1", "top2")
+        made = stored(pairs.join(one, "i").join(two, "j").select("i", "j", centre.alias("c"), weight.alias("w"), height.alias("top"), (F.col("i") + count * (rounds + 1)).alias("node"), "node1", "node2"))
+        merges.append(made.select("node", F.col("node1").alias("left"), F.col("node2").alias("right"), F.col("top").alias("height"), F.col("w").alias("size")))
+        gone = made.select(F.explode(F.array("i", "j")).alias("i"))
+        state = stored(state.join(gone, "i", "left_anti").unionByName(made.select("i", "c", "w", "top", "node")))
+        left, rounds = state.count(), rounds + 1
+    first = count * (rounds + 1)
+
+    def rest(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        found = ward_merges(np.array(rows["c"].tolist(), float).reshape(len(rows), -1), rows["w"].to_numpy())
+        nodes, tops, out = rows["node"].tolist(), rows["top"].tolist(), []
+        for a, b, height, size in found.tolist():
+            a, b = int(a), int(b)
+            tops.append(max(height, tops[a], tops[b]))
+            nodes.append(first + len(out))
+            out.append((nodes[-1], nodes[a], nodes[b], tops[-1], size))
+        return pd.DataFrame(out, columns=["node", "left", "right", "height", "size"])
+
+    # ``limit`` rows
+    tree = state.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(rest, "node long, left long, right long, height double, size double")
+    for part in merges:
+        tree = tree.unionByName(part)
+    return tree
+
+
+def _numbered_points(df: DataFrame, key: str) -> DataFrame:
+    """Rows ``i, key, c``, numbered from zero by key, repeated keys by their values."""
+    held = df.select(F.col(key).alias("_key"), vector_to_array("features").alias("c"))
+    return cut(numbered(held.withColumn("_u", F.monotonically_increasing_id()), ["_key", "c", "_u"], "i").select("i", "_key", "c"))
+
+
+def _steps(tree: DataFrame, count: int) -> DataFrame:
+    """The merges of a tree with their ``step`` in order of height; a node of a merge is the number of points and the step."""
+    ordered = cut(numbered(tree, ["height", "node"], "step"))
+    names = ordered.select(F.col("node").alias("_n"), (F.col("step") + count).alias("_s"))
+    for side in ("left", "right"):
+        ordered = ordered.join(names.withColumnsRenamed({"_n": side, "_s": f"_{side}"}), side, "left").withColumn(side, F.coalesce(f"_{side}", side)).drop(f"_{side}")
+    return ordered.select(F.col("step").cast("int").alias("step"), F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b"), "height", "size")
+
+
+def _ward_points(df: DataFrame, key: str) -> DataFrame:
+    return df.select(F.col(key).alias("_cell"), vector_to_array("features").alias("c"), F.lit(1.0).alias("w"))
 
 
 def _merged(rows: pd.DataFrame) -> tuple[pd.Series, np.ndarray]:
@@ -200,19 +298,22 @@ def _merged(rows: pd.DataFrame) -> tuple[pd.Series, np.ndarray]:
     return rows["_cell"], ward_merges(np.array(rows["c"].tolist(), float).reshape(len(rows), -1), rows["w"].to_numpy())
 
 
-def linkage(df: DataFrame, limit: int = WARD_LIMIT, seed: int = 42, key: str = "id") -> DataFrame:
+def linkage(df: DataFrame, limit: int = WARD_LIMIT, key: str = "id", block: int = 1024) -> DataFrame:
     """Ward's merges in order: ``step`` from zero, the clusters ``a < b`` merged, ``height`` and ``size``.
 
     Points are numbered from zero by key, the cluster of a step by the number of points and
-    the step.  Exact up to ``limit`` rows; beyond, the points are K-means cells.
+    the step.  Up to ``limit`` rows are merged in one task; of more, clusters that are each
+    other's nearest merge in rounds until that many are left, which gives the same tree.
     """
-    cells, _ = _ward_cells(df, limit, seed, key)
+    count = df.count()
+    if count > limit:
+        return _steps(ward_tree(_numbered_points(df, key), count, limit, block), count)
 
     def table(rows: pd.DataFrame) -> pd.DataFrame:
         _, m = _merged(rows)
         return pd.DataFrame({"step": np.arange(len(m)), "a": m[:, 0].astype(int), "b": m[:, 1].astype(int), "height": m[:, 2], "size": m[:, 3]})
 
-    return cells.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(table, "step int, a long, b long, height double, size double")  # ``limit`` rows
+    return _ward_points(df, key).withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(table, "step int, a long, b long, height double, size double")  # ``limit`` rows
 
 
 def suggested_cut(merges: DataFrame, place: int = 1) -> DataFrame:
@@ -226,13 +327,23 @@ def suggested_cut(merges: DataFrame, place: int = 1) -> DataFrame:
     return ranked.where(F.col("_k") == place).select(((F.col("height") + F.col("_next")) / 2).alias("threshold"), (F.col("_n") - F.col("step")).cast("int").alias("clusters"), F.col("step").alias("gap"))
 
 
-def ward_labels(df: DataFrame, k: int | None = None, limit: int = WARD_LIMIT, seed: int = 42, key: str = "id", height: float | None = None) -> DataFrame:
+def ward_labels(df: DataFrame, k: int | None = None, limit: int = WARD_LIMIT, key: str = "id", height: float | None = None, block: int = 1024) -> DataFrame:
     """Ward clusters of the column ``features``: ``k`` of them, or those left by a cut at a height.
 
-    Rows are first gathered in at most ``limit`` K-means cells, whose weighted centres are
-    merged; with fewer rows than that the merges are exact.
+    Numbered from one by their first members.  Up to ``limit`` rows are merged in one task;
+    of more, the tree of :func:`ward_tree` is cut, and its clusters are the components of
+    the merges kept.
     """
-    cells, members = _ward_cells(df, limit, seed, key)
+    count = df.count()
+    if count > limit:
+        points = _numbered_points(df, key)
+        steps = _steps(ward_tree(points, count, limit, block), count)
+        kept = steps.where(F.col("step") < count - max(1, k)) if height is None else steps.where(F.col("height") <= height)
+        edges = kept.select((F.col("step") + count).alias("a"), F.explode(F.array("a", "b")).alias("b"))
+        roots = cut(least_member(points.select(F.col("i").alias("id")), edges))
+        names = numbered(roots.select("root").distinct(), ["root"], "_c").select("root", (F.col("_c") + 1).cast("int").alias("cluster"))
+        return points.join(roots.join(names, "root"), points["i"] == roots["id"]).select(F.col("_key").alias(key), "cluster")
+    cells = _ward_points(df, key)
 
     def labelled(rows: pd.DataFrame) -> pd.DataFrame:
         names, merges = _merged(rows)
@@ -241,7 +352,7 @@ def ward_labels(df: DataFrame, k: int | None = None, limit: int = WARD_LIMIT, se
 
     # at most ``limit`` rows meet
     clusters = cells.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(labelled, f"_cell {cells.schema['_cell'].dataType.simpleString()}, cluster int")
-    return members.join(clusters, "_cell").select(key, "cluster")
+    return clusters.select(F.col("_cell").alias(key), "cluster")
 
 
 def principal_scores(df: DataFrame, k: int, key: str = "id") -> DataFrame:

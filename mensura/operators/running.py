@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mensura.functions.lineage import cut
+
 PARTS = 64
 
 
@@ -25,3 +27,20 @@ def running_sum(df: DataFrame, by: list[str], order: str, value: str, out: str,
     starts = totals.select(*by, "_part", F.coalesce(before, F.lit(0)).alias("_start"))
     inner = F.sum(value).over(Window.partitionBy(*by, "_part").orderBy(order))
     return marked.join(starts, [*by, "_part"]).withColumn(out, F.col("_start") + inner).drop("_part", "_start")
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Add the number of each row, from zero, in the order of columns that together are unique.
+
+    Rows are dealt to ranges of the order and numbered there; ranges start from the counts
+    of those before.
+    """
+    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)  # the number of the partition, above that of the row in it
+    counts = sorted((r["p"], r["n"]) for r in dealt.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each partition
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    table = F.broadcast(df.sparkSession.createDataFrame(starts, "_p long, _s long"))
+    return dealt.withColumn("_p", part).join(table, "_p").withColumn(out, F.col("_s") + F.col("_m") - F.shiftleft("_p", 33)).drop("_m", "_p", "_s")

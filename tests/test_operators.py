@@ -364,6 +364,28 @@ def test_linkage_and_cuts(spark):
     assert cluster.linkage(frame.where("id < 0")).count() == 0 and cluster.ward_labels(frame.where("id < 0"), 2).count() == 0
 
 
+def test_ward_in_rounds_gives_the_tree_of_one_task(spark):
+    rng = np.random.default_rng(7)
+    values = np.concatenate([rng.normal(size=(50, 3)), rng.normal(size=(20, 3)) * 0.1 + 4])
+    frame = spark.createDataFrame([(f"k{i:03d}", v.tolist()) for i, v in enumerate(values)], "id string, v array<double>").select("id", array_to_vector("v").alias("features")).repartition(3)
+    one, many = (cluster.linkage(frame, n, block=20).orderBy("step").collect() for n in (4000, 12))
+    assert [(r.step, r.a, r.b, r.size) for r in many] == [(r.step, r.a, r.b, r.size) for r in one]
+    assert [r.height for r in many] == pytest.approx([r.height for r in one])
+    for cut in ({"k": 4}, {"height": one[40].height + 1e-9}):
+        own, other = ({r.id: r.cluster for r in cluster.ward_labels(frame, limit=n, block=20, **cut).collect()} for n in (4000, 40))
+        assert own == other and len(own) == 70
+
+
+def test_ward_in_rounds_with_ties(spark):
+    """Equal points merge at zero, and every tree over equal distances has as many merges as it must."""
+    frame = spark.createDataFrame([(i, [float(i // 5 % 3), 0.0]) for i in range(30)], "id int, v array<double>").select("id", array_to_vector("v").alias("features"))
+    rows = cluster.linkage(frame, 2, block=4).orderBy("step").collect()
+    assert len(rows) == 29 and [r.height for r in rows[:27]] == [0.0] * 27 and rows[-1].size == 30 and rows[27].height > 0
+    assert all(r.a < r.b < 30 + r.step for r in rows) and len({n for r in rows for n in (r.a, r.b)}) == 58
+    found = {r.id: r.cluster for r in cluster.ward_labels(frame, 3, limit=2, block=4).collect()}
+    assert found == {i: i // 5 % 3 + 1 for i in range(30)}
+
+
 def test_bootstrap_against_drawing_rows(spark):
     rng = np.random.default_rng(5)
     sample = {"a": np.round(rng.gamma(2, 3, 30)), "b": np.round(rng.gamma(2, 3, 45) + 4), "one": np.array([2.0])}
