@@ -236,6 +236,9 @@ def distance_transform(mask: DataFrame, width: int, height: int, on: list[str] =
 
 
 def deepest(mask: DataFrame, width: int, height: int, on: list[str] = ["image"]) -> DataFrame:  # noqa: B006
-    """The place of each image farthest from its background, of equal ones the first by rows, and its distance."""
-    found = distance_transform(mask, width, height, on).groupBy(*on).agg(F.max(F.struct("square", -F.col("y"), -F.col("x"))).alias("m"))
+    """The place of each image farthest from its background, of equal ones the first by rows, and its distance.
+
+    An image without background has no such place and no row.
+    """
+    found = distance_transform(mask, width, height, on).where("square is not null").groupBy(*on).agg(F.max(F.struct("square", -F.col("y"), -F.col("x"))).alias("m"))
     return found.select(*on, F.sqrt("m.square").alias("depth"), (-F.col("m.col2")).alias("y"), (-F.col("m.col3")).alias("x"))

@@ -252,6 +252,14 @@ def test_distances_to_the_inscribed_circle(spark):
     assert regions.inscribed_distances(cells.limit(0), spots, 11, 11).count() == 0
 
 
+def test_images_without_background_have_no_deepest_place(spark):
+    whole, part = {(y, x) for y in range(4) for x in range(4)}, {(1, 1), (1, 2)}
+    got = tiles.deepest(frame(spark, {1: whole, 2: part}), 4, 4).collect()
+    assert [(r.image, r.depth, r.y, r.x) for r in got] == [(2, 1.0, 1, 1)]
+    spots = spark.createDataFrame([(1, 1, 1, 1), (2, 1, 1, 1)], "image long, y long, x long, label long")
+    assert [r.image for r in regions.inscribed_distances(frame(spark, {1: whole, 2: part}), spots, 4, 4).collect()] == [2]
+
+
 def plain_paths(skeleton, width):
     near = {p: [q for q in ((p[0] + dy, p[1] + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)) if q != p and q in skeleton] for p in skeleton}
     found, seen = {}, set()
