@@ -405,8 +405,9 @@ def mask_erode(spark, d):
 def mask_algebra(spark, d):
     mask = X.mask(spark, d)
     flipped = mask.withColumn("x", 63 - F.col("x"))
-    parts = {how: voxels.combined(mask, flipped, how) for how in ("and", "or", "subtract", "xor")}
-    return reshape.tagged_union(parts, "how").groupBy("how").agg(F.count(F.lit(1)).alias("n"))
+    # counted one by one, so that an empty result has a row too
+    counts = {how: voxels.combined(mask, flipped, how).agg(F.count(F.lit(1)).alias("n")) for how in ("and", "or", "subtract", "xor")}
+    return reshape.tagged_union(counts, "how").select("how", "n")
 
 
 _LABELS = X.MASK + f""", n AS (SELECT image * 4096 + y * 64 + x AS id, image, y, x FROM mask), e AS (SELECT p.id AS a, q.id AS b FROM n p, {_NEAR}, n q WHERE q.image = p.image AND q.y = p.y + dy AND q.x = p.x + dx AND p.id <> q.id),

@@ -56,3 +56,11 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in catalog.SQL and n not in SLOW])
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, FOLDER).count() > 0 or name in MAY_BE_EMPTY
+
+
+def test_mask_algebra_counts_empty_results(spark, tmp_path):
+    # a mask that is its own mirror image: nothing is left to subtract
+    rows = [(8 * y, x, 1.0) for y in range(2) for x in (0, 63)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r.how: r.n for r in catalog.QUERIES["mask_algebra"](spark, str(tmp_path)).collect()}
+    assert found == {"and": 4, "or": 4, "subtract": 0, "xor": 0}
