@@ -301,8 +301,7 @@ def dbscan_points(spark, d):
     walk(id, root) AS (SELECT id, id FROM points UNION SELECT e.b, w.root FROM walk w JOIN e ON e.a = w.id WHERE w.root < e.b) SELECT id, min(root) AS root FROM walk GROUP BY 1"""
 )
 def merge_components(spark, d):
-    points = X.points(spark, d)
-    return components.least_member(points, joins.within_radius(points, 0.02))
+    return components.near_components(X.points(spark, d), 0.02)
 
 
 def _silhouettes(apart: str, then: str) -> str:
