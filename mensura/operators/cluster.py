@@ -64,11 +64,29 @@ def gap_statistic(df: DataFrame, most: int = 10, references: int = 10, seed: int
     return spark.createDataFrame(rows, "k int, gap double, error double")
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of ``a`` to all of ``b``, by one product of matrices.
+
+    Squares lose digits where rows lie close together; these are taken from the differences.
+    """
+    middle = a.mean(axis=0)
+    a, b = a - middle, b - middle
+    whole = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None]
+    square = a @ b.T
+    square *= -2.0
+    square += whole
+    close = np.nonzero(square < 1e-6 * whole)
+    for at in np.array_split(np.arange(len(close[0])), -(-len(close[0]) * a.shape[1] // (1 << 22)) or 1):
+        i, j = close[0][at], close[1][at]
+        square[i, j] = ((a[i] - b[j]) ** 2).sum(axis=1)
+    return np.sqrt(square, out=square)
+
+
 def silhouettes(df: DataFrame, label: str, key: str = "id", block: int = 1024) -> DataFrame:
     """Exact silhouette of every row by Euclidean distance.
 
-    Rows are packed in blocks of about ``block``; a task takes two blocks and gives each row
-    of the one the sum of its distances to each cluster of the other.  The work is that of
+    Rows are packed in blocks of about ``block``; a task takes pairs of blocks, each once,
+    and gives each row of the one the sum of its distances to each cluster of the other.  The work is that of
     all distances, which this measure needs; ``squared_silhouettes`` needs a pass only.
     A row alone in its cluster, or where there is one cluster, has 0.
     """
@@ -76,22 +94,30 @@ def silhouettes(df: DataFrame, label: str, key: str = "id", block: int = 1024) -
     blocks = max(1, -(-held.count() // block))
     kind, group = (held.schema[c].dataType.simpleString() for c in ("_k", "_l"))
     packed = held.withColumn("_b", F.pmod(F.xxhash64("_k", "_v"), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct("_k", "_l", "_v")).alias("_r"))
-    packed = cut(packed.select(F.col("_r._k").alias("_k"), F.col("_r._l").alias("_l"), F.flatten("_r._v").alias("_v")).repartition(min(blocks, 64)))  # a task for each pair of parts
-    theirs = packed.select(F.col("_l").alias("_l2"), F.col("_v").alias("_v2"))
+    packed = cut(packed.select(F.col("_b").cast("int").alias("_b"), F.col("_r._k").alias("_k"), F.col("_r._l").alias("_l"), F.flatten("_r._v").alias("_v")).repartition(min(blocks, 64)))  # a task for each pair of parts
+    theirs = packed.select(F.col("_b").alias("_p"), F.col("_k").alias("_k2"), F.col("_l").alias("_l2"), F.col("_v").alias("_v2"))
 
     def summed(frames):
         for frame in frames:
-            for row in frame.itertuples(index=False, name=None):
-                keys, labels, mine, other, yours = row
-                a, b = np.asarray(mine).reshape(len(keys), -1), np.asarray(yours).reshape(len(other), -1)
-                apart = np.concatenate([np.sqrt(((part[:, None] - b[None]) ** 2).sum(axis=2)) for part in np.array_split(a, -(-a.size * len(b) // (1 << 22)) or 1)])
-                names, codes = np.unique(other, return_inverse=True)
-                for i, name in enumerate(names):
-                    yield pd.DataFrame({"key": keys, "label": labels, "other": name, "s": apart[:, codes == i].sum(axis=1)})
+            for own, other, keys, labels, mine, keys2, labels2, yours in frame.itertuples(index=False, name=None):
+                a, b = np.asarray(mine).reshape(len(keys), -1), np.asarray(yours).reshape(len(keys2), -1)
+                names, codes = np.unique(labels, return_inverse=True)
+                names2, codes2 = np.unique(labels2, return_inverse=True)
+                member, member2 = (codes[:, None] == np.arange(len(names))).astype(float), (codes2[:, None] == np.arange(len(names2))).astype(float)
+                to_mine, to_yours = np.zeros((len(b), len(names))), np.zeros((len(a), len(names2)))
+                for part in np.array_split(np.arange(len(a)), -(-len(a) * len(b) // (1 << 17)) or 1):
+                    apart = distances(a[part], b)
+                    to_yours[part] = apart @ member2
+                    to_mine += apart.T @ member[part]
+                sides = [(keys, labels, names2, to_yours)] + ([(keys2, labels2, names, to_mine)] if own != other else [])
+                for ids, groups, theirs, sums in sides:
+                    for i, name in enumerate(theirs):
+                        yield pd.DataFrame({"key": ids, "label": groups, "other": name, "s": sums[:, i]})
 
     sizes = held.groupBy(F.col("_l").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    # pairs of blocks, not of rows
-    pairs = packed.crossJoin(theirs).mapInPandas(summed, f"key {kind}, label {group}, other {group}, s double")
+    # pairs of blocks, each once, not of rows
+    met = packed.crossJoin(theirs).where("_b <= _p")
+    pairs = met.select("_b", "_p", "_k", "_l", "_v", "_k2", "_l2", "_v2").mapInPandas(summed, f"key {kind}, label {group}, other {group}, s double")
     sums = pairs.groupBy("key", "label", "other").agg(F.sum("s").alias("s")).join(sizes, "other")
     same = F.col("label") == F.col("other")
     mean = ratio(F.col("s"), F.when(same, F.col("n") - 1).otherwise(F.col("n")))

@@ -362,6 +362,29 @@ def test_components_by_rounds_and_at_once(spark, monkeypatch):
     assert components.connected_components(edges.limit(0)).count() == 0
 
 
+def test_distances_keep_their_digits():
+    draw = np.random.default_rng(5)
+    a = draw.normal(size=(40, 64)) + 1e3
+    b = np.concatenate([a[:10], a[:10] + 1e-9 * draw.normal(size=(10, 64)), draw.normal(size=(20, 64)) + 1e3])
+    want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    assert np.allclose(cluster.distances(a, b), want, rtol=1e-9, atol=0)
+
+
+def test_silhouettes_compare_each_pair_of_blocks_once(spark, monkeypatch):
+    asked, own = spark.sparkContext.accumulator(0), cluster.distances
+
+    def counted(a, b):
+        asked.add(len(a) * len(b))
+        return own(a, b)
+
+    monkeypatch.setattr(cluster, "distances", counted)
+    draw = random.Random(3)
+    rows = [(i, i % 3, [draw.random(), draw.random()]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "id long, given long, v array<double>").select("id", "given", array_to_vector("v").alias("features"))
+    assert cluster.silhouettes(frame, "given", block=40).count() == 400
+    assert 400 * 400 / 2 <= asked.value < 400 * 400 * 0.7
+
+
 def test_silhouettes_by_blocks(spark):
     rng = np.random.default_rng(3)
     points, labels = rng.integers(0, 3, size=(40, 2)).astype(float), [*rng.integers(0, 3, size=39), 7]
