@@ -229,27 +229,42 @@ def _nearest(state: DataFrame, count: int, block: int) -> DataFrame:
     """
     blocks = max(1, -(-count // block))
     packed = state.withColumn("_b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).groupBy("_b").agg(F.collect_list(F.struct("i", "c", "w")).alias("_r"))
-    packed = cut(packed.select("_b", F.col("_r.i").alias("i"), F.flatten("_r.c").alias("c"), F.col("_r.w").alias("w")))
+    packed = cut(packed.select("_b", F.col("_r.i").alias("i"), F.flatten("_r.c").alias("c"), F.col("_r.w").alias("w")).repartition(min(blocks, 64)))  # a task for each pair of parts
     theirs = packed.select(F.col("_b").alias("_p"), F.col("i").alias("i2"), F.col("c").alias("c2"), F.col("w").alias("w2"))
-    pairs = packed.withColumn("_p", F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1)))).join(theirs, "_p")
+    pairs = packed.crossJoin(theirs).where("_b <= _p")
 
     def least(frames):
         for frame in frames:
             for own, other, names, centres, weights, names2, centres2, weights2 in frame.itertuples(index=False, name=None):
                 a, b = np.asarray(centres).reshape(len(names), -1), np.asarray(centres2).reshape(len(names2), -1)
                 i, j, v, w = map(np.asarray, (names, names2, weights, weights2))
-                for part in np.array_split(np.arange(len(i)), -(-a.size * len(b) // (1 << 22)) or 1):
-                    cost = 2 * v[part, None] * w[None] / (v[part, None] + w[None]) * ((a[part][:, None] - b[None]) ** 2).sum(axis=2)
+                middle = a.mean(axis=0)
+                a0, b0 = a - middle, b - middle
+                long, long2 = (a0 * a0).sum(axis=1), (b0 * b0).sum(axis=1)
+                for part in np.array_split(np.arange(len(i)), -(-len(a) * len(b) // (1 << 17)) or 1):
+                    # costs by a product of matrices, which are wrong by less than the margin, say which may be least
+                    factor = 2 * v[part, None] * w[None] / (v[part, None] + w[None])
+                    whole = long[part, None] + long2[None]
+                    cost = factor * (whole - 2 * (a0[part] @ b0.T))
+                    margin = factor * whole * 1e-12
                     cost[i[part, None] == j[None]] = np.inf
-                    draw = _drawn(i[part, None] ^ j[None])
-                    yield picked(cost, draw, i[part], j)
+                    low, high = cost - margin, cost + margin
+                    may = low <= high.min(axis=1)[:, None]
                     if own != other:
-                        yield picked(cost.T, draw.T, j, i[part])
+                        may |= low <= high.min(axis=0)[None]
+                    x, y = np.nonzero(may & np.isfinite(cost))
+                    for some in np.array_split(np.arange(len(x)), -(-len(x) * a.shape[1] // (1 << 22)) or 1):
+                        m, n = part[x[some]], y[some]
+                        exact = 2 * v[m] * w[n] / (v[m] + w[n]) * ((a[m] - b[n]) ** 2).sum(axis=1)
+                        draw = _drawn(i[m] ^ j[n])
+                        yield picked(exact, draw, i[m], j[n])
+                        if own != other:
+                            yield picked(exact, draw, j[n], i[m])
 
     def picked(cost, draw, names, others):
-        at = np.where(cost == cost.min(axis=1)[:, None], draw, np.iinfo(np.int64).max).argmin(axis=1)
-        rows = np.arange(len(names))
-        return pd.DataFrame({"i": names, "cost": cost[rows, at], "draw": draw[rows, at], "j": others[at]})
+        order = np.lexsort((draw, cost, names))
+        first = order[np.concatenate(([True], np.diff(names[order]) != 0))] if len(order) else order
+        return pd.DataFrame({"i": names[first], "cost": cost[first], "draw": draw[first], "j": others[first]})
 
     fields = ["_b", "_p", "i", "c", "w", "i2", "c2", "w2"]
     return pairs.select(*fields).mapInPandas(least, "i long, cost double, draw long, j long").groupBy("i").agg(F.min(F.struct("cost", "draw", "j")).alias("m")).select("i", "m.cost", "m.j").where("cost < double('infinity')")

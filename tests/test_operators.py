@@ -370,6 +370,20 @@ def test_distances_keep_their_digits():
     assert np.allclose(cluster.distances(a, b), want, rtol=1e-9, atol=0)
 
 
+def test_cheapest_merges_of_close_and_equal_clusters(spark):
+    draw = np.random.default_rng(2)
+    at = draw.normal(size=(30, 8)) + 1e4
+    at = np.concatenate([at, at[:10], at[:10] + 1e-7 * draw.normal(size=(10, 8))])
+    weight = draw.integers(1, 4, len(at)).astype(float)
+    frame = spark.createDataFrame([(k, at[k].tolist(), float(weight[k])) for k in range(len(at))], "i long, c array<double>, w double")
+    cost = 2 * weight[:, None] * weight / (weight[:, None] + weight) * ((at[:, None] - at[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(cost, np.inf)
+    for block in (7, 100):
+        got = {r.i: r for r in cluster._nearest(frame, len(at), block).collect()}
+        assert sorted(got) == list(range(len(at)))
+        assert all(cost[k, r.j] == cost[k].min() and r.cost == cost[k].min() for k, r in got.items())
+
+
 def test_silhouettes_compare_each_pair_of_blocks_once(spark, monkeypatch):
     asked, own = spark.sparkContext.accumulator(0), cluster.distances
 
