@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from mensura.functions.lineage import cut
 
 PARTS = 64
 
 
+@F.pandas_udf(DoubleType())
+def _between(low: pd.Series, high: pd.Series, share: pd.Series) -> pd.Series:
+    """The value at a share of the way between finite neighbours, rounded as the SQL engine rounds it; a row for each group."""
+    known = [math.isfinite(a) and math.isfinite(b) for a, b in zip(low, high)]
+    return pd.Series([math.fma(1.0 - d, a, d * b) if k else None for a, b, d, k in zip(low, high, share, known)], dtype="float64")
+
+
 def quantiles(df: DataFrame, by: list[str], value: str | Column, shares: dict[str, float], parts: int = PARTS) -> DataFrame:
     """A column for each name of ``shares`` with that quantile of the group's values, interpolated between neighbours.
 
@@ -44,7 +54,9 @@ def quantiles(df: DataFrame, by: list[str], value: str | Column, shares: dict[st
     def between(name: str) -> Column:
         low, high = F.col(f"{name}_l"), F.col(f"{name}_u")
         lower, upper = ranks[name]
-        return F.when(low == high, low).otherwise((upper - place[name]) * low + (place[name] - lower) * high).alias(name)
+        share = place[name] - lower
+        plain = (upper - place[name]) * low + share * high  # with infinities and NaN
+        return F.when(low == high, low).otherwise(F.coalesce(_between(low, high, share), plain)).alias(name)
 
     return neighbours.select(*[F.col("_k")[c].alias(c) for c in by], *[between(name) for name in shares])
 

@@ -370,6 +370,18 @@ def test_distances_keep_their_digits():
     assert np.allclose(cluster.distances(a, b), want, rtol=1e-9, atol=0)
 
 
+def test_quantiles_have_the_last_digit_of_sql(spark):
+    import duckdb
+
+    draw = random.Random(11)
+    rows = [(g, round(draw.uniform(900, 105000), 2)) for g in range(200) for _ in range(draw.randrange(12, 40))]
+    got = {r.g: r.q for r in quantiles(spark.createDataFrame(rows, "g long, v double"), ["g"], "v", {"q": 0.9}).collect()}
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE t (g BIGINT, v DOUBLE)")
+    connection.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    assert got == dict(connection.execute("SELECT g, quantile_cont(v, 0.9) FROM t GROUP BY g").fetchall())
+
+
 def test_cheapest_merges_of_close_and_equal_clusters(spark):
     draw = np.random.default_rng(2)
     at = draw.normal(size=(30, 8)) + 1e4
