@@ -29,12 +29,13 @@ def quantiles(df: DataFrame, by: list[str], value: str | Column, shares: dict[st
     quantiles, the parts are counted, and only those parts that hold a wanted rank are
     ordered: a task has a share of 1 / ``parts`` of a group's distinct values to sort, which
     spills, and never a group.  Null values don't count and a group without others has no
-    row; null keys make a group; NaN is the greatest value.
+    row; null keys make a group; NaN is the greatest value.  Cuts differ with the order in
+    which parts of the input arrive, so they are worked out once and kept.
     """
     number = (F.col(value) if isinstance(value, str) else value).cast("double")
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))  # null fields of structs are equal
     counts = cut(df.select(key.alias("_k"), number.alias("_v")).where("_v is not null").groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n")))
-    cuts = counts.groupBy("_k").agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)]).alias("_cuts"), F.sum("_n").alias("_size"))
+    cuts = cut(counts.groupBy("_k").agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)]).alias("_cuts"), F.sum("_n").alias("_size")))
     placed = counts.join(cuts, "_k").withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
 
     place = {name: F.lit(float(share)) * (F.col("_size") - 1) for name, share in shares.items()}

@@ -16,10 +16,11 @@ def running_sum(df: DataFrame, by: list[str], order: str, value: str, out: str,
     A group is cut at approximate quantiles of the order column; sums run within the cuts,
     and each cut starts from the total of those before it, of which a group has at most
     ``parts``.  So a group may hold any share of all rows.  The order column is numeric and
-    has no value twice within a group; rows with null keys fall out.
+    has no value twice within a group; rows with null keys fall out.  Cuts differ with the
+    order in which parts of the input arrive, so they are worked out once and kept.
     """
     shares = [k / parts for k in range(1, parts)]
-    cuts = df.groupBy(*by).agg(F.percentile_approx(order, shares).alias("_cuts"))
+    cuts = cut(df.groupBy(*by).agg(F.percentile_approx(order, shares).alias("_cuts")))
     marked = df.join(cuts, by) if by else df.join(F.broadcast(cuts))  # one row
     marked = marked.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
     totals = marked.groupBy(*by, "_part").agg(F.sum(value).alias("_t"))

@@ -578,3 +578,26 @@ def test_loadings_against_an_eigendecomposition(spark):
         for j, c in enumerate("abc"):
             assert got[c, i + 1].loading == pytest.approx(part[j] * math.sqrt(variances[2 - i]), abs=1e-6)
             assert got[c, i + 1].ratio == pytest.approx(variances[2 - i] / variances.sum(), abs=1e-9)
+
+
+def test_cuts_that_come_out_otherwise_each_time(spark, monkeypatch):
+    # as on a cluster, where parts of the input arrive in any order
+    import pandas as pd
+
+    from mensura.operators import running
+
+    @F.pandas_udf("array<double>")
+    def any_cuts(values: pd.Series) -> list:
+        return sorted(np.random.default_rng().uniform(0, 200, 7).tolist())
+
+    class Functions:
+        def __getattr__(self, name):
+            return (lambda column, shares: any_cuts(column)) if name == "percentile_approx" else getattr(F, name)
+
+    monkeypatch.setattr(running, "F", Functions())
+    df = spark.range(200).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("v"), F.lit(1).alias("n"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        assert all(r.s == r.v + 1 for r in running.running_sum(df, ["g"], "v", "n", "s").collect())
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
