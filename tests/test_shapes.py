@@ -402,3 +402,29 @@ def test_layers_never_overlap_and_fill_in_order(spark, last):
     got = splitting.layers(table, last).collect()
     assert {(r.image, r.region): r.layer for r in got} == want and len(got) == len(want) and max(want.values()) > 3
     assert splitting.layers(table.limit(0), last).count() == 0
+
+
+def _plain_labels(places, width, neighbours):
+    """Least place, counted by rows, of the component of each place."""
+    around = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if abs(dy) + abs(dx) <= (2 if neighbours == 8 else 1)]
+    found, left = {}, set(places)
+    while left:
+        part, edge = set(), {left.pop()}
+        while edge:
+            part |= edge
+            edge = {(y + dy, x + dx) for y, x in edge for dy, dx in around} & left
+            left -= edge
+        found |= dict.fromkeys(part, min(y * width + x for y, x in part))
+    return found
+
+
+@pytest.mark.parametrize("neighbours", [4, 8])
+@pytest.mark.parametrize("tile", [3, 64])
+def test_labels_across_tiles(spark, neighbours, tile):
+    draw = np.random.default_rng(5)
+    masks = {k: [(int(y), int(x)) for y, x in np.argwhere(draw.random((17, 20)) < share)] for k, share in ((1, 0.4), (2, 0.6), (None, 0.5))}
+    rows = [(k, y, x) for k, places in masks.items() for y, x in [*places, *places[:5]]] + [(1, None, 3), (1, 4, None)]
+    got = voxels.labelled(spark.createDataFrame(rows, "image long, y int, x int"), 20, neighbours, tile)
+    assert dict(got.dtypes) == {"image": "bigint", "y": "int", "x": "int", "label": "int"}
+    got = sorted(got.collect(), key=str)
+    assert got == sorted(((k, y, x, label) for k, places in masks.items() for (y, x), label in _plain_labels(places, 20, neighbours).items()), key=str)
