@@ -428,3 +428,26 @@ def test_labels_across_tiles(spark, neighbours, tile):
     assert dict(got.dtypes) == {"image": "bigint", "y": "int", "x": "int", "label": "int"}
     got = sorted(got.collect(), key=str)
     assert got == sorted(((k, y, x, label) for k, places in masks.items() for (y, x), label in _plain_labels(places, 20, neighbours).items()), key=str)
+
+
+@pytest.mark.parametrize(("most", "steps"), [(1 << 20, 128), (1 << 20, 2), (200, 128), (200, 3), (1, 0)])
+def test_distances_by_blocks_and_depths(spark, monkeypatch, most, steps):
+    monkeypatch.setattr(tiles, "_STEPS", steps)
+    masks = {1: blobs(7), 2: {(y, x) for y in range(40) for x in range(50)} - {(7, 9), (7, 30), (33, 20)}, 3: {(y, x) for y in range(5, 30) for x in range(50)}}
+    got = tiles.distance_transform(frame(spark, masks), 50, 40, most=most).collect()
+    assert len(got) == sum(map(len, masks.values()))
+    for i, mask in masks.items():
+        back = sorted({(y, x) for y in range(40) for x in range(50)} - mask)
+        for r in got:
+            if r.image == i:
+                assert (r.square, r.edge_y, r.edge_x) == min(((y - r.y) ** 2 + (x - r.x) ** 2, y, x) for y, x in back)
+
+
+def test_masks_of_one_tile_take_no_rounds(spark, monkeypatch):
+    rounds, dealt = [], tiles._dealt
+    monkeypatch.setattr(tiles, "_dealt", lambda *args: rounds.append(args) or dealt(*args))
+    masks = frame(spark, {1: blobs(7), 2: blobs(8)})
+    seeds = spark.createDataFrame([(1, *min(blobs(7)), 4), (2, *max(blobs(8)), 5)], "image long, y long, x long, label long")
+    whole = [sorted(f.collect()) for f in (tiles.thinned(masks), tiles.grown(masks, seeds))]
+    assert not rounds
+    assert whole == [sorted(f.collect()) for f in (tiles.thinned(masks, tile=8, margin=4), tiles.grown(masks, seeds, tile=8))] and rounds
