@@ -451,3 +451,26 @@ def test_masks_of_one_tile_take_no_rounds(spark, monkeypatch):
     whole = [sorted(f.collect()) for f in (tiles.thinned(masks), tiles.grown(masks, seeds))]
     assert not rounds
     assert whole == [sorted(f.collect()) for f in (tiles.thinned(masks, tile=8, margin=4), tiles.grown(masks, seeds, tile=8))] and rounds
+
+
+def test_layers_of_many_images_take_no_rounds(spark, monkeypatch):
+    # together more overlaps than a task is to hold, each image fewer
+    cuts, cut = [], splitting.cut
+    monkeypatch.setattr(splitting, "cut", lambda df: cuts.append(df) or cut(df))
+    rows = [(image, region, 0, x) for image in range(9) for region in range(8) for x in (region, region + 1)]
+    places = spark.createDataFrame(rows, "image long, region long, y long, x long")
+    expected = [(image, region, region % 2 + 1) for image in range(9) for region in range(8)]
+    assert sorted(map(tuple, splitting.layers(places, 20).collect())) == expected
+    few = len(cuts)
+    assert sorted(map(tuple, splitting.layers(places, 2).collect())) == expected and len(cuts) - few > few
+    assert few <= 2
+
+
+@pytest.mark.parametrize("table", [0, 4096])
+def test_overlaps_with_and_without_a_table(spark, monkeypatch, table):
+    monkeypatch.setattr(splitting, "_TABLE", table)
+    draw = random.Random(3)
+    rows = [(1, region, y, draw.randrange(70)) for region in range(12) for y in (0, 63, 64) for _ in range(9)]
+    held = {r: {(y, x) for _, own, y, x in rows if own == r} for r in range(12)}
+    got = splitting.overlaps(spark.createDataFrame(rows, "image long, region long, y long, x long")).collect()
+    assert sorted((r.a, r.b) for r in got) == [(a, b) for a in range(12) for b in range(a + 1, 12) if held[a] & held[b]]
