@@ -144,6 +144,15 @@ def test_joins(spark):
     b = spark.createDataFrame([(7, 9, 21), (8, 10, 20)], "id int, start long, stop long")
     pairs = joins.overlapping(a, b, 4)
     assert sorted((r.a.id, r.b.id) for r in pairs.collect()) == [(1, 7), (2, 7)]
+    rng = random.Random(4)
+    spans = [(i % 90, rng.choice("xy"), s := rng.randrange(-20, 40), s + rng.randrange(0, 9)) for i in range(120)] + [(None, "x", 0, 50), (7, None, 0, 50), *[(900 + i, "y", 3, 9) for i in range(30)]]
+    wanted = sorted((p[1], p[0], q[0], min(p[3], q[3]) - max(p[2], q[2])) for p in spans for q in spans if None not in p + q and p[0] < q[0] and p[1] == q[1] and max(p[2], q[2]) < min(p[3], q[3]))
+    held = spark.createDataFrame(spans, "id long, g string, start long, stop long")
+    for block, most in ((4096, 512), (16, 4)):
+        met = joins.overlapping_within(held, 5, ["g"], block=block, most=most)
+        assert sorted((r.g, r.a, r.b, r.shared) for r in met.collect()) == wanted
+    # a table of few bytes still meets in more than one task
+    assert met.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
     rng = random.Random(5)
     points = [(i, i % 3, rng.random(), rng.random() * (1 if i % 3 else 0.01)) for i in range(60)] + [(99, 9, 0.0, 0.0)]
     frame = spark.createDataFrame(points, "id long, cell long, x double, y double")
