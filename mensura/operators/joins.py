@@ -46,17 +46,17 @@ def updated(df: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return df.join(held, key, "left").select(*out)
 
 
-def joined_unskewed(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` joined (inner, left or left_anti) with ``table``, which has each key once and in ``n`` how many rows have it.
+def joined_unskewed(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inner", number: str = "n") -> DataFrame:
+    """``rows`` joined (inner, left or left_anti) with ``table``, which has each key once and in ``number`` how many rows have it.
 
     Keys of more than ``HOT_ROWS`` rows and a ``HOT_SHARE``-th of all are so few, fewer than
     ``HOT_SHARE``, that their part of the table is broadcast and their rows stay where they
     are; all others are shuffled.  Both sides are read more than once: hand in what was cut
     or what is cheap to read.
     """
-    total = table.agg(F.sum("n")).first()[0] or 0
+    total = table.agg(F.sum(number)).first()[0] or 0
     limit = max(HOT_ROWS, total // HOT_SHARE)
-    hot, cold = table.where(F.col("n") > limit), table.where(F.col("n") <= limit)
+    hot, cold = table.where(F.col(number) > limit), table.where(F.col(number) <= limit)
     if hot.isEmpty():
         return rows.join(cold, key, how)
     hot = F.broadcast(cut(hot))  # fewer than HOT_SHARE rows

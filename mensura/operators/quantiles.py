@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from mensura.functions.lineage import cut
+from mensura.operators.joins import joined_unskewed
+from mensura.operators.running import part_of
 
 PARTS = 64
 
@@ -22,10 +24,10 @@ def _between(low: pd.Series, high: pd.Series, share: pd.Series) -> pd.Series:
     return pd.Series([math.fma(1.0 - d, a, d * b) if k else None for a, b, d, k in zip(low, high, share, known)], dtype="float64")
 
 
-def quantiles(df: DataFrame, by: list[str], value: str | Column, shares: dict[str, float], parts: int = PARTS) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: str | Column, shares: dict[str, float], parts: int = PARTS, times: str | None = None) -> DataFrame:
     """A column for each name of ``shares`` with that quantile of the group's values, interpolated between neighbours.
 
-    Equal values are counted first.  A group's distinct values are cut at approximate
+    A row counts once, or as often as the column ``times`` says.  Equal values are counted first.  A group's distinct values are cut at approximate
     quantiles, the parts are counted, and only those parts that hold a wanted rank are
     ordered: a task has a share of 1 / ``parts`` of a group's distinct values to sort, which
     spills, and never a group.  Null values don't count and a group without others has no
@@ -34,9 +36,10 @@ def quantiles(df: DataFrame, by: list[str], value: str | Column, shares: dict[st
     """
     number = (F.col(value) if isinstance(value, str) else value).cast("double")
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))  # null fields of structs are equal
-    counts = cut(df.select(key.alias("_k"), number.alias("_v")).where("_v is not null").groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n")))
-    cuts = cut(counts.groupBy("_k").agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)]).alias("_cuts"), F.sum("_n").alias("_size")))
-    placed = counts.join(cuts, "_k").withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    often = (F.col(times) if times else F.lit(1)).cast("long")
+    counts = cut(df.select(key.alias("_k"), number.alias("_v"), often.alias("_n")).where("_v is not null").groupBy("_k", "_v").agg(F.sum("_n").alias("_n")))
+    cuts = cut(counts.groupBy("_k").agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)]).alias("_cuts"), F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("n")))
+    placed = joined_unskewed(counts, cuts, ["_k"]).withColumn("_part", part_of("_cuts", "_v", parts)).drop("_cuts", "n")
 
     place = {name: F.lit(float(share)) * (F.col("_size") - 1) for name, share in shares.items()}
     ranks = {name: (F.floor(p), F.ceil(p)) for name, p in place.items()}

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions.lineage import cut
+from mensura.operators.joins import joined_unskewed
 
 PARTS = 64
 
 
+def part_of(cuts: str, value: str, parts: int) -> Column:
+    """How many of the ``parts - 1`` rising cuts lie below the value, by halving."""
+    at = F.lit(0)
+    for step in (1 << k for k in reversed(range((parts - 1).bit_length()))):
+        at = at + F.when(F.get(cuts, at + (step - 1)) < F.col(value), step).otherwise(0)
+    return at
+
+
 def running_sum(df: DataFrame, by: list[str], order: str, value: str, out: str, parts: int = PARTS) -> DataFrame:
     """Add the sum of ``value`` over the rows of the group up to each row, in ``order``.
 
@@ -20,9 +29,12 @@ def running_sum(df: DataFrame, by: list[str], order: str, value: str, out: str,
     order in which parts of the input arrive, so they are worked out once and kept.
     """
     shares = [k / parts for k in range(1, parts)]
-    cuts = cut(df.groupBy(*by).agg(F.percentile_approx(order, shares).alias("_cuts")))
-    marked = df.join(cuts, by) if by else df.join(F.broadcast(cuts))  # one row
-    marked = marked.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    df = cut(df)
+    held = F.count(F.lit(1)).alias("_held")
+    cuts = cut(df.groupBy(*by).agg(F.percentile_approx(order, shares).alias("_cuts"), *[held] * bool(by)))
+    # a group may be any share of the rows, so they are not dealt by it
+    marked = joined_unskewed(df, cuts, by, number="_held").drop("_held") if by else df.join(F.broadcast(cuts))  # one row
+    marked = marked.withColumn("_part", part_of("_cuts", order, parts)).drop("_cuts")
     totals = marked.groupBy(*by, "_part").agg(F.sum(value).alias("_t"))
     before = F.sum("_t").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = totals.select(*by, "_part", F.coalesce(before, F.lit(0)).alias("_start"))

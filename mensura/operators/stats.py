@@ -15,6 +15,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from mensura.functions import special
 from mensura.functions.columns import ratio
 from mensura.functions.lineage import cut
+from mensura.operators.joins import joined_unskewed
 from mensura.operators.quantiles import quantiles
 from mensura.operators.reshape import long_form
 from mensura.operators.running import running_sum
@@ -301,14 +302,15 @@ def correlated(pairs: DataFrame, strong: float = 0.7, extreme: float = 0.9) -> D
 
 def dispersion(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Population skewness, variation, median absolute deviation and Gini index by group."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    # all but the moments is worked out from the counts of values
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
     # equal values share the mean of their places
     gini = running_sum(counts, by, "_v", "_n", "_below").withColumn("_place", F.col("_below") - (F.col("_n") - 1) / 2).groupBy(*by).agg(
         ratio(2 * F.sum(F.col("_place") * F.col("_n") * F.col("_v")), F.sum("_n") * F.sum(F.col("_n") * F.col("_v"))).alias("_g"), F.sum("_n").alias("_all")
     )
     basics = df.groupBy(*by).agg(F.skewness(value).alias("skew"), ratio(F.stddev_pop(value), F.avg(value)).alias("cv"))
-    medians = quantiles(df, by, value, {"_med": 0.5})
-    mads = quantiles(df.join(medians, by), by, F.abs(F.col(value) - F.col("_med")), {"mad": 0.5})
+    medians = cut(quantiles(counts, by, "_v", {"_med": 0.5}, times="_n").join(counts.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by))
+    mads = quantiles(joined_unskewed(counts, medians, by), by, F.abs(F.col("_v") - F.col("_med")), {"mad": 0.5}, times="_n")
     return basics.join(mads, by).join(gini, by).select(*by, "skew", "cv", "mad", (F.col("_g") - (F.col("_all") + 1) / F.col("_all")).alias("gini"))
 
 

@@ -15,6 +15,7 @@ from mensura.functions import columns as C
 from mensura.functions import special
 from mensura.operators import aggregate, clean, cluster, components, joins, models, reshape, scale, schema, spatial, stats, tiles, tracking, voxels, zones
 from mensura.operators.quantiles import quantiles, with_quantiles
+from mensura.operators.running import part_of, running_sum
 from mensura.sources import tables
 from mensura.streaming import windows
 
@@ -610,3 +611,16 @@ def test_cuts_that_come_out_otherwise_each_time(spark, monkeypatch):
         assert all(r.s == r.v + 1 for r in running.running_sum(df, ["g"], "v", "n", "s").collect())
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_quantiles_of_counted_values(spark):
+    counted = spark.createDataFrame([("a", 1.0, 3), ("a", 2.0, 1), ("a", 5.0, 4), (None, 7.0, 2), (None, 9.0, 2), ("b", None, 5)], "g string, v double, n long")
+    rows = counted.select("g", "v", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    shares = {"low": 0.3, "mid": 0.5, "high": 0.8}
+    found = {tuple(r) for r in quantiles(counted, ["g"], "v", shares, times="n").collect()}
+    assert found == {tuple(r) for r in quantiles(rows, ["g"], "v", shares).collect()} and len(found) == 2
+    cuts = [-2.0, 0.0, 0.0, 1.5, 4.0, 4.0]
+    values = spark.createDataFrame([(cuts, v) for v in (-3.0, -2.0, 0.0, 0.1, 4.0, math.nan, None)], "c array<double>, v double")
+    assert [r[0] for r in values.select(part_of("c", "v", 7)).collect()] == [0, 0, 1, 3, 4, 6, 0]
+    summed = running_sum(counted.where("v is not null and g is not null"), ["g"], "v", "n", "upto", parts=3)
+    assert sorted((r.v, r.upto) for r in summed.collect()) == [(1.0, 3), (2.0, 4), (5.0, 8)]
