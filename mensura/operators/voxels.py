@@ -244,30 +244,70 @@ def adaptive(pixels: DataFrame, value: str, block: int, less: float, method: str
     The window is ``block`` places wide, an odd number; beyond the edge the edge's values go
     on.  Means are rounded to whole numbers, halves to the even one.  The plain mean takes two
     running sums, one along each axis, whatever the window; ``gaussian`` weighs the window's
-    places.  Images with missing places are not asked for; null values count as zero.
+    places.  Rows are packed to runs where they lie, and a task holds a tile and a margin as
+    wide as the window reaches.  Images with missing places are not asked for; null values count as zero.
     """
     if block % 2 == 0 or block <= 1:
         raise ValueError("block must be odd and more than one")
     reach = block // 2
-
-    def summed(df: DataFrame, along: str, across: str) -> DataFrame:
-        order = Window.partitionBy("image", across).orderBy(along)
-        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        first, last = F.first("_v").over(whole), F.last("_v").over(whole)
+    tile = max(TILE, reach)
+    sigma = 0.3 * ((block - 1) * 0.5 - 1) + 0.8
+    weights = [exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
+    kinds = {c: pixels.schema[c].dataType.simpleString() for c in PLACE}
+    whole = pixels.schema[value].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    held = pixels.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.coalesce(F.col(value), F.lit(0)).cast("long" if whole else "double").alias("v"))
+
+    def runs(batches):
+        for batch in batches:
+            y, x = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            if not len(y):
+                continue
+            image = np.asarray(batch.column(0).dictionary_encode().indices)
+            new = (np.diff(image) != 0) | (np.diff(y) != 0) | (np.diff(x) != 1) | (x[1:] % tile == 0)
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            values = pa.ListArray.from_arrays(pa.array(np.append(starts, len(y)), pa.int32()), batch.column(3))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(starts)) for c in range(3)), values], ["image", "y", "x", "v"])
+
+    def summed(wide: np.ndarray) -> np.ndarray:
         if method == "gaussian":
-            sigma = 0.3 * ((block - 1) * 0.5 - 1) + 0.8
-            weights = [exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
-            terms = [F.coalesce(F.lag("_v", -k).over(order), first if k < 0 else last) * (w / sum(weights)) for k, w in zip(range(-reach, reach + 1), weights)]
-            return df.withColumn("_v", sum(terms[1:], terms[0]))
-        df = df.withColumn("_p", F.sum("_v").over(order)).withColumns({"_first": first, "_last": last, "_end": F.max(along).over(whole)})
-        inner = F.coalesce(F.lead("_p", reach).over(order), F.sum("_v").over(whole)) - F.coalesce(F.lag("_p", reach + 1).over(order), F.lit(0))
-        before, after = F.greatest(F.lit(reach) - F.col(along), F.lit(0)), F.greatest(F.col(along) + reach - F.col("_end"), F.lit(0))
-        return df.withColumn("_v", inner + before * F.col("_first") + after * F.col("_last")).drop("_p", "_first", "_last", "_end")
-
-    held = pixels.select(*PLACE, F.coalesce(F.col(value), F.lit(0)).alias("_own")).withColumn("_v", F.col("_own"))
-    sums = summed(summed(held, "x", "y"), "y", "x")
-    mean = F.bround(F.col("_v") if method == "gaussian" else F.col("_v") / (block * block))
-    return sums.where(F.col("_own") > mean - ceil(less)).select(*PLACE)
+            n = wide.shape[1] - 2 * reach
+            terms = (wide[:, k : k + n] * (w / sum(weights)) for k, w in enumerate(weights))
+            return sum(terms, next(terms))
+        upto = np.concatenate([np.zeros((len(wide), 1), wide.dtype), np.cumsum(wide, axis=1)], axis=1)
+        return upto[:, block:] - upto[:, :-block]
+
+    def foreground(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        lists = group.column("v").combine_chunks()
+        sizes = np.diff(np.asarray(lists.offsets))
+        y = np.repeat(np.asarray(group.column("y")), sizes)
+        x = np.repeat(np.asarray(group.column("x")) - np.cumsum(sizes) + sizes, sizes) + np.arange(len(y))
+        y0, x0 = y.min(), x.min()
+        values = np.asarray(lists.flatten())
+        full = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1), values.dtype)
+        full[y - y0, x - x0] = values
+        # what lies beyond the rows at hand is beyond the image
+        tops = [k.as_py() * tile for k in key[1:]]
+        spans = [(max(t, lo), min(t + tile, lo + n)) for t, lo, n in zip(tops, (y0, x0), full.shape)]
+        if spans[0][0] >= spans[0][1] or spans[1][0] >= spans[1][1]:  # in the margin of a tile of the image's edge
+            at = np.empty((2, 0), np.int64)
+        else:
+            ys, xs = (np.clip(np.arange(lo - reach, hi + reach) - start, 0, n - 1) for (lo, hi), start, n in zip(spans, (y0, x0), full.shape))
+            wide = full[np.ix_(ys, xs)]
+            sums = summed(summed(wide).T).T
+            mean = np.rint(sums if method == "gaussian" else sums / (block * block))
+            at = np.nonzero(wide[reach : len(ys) - reach, reach : len(xs) - reach] > mean - ceil(less))
+            at = at[0] + spans[0][0], at[1] + spans[1][0]
+        image = pa.repeat(key[0], len(at[0]))
+        return pa.table([image, *(pa.array(a, pa.int64()) for a in at)], names=PLACE)
+
+    def near(axis: str):
+        return F.explode(F.sequence(F.floor((F.col(axis) - reach) / tile), F.floor((F.col(axis) + (F.size("v") - 1 if axis == "x" else 0) + reach) / tile)))
+
+    element = "bigint" if whole else "double"
+    packed = held.mapInArrow(runs, f"image {kinds['image']}, y long, x long, v array<{element}>")
+    dealt = packed.withColumn("ty", near("y")).withColumn("tx", near("x"))
+    found = dealt.groupBy("image", "ty", "tx").applyInArrow(foreground, f"image {kinds['image']}, y long, x long")
+    return found.select(*[F.col(c).cast(kinds[c]).alias(c) for c in PLACE])
 
 
 def debris(pixels: DataFrame, value: str, width: int, height: int, score: float = 3.0, least: int = 50, most: int = 200_000, reach: int = 10) -> DataFrame:

@@ -158,6 +158,7 @@ def pixels(spark: SparkSession, folder: str) -> DataFrame:
     marks = _marks(spark, folder)
     places = F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))
     rows = marks.select("image").distinct().select("image", F.explode(places).alias("y"))
-    grid = rows.select("image", "y", F.explode(places).alias("x"))
-    held = marks.groupBy("image", "y", "x").agg(F.sum("quantity").cast("long").alias("value"))
-    return grid.join(held, ["image", "y", "x"], "left").select("image", "y", "x", F.coalesce("value", F.lit(0)).alias("value"))
+    held = marks.dropna(subset=["x"]).groupBy("image", "y", "x").agg(F.sum("quantity").cast("long").alias("value"))
+    lines = held.groupBy("image", "y").agg(F.map_from_entries(F.collect_list(F.struct("x", "value"))).alias("values"))  # 64 at most
+    grid = rows.join(lines, ["image", "y"], "left").select("image", "y", "values", F.explode(places).alias("x"))
+    return grid.select("image", "y", "x", F.coalesce(F.col("values")[F.col("x")], F.lit(0)).alias("value"))

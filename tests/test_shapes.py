@@ -158,6 +158,20 @@ def test_adaptive_threshold(spark):
         voxels.adaptive(pixels, "v", 4, 0)
 
 
+def test_adaptive_threshold_over_tiles(spark):
+    # images that start anywhere, lie across tiles or end at their sides, in rows of any order
+    draw = np.random.default_rng(3)
+    images = {k: (y0, x0, draw.integers(0, 256, shape)) for k, (y0, x0, shape) in enumerate([(250, 248, (14, 16)), (-3, 510, (12, 9)), (256, 0, (4, 256)), (7, 7, (1, 1))])}
+    rows = [(k, y0 + y, x0 + x, int(image[y, x])) for k, (y0, x0, image) in images.items() for y in range(image.shape[0]) for x in range(image.shape[1])]
+    pixels = spark.createDataFrame([rows[i] for i in draw.permutation(len(rows))], "image int, y int, x long, v long").repartition(3)
+    wanted = set()
+    for k, (y0, x0, image) in images.items():
+        means = np.rint(np.lib.stride_tricks.sliding_window_view(np.pad(image, 4, mode="edge"), (9, 9)).sum(axis=(2, 3)) / 81)
+        wanted |= {(k, y0 + y, x0 + x) for y, x in zip(*map(np.ndarray.tolist, np.nonzero(image > means - 1)))}
+    got = voxels.adaptive(pixels, "v", 9, 1)
+    assert {tuple(r) for r in got.collect()} == wanted and got.dtypes == [("image", "int"), ("y", "int"), ("x", "bigint")]
+
+
 def test_debris(spark):
     image = np.full((40, 40), 10)
     image[10:13, 10:13] = 200  # a spot
