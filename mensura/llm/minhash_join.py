@@ -182,13 +182,13 @@ def confirmed(pairs: DataFrame, held: DataFrame, matches: int, resemblance: floa
     return both.where((tally >= matches) & (100 * shared >= round(100 * resemblance) * (F.size("s") + F.size("t") - shared))).select("a", "b")
 
 
-def node_links(held: DataFrame, resemblance: float, short_list: int = SHORT_LIST, rounds: int = LEADER_ROUNDS) -> tuple[DataFrame, DataFrame] | None:
-    """Edges ``(a, b)`` between nodes of at least the resemblance, such that what they reach is what all links reach, and the labels that follow.
+def node_links(held: DataFrame, resemblance: float, short_list: int = SHORT_LIST, rounds: int = LEADER_ROUNDS) -> DataFrame | None:
+    """``node``, ``label`` of the nodes that have links of at least the resemblance; a label, one of its nodes, stands for all that links reach.
 
     ``held`` has ``node, size, weight, signature, tokens, hashes`` of the nodes with postings.
     """
     matches = least_matches(resemblance)
-    edges = labels = None
+    labels = None
     live = held.select("node", "size", "weight", F.explode("tokens").alias("token"))
     for number in range(rounds + 1):
         if labels is None:
@@ -215,11 +215,16 @@ def node_links(held: DataFrame, resemblance: float, short_list: int = SHORT_LIST
         found = confirmed(pairs.distinct(), held, matches, resemblance)
         found = cut(found.unionByName(within) if number == rounds else found)
         if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            labels = connected_components(edges)
+            # the links of earlier rounds are as well told by a row a node
+            labels = connected_components(found if labels is None else found.unionByName(spokes(labels)))
         if long.isEmpty():
             break
-    return None if edges is None else (edges, labels)
+    return labels
+
+
+def spokes(labels: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` from each node to its label: they reach what the links did."""
+    return labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
 
 
 def minhash_duplicates(
@@ -252,14 +257,14 @@ def minhash_duplicates(
     some = docs.select("text_key", "text").join(asked, "text_key").dropDuplicates(["node"]).select("text", "node", "size", "signature", "weight", "tokens")
     held = cut(some.mapInArrow(of_batches, "node long, size long, signature array<int>, weight long, tokens array<long>, hashes array<long>"))
 
-    found = node_links(held, resemblance, short_list, rounds)
-    if found is None:
+    labels = node_links(held, resemblance, short_list, rounds)
+    if labels is None:
         named = nodes.select("set_key", F.col("least").alias("component_id"), "n")
     else:
-        linked = cut(nodes.join(found[1], "node").select("set_key", "label", "least", "n"))
+        linked = cut(nodes.join(labels, "node").select("set_key", "label", "least", "n"))
         least = cut(linked.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
         together = joined_unskewed(linked.select("set_key", "label", F.col("n").alias("rows")), least, ["label"]).select("set_key", "component_id", F.col("rows").alias("n"))
-        alone = nodes.join(found[1], "node", "left_anti").select("set_key", F.col("least").alias("component_id"), "n")
+        alone = nodes.join(labels, "node", "left_anti").select("set_key", F.col("least").alias("component_id"), "n")
         named = together.unionByName(alone)
     classed = joined_unskewed(marked.where("set_key is not null"), cut(named), ["set_key"]).select("doc_id", "size", "component_id")
     bare = marked.where("set_key is null").select("doc_id", "size", F.col("doc_id").alias("component_id"))
