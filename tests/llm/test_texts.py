@@ -502,6 +502,26 @@ def test_pipeline_drops_copies_of_eight_tenths(spark, short_list):
     assert resembling.drop_near_copies(frame.limit(0)).count() == 0
 
 
+def test_links_of_the_index_stay_where_signatures_disagree(spark, monkeypatch):
+    from mensura.llm import minhash_join, resembling
+
+    # as if chance had it that signatures of near copies agree too seldom
+    for module in (resembling, minhash_join):
+        monkeypatch.setattr(module, "least_matches", lambda resemblance: minhash_join.COORDINATES)
+    rng = random.Random(5)
+    words = [str(rng.randrange(10**6)) for _ in range(400)]
+    hashes = resembling.shingles(" ".join(words))
+    rows = [(0, " ".join(words))]
+    for place in range(5, 395, 10):
+        text = " ".join([*words[:place], "X", *words[place + 1 :]])
+        few = bin((simhash.fingerprint(text, 5) ^ simhash.fingerprint(rows[0][1], 5)) & (1 << 64) - 1).count("1") <= 4
+        if few and (minhash_join.signature(resembling.shingles(text)) != minhash_join.signature(hashes)).any():
+            rows.append((place, text))
+    assert len(rows) > 5
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in resembling.drop_near_copies(frame).collect()] == [0]
+
+
 def clashing(spark):
     """Documents whose other columns have names that operators use inside."""
     names = "row at text_hash _sha _hash _id _n grp n digit size carried doc kept least label hash fp".split()
