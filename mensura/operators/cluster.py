@@ -19,6 +19,8 @@ from mensura.operators.running import numbered
 from mensura.operators.stats import anova, correlations
 
 WARD_LIMIT = 4000
+_BLOCK_VALUES = 1 << 21  # doubles of a block
+_AT_ONCE = 1 << 17  # distances that a task holds at a time
 
 
 def vectors(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
@@ -220,57 +222,81 @@ def _drawn(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
-def _nearest(state: DataFrame, count: int, block: int) -> DataFrame:
+def _blocks(count: int, width: int, block: int | None) -> int:
+    """Number of blocks of ``count`` rows that hold ``block`` rows each, if not given 16 MB of ``width`` doubles; sixteen if rows are enough."""
+    if block:
+        return max(1, -(-count // block))
+    return max(1, -(-count * width // _BLOCK_VALUES), min(16, count // 512))
+
+
+def _block_pairs(rows: DataFrame, by: list[str], columns: list[str], vector: str, blocks: int) -> DataFrame:
+    """Pairs of blocks of rows, each once: ``_b``, the columns as arrays, the vectors end to end, and the same of the other block with a 2."""
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64(*by), F.lit(blocks)).cast("int")).groupBy("_b").agg(F.collect_list(F.struct(*columns)).alias("_r"))
+    lists = [(F.flatten(f"_r.{c}") if c == vector else F.col(f"_r.{c}")).alias(c) for c in columns]
+    packed = cut(dealt.select("_b", *lists).repartition(min(blocks, 64)))  # a task for each pair of parts
+    theirs = packed.select(*[F.col(c).alias(f"{c}2") for c in packed.columns])
+    return packed.crossJoin(theirs).where("_b <= _b2")
+
+
+def _nearest(state: DataFrame, count: int, block: int | None) -> DataFrame:
     """For each of ``count`` clusters ``i, c, w`` the one whose merge costs least.
 
     Ties go by a hash of the two names, the same from both sides, so that of a crowd of
     equal points a constant share finds each other.  Clusters are packed in blocks and tasks take pairs of blocks, each once; of a block's
     costs only the least for each of its clusters leave the task.
     """
-    blocks = max(1, -(-count // block))
-    packed = state.withColumn("_b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).groupBy("_b").agg(F.collect_list(F.struct("i", "c", "w")).alias("_r"))
-    packed = cut(packed.select("_b", F.col("_r.i").alias("i"), F.flatten("_r.c").alias("c"), F.col("_r.w").alias("w")).repartition(min(blocks, 64)))  # a task for each pair of parts
-    theirs = packed.select(F.col("_b").alias("_p"), F.col("i").alias("i2"), F.col("c").alias("c2"), F.col("w").alias("w2"))
-    pairs = packed.crossJoin(theirs).where("_b <= _p")
+    width = state.agg(F.max(F.size("c"))).first()[0] or 1
+    pairs = _block_pairs(state, ["i"], ["i", "c", "w"], "c", _blocks(count, width, block))
 
     def least(frames):
         for frame in frames:
-            for own, other, names, centres, weights, names2, centres2, weights2 in frame.itertuples(index=False, name=None):
+            for own, names, centres, weights, other, names2, centres2, weights2 in frame.itertuples(index=False, name=None):
                 a, b = np.asarray(centres).reshape(len(names), -1), np.asarray(centres2).reshape(len(names2), -1)
                 i, j, v, w = map(np.asarray, (names, names2, weights, weights2))
                 middle = a.mean(axis=0)
                 a0, b0 = a - middle, b - middle
                 long, long2 = (a0 * a0).sum(axis=1), (b0 * b0).sum(axis=1)
-                for part in np.array_split(np.arange(len(i)), -(-len(a) * len(b) // (1 << 17)) or 1):
-                    # costs by a product of matrices, which are wrong by less than the margin, say which may be least
-                    factor = 2 * v[part, None] * w[None] / (v[part, None] + w[None])
-                    whole = long[part, None] + long2[None]
-                    cost = factor * (whole - 2 * (a0[part] @ b0.T))
-                    margin = factor * whole * 1e-12
-                    cost[i[part, None] == j[None]] = np.inf
-                    low, high = cost - margin, cost + margin
-                    may = low <= high.min(axis=1)[:, None]
+                # squared distances by one product of matrices; costs so made say which may be least, as they
+                # are wrong by less than the margin
+                a1, b1 = np.column_stack([a0, long, np.ones(len(a))]), np.column_stack([-2 * b0, np.ones(len(b)), long2])
+                light, light2 = 1 / v, 1 / w
+                # the margin is that of both costs that are compared
+                margin, margin2 = 4e-12 * (long + long2.max()) / (light + light2.min()), 4e-12 * (long2 + long.max()) / (light2 + light.min())
+                bound2 = np.full(len(b), np.inf)
+                rows, columns = [], []
+                for part in np.array_split(np.arange(len(i)), -(-len(a) * len(b) // _AT_ONCE) or 1):
+                    cost = a1[part] @ b1.T
+                    cost *= 2
+                    cost /= light[part, None] + light2[None]
+                    if own == other:
+                        cost[np.arange(len(part)), part] = np.inf
+                    may = cost <= (cost.min(axis=1) + margin[part])[:, None]
                     if own != other:
-                        may |= low <= high.min(axis=0)[None]
-                    x, y = np.nonzero(may & np.isfinite(cost))
-                    for some in np.array_split(np.arange(len(x)), -(-len(x) * a.shape[1] // (1 << 22)) or 1):
-                        m, n = part[x[some]], y[some]
+                        bound2 = np.minimum(bound2, cost.min(axis=0) + margin2)
+                        may |= cost <= bound2
+                    places = np.flatnonzero(may)
+                    places = places[np.isfinite(cost.ravel()[places])]
+                    for some in np.array_split(places, -(-len(places) * a.shape[1] // (1 << 22)) or 1):
+                        m, n = part[some // len(b)], some % len(b)
                         exact = 2 * v[m] * w[n] / (v[m] + w[n]) * ((a[m] - b[n]) ** 2).sum(axis=1)
                         draw = _drawn(i[m] ^ j[n])
-                        yield picked(exact, draw, i[m], j[n])
+                        rows.append(picked(exact, draw, i[m], j[n]))
                         if own != other:
-                            yield picked(exact, draw, j[n], i[m])
+                            columns.append(picked(exact, draw, j[n], i[m]))
+                for found in (rows, columns):
+                    if found:
+                        yield picked(*map(np.concatenate, zip(*found)), framed=True)
 
-    def picked(cost, draw, names, others):
+    def picked(cost, draw, names, others, framed=False):
         order = np.lexsort((draw, cost, names))
         first = order[np.concatenate(([True], np.diff(names[order]) != 0))] if len(order) else order
-        return pd.DataFrame({"i": names[first], "cost": cost[first], "draw": draw[first], "j": others[first]})
+        best = cost[first], draw[first], names[first], others[first]
+        return pd.DataFrame(dict(zip(["cost", "draw", "i", "j"], best)))[["i", "cost", "draw", "j"]] if framed else best
 
-    fields = ["_b", "_p", "i", "c", "w", "i2", "c2", "w2"]
-    return pairs.select(*fields).mapInPandas(least, "i long, cost double, draw long, j long").groupBy("i").agg(F.min(F.struct("cost", "draw", "j")).alias("m")).select("i", "m.cost", "m.j").where("cost < double('infinity')")
+    return pairs.mapInPandas(least, "i long, cost double, draw long, j long").groupBy("i").agg(F.min(F.struct("cost", "draw", "j")).alias("m")).select("i", "m.cost", "m.j").where("cost < double('infinity')")
 
 
-def ward_tree(points: DataFrame, count: int, limit: int = WARD_LIMIT, block: int = 1024) -> DataFrame:
+def ward_tree(points: DataFrame, count: int, limit: int = WARD_LIMIT, block: int | None = None) -> DataFrame:
     """Ward's merges of ``count`` points ``i, c``, numbered from zero: ``node, left, right, height, size``.
 
     In each round all clusters that are each other's nearest merge: no merge brings a third
@@ -309,7 +335,7 @@ def ward_tree(points: DataFrame, count: int, limit: int = WARD_LIMIT, block: int
         return pd.DataFrame(out, columns=["node", "left", "right", "height", "size"])
 
     # ``limit`` rows
-    tree = state.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(rest, "node long, left long, right long, height double, size double")
+    tree = cut(state.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(rest, "node long, left long, right long, height double, size double"))
     for part in merges:
         tree = tree.unionByName(part)
     return tree
@@ -339,7 +365,7 @@ def _merged(rows: pd.DataFrame) -> tuple[pd.Series, np.ndarray]:
     return rows["_cell"], ward_merges(np.array(rows["c"].tolist(), float).reshape(len(rows), -1), rows["w"].to_numpy())
 
 
-def linkage(df: DataFrame, limit: int = WARD_LIMIT, key: str = "id", block: int = 1024) -> DataFrame:
+def linkage(df: DataFrame, limit: int = WARD_LIMIT, key: str = "id", block: int | None = None) -> DataFrame:
     """Ward's merges in order: ``step`` from zero, the clusters ``a < b`` merged, ``height`` and ``size``.
 
     Points are numbered from zero by key, the cluster of a step by the number of points and
@@ -362,13 +388,14 @@ def suggested_cut(merges: DataFrame, place: int = 1) -> DataFrame:
 
     Of equal gaps the later counts as larger.
     """
-    order = Window.orderBy("step")  # a tree of at most ``limit`` points
-    gaps = merges.select("step", "height", F.lead("height").over(order).alias("_next"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_n")).where("_next is not null")
-    ranked = gaps.withColumn("_k", F.row_number().over(Window.orderBy((F.col("_next") - F.col("height")).desc(), F.col("step").desc())))
-    return ranked.where(F.col("_k") == place).select(((F.col("height") + F.col("_next")) / 2).alias("threshold"), (F.col("_n") - F.col("step")).cast("int").alias("clusters"), F.col("step").alias("gap"))
+    held = cut(merges.select("step", "height"))
+    after = held.select((F.col("step") - 1).alias("step"), F.col("height").alias("_next"))
+    largest = held.join(after, "step").orderBy((F.col("_next") - F.col("height")).desc(), F.col("step").desc()).limit(place)
+    ranked = largest.withColumn("_k", F.row_number().over(Window.orderBy((F.col("_next") - F.col("height")).desc(), F.col("step").desc())))  # ``place`` rows
+    return ranked.where(F.col("_k") == place).select(((F.col("height") + F.col("_next")) / 2).alias("threshold"), (F.lit(held.count()) - F.col("step")).cast("int").alias("clusters"), F.col("step").alias("gap"))
 
 
-def ward_labels(df: DataFrame, k: int | None = None, limit: int = WARD_LIMIT, key: str = "id", height: float | None = None, block: int = 1024) -> DataFrame:
+def ward_labels(df: DataFrame, k: int | None = None, limit: int = WARD_LIMIT, key: str = "id", height: float | None = None, block: int | None = None) -> DataFrame:
     """Ward clusters of the column ``features``: ``k`` of them, or those left by a cut at a height.
 
     Numbered from one by their first members.  Up to ``limit`` rows are merged in one task;
@@ -379,11 +406,7 @@ def ward_labels(df: DataFrame, k: int | None = None, limit: int = WARD_LIMIT, ke
     if count > limit:
         points = _numbered_points(df, key)
         steps = _steps(ward_tree(points, count, limit, block), count)
-        kept = steps.where(F.col("step") < count - max(1, k)) if height is None else steps.where(F.col("height") <= height)
-        edges = kept.select((F.col("step") + count).alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        roots = cut(least_member(points.select(F.col("i").alias("id")), edges))
-        names = numbered(roots.select("root").distinct(), ["root"], "_c").select("root", (F.col("_c") + 1).cast("int").alias("cluster"))
-        return points.join(roots.join(names, "root"), points["i"] == roots["id"]).select(F.col("_key").alias(key), "cluster")
+        return _left_by(points, count, steps.where(F.col("step") < count - max(1, k)) if height is None else steps.where(F.col("height") <= height), key)
     cells = _ward_points(df, key)
 
     def labelled(rows: pd.DataFrame) -> pd.DataFrame:
@@ -396,6 +419,25 @@ def ward_labels(df: DataFrame, k: int | None = None, limit: int = WARD_LIMIT, ke
     return clusters.select(F.col("_cell").alias(key), "cluster")
 
 
+def gap_labels(df: DataFrame, place: int = 1, limit: int = WARD_LIMIT, key: str = "id", block: int | None = None) -> DataFrame:
+    """Ward clusters left by the :func:`suggested_cut` of their own tree, which is made once for both if it has more than ``limit`` points."""
+    count = df.count()
+    if count <= limit:
+        height = suggested_cut(linkage(df, limit, key, block), place).first()["threshold"]
+        return ward_labels(df, limit=limit, key=key, height=height, block=block)
+    points = _numbered_points(df, key)
+    steps = cut(_steps(ward_tree(points, count, limit, block), count))
+    return _left_by(points, count, steps.where(F.col("height") <= suggested_cut(steps, place).first()["threshold"]), key)
+
+
+def _left_by(points: DataFrame, count: int, kept: DataFrame, key: str) -> DataFrame:
+    """Clusters of numbered points after the merges kept, numbered from one by their first members."""
+    edges = kept.select((F.col("step") + count).alias("a"), F.explode(F.array("a", "b")).alias("b"))
+    roots = cut(least_member(points.select(F.col("i").alias("id")), edges))
+    names = numbered(roots.select("root").distinct(), ["root"], "_c").select("root", (F.col("_c") + 1).cast("int").alias("cluster"))
+    return points.join(roots.join(names, "root"), points["i"] == roots["id"]).select(F.col("_key").alias(key), "cluster")
+
+
 def principal_scores(df: DataFrame, k: int, key: str = "id") -> DataFrame:
     """Scores of centred features on the first components; each has its largest loading positive."""
     centred = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="_c").fit(df).transform(df)

@@ -101,6 +101,4 @@ def ward_merges(spark, d):
 @query()
 def ward_by_gap(spark, d):
     """Clusters left by a cut in the largest gap between merges."""
-    embedded = X.embedded(spark, d)
-    height = cluster.suggested_cut(cluster.linkage(embedded)).first()["threshold"]
-    return cluster.ward_labels(embedded, height=height)
+    return cluster.gap_labels(X.embedded(spark, d))

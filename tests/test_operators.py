@@ -466,6 +466,26 @@ def test_ward_in_rounds_gives_the_tree_of_one_task(spark):
         assert own == other and len(own) == 70
 
 
+def test_ward_tells_few_candidates_of_a_round(spark, monkeypatch):
+    """Of a round's costs exact ones are worked out for few, whatever the blocks; one tree serves the cut and its height."""
+    rng = np.random.default_rng(8)
+    values = rng.normal(size=(600, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "id int, v array<double>").select("id", array_to_vector("v").alias("features"))
+    found, calls = [], []
+    nearest, tree = cluster._nearest, cluster.ward_tree
+    monkeypatch.setattr(cluster, "_nearest", lambda *a: found.append(nearest(*a)) or found[-1])
+    monkeypatch.setattr(cluster, "ward_tree", lambda *a: calls.append(1) or tree(*a))
+    labels = {r.id: r.cluster for r in cluster.gap_labels(frame, limit=500).collect()}
+    assert calls == [1]
+    # a row for each cluster and block that it met
+    assert found[0].count() == 600 and cluster._blocks(600, 8, None) == 1 and cluster._blocks(120_000, 64, None) == 16 and cluster._blocks(600_000, 64, None) == 19
+    height = cluster.suggested_cut(cluster.linkage(frame)).first().threshold
+    want = {r.id: r.cluster for r in cluster.ward_labels(frame, height=height).collect()}
+    assert labels == want
+    apart = ((values[:, None] - values[None]) ** 2).sum(axis=2) + np.diag(np.full(600, np.inf))
+    assert {r.i: r.j for r in found[0].collect()} == dict(enumerate(apart.argmin(axis=1).tolist()))
+
+
 def test_ward_in_rounds_with_ties(spark):
     """Equal points merge at zero, and every tree over equal distances has as many merges as it must."""
     frame = spark.createDataFrame([(i, [float(i // 5 % 3), 0.0]) for i in range(30)], "id int, v array<double>").select("id", array_to_vector("v").alias("features"))
