@@ -20,7 +20,8 @@ from mensura.operators.stats import anova, correlations
 
 WARD_LIMIT = 4000
 _BLOCK_VALUES = 1 << 21  # doubles of a block
-_AT_ONCE = 1 << 17  # distances that a task holds at a time
+_TILE = 256, 512  # distances that a task holds at a time
+_PIECE = 1 << 14  # sums of distances that are passed on together
 
 
 def vectors(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
@@ -29,7 +30,10 @@ def vectors(df: DataFrame, columns: list[str], out: str = "features") -> DataFra
 
 def kmeans_labels(df: DataFrame, k: int, seed: int = 42, out: str = "cluster") -> DataFrame:
     """K-means clusters of the column ``features``, numbered from one by size, then by centre."""
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="_c").fit(df)
+    return _numbered_clusters(KMeans(k=k, seed=seed, featuresCol="features", predictionCol="_c").fit(df), df, out)
+
+
+def _numbered_clusters(model, df: DataFrame, out: str) -> DataFrame:
     labelled = model.transform(df)
     sizes = dict(map(tuple, labelled.groupBy("_c").count().collect()))  # k rows
     centres = [tuple(c) for c in model.clusterCenters()]
@@ -77,55 +81,92 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     square = a @ b.T
     square *= -2.0
     square += whole
-    close = np.nonzero(square < 1e-6 * whole)
-    for at in np.array_split(np.arange(len(close[0])), -(-len(close[0]) * a.shape[1] // (1 << 22)) or 1):
-        i, j = close[0][at], close[1][at]
+    whole *= 1e-6
+    close = np.flatnonzero(square < whole)
+    for at in np.array_split(close, -(-len(close) * a.shape[1] // (1 << 22)) or 1):
+        i, j = at // len(b), at % len(b)
         square[i, j] = ((a[i] - b[j]) ** 2).sum(axis=1)
     return np.sqrt(square, out=square)
 
 
-def silhouettes(df: DataFrame, label: str, key: str = "id", block: int = 1024) -> DataFrame:
+def silhouettes(df: DataFrame, label: str, key: str = "id", block: int | None = None) -> DataFrame:
     """Exact silhouette of every row by Euclidean distance.
 
-    Rows are packed in blocks of about ``block``; a task takes pairs of blocks, each once,
+    Rows are packed in blocks; a task takes pairs of blocks, each once,
     and gives each row of the one the sum of its distances to each cluster of the other.  The work is that of
     all distances, which this measure needs; ``squared_silhouettes`` needs a pass only.
-    A row alone in its cluster, or where there is one cluster, has 0.
+    A row alone in its cluster, or where there is one cluster, has 0; so has one without a label, which is in no cluster.
+    """
+    value = F.col("silhouettes")[0].alias("silhouette")
+    return _silhouettes(df.select(F.col(key).alias("_k"), F.array(F.col(label)).alias("_l"), vector_to_array("features").alias("_v")), 1, block).select(F.col("_k").alias(key), F.col("_l")[0].alias(label), value)
+
+
+def _silhouettes(rows: DataFrame, clusterings: int, block: int | None) -> DataFrame:
+    """Silhouettes of rows ``_k, _l, _v`` by each of their labels ``_l``: ``_k, _l, silhouettes``; distances are worked out once for all.
+
+    What a task adds up stays in the order of its blocks' rows, which the pair of a block
+    with itself tells, so that sums meet by pieces of blocks, not by rows.
     """
-    held = cut(df.select(F.col(key).alias("_k"), F.col(label).alias("_l"), vector_to_array("features").alias("_v")))
-    blocks = max(1, -(-held.count() // block))
-    kind, group = (held.schema[c].dataType.simpleString() for c in ("_k", "_l"))
-    packed = held.withColumn("_b", F.pmod(F.xxhash64("_k", "_v"), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct("_k", "_l", "_v")).alias("_r"))
-    packed = cut(packed.select(F.col("_b").cast("int").alias("_b"), F.col("_r._k").alias("_k"), F.col("_r._l").alias("_l"), F.flatten("_r._v").alias("_v")).repartition(min(blocks, 64)))  # a task for each pair of parts
-    theirs = packed.select(F.col("_b").alias("_p"), F.col("_k").alias("_k2"), F.col("_l").alias("_l2"), F.col("_v").alias("_v2"))
+    held = cut(rows)
+    kinds = {c: held.schema[c].dataType.simpleString() for c in ("_k", "_l")}
+    counted = held.select(F.posexplode("_l").alias("_at", "_name")).groupBy("_at", "_name").agg(F.count(F.lit(1)).alias("_n")).where("_name is not null")
+    sizes = sorted(((r["_at"], r["_name"], r["_n"]) for r in counted.collect()), key=lambda s: (s[0], str(s[1])))  # a row for each cluster
+    ends = np.searchsorted([s[0] for s in sizes], np.arange(clusterings + 1))
+    codes = [{name: code for code, (at, name, _) in enumerate(sizes) if at == own} for own in range(clusterings)]
+    numbers, many = np.array([s[2] for s in sizes], float), max(1, len(sizes))
+    count, width = held.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
+    pairs = _block_pairs(held, ["_k", "_v"], ["_k", "_l", "_v"], "_v", _blocks(count, max(width or 1, many), block))
+    piece = max(1, _PIECE // many)
+
+    def coded(labels) -> np.ndarray:
+        return np.array([[own.get(name, -1) for own, name in zip(codes, row)] for row in labels], np.int64).reshape(-1, clusterings)
+
+    def members(found: np.ndarray) -> np.ndarray:
+        whole = np.zeros((len(found), many + 1))  # the last is of rows without a label
+        for own in found.T:
+            whole[np.arange(len(found)), own] = 1.0
+        return whole[:, :many]
 
     def summed(frames):
         for frame in frames:
-            for own, other, keys, labels, mine, keys2, labels2, yours in frame.itertuples(index=False, name=None):
+            for own, keys, labels, mine, other, keys2, labels2, yours in frame.itertuples(index=False, name=None):
                 a, b = np.asarray(mine).reshape(len(keys), -1), np.asarray(yours).reshape(len(keys2), -1)
-                names, codes = np.unique(labels, return_inverse=True)
-                names2, codes2 = np.unique(labels2, return_inverse=True)
-                member, member2 = (codes[:, None] == np.arange(len(names))).astype(float), (codes2[:, None] == np.arange(len(names2))).astype(float)
-                to_mine, to_yours = np.zeros((len(b), len(names))), np.zeros((len(a), len(names2)))
-                for part in np.array_split(np.arange(len(a)), -(-len(a) * len(b) // (1 << 17)) or 1):
-                    apart = distances(a[part], b)
-                    to_yours[part] = apart @ member2
-                    to_mine += apart.T @ member[part]
-                sides = [(keys, labels, names2, to_yours)] + ([(keys2, labels2, names, to_mine)] if own != other else [])
-                for ids, groups, theirs, sums in sides:
-                    for i, name in enumerate(theirs):
-                        yield pd.DataFrame({"key": ids, "label": groups, "other": name, "s": sums[:, i]})
-
-    sizes = held.groupBy(F.col("_l").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    # pairs of blocks, each once, not of rows
-    met = packed.crossJoin(theirs).where("_b <= _p")
-    pairs = met.select("_b", "_p", "_k", "_l", "_v", "_k2", "_l2", "_v2").mapInPandas(summed, f"key {kind}, label {group}, other {group}, s double")
-    sums = pairs.groupBy("key", "label", "other").agg(F.sum("s").alias("s")).join(sizes, "other")
-    same = F.col("label") == F.col("other")
-    mean = ratio(F.col("s"), F.when(same, F.col("n") - 1).otherwise(F.col("n")))
-    ab = sums.groupBy("key", "label").agg(F.max(F.when(same, mean)).alias("a"), F.min(F.when(~same, mean)).alias("b"))
-    value = F.coalesce(ratio(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
-    return ab.select(F.col("key").alias(key), F.col("label").alias(label), value.alias("silhouette"))
+                found = coded(labels)
+                member, member2 = members(found), members(coded(labels2))
+                to_mine, to_yours = np.zeros((len(b), many)), np.zeros((len(a), many))
+                for part, some in _tiles(len(a), len(b)):
+                    apart = distances(a[part], b[some])
+                    to_yours[part] += apart @ member2[some]
+                    if own != other:
+                        to_mine[some] += apart.T @ member[part]
+                for name, partner, sums in [(own, other, to_yours)] + ([(other, own, to_mine)] if own != other else []):
+                    for at in range(0, len(sums), piece):
+                        told = (keys[at : at + piece], found[at : at + piece].ravel()) if own == other else (None, None)
+                        yield pd.DataFrame({"block": [name], "piece": [at], "other": [partner], "sums": [sums[at : at + piece].ravel()], "keys": [told[0]], "codes": [told[1]]})
+
+    def finished(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("other")
+        sums = np.sum(np.stack(parts["sums"].tolist()), axis=0).reshape(-1, many)
+        keys, found = next((k, np.asarray(c).reshape(-1, clusterings)) for k, c in zip(parts["keys"], parts["codes"]) if k is not None)
+        place, values = np.arange(len(sums)), []
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for own, low, high in zip(found.T, ends, ends[1:]):
+                if low == high:
+                    values.append(np.zeros(len(sums)))
+                    continue
+                mine = np.maximum(own - low, 0)
+                near, size = sums[:, low:high], numbers[low:high]
+                means = near / size
+                a = near[place, mine] / (size[mine] - 1)
+                means[place, mine] = np.inf
+                b = means.min(axis=1)
+                value = (b - a) / np.maximum(a, b)
+                values.append(np.where((own >= 0) & (size[mine] > 1) & (high - low > 1) & (np.maximum(a, b) > 0), value, 0.0))
+        labels = [[None if c < 0 else sizes[c][1] for c in row] for row in found.tolist()]
+        return pd.DataFrame({"_k": list(keys), "_l": labels, "silhouettes": list(np.column_stack(values))})
+
+    told = pairs.mapInPandas(summed, f"block int, piece int, other int, sums array<double>, keys array<{kinds['_k']}>, codes array<long>")
+    return told.groupBy("block", "piece").applyInPandas(finished, f"_k {kinds['_k']}, _l {kinds['_l']}, silhouettes array<double>")
 
 
 def squared_silhouettes(df: DataFrame, label: str, key: str = "id") -> DataFrame:
@@ -150,11 +191,17 @@ def squared_silhouettes(df: DataFrame, label: str, key: str = "id") -> DataFrame
 
 
 def best_k(df: DataFrame, most: int = 9, least: float = 0.0, seed: int = 42, key: str = "id") -> DataFrame:
-    """Mean silhouette for each number of clusters; the best is marked, unless under the least."""
-    spark, rows = df.sparkSession, []
-    for k in range(2, most + 1):
-        mean = silhouettes(kmeans_labels(df, k, seed), "cluster", key).agg(F.avg("silhouette")).first()[0]
-        rows.append((k, mean))
+    """Mean silhouette for each number of clusters; the best is marked, unless under the least.
+
+    All clusterings share one pass over the distances.
+    """
+    spark, tried, labelled = df.sparkSession, range(2, most + 1), df
+    for k in tried:
+        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="_c").fit(df)
+        labelled = _numbered_clusters(model, labelled, f"_cluster{k}")
+    found = _silhouettes(labelled.select(F.col(key).alias("_k"), F.array(*[f"_cluster{k}" for k in tried]).alias("_l"), vector_to_array("features").alias("_v")), len(tried), None)
+    means = found.agg(*[F.avg(F.col("silhouettes")[i]) for i in range(len(tried))]).first()
+    rows = list(zip(tried, means))
     top = max(rows, key=lambda r: (r[1] or -1, -r[0]))
     return spark.createDataFrame([(k, m, k == top[0] and (m or -1) >= least) for k, m in rows], "k int, silhouette double, best boolean")
 
@@ -238,6 +285,13 @@ def _block_pairs(rows: DataFrame, by: list[str], columns: list[str], vector: str
     return packed.crossJoin(theirs).where("_b <= _b2")
 
 
+def _tiles(height: int, width: int):
+    """Slices of the rows and columns of a matrix, of which a task holds the values of one pair at a time."""
+    for at in range(0, height, _TILE[0]):
+        for along in range(0, width, _TILE[1]):
+            yield slice(at, min(at + _TILE[0], height)), slice(along, min(along + _TILE[1], width))
+
+
 def _nearest(state: DataFrame, count: int, block: int | None) -> DataFrame:
     """For each of ``count`` clusters ``i, c, w`` the one whose merge costs least.
 
@@ -262,22 +316,23 @@ def _nearest(state: DataFrame, count: int, block: int | None) -> DataFrame:
                 light, light2 = 1 / v, 1 / w
                 # the margin is that of both costs that are compared
                 margin, margin2 = 4e-12 * (long + long2.max()) / (light + light2.min()), 4e-12 * (long2 + long.max()) / (light2 + light.min())
-                bound2 = np.full(len(b), np.inf)
+                bound, bound2 = np.full(len(a), np.inf), np.full(len(b), np.inf)
                 rows, columns = [], []
-                for part in np.array_split(np.arange(len(i)), -(-len(a) * len(b) // _AT_ONCE) or 1):
-                    cost = a1[part] @ b1.T
+                for part, some in _tiles(len(a), len(b)):
+                    cost = a1[part] @ b1[some].T
                     cost *= 2
-                    cost /= light[part, None] + light2[None]
+                    cost /= light[part, None] + light2[None, some]
                     if own == other:
-                        cost[np.arange(len(part)), part] = np.inf
-                    may = cost <= (cost.min(axis=1) + margin[part])[:, None]
+                        cost[(part.start + np.arange(len(cost)))[:, None] == some.start + np.arange(cost.shape[1])] = np.inf
+                    np.minimum(bound[part], cost.min(axis=1) + margin[part], out=bound[part])
+                    may = cost <= bound[part, None]
                     if own != other:
-                        bound2 = np.minimum(bound2, cost.min(axis=0) + margin2)
-                        may |= cost <= bound2
+                        np.minimum(bound2[some], cost.min(axis=0) + margin2[some], out=bound2[some])
+                        may |= cost <= bound2[some]
                     places = np.flatnonzero(may)
                     places = places[np.isfinite(cost.ravel()[places])]
-                    for some in np.array_split(places, -(-len(places) * a.shape[1] // (1 << 22)) or 1):
-                        m, n = part[some // len(b)], some % len(b)
+                    for few in np.array_split(places, -(-len(places) * a.shape[1] // (1 << 22)) or 1):
+                        m, n = part.start + few // cost.shape[1], some.start + few % cost.shape[1]
                         exact = 2 * v[m] * w[n] / (v[m] + w[n]) * ((a[m] - b[n]) ** 2).sum(axis=1)
                         draw = _drawn(i[m] ^ j[n])
                         rows.append(picked(exact, draw, i[m], j[n]))

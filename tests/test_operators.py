@@ -438,6 +438,26 @@ def test_silhouettes_by_blocks(spark):
     assert cluster.silhouettes(frame.where("given = 9"), "given").count() == 0
 
 
+def test_silhouettes_of_many_clusterings_take_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(60, 3)) + 6 * rng.integers(0, 3, size=(60, 1))
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id int, v array<double>").select("id", array_to_vector("v").alias("features")).persist()
+    want = [cluster.silhouettes(cluster.kmeans_labels(frame, k), "cluster").agg(F.avg("silhouette")).first()[0] for k in (2, 3, 4)]
+    passes, made = [], cluster._block_pairs
+    monkeypatch.setattr(cluster, "_block_pairs", lambda *a: passes.append(1) or made(*a))
+    rows = cluster.best_k(frame, 4).orderBy("k").collect()
+    assert passes == [1] and [r.silhouette for r in rows] == pytest.approx(want) and [r.best for r in rows] == [w == max(want) for w in want]
+
+
+def test_silhouettes_without_labels(spark):
+    """A row without a label has 0 and is in no cluster; labels may be texts."""
+    rows = [(1, "a", [0.0]), (2, "a", [1.0]), (3, None, [2.0]), (4, "b", [3.0]), (5, "b", [4.0])]
+    frame = spark.createDataFrame(rows, "id int, given string, v array<double>").select("id", "given", array_to_vector("v").alias("features"))
+    for block in (2, None):
+        found = {r.id: (r.given, r.silhouette) for r in cluster.silhouettes(frame, "given", block=block).collect()}
+        assert found[3] == (None, 0.0) and found[1] == ("a", pytest.approx(2.5 / 3.5)) and found[4] == ("b", pytest.approx(1.5 / 2.5))
+
+
 def test_linkage_and_cuts(spark):
     frame = spark.createDataFrame([(i, [v]) for i, v in enumerate([0.0, 1.0, 10.0, 11.5, 30.0])], "id int, v array<double>").select("id", array_to_vector("v").alias("features"))
     merges = cluster.linkage(frame)
