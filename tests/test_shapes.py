@@ -488,3 +488,16 @@ def test_overlaps_with_and_without_a_table(spark, monkeypatch, table):
     held = {r: {(y, x) for _, own, y, x in rows if own == r} for r in range(12)}
     got = splitting.overlaps(spark.createDataFrame(rows, "image long, region long, y long, x long")).collect()
     assert sorted((r.a, r.b) for r in got) == [(a, b) for a in range(12) for b in range(a + 1, 12) if held[a] & held[b]]
+
+
+def test_split_and_layers_deal_runs_not_places(spark, monkeypatch):
+    """What is dealt to tiles are runs: fewer rows than regions have places; a run across tiles counts in both."""
+    rows = [(0, 1, y, x) for y in range(3) for x in range(200)] + [(0, 2, 2, x) for x in range(100, 140)] + [(0, 3, 5, 5), (0, 3, 5, 5), (1, 2, 0, 70)]
+    table = spark.createDataFrame(rows, "image long, region long, y long, x long").coalesce(1)
+    plan = splitting._met(table)
+    assert sorted({(r.image, a, b) for r in plan.collect() for a, b in zip(r.a, r.b)}) == [(0, 1, 1), (0, 1, 2), (0, 2, 2), (0, 3, 3), (1, 2, 2)]
+    assert plan.count() == 5  # a row for each tile, not for each place or pair
+    assert sorted(map(tuple, splitting.overlaps(table).collect())) == [(0, 1, 2)]
+    assert sorted(map(tuple, splitting.layers(table).collect())) == [(0, 1, 1), (0, 2, 2), (0, 3, 1), (1, 2, 1)]
+    runs = spark.createDataFrame([([(0, 3), (2, 5), (6, 7), (7, 7)],), ([(1, 1)],)], "r array<struct<x0:bigint,x1:bigint>>")
+    assert [[tuple(x) for x in r[0]] for r in runs.select(splitting._joined("r")).collect()] == [[(0, 5), (6, 7)], [(1, 1)]]
